@@ -385,7 +385,7 @@ ORACLES["customer_spend_box"] = sales(
 )
 _TOP5 = f"(SELECT sum(value) FROM (SELECT {dbl('sum(price)')} AS value FROM sales GROUP BY customer ORDER BY value DESC, customer LIMIT 5))"
 ORACLES["top5_customer_share"] = sales(
-    "SELECT CAST(sum(v) AS DOUBLE) AS top_total, (SELECT CAST(sum(price) AS DOUBLE) FROM sales) AS grand_total, "
+    "SELECT round(CAST(sum(v) AS DOUBLE), 2) AS top_total, (SELECT round(CAST(sum(price) AS DOUBLE), 2) FROM sales) AS grand_total, "
     "round(CAST(sum(v) AS DOUBLE) / (SELECT CAST(sum(price) AS DOUBLE) FROM sales) * 100, 1) AS share_pct "
     "FROM (SELECT sum(price) AS v FROM sales GROUP BY customer ORDER BY v DESC, customer LIMIT 5)"
 )

@@ -360,7 +360,7 @@ def _(df):
     return stats.group_total_box(df, "customer", "price").drop("category")
 
 
-@on_sales("top5_customer_share")
+@on_sales("top5_customer_share", 2)
 def _(df):
     return aggs.top_share(df, "customer", "price", 5)
 

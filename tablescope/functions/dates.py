@@ -7,31 +7,58 @@ from pyspark.sql import functions as F
 
 from .text import strip
 
-# Accepted text forms of a date, in order of preference, each with the shape a
+DIGITS = "0123456789"
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SMALL = "abcdefghijklmnopqrstuvwxyz"
+
+
+def _shapes(*parts: str) -> list[str]:
+    """All outlines of a format: d stands for one or two digits."""
+    outlines = [""]
+    for part in parts:
+        choices = ["0", "00"] if part == "d" else [part]
+        outlines = [o + c for o in outlines for c in choices]
+    return outlines
+
+
+_DAY = ("0000", "-", "d", "-", "d")
+_CLOCK = ("d", ":", "d", ":", "d")
+
+# Accepted text forms of a date, in order of preference, each with the outlines a
 # value must have before it is parsed. All-digit values are numbers, never dates.
 DATE_FORMATS = [
-    ("yyyy-M-d", r"^\d{4}-\d{1,2}-\d{1,2}$"),
-    ("yyyy-M-d H:m:s[.SSSSSS]", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}([.]\d{6})?$"),
-    ("yyyy-M-d'T'H:m:s[.SSSSSS]", r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}([.]\d{6})?$"),
-    ("yyyy-M-d H:m", r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$"),
-    ("yyyy/M/d", r"^\d{4}/\d{1,2}/\d{1,2}$"),
-    ("M/d/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("d/M/yyyy", r"^\d{1,2}/\d{1,2}/\d{4}$"),
-    ("M-d-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d-M-yyyy", r"^\d{1,2}-\d{1,2}-\d{4}$"),
-    ("d.M.yyyy", r"^\d{1,2}[.]\d{1,2}[.]\d{4}$"),
-    ("d MMM yyyy", r"^\d{1,2} [A-Z][a-z]{2} \d{4}$"),
-    ("MMM d, yyyy", r"^[A-Z][a-z]{2} \d{1,2}, \d{4}$"),
-    ("MMM yyyy", r"^[A-Z][a-z]{2} \d{4}$"),
+    ("yyyy-M-d", _shapes(*_DAY)),
+    ("yyyy-M-d H:m:s[.SSSSSS]", _shapes(*_DAY, " ", *_CLOCK) + _shapes(*_DAY, " ", *_CLOCK, ".000000")),
+    ("yyyy-M-d'T'H:m:s[.SSSSSS]", _shapes(*_DAY, "A", *_CLOCK) + _shapes(*_DAY, "A", *_CLOCK, ".000000")),
+    ("yyyy-M-d H:m", _shapes(*_DAY, " ", "d", ":", "d")),
+    ("yyyy/M/d", _shapes("0000", "/", "d", "/", "d")),
+    ("M/d/yyyy", _shapes("d", "/", "d", "/", "0000")),
+    ("d/M/yyyy", _shapes("d", "/", "d", "/", "0000")),
+    ("M-d-yyyy", _shapes("d", "-", "d", "-", "0000")),
+    ("d-M-yyyy", _shapes("d", "-", "d", "-", "0000")),
+    ("d.M.yyyy", _shapes("d", ".", "d", ".", "0000")),
+    ("d MMM yyyy", _shapes("d", " Aaa 0000")),
+    ("MMM d, yyyy", _shapes("Aaa ", "d", ", 0000")),
+    ("MMM yyyy", _shapes("Aaa 0000")),
 ]
 
 
 def parse_date(c: Column, fmt: str) -> Column:
     """Text in one listed format to timestamp without time zone; everything else is NULL."""
-    shape = dict(DATE_FORMATS)[fmt]
     text = strip(c.cast("string"))
-    # The shape test comes first, so the parser seldom sees text it must refuse.
-    return F.try_to_timestamp(F.when(text.rlike(shape), text), F.lit(fmt)).cast("timestamp_ntz")
+    return parse_shaped_date(text, date_shape(text), fmt)
+
+
+def date_shape(text: Column) -> Column:
+    """The outline of a text: digits as 0, Latin letters as A and a. NULL unless some format has it."""
+    outline = F.translate(text, DIGITS + CAPITALS + SMALL, "0" * 10 + "A" * 26 + "a" * 26)
+    return F.when(outline.isin(sorted({s for _, shapes in DATE_FORMATS for s in shapes})), outline)
+
+
+def parse_shaped_date(text: Column, shape: Column, fmt: str) -> Column:
+    """``parse_date`` for stripped text whose shape is known. Text of another shape never meets the parser."""
+    shapes = dict(DATE_FORMATS)[fmt]
+    return F.try_to_timestamp(F.when(shape.isin(shapes), text), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def month_end(c: Column) -> Column:

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 # Patterns and vocabularies that decide how text is understood.
 NUMBER_PATTERN = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
-EDGE_SPACE_PATTERN = r"^(?U:\s+)|(?U:\s+)$"
+WHITE_SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 SYMBOL_PATTERN = r"(?U:[$,€£¥%\s])"
 NON_PRINTABLE_PATTERN = r"[^\x20-\x7E]"
 BOOLEAN_WORDS = ["yes", "no", "true", "false", "1", "0", "y", "n"]
@@ -17,7 +20,7 @@ FALSE_WORDS = ["no", "false", "0", "n", "f"]
 
 def strip(c: Column) -> Column:
     """Remove leading and trailing Unicode white space."""
-    return F.regexp_replace(c, EDGE_SPACE_PATTERN, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def parse_number(c: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.dates import DATE_FORMATS, parse_date
+from ..functions.dates import DATE_FORMATS, date_shape, parse_shaped_date
 from ..functions.numbers import DATE_TYPES, INTEGER_TYPES, NUMERIC_TYPES, blank_nan, quoted
 
 # Thresholds of the type decision.
@@ -53,13 +53,11 @@ def column_evidence(df: DataFrame) -> DataFrame:
     n, value = F.col("n"), F.col("value")
     is_text = F.col("column").isin(texts) if texts else F.lit(False)
     plain = F.col("plain")
-    pairs = value_pairs(df).select(
-        "column", "value", "n",
-        text.strip(value).alias("plain"),
-        F.when(is_text, text.parse_number(value)).alias("number"),
+    pairs = value_pairs(df).select("column", "value", "n", F.when(is_text, text.strip(value)).alias("plain")).select(
+        "*", F.when(is_text, text.parse_number(value)).alias("number"), date_shape(plain).alias("shape")
     )
     dates = [
-        F.coalesce(F.sum(F.when(parse_date(F.when(is_text, plain), fmt).isNotNull(), n)), F.lit(0)).alias(f"date{i}")
+        F.coalesce(F.sum(F.when(parse_shaped_date(plain, F.col("shape"), fmt).isNotNull(), n)), F.lit(0)).alias(f"date{i}")
         for i, (fmt, _) in enumerate(DATE_FORMATS)
     ]
 
@@ -75,8 +73,6 @@ def column_evidence(df: DataFrame) -> DataFrame:
         F.coalesce(F.every(F.col("number") == F.floor("number")), F.lit(False)).alias("whole_numbers"),
         rows_where(is_text & (value != plain)).alias("padded_count"),
         rows_where(is_text & text.has_non_printable(value)).alias("special_count"),
-        F.count_distinct(F.when(is_text, plain)).alias("plain_labels"),
-        F.count_distinct(F.when(is_text, F.lower(plain))).alias("folded_labels"),
         *dates,
     )
     columns = df.sparkSession.createDataFrame(
@@ -112,6 +108,17 @@ def _decide() -> dict:
     return {"date_count": best, "date_format": chosen, "inferred_type": kind}
 
 
+def label_variants(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``column, plain_labels, folded_labels``: distinct stripped values, and those regardless of case.
+
+    Meant for the columns found to be categories or truth values, whose distinct values are few.
+    """
+    plain = text.strip(F.col("value"))
+    labels = value_pairs(df, columns).where("value is not null").select("column", plain.alias("label")).distinct()
+    folded = labels.groupBy("column", F.lower("label").alias("folded")).agg(F.count(F.lit(1)).alias("spellings"))
+    return folded.groupBy("column").agg(F.sum("spellings").alias("plain_labels"), F.count(F.lit(1)).alias("folded_labels"))
+
+
 def infer_types(df: DataFrame) -> DataFrame:
     """``column, raw_type, label, inferred_type`` and the counts behind the decision."""
     return column_evidence(df).select(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import blank_nan, percent, quoted
 from ..functions.text import parse_number
-from .evidence import column_evidence, value_pairs
+from .evidence import column_evidence, label_variants, value_pairs
 from .stats import SUMMARY_SCHEMA, numeric_summary
 
 
@@ -43,8 +43,8 @@ def completeness(df: DataFrame) -> DataFrame:
 def profile_columns(df: DataFrame) -> DataFrame:
     """One row per column: evidence, inferred type and, for numeric columns, statistics.
 
-    The passes do not depend on the number of columns: evidence, a rank sketch, the ranks, the
-    moments. Only these per-column records come to the driver, where the inferred types choose
+    The passes do not depend on the number of columns: evidence, spellings of the category
+    columns, and for the numeric ones a rank sketch, the ranks and the moments. Only these per-column records come to the driver, where the inferred types choose
     which columns get statistics; the returned frame is built from them and costs nothing to reuse.
     """
     spark = df.sparkSession
@@ -58,10 +58,15 @@ def profile_columns(df: DataFrame) -> DataFrame:
     order = [f.split()[0] for f in SUMMARY_SCHEMA.split(", ")]
     stats = spark.createDataFrame([tuple(s[k] for k in order) for s in summaries], SUMMARY_SCHEMA)
     facts = spark.createDataFrame(rows, evidence.schema)
+    labelled = [r["column"] for r in rows if r["label"] == "string" and r["inferred_type"] in ("categorical", "boolean")]
+    spellings = label_variants(df, labelled).collect() if labelled else []
+    variants = spark.createDataFrame(spellings, "column string, plain_labels long, folded_labels long")
     total, missing = F.col("rows"), F.col("missing_count")
     distinct_with_null = F.col("unique_count") + F.when(missing > 0, 1).otherwise(0)
-    return facts.join(F.broadcast(stats), "column", "left").select(
+    joined = facts.join(F.broadcast(stats), "column", "left").join(F.broadcast(variants), "column", "left")
+    return joined.select(
         *facts.columns,
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("plain_labels", "folded_labels")],
         F.coalesce(percent(missing, total), F.lit(0.0)).alias("missing_pct"),
         F.coalesce(percent(total - missing, total), F.lit(0.0)).alias("completeness_pct"),
         (distinct_with_null <= 1).alias("is_constant"),

@@ -42,7 +42,7 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column]) -> list[dict]:
         if summary.count == 0:
             continue
         present.append((i, name, summary))
-        x = c.cast("double")
+        x = F.col(f"x{i}")
         loose = fences(summary.quantiles[0.25], summary.quantiles[0.75], guard=False)
         made += [
             F.avg(x).alias(f"mean{i}"),
@@ -50,7 +50,9 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column]) -> list[dict]:
             adjusted_skew(x).alias(f"skew{i}"),
             F.count_if(outside(x, loose)).alias(f"out{i}"),
         ]
-    row = df.agg(*made).first() if made else None
+    # The columns are computed once per row, then shared by their aggregates.
+    slim = df.select(*[columns[name].cast("double").alias(f"x{i}") for i, name, _ in present])
+    row = slim.agg(*made).first() if made else None
     return [
         {
             "column": name,

@@ -92,7 +92,10 @@ def infer_column_types(df: DataFrame) -> DataFrame:
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """Header, no index, missing values empty; one file per partition."""
-    df.write.mode("errorifexists").options(header=True, encoding=encoding, quote='"', escape='"', emptyValue="").csv(path)
+    df.write.mode("errorifexists").options(
+        header=True, encoding=encoding, quote='"', escape='"', emptyValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    ).csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
