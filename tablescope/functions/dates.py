@@ -51,7 +51,9 @@ def parse_date(c: Column, fmt: str) -> Column:
 
 def date_shape(text: Column) -> Column:
     """The outline of a text: digits as 0, Latin letters as A and a. NULL unless some format has it."""
-    outline = F.translate(text, DIGITS + CAPITALS + SMALL, "0" * 10 + "A" * 26 + "a" * 26)
+    # Numbers and prose are refused by their first characters, before the dearer outline is made.
+    likely = F.length(text).between(8, 26) & text.rlike("^[0-9A-Z][0-9a-z]{0,3}[-/ ]|^[0-9]{1,2}[.][0-9]{1,2}[.]")
+    outline = F.when(likely, F.translate(text, DIGITS + CAPITALS + SMALL, "0" * 10 + "A" * 26 + "a" * 26))
     return F.when(outline.isin(sorted({s for _, shapes in DATE_FORMATS for s in shapes})), outline)
 
 
