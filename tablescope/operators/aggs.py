@@ -94,6 +94,11 @@ def with_share(grouped: DataFrame, name: str = "share_pct", places: int = 1) ->
     return grouped.withColumn(name, percent(F.col("value"), whole, places))
 
 
+def with_shown_share(top: DataFrame, name: str = "share_pct") -> DataFrame:
+    """Add each value's percentage of the shown rows, for a frame already limited to a handful of rows."""
+    return top.withColumn(name, percent(F.col("value"), F.sum(F.col("value").cast("double")).over(Window.partitionBy())))
+
+
 def top_share(df: DataFrame, group: str, value: str, n: int = 5) -> DataFrame:
     """One row: sum of the top ``n`` groups, of all groups, and the percentage."""
     grouped = by_group(df, group, value)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import blank_nan, percent, quoted
 from .filters import Filter, apply_filter
 from .roles import Roles
-from .timeseries import latest_delta, monthly
+from .timeseries import changes, monthly
 
 
 def role_totals(df: DataFrame, roles: Roles) -> DataFrame:
@@ -127,8 +127,7 @@ def insight_cards(df: DataFrame, roles: Roles) -> DataFrame:
     shown = facts.select(F.inline(F.array(*cards)))
     if not (roles.date and roles.sales):
         return shown
-    series = monthly(df, roles.date, roles.sales)
-    change = latest_delta(series).where(series.agg(F.count(F.lit(1))).scalar() >= 2).select(
-        F.lit("latest_trend").alias("card"), F.col("direction").alias("label"), F.col("delta").alias("value"), nothing.alias("extra")
+    change = changes(monthly(df, roles.date, roles.sales)).where("age = 1 and change is not null").select(
+        F.lit("latest_trend").alias("card"), F.col("direction").alias("label"), F.col("change").alias("value"), nothing.alias("extra")
     )
     return shown.unionByName(change)

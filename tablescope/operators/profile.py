@@ -12,16 +12,23 @@ from .stats import SUMMARY_SCHEMA, numeric_summary
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
-    """One row ``rows, duplicate_rows``; missing values count as equal.
+    """One row ``rows, duplicate_rows``; missing values count as equal."""
+    return _row_facts(df).select("rows", "duplicate_rows")
+
+
+def _row_facts(df: DataFrame) -> DataFrame:
+    """One row: rows, duplicate rows, missing cells, from one scan.
 
     Equal rows meet through one partially aggregated shuffle, so a row copied very often is
     counted where it lies and does not fill one task.
     """
     frame = blank_nan(df)
     copies = frame.groupBy(*[quoted(c) for c in frame.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    gaps = sum((quoted(c).isNull().cast("long") for c in frame.columns), F.lit(0).cast("long"))
     return copies.agg(
         F.coalesce(F.sum("__copies"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum("__copies") - F.count(F.lit(1)), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(gaps * F.col("__copies")), F.lit(0)).alias("total_missing"),
     )
 
 
@@ -87,19 +94,18 @@ PROFILE_COLUMNS = [
 
 def profile_dataset(df: DataFrame) -> DataFrame:
     """One row: rows, columns, duplicate rows, missing cells."""
-    dup = duplicate_rows(df)
-    missing = completeness(df).select("missing_cells").scalar()
-    return dup.select("rows", F.lit(len(df.columns)).cast("long").alias("columns"), "duplicate_rows", missing.alias("total_missing"))
+    width = F.lit(len(df.columns)).cast("long")
+    return _row_facts(df).select("rows", width.alias("columns"), "duplicate_rows", "total_missing")
 
 
 def column_summary(df: DataFrame) -> DataFrame:
     """Missing, distinct and complete figures per column and its three smallest values as text."""
     pairs = value_pairs(df)
-    # Per column only the three smallest values are kept; the window prunes before it shuffles.
+    # Per column only the three smallest values are kept; the window prunes before it shuffles. Both
+    # branches read the same counted pairs, whose shuffle Spark then makes once.
     smallest = (
-        pairs.where("value is not null")
-        .withColumn("at", F.row_number().over(Window.partitionBy("column").orderBy("value")))
-        .where("at <= 3")
+        pairs.withColumn("at", F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("value"))))
+        .where("at <= 3 and n > 0")
         .groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("sample"))
     )
     counted = pairs.groupBy("column").agg(

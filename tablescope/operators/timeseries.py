@@ -24,10 +24,14 @@ def monthly(df: DataFrame, day: str, value: str) -> DataFrame:
         .groupBy(month_end(quoted(day)).alias("month"))
         .agg(total(quoted(value)).alias("made"))
     )
-    spine = sums.agg(F.trunc(F.min("month"), "month").alias("a"), F.trunc(F.max("month"), "month").alias("z")).select(
-        F.explode(F.sequence("a", "z", F.expr("interval 1 month"))).alias("start")
-    ).select(F.last_day("start").alias("month"))
-    return spine.join(sums, "month", "left").select("month", F.coalesce("made", F.lit(0.0)).alias("revenue"))
+    # Each month also stands for the empty months up to the next one, so the table is read only once.
+    start = F.trunc("month", "month")
+    until = F.coalesce(F.add_months(F.trunc(F.lead("month").over(by_month()), "month"), -1), start)
+    spans = sums.select("month", "made", F.sequence(start, until, F.expr("interval 1 month")).alias("starts"))
+    filled = spans.select("month", "made", F.explode("starts").alias("start")).withColumn("end", F.last_day("start"))
+    return filled.select(
+        F.col("end").alias("month"), F.when(F.col("end") == F.col("month"), F.col("made")).otherwise(0.0).alias("revenue")
+    )
 
 
 def moving_average(series: DataFrame, months: int = 3) -> DataFrame:
@@ -45,13 +49,21 @@ def trend(df: DataFrame, day: str, value: str) -> DataFrame:
     return growth(moving_average(monthly(df, day, value)))
 
 
+def changes(series: DataFrame) -> DataFrame:
+    """Add ``change`` on the month before (NULL for the first), ``direction``, and the place from either end."""
+    change = F.col("revenue") - F.lag("revenue").over(by_month())
+    return series.select(
+        "month", "revenue", change.alias("change"),
+        F.when(change > 0, "up").otherwise("down").alias("direction"),
+        F.row_number().over(by_month()).alias("place"),
+        F.row_number().over(Window.orderBy(F.desc("month"))).alias("age"),
+    )
+
+
 def latest_delta(series: DataFrame) -> DataFrame:
-    """One row: last month, its revenue, change on the month before and direction."""
-    delta = F.coalesce(F.col("revenue") - F.lag("revenue").over(by_month()), F.lit(0.0))
-    return (
-        series.withColumn("delta", delta)
-        .orderBy(F.desc("month")).limit(1)
-        .withColumn("direction", F.when(F.col("delta") > 0, "up").otherwise("down"))
+    """One row: last month, its revenue, change on the month before (0 without one) and direction."""
+    return changes(series).where("age = 1").select(
+        "month", "revenue", F.coalesce("change", F.lit(0.0)).alias("delta"), "direction"
     )
 
 
@@ -65,9 +77,14 @@ def last_months(series: DataFrame, n: int = 6) -> DataFrame:
 
 def peak_and_trough(series: DataFrame) -> DataFrame:
     """First month of the highest and of the lowest revenue: ``kind, month, revenue``."""
-    high = series.orderBy(F.desc("revenue"), F.asc("month")).limit(1).select(F.lit("peak").alias("kind"), "month", "revenue")
-    low = series.orderBy(F.asc("revenue"), F.asc("month")).limit(1).select(F.lit("trough").alias("kind"), "month", "revenue")
-    return high.unionByName(low)
+    ends = series.agg(
+        F.min(F.struct((-F.col("revenue")).alias("score"), "month", "revenue")).alias("high"),
+        F.min(F.struct(F.col("revenue").alias("score"), "month", "revenue")).alias("low"),
+    ).where("high is not null")
+    return ends.select(F.inline(F.array(*[
+        F.struct(F.lit(kind).alias("kind"), F.col(f"{end}.month").alias("month"), F.col(f"{end}.revenue").alias("revenue"))
+        for kind, end in (("peak", "high"), ("trough", "low"))
+    ])))
 
 
 def forecast(series: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
+from ..functions.dates import month_label
 from ..functions.numbers import quoted, total
 from ..functions.quantiles import kth_largest
 from ..operators import aggs, stats, timeseries
@@ -87,12 +88,12 @@ def correlation(df, r: Roles, columns: list[str] | None = None):
 
 def sales_trend(df, r: Roles):
     """The last six months, then the change of the last one with its direction."""
-    series = timeseries.monthly(df, r.date, r.sales)
-    recent = timeseries.last_months(series, 6)
-    place = F.row_number().over(timeseries.by_month())
-    months = _shape(recent, place, F.col("label"), F.col("revenue"))
-    change = _shape(timeseries.latest_delta(series), F.lit(7), F.col("direction"), F.col("delta"))
-    return months.unionByName(change)
+    recent = timeseries.changes(timeseries.monthly(df, r.date, r.sales)).where("age <= 6")
+    shown = F.least(F.col("place") + F.col("age") - 1, F.lit(6))
+    month = F.struct((shown - F.col("age") + 1).alias("rank"), month_label(F.col("month")).alias("label"), F.col("revenue").alias("value"))
+    change = F.struct(F.lit(7).alias("rank"), F.col("direction").alias("label"), F.coalesce("change", F.lit(0.0)).alias("value"))
+    rows = recent.select(F.inline(F.array_compact(F.array(month, F.when(F.col("age") == 1, change)))))
+    return _shape(rows, F.col("rank"), F.col("label"), F.col("value"))
 
 
 def declining_region(df, r: Roles):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numeric_columns, percent, quoted
@@ -32,8 +32,7 @@ def top_bars(df: DataFrame, group: str, value: str | None, n: int = 10, ascendin
 
 def pie(df: DataFrame, group: str, value: str, n: int = 8) -> DataFrame:
     """``rank, key, value, share_pct``: top groups with their share of the shown groups."""
-    shown = aggs.ranked(aggs.top_groups(df, group, value, n=n))
-    return aggs.with_share(shown)
+    return aggs.with_shown_share(aggs.ranked(aggs.top_groups(df, group, value, n=n)))
 
 
 def average_bars(df: DataFrame, group: str, value: str, n: int = 15) -> DataFrame:
@@ -45,13 +44,13 @@ def frequency_bars(df: DataFrame, group: str, n: int = 15) -> DataFrame:
 
 
 def frequency_pie(df: DataFrame, group: str, n: int = 10) -> DataFrame:
-    return aggs.with_share(frequency_bars(df, group, n))
+    return aggs.with_shown_share(frequency_bars(df, group, n))
 
 
 def funnel(df: DataFrame, group: str, value: str, n: int = 8) -> DataFrame:
     """``rank, key, value, pct_of_first``."""
     steps = aggs.ranked(aggs.top_groups(df, group, value, n=n))
-    return steps.withColumn("pct_of_first", percent(F.col("value"), steps.agg(F.max("value")).scalar()))
+    return steps.withColumn("pct_of_first", percent(F.col("value"), F.max("value").over(Window.partitionBy())))
 
 
 def region_share(df: DataFrame, r: Roles) -> DataFrame:

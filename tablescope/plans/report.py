@@ -5,7 +5,7 @@ Sections with several parts come as ``part, rank, label, value, extra``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -91,19 +91,29 @@ def regions(df: DataFrame, r: Roles) -> DataFrame:
 
 def trends(df: DataFrame, r: Roles) -> DataFrame:
     """Peak, trough, last change with its direction, and the first 14 months."""
-    series = timeseries.monthly(df, r.date, r.sales)
-    edges = timeseries.peak_and_trough(series)
-    name = lambda fmt: F.date_format("month", fmt)
-    out = edges.select(
-        F.col("kind").alias("part"), F.lit(None).cast("long").alias("rank"), name("MMMM yyyy").alias("label"),
-        F.col("revenue").alias("value"), F.lit(None).cast("double").alias("extra"),
-    )
-    change = timeseries.latest_delta(series).where(series.agg(F.count(F.lit(1))).scalar() >= 2)
-    out = out.unionByName(_part("change", _shape(change, F.lit(None), F.col("direction"), F.col("delta"))))
-    first = series.orderBy("month").limit(14)
-    return out.unionByName(
-        _part("months", _shape(first, F.row_number().over(timeseries.by_month()), name("MMM yyyy"), F.col("revenue")))
+    months = timeseries.changes(timeseries.monthly(df, r.date, r.sales))
+    # One row per month: windows over all of them are small, and one reading of the table serves all parts.
+    everywhere = Window.partitionBy()
+    high = F.min(F.struct((-F.col("revenue")).alias("score"), "month")).over(everywhere)["month"]
+    low = F.min(F.struct(F.col("revenue").alias("score"), "month")).over(everywhere)["month"]
+    marked = months.withColumn("high", high).withColumn("low", low)
+
+    def row(when, name, rank, label, value):
+        cells = F.struct(
+            F.lit(name).alias("part"), rank.cast("long").alias("rank"), label.alias("label"), value.alias("value"),
+            F.lit(None).cast("double").alias("extra"),
+        )
+        return F.when(when, cells)
+
+    c, none = F.col, F.lit(None)
+    long_name, short_name = F.date_format("month", "MMMM yyyy"), F.date_format("month", "MMM yyyy")
+    parts = F.array(
+        row(c("month") == c("high"), "peak", none, long_name, c("revenue")),
+        row(c("month") == c("low"), "trough", none, long_name, c("revenue")),
+        row((c("age") == 1) & c("change").isNotNull(), "change", none, c("direction"), c("change")),
+        row(c("place") <= 14, "months", c("place"), short_name, c("revenue")),
     )
+    return marked.select(F.inline(F.array_compact(parts)))
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:

@@ -30,7 +30,7 @@ def sales(spark: SparkSession, folder: str, money: bool = True) -> DataFrame:
     price = F.col("l_extendedprice")
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     buyer = customer.join(place, F.col("c_nationkey") == F.col("n_nationkey"))
-    line = spread(line, "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    line = spread(line, "l_orderkey")
     return (
         line.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders.join(buyer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
