@@ -54,13 +54,18 @@ def date_shape(text: Column) -> Column:
     # Numbers and prose are refused by their first characters, before the dearer outline is made.
     likely = F.length(text).between(8, 26) & text.rlike("^[0-9A-Z][0-9a-z]{0,3}[-/ ]|^[0-9]{1,2}[.][0-9]{1,2}[.]")
     outline = F.when(likely, F.translate(text, DIGITS + CAPITALS + SMALL, "0" * 10 + "A" * 26 + "a" * 26))
-    return F.when(outline.isin(sorted({s for _, shapes in DATE_FORMATS for s in shapes})), outline)
+    return F.when(_one_of(outline, sorted({s for _, shapes in DATE_FORMATS for s in shapes})), outline)
+
+
+def _one_of(c: Column, values: list[str]) -> Column:
+    """Membership in a constant list, which is parsed as one literal instead of many."""
+    return F.array_contains(F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")"), c)
 
 
 def parse_shaped_date(text: Column, shape: Column, fmt: str) -> Column:
     """``parse_date`` for stripped text whose shape is known. Text of another shape never meets the parser."""
     shapes = dict(DATE_FORMATS)[fmt]
-    return F.try_to_timestamp(F.when(shape.isin(shapes), text), F.lit(fmt)).cast("timestamp_ntz")
+    return F.try_to_timestamp(F.when(_one_of(shape, shapes), text), F.lit(fmt)).cast("timestamp_ntz")
 
 
 def month_end(c: Column) -> Column:
