@@ -1,10 +1,13 @@
 """Exact quantiles that never gather a whole column in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one reducer. Here a bounded sketch
-first brackets the wanted ranks; a later pass counts the rows below the bracket and gathers only
+Spark's ``percentile`` keeps every distinct value of a group in one reducer. Here bounded sketches
+first bracket the wanted ranks; a later pass counts the rows below the bracket and gathers only
 the few rows inside it. Brackets are narrowed, one pass each, until they hold at most
 ``GATHER_LIMIT`` rows, so memory stays bounded whatever the table size and the result stays exact.
 Every rank is checked against the counts before it is used.
+
+Sketches are merged per share of the input partitions, so no single task merges those of the whole
+table; the driver joins the few grids of quantiles that come back.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +26,8 @@ GATHER_LIMIT = 50_000
 SKETCH_ACCURACY = 10_000
 GRID_STEPS = 1_000
 MAX_GROUPS = 200
+SHARES = 64
+SHARES_PER_GROUP = 4
 
 
 @dataclass
@@ -59,7 +65,7 @@ def quantiles(
             at = p * (count - 1)
             yield p, math.floor(at), math.ceil(at)
 
-    summaries, ranks = _order_statistics(df, columns, list(probs), wanted, by)
+    summaries, ranks = _order_statistics(df, columns, wanted, by)
     for key, summary in summaries.items():
         for p in probs:
             pair = ranks.get((key, p))
@@ -78,7 +84,7 @@ def kth_largest(df: DataFrame, value: Column, k: int) -> float | None:
         return None
     rank = count - k
     share = rank / max(count - 1, 1)
-    _, ranks = _order_statistics(df, {"value": value}, [share], lambda _: [(share, rank, rank)], None)
+    _, ranks = _order_statistics(df, {"value": value}, lambda _: [(share, rank, rank)], None)
     return ranks[((None, "value"), share)][0]
 
 
@@ -86,7 +92,7 @@ def _interpolate(a: float, b: float, t: float) -> float:
     return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
 
 
-def _order_statistics(df, columns, probs, wanted, by):
+def _order_statistics(df, columns, wanted, by):
     names = list(columns)
     slim = df.select(
         *([quoted(by).alias("g")] if by else []),
@@ -94,93 +100,162 @@ def _order_statistics(df, columns, probs, wanted, by):
     )
     if by:
         slim = slim.where(F.col("g").isNotNull())
-    margin = 3 / SKETCH_ACCURACY
-    summaries, targets = {}, {}
-    for row in _group(slim, by).agg(*_sketch_columns(len(names), probs, margin)).collect():
+    summaries, targets, grids = {}, {}, {}
+    for row in _shares(slim, by).agg(*_sketch_columns(len(names))).collect():
         group = row["g"] if by else None
         if len(summaries) > MAX_GROUPS * len(names):
             raise ValueError(f"more than {MAX_GROUPS} groups in {by!r}")
         for i, name in enumerate(names):
-            key = (group, name)
-            n = row[f"n{i}"]
-            summaries[key] = ColumnSummary(n, row[f"lo{i}"], row[f"hi{i}"])
-            if n == 0:
-                continue
-            for j, (p, first, last) in enumerate(wanted(n)):
-                if n <= GATHER_LIMIT:
-                    low, high, interior = row[f"lo{i}"], row[f"hi{i}"], n
-                else:
-                    low, high = row[f"q{i}"][2 * j], row[f"q{i}"][2 * j + 1]
-                    low = row[f"lo{i}"] if p <= margin else low
-                    high = row[f"hi{i}"] if p >= 1 - margin else high
-                    interior = n * (2 * margin + 2 / SKETCH_ACCURACY) + 2
-                targets[(key, p)] = _Target(low, high, interior, first, last)
-    while any(t.found is None for t in targets.values()):
-        _narrow(slim, by, names, summaries, targets)
+            summary = summaries.setdefault((group, name), ColumnSummary())
+            grid = grids.setdefault((group, name), _Grid())
+            if row[f"n{i}"]:
+                summary.count += row[f"n{i}"]
+                summary.low = row[f"lo{i}"] if summary.low is None else min(summary.low, row[f"lo{i}"])
+                summary.high = row[f"hi{i}"] if summary.high is None else max(summary.high, row[f"hi{i}"])
+                grid.add(row[f"q{i}"], row[f"n{i}"])
+    if not by:
+        for name in names:
+            summaries.setdefault((None, name), ColumnSummary())
+    for key, summary in summaries.items():
+        if summary.count:
+            for p, first, last in wanted(summary.count):
+                target = _Target(summary.low, summary.high, summary.count, first, last)
+                if summary.count > GATHER_LIMIT:
+                    grids[key].tighten(target, 0)
+                targets[(key, p)] = target
+    while open_targets := {k: t for k, t in targets.items() if t.found is None}:
+        large = {k: t for k, t in open_targets.items() if t.interior > GATHER_LIMIT}
+        if large:
+            _refine(slim, by, names, summaries, large)
+        else:
+            _gather(slim, by, names, summaries, open_targets)
     return summaries, {k: t.found for k, t in targets.items()}
 
 
+class _Grid:
+    """Quantile grids of several shares of the rows, seen as one weighted list of values."""
+
+    def __init__(self):
+        self.values, self.weights, self.rows = [], [], 0
+
+    def add(self, grid, rows: int) -> None:
+        self.values.append(np.asarray(grid[1:], dtype=float))
+        self.weights.append(np.full(GRID_STEPS, rows / GRID_STEPS))
+        self.rows += rows
+
+    def tighten(self, target: _Target, before: int) -> None:
+        """Move a bracket around the wanted ranks; ``before`` rows lie ahead of the rows of this grid."""
+        values, weights = np.concatenate(self.values), np.concatenate(self.weights)
+        order = np.argsort(values, kind="stable")
+        values, reached = values[order], np.cumsum(weights[order])
+        slack = self.rows * (1 / GRID_STEPS + 2 / SKETCH_ACCURACY) + 2
+        left, right = target.first - before - slack, target.last + 1 - before + slack
+        if left > 0:
+            target.low = float(values[min(np.searchsorted(reached, left), len(values) - 1)])
+        if right < self.rows:
+            target.high = float(values[min(np.searchsorted(reached, right), len(values) - 1)])
+        target.interior = min(self.rows, 4 * slack + target.last - target.first)
+
+
 def _group(slim: DataFrame, by):
     return slim.groupBy("g") if by else slim.groupBy()
 
 
-def _sketch_columns(width: int, probs: list[float], margin: float) -> list[Column]:
-    marks = [m for p in probs for m in (max(p - margin, 0.0), min(p + margin, 1.0))]
+def _shares(slim: DataFrame, by):
+    """Group by share of the input partitions (and group): what a share holds does not matter."""
+    share = F.pmod(F.spark_partition_id(), F.lit(SHARES_PER_GROUP if by else SHARES)).alias("share")
+    return slim.groupBy("g", share) if by else slim.groupBy(share)
+
+
+def _fractions() -> list[float]:
+    return [s / GRID_STEPS for s in range(GRID_STEPS + 1)]
+
+
+def _sketch_columns(width: int) -> list[Column]:
     out = []
     for i in range(width):
         x = F.col(f"x{i}")
         out += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        out.append(F.percentile_approx(x, marks, SKETCH_ACCURACY).alias(f"q{i}"))
+        out.append(F.percentile_approx(x, _fractions(), SKETCH_ACCURACY).alias(f"q{i}"))
     return out
 
 
-def _narrow(slim, by, names, summaries, targets) -> None:
-    """One pass over the data for all open targets."""
-    open_targets = {k: t for k, t in targets.items() if t.found is None}
+def _counts(x: Column, low: Column, high: Column, s: int) -> tuple[Column, list[Column]]:
+    """The values strictly inside a bracket, and the four counts that place them."""
+    inside = F.when((x > low) & (x < high), x)
+    return inside, [
+        F.count_if(x < low).alias(f"below{s}"),
+        F.count_if(x == low).alias(f"atlow{s}"),
+        F.count(inside).alias(f"in{s}"),
+        F.count_if((x == high) & (high > low)).alias(f"athigh{s}"),
+    ]
+
+
+def _holds(target: _Target, below, at_low, inside, at_high) -> bool:
+    return below <= target.first and target.last < below + at_low + inside + at_high
+
+
+def _refine(slim, by, names, summaries, open_targets) -> None:
+    """One pass that narrows large brackets."""
     slots = sorted({(key[1], p) for key, p in open_targets})
-    brackets = _brackets(slim, by, open_targets, slots)
-    frame = slim.join(F.broadcast(brackets), "g") if by else slim
-    grid = [s / GRID_STEPS for s in range(GRID_STEPS + 1)]
-    gathered, plan = set(), []
+    frame = slim.join(F.broadcast(_brackets(slim, by, open_targets, slots)), "g") if by else slim
+    plan = []
     for s, slot in enumerate(slots):
-        x = F.col(f"x{names.index(slot[0])}")
         low, high = (_bound(what, s, by, open_targets, slot) for what in ("low", "high"))
-        inside = F.when((x > low) & (x < high), x)
-        plan += [
-            F.count_if(x < low).alias(f"below{s}"),
-            F.count_if(x == low).alias(f"atlow{s}"),
-            F.count(inside).alias(f"in{s}"),
-            F.count_if((x == high) & (high > low)).alias(f"athigh{s}"),
-        ]
-        if all(t.interior <= GATHER_LIMIT for (key, p), t in open_targets.items() if (key[1], p) == slot):
-            gathered.add(s)
-            plan.append(F.sort_array(F.collect_list(inside)).alias(f"values{s}"))
+        inside, counts = _counts(F.col(f"x{names.index(slot[0])}"), low, high, s)
+        plan += [*counts, F.percentile_approx(inside, _fractions(), SKETCH_ACCURACY).alias(f"grid{s}")]
+    places, grids = {}, {}
+    for row in _shares(frame, by).agg(*plan).collect():
+        group = row["g"] if by else None
+        for s, (name, p) in enumerate(slots):
+            key = ((group, name), p)
+            place = places.setdefault(key, [0, 0, 0, 0])
+            for i, what in enumerate(("below", "atlow", "in", "athigh")):
+                place[i] += row[f"{what}{s}"]
+            if row[f"in{s}"]:
+                grids.setdefault(key, _Grid()).add(row[f"grid{s}"], row[f"in{s}"])
+    for key, target in open_targets.items():
+        below, at_low, inside, at_high = places[key]
+        if not _holds(target, below, at_low, inside, at_high):
+            _widen(target, summaries[key[0]])
+        elif target.last < below + at_low:
+            target.high, target.interior = target.low, 0
+        elif target.first >= below + at_low + inside:
+            target.low, target.interior = target.high, 0
         else:
-            plan.append(F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias(f"grid{s}"))
+            grids[key].tighten(target, below + at_low)
+
+
+def _widen(target: _Target, summary: ColumnSummary) -> None:
+    target.low, target.high, target.interior = summary.low, summary.high, summary.count
+
+
+def _gather(slim, by, names, summaries, open_targets) -> None:
+    """One pass that reads the wanted ranks out of small brackets."""
+    slots = sorted({(key[1], p) for key, p in open_targets})
+    brackets = _brackets(slim, by, open_targets, slots)
+    frame = slim.join(F.broadcast(brackets), "g") if by else slim
+    plan, picks, kept = [], [], ["g"] if by else []
+    for s, slot in enumerate(slots):
+        low, high, first, last = (_bound(what, s, by, open_targets, slot) for what in ("low", "high", "first", "last"))
+        inside, counts = _counts(F.col(f"x{names.index(slot[0])}"), low, high, s)
+        plan += [*counts, F.sort_array(F.collect_list(inside)).alias(f"values{s}")]
+        kept += [f"{what}{s}" for what in ("below", "atlow", "in", "athigh")]
+        picks += [_pick(s, first, low, high).alias(f"picked_first{s}"), _pick(s, last, low, high).alias(f"picked_last{s}")]
     counted = _group(frame, by).agg(*plan)
     if by:
         counted = counted.join(F.broadcast(brackets), "g")
     # Only the wanted values leave the cluster, not the gathered rows.
-    kept = [c for c in counted.columns if not c.startswith("values")]
-    picks = []
-    for s in sorted(gathered):
-        low, high = (_bound(what, s, by, open_targets, slots[s]) for what in ("low", "high"))
-        for what in ("first", "last"):
-            picks.append(_pick(s, _bound(what, s, by, open_targets, slots[s]), low, high).alias(f"picked_{what}{s}"))
     for row in counted.select(*kept, *picks).collect():
         group = row["g"] if by else None
         for s, (name, p) in enumerate(slots):
             target = open_targets.get(((group, name), p))
             if target is None:
                 continue
-            below, at_low, inside, at_high = (row[f"{w}{s}"] for w in ("below", "atlow", "in", "athigh"))
-            if target.first < below or target.last >= below + at_low + inside + at_high:
-                summary = summaries[(group, name)]
-                target.low, target.high, target.interior = summary.low, summary.high, summary.count
-            elif s in gathered:
+            if _holds(target, *(row[f"{what}{s}"] for what in ("below", "atlow", "in", "athigh"))):
                 target.found = (row[f"picked_first{s}"], row[f"picked_last{s}"])
             else:
-                _tighten(target, row[f"grid{s}"], below, at_low, inside)
+                _widen(target, summaries[(group, name)])
 
 
 def _brackets(slim, by, open_targets, slots):
@@ -214,21 +289,3 @@ def _pick(s: int, rank: Column, low: Column, high: Column) -> Column:
         .when(inner < F.col(f"in{s}"), F.try_element_at(F.col(f"values{s}"), (inner + 1).cast("int")))
         .otherwise(high)
     )
-
-
-def _tighten(target: _Target, grid, below, at_low, inside) -> None:
-    """Move the bracket to the grid points around the wanted ranks."""
-    if target.last < below + at_low:
-        target.high, target.interior = target.low, 0
-        return
-    if target.first >= below + at_low + inside:
-        target.low, target.interior = target.high, 0
-        return
-    slack = GRID_STEPS / SKETCH_ACCURACY + 1
-    left = math.floor((target.first - below - at_low) / inside * GRID_STEPS - slack)
-    right = math.ceil((target.last + 1 - below - at_low) / inside * GRID_STEPS + slack)
-    if left >= 0:
-        target.low = grid[left]
-    if right <= GRID_STEPS:
-        target.high = grid[right]
-    target.interior = inside * ((right - left) / GRID_STEPS + 2 / SKETCH_ACCURACY) + 2
