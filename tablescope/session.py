@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,30 +21,25 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8) -> SparkSession
     )
 
 
-def can_checkpoint(spark: SparkSession) -> bool:
-    """True when a checkpoint folder is known.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data, set on the context.
 
-    A cluster names its shared folder in ``spark.checkpoint.dir``. Only a local session without
-    one gets a temporary folder, because there driver and executors are one machine.
+    A cluster names it in ``spark.checkpoint.dir``. Where that is unset, a folder below the
+    warehouse serves, because every executor reaches the warehouse too.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return True
-    shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and sc.master.startswith("local"):
-        shared = tempfile.mkdtemp(prefix="tablescope-checkpoint-")
-    if shared:
-        sc.setCheckpointDir(shared)
-    return bool(shared)
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        sc.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate")
+    return sc.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder; without one the plan stays lazy."""
-    return df.checkpoint() if can_checkpoint(df.sparkSession) else df
+    """Write ``df`` to the shared checkpoint folder and go on from there."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the checkpoint folder, which all executors can reach."""
-    if not can_checkpoint(spark):
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
