@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, quality, shards, warc
+from . import entropy, fingerprints, language, quality, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -41,3 +41,16 @@ def op8_warc_revisits(spark, folder):
 @register
 def op10_secret_scan(spark, folder):
     return entropy.scan_documents(table(spark, folder, "documents"))
+
+
+@register
+def op5_prefix_fingerprints(spark, folder):
+    return fingerprints.fingerprint_documents(table(spark, folder, "documents"))
+
+
+@register
+def op9_string_kernel_language(spark, folder):
+    docs = table(spark, folder, "documents")
+    third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    found = language.identify(docs, third != 1)
+    return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

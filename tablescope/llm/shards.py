@@ -32,9 +32,9 @@ def shard_by_bytes(docs: DataFrame, shards: int = 8, key: str = "doc_id", text:
     order = [F.col("_key").asc_nulls_first(), F.col("_size"), F.col("_crc"), F.col("_row")]
     ranged = dealt(slim, order, "shard-ranges")
     placed = prefix_sums(ranged, order, {"_end": F.col("_size"), "_rank": F.lit(1).cast("bigint")})
-    total = ranged.agg(F.sum("_size").alias("_total"))
+    total = ranged.agg(F.sum("_size")).first()[0] or 1
     # Twice the middle of the document against twice the total: whole numbers only.
-    cut = placed.join(F.broadcast(total)).withColumn("_shard", F.expr(f"((2 * _end - _size) * {int(shards)}) div (2 * _total)").cast("int"))
+    cut = placed.withColumn("_shard", F.expr(f"((2 * _end - _size) * {int(shards)}) div {2 * total}").cast("int"))
     cut = written(cut.select("_key", "_size", "_crc", "_shard", "_rank"), "shard-cuts")
     firsts = cut.groupBy("_shard").agg(F.min("_rank").alias("_first"))
     return cut.join(F.broadcast(firsts), "_shard").select(
