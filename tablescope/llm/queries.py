@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, fingerprints, language, quality, shards, warc
+from . import entropy, fingerprints, language, packing, quality, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -54,3 +54,8 @@ def op9_string_kernel_language(spark, folder):
     third = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
     found = language.identify(docs, third != 1)
     return found.select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+@register
+def op7_best_fit_packing(spark, folder):
+    return packing.pack_documents(table(spark, folder, "documents"), 2048)
