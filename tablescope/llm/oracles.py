@@ -22,3 +22,29 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest,
   CASE WHEN page_id <> original THEN original END AS refers_to, true AS digest_fits
 FROM o
 """
+
+ORACLES["op4_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), long AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i : i + 2], ' ') AS shingle
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM w WHERE len(words) >= 3)
+), s AS (
+  SELECT doc_id, shingle FROM long
+  UNION ALL SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 2
+), c AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), crossed AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY 1, 2
+), linked AS (
+  SELECT a, b FROM crossed JOIN c ca ON ca.doc_id = a JOIN c cb ON cb.doc_id = b WHERE 100 * common >= 90 * (ca.n + cb.n - common)
+), edges AS (
+  SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM documents
+  UNION SELECT r.a, e.b FROM reach r JOIN edges e ON r.b = e.a
+)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, min(r.a) AS component_id
+FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN reach r ON r.b = d.doc_id GROUP BY 1, 2
+"""

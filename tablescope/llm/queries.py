@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, fingerprints, language, packing, quality, shards, warc
+from . import entropy, fingerprints, jaccard, language, packing, quality, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -59,3 +59,9 @@ def op9_string_kernel_language(spark, folder):
 @register
 def op7_best_fit_packing(spark, folder):
     return packing.pack_documents(table(spark, folder, "documents"), 2048)
+
+
+@register
+def op4_ngram_jaccard(spark, folder):
+    found, _ = jaccard.groups(table(spark, folder, "documents"), jaccard.Join(words=3, percent=90))
+    return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
