@@ -48,3 +48,40 @@ WITH RECURSIVE w AS (
 SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, min(r.a) AS component_id
 FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN reach r ON r.b = d.doc_id GROUP BY 1, 2
 """
+
+ORACLES["op1_line_templates"] = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
+), m AS (
+  SELECT doc_id, line, raw, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l
+), t AS (
+  SELECT doc_id, line, tokens, len(tokens) AS size, array_to_string(tokens[1:3], ' ') AS lead FROM m WHERE len(tokens) > 0
+), leaf AS (
+  SELECT size, lead FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3
+), c AS (
+  SELECT t.* FROM t JOIN leaf USING (size, lead)
+), shape AS (
+  SELECT size, lead, tokens, count(DISTINCT doc_id) AS documents FROM c GROUP BY 1, 2, 3
+), place AS (
+  SELECT size, lead, tokens, documents, unnest(range(4, size + 1)) AS spot FROM shape
+), deep AS (
+  SELECT *, tokens[spot] AS token FROM place
+), constant AS (
+  SELECT size, lead, spot, token FROM deep GROUP BY 1, 2, 3, 4 HAVING sum(documents) >= 3
+), kept AS (
+  SELECT d.size, d.lead, d.tokens, string_agg(d.spot || '=' || d.token, ' ' ORDER BY d.spot) AS template, count(*) AS n
+  FROM deep d JOIN constant k USING (size, lead, spot, token) GROUP BY 1, 2, 3
+), template AS (
+  SELECT s.size, s.lead, s.tokens, coalesce(k.template, '') AS template FROM shape s LEFT JOIN kept k USING (size, lead, tokens)
+  WHERE (least(s.size, 3) + coalesce(k.n, 0)) * 100 >= s.size * 75
+), found AS (
+  SELECT c.doc_id, c.line, c.size, c.lead, p.template FROM c JOIN template p USING (size, lead, tokens)
+), wide AS (
+  SELECT size, lead, template, min(doc_id) AS first FROM found GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 3
+), gone AS (
+  SELECT f.doc_id, f.line FROM found f JOIN wide w USING (size, lead, template) WHERE f.doc_id <> w.first
+)
+SELECT d.doc_id, coalesce(string_agg(l.raw, chr(10) ORDER BY l.line) FILTER (WHERE g.line IS NULL), '') AS text,
+  count(l.line)::BIGINT AS n_lines, count(g.line)::BIGINT AS n_dropped
+FROM documents d JOIN l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY d.doc_id
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, fingerprints, jaccard, language, packing, quality, shards, warc
+from . import entropy, fingerprints, jaccard, language, line_templates, packing, quality, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -65,3 +65,9 @@ def op7_best_fit_packing(spark, folder):
 def op4_ngram_jaccard(spark, folder):
     found, _ = jaccard.groups(table(spark, folder, "documents"), jaccard.Join(words=3, percent=90))
     return found.select(F.col("key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@register
+def op1_line_templates(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return line_templates.drop_recurring_lines(docs, counts=True)
