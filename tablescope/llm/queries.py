@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, fingerprints, jaccard, language, line_templates, packing, quality, shards, warc
+from . import entropy, fingerprints, jaccard, language, line_templates, merge_dropout, packing, quality, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -71,3 +71,8 @@ def op4_ngram_jaccard(spark, folder):
 def op1_line_templates(spark, folder):
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return line_templates.drop_recurring_lines(docs, counts=True)
+
+
+@register
+def op6_merge_dropout(spark, folder):
+    return merge_dropout.encode_documents(table(spark, folder, "documents"), rate=0.1, seed=20240101, keep_ids=False)
