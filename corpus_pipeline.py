@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tablescope.llm import entropy, quality
+from tablescope.llm import entropy, jaccard, line_templates, packing, quality
 from tablescope.llm.common import table, written
 
 
@@ -13,14 +13,32 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs)
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go from all documents but the first; every document stays."""
+    return line_templates.drop_recurring_lines(docs)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of the documents linked by five-word shingles at 0.8 or more, the one with the smallest id stays."""
+    return jaccard.keep_one(docs, jaccard.Join(words=5, percent=80))
+
+
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are replaced by a mark; every document stays."""
     return entropy.redact_documents(docs)
 
 
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents and their places in sequences of 2048."""
+    return packing.pack_documents(docs, 2048)
+
+
 STAGES = [
     ("quality rules", quality_rules),
+    ("line dedup", line_dedup),
+    ("n-gram Jaccard join", near_copies),
     ("secret scans", secret_scans),
+    ("best-fit packing", best_fit_packing),
 ]
 
 #: Packing needs the ids of a tokenizer, which SQL cannot make.
