@@ -152,6 +152,13 @@ ORACLES["csv_roundtrip"] = sales(
 ORACLES["csv_encoding_mix"] = dirty(
     "SELECT region_txt, count(*) AS n, CAST(sum(rid) AS BIGINT) AS rid_sum FROM dirty GROUP BY region_txt"
 )
+ORACLES["csv_header_orders"] = dirty(
+    "SELECT region_txt, CASE WHEN rid % 2 <> 0 THEN note_txt END AS note_txt, count(*) AS n, CAST(sum(rid) AS BIGINT) AS rid_sum, sum(qty) AS qty_sum FROM dirty GROUP BY 1, 2"
+)
+ORACLES["csv_wide_ids"] = sales(
+    "SELECT count(DISTINCT rid) AS ids, max(rid) + 9122456789012345678 AS \"last\", count(DISTINCT rid) AS wider_ids, "
+    "concat(CAST(max(rid) + 9122456789012345678 AS VARCHAR), '00') AS widest FROM sales"
+)
 ORACLES["xlsx_folder"] = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLES["clean_names"] = "SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
@@ -219,12 +226,19 @@ def _mode(column: str, table: str) -> str:
 
 
 ORACLES["clean_dedup"] = dirty("SELECT DISTINCT rid, customer, amount_txt, order_date_txt, region_txt, flag_txt, note_txt, qty FROM dirty")
-for _how, _agg in {"median": "quantile_cont({}, 0.5)", "mean": "avg({})", "zero": None}.items():
-    _fill = lambda x: "0.0" if _agg is None else f"(SELECT {_agg.format(x)} FROM dirty)"  # noqa: B023, E731
+for _how, _agg in {"median": "quantile_cont({}, 0.5)", "mean": "avg({})", "zero": "0.0"}.items():
     _places = {"median": 4, "mean": 2, "zero": 9}[_how]
-    ORACLES[f"clean_fill_{_how}"] = dirty(
-        f"SELECT rid, round(coalesce(qty, {_fill('qty')}), {_places}) AS qty, round(coalesce({_AMT}, {_fill(_AMT)}), {_places}) AS amount_txt FROM dirty"
+    # The figures of both columns are made once, as one row.
+    ORACLES[f"clean_fill_{_how}"] = (
+        f"WITH {DIRTY}, typed AS MATERIALIZED (SELECT rid, qty, {_AMT} AS amount FROM dirty), "
+        f"figures AS MATERIALIZED (SELECT max(n) AS n, {_agg.format('qty')} AS q, {_agg.format('amount')} AS a FROM (SELECT *, 1 AS n FROM typed)) "
+        f"SELECT rid, round(coalesce(qty, q), {_places}) AS qty, round(coalesce(amount, a), {_places}) AS amount_txt FROM typed, figures"
     )
+ORACLES["clean_mode_tie"] = dirty("SELECT x, count(*) AS n FROM (SELECT unnest([9.0::DOUBLE, 10.0::DOUBLE, 9.0::DOUBLE]) AS x FROM dirty) GROUP BY x")
+ORACLES["clean_unmapped_words"] = dirty(
+    "SELECT rid, CASE WHEN rid % 5 = 0 THEN 'maybe' WHEN flag_txt IN ('Yes', 'TRUE', 'Y') THEN 'True' WHEN flag_txt IN ('no', 'false') THEN 'False' END AS flag_txt FROM dirty"
+)
+ORACLES["clean_no_dates"] = dirty("SELECT note_txt, count(*) AS n, 'Skipped' AS status FROM dirty GROUP BY note_txt")
 ORACLES["clean_fill_unknown"] = dirty("SELECT rid, coalesce(note_txt, 'Unknown') AS note_txt FROM dirty")
 ORACLES["clean_fill_notprovided"] = dirty("SELECT rid, coalesce(note_txt, 'Not_Provided') AS note_txt FROM dirty")
 ORACLES["clean_fill_mode"] = dirty(
@@ -429,6 +443,10 @@ def months(body: str) -> str:
 _DELTA = "coalesce(revenue - prev, 0)"
 _DIRECTION = f"CASE WHEN {_DELTA} > 0 THEN 'up' ELSE 'down' END"
 ORACLES["monthly_revenue"] = months("SELECT month, revenue FROM series")
+ORACLES["monthly_text_dates"] = dirty(
+    "SELECT m AS month, round(coalesce(made, 0), 2) AS revenue FROM (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(d)), date_trunc('month', max(d)), INTERVAL 1 MONTH)) AS DATE)) AS m "
+    "FROM (SELECT TRY_CAST(order_date_txt AS DATE) AS d FROM dirty)) LEFT JOIN (SELECT last_day(TRY_CAST(order_date_txt AS DATE)) AS k, sum(qty) AS made FROM dirty GROUP BY 1) ON m = k"
+)
 ORACLES["monthly_ma3"] = ORACLES["chart_trend"] = months("SELECT month, round(revenue, 2) AS revenue, round(ma3, 2) AS ma3 FROM flow")
 ORACLES["mom_growth"] = months("SELECT month, round((revenue - prev) / nullif(prev, 0) * 100, 4) AS mom_growth FROM flow WHERE prev IS NOT NULL AND prev <> 0")
 ORACLES["latest_delta"] = months(f"SELECT month, round(revenue, 2) AS revenue, round({_DELTA}, 2) AS delta, {_DIRECTION} AS direction FROM flow WHERE age = 1")

@@ -78,6 +78,26 @@ def _(df):
     return back.groupBy("region_txt").agg(F.count(F.lit(1)).alias("n"), F.sum("rid").alias("rid_sum"))
 
 
+@on_dirty("csv_header_orders")
+def _(df):
+    spark, path = df.sparkSession, session.scratch_path(df.sparkSession, "headers-csv")
+    csv_files.write_csv(df.where("rid % 2 = 0").select("rid", "region_txt", "qty"), f"{path}/a b")
+    csv_files.write_csv(df.where("rid % 2 <> 0").select("qty", "note_txt", "rid", "region_txt"), f"{path}/c", "ISO-8859-1")
+    back = csv_files.read_csv(spark, f"{path}/*")
+    return back.groupBy("region_txt", "note_txt").agg(F.count(F.lit(1)).alias("n"), F.sum("rid").alias("rid_sum"), F.sum("qty").alias("qty_sum"))
+
+
+@on_sales("csv_wide_ids")
+def _(df):
+    path = session.scratch_path(df.sparkSession, "wide-csv")
+    wide = F.lit(9123456789012345678 - 10**15) + F.col("rid")
+    csv_files.write_csv(df.select(wide.alias("id"), F.concat(wide.cast("string"), F.lit("00")).alias("wider")), path)
+    back = csv_files.read_csv(df.sparkSession, path)
+    return back.agg(
+        F.count_distinct("id").alias("ids"), F.max("id").alias("last"), F.count_distinct("wider").alias("wider_ids"), F.max("wider").cast("string").alias("widest")
+    )
+
+
 def _xlsx(spark, folder):
     buyers = spark.read.parquet(f"{folder}/customer.parquet")
     files = buyers.mapInPandas(pack, "path string, content binary")
@@ -212,6 +232,26 @@ on_clean("clean_cap", ["rid", "qty"], [("qty", "cap_outliers")])
 on_clean("clean_remove_outliers", ["rid", "qty"], [("qty", "remove_outliers")])
 
 
+@on_dirty("clean_mode_tie")
+def _(df):
+    # Every row comes as 9, as 10 and as missing, so two numbers tie whose texts sort the other way round.
+    tied = df.select("rid", F.explode(F.array(F.lit(9.0), F.lit(10.0), F.lit(None))).alias("x"))
+    return clean.apply_cleaning(tied, [("x", "fill_missing_mode")])[0].groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+
+
+@on_dirty("clean_unmapped_words")
+def _(df):
+    mixed = df.select("rid", F.when(F.col("rid") % 5 == 0, "maybe").otherwise(F.col("flag_txt")).alias("flag_txt"))
+    return clean.apply_cleaning(mixed, [("flag_txt", "standardize_boolean")])[0]
+
+
+@on_dirty("clean_no_dates")
+def _(df):
+    cleaned, counters, log = clean.apply_cleaning(df.select("rid", "note_txt"), [("note_txt", "convert_to_datetime")])
+    status = log.select(F.col("status").alias("s")).scalar()
+    return cleaned.groupBy("note_txt").agg(F.count(F.lit(1)).alias("n")).withColumn("status", status)
+
+
 @on_dirty("clean_to_datetime")
 def _(df):
     cleaned = clean.apply_cleaning(df, [("order_date_txt", "convert_to_datetime")])[0]
@@ -395,6 +435,13 @@ def _(df):
     return _monthly(df)
 
 
+@on_dirty("monthly_text_dates", 2)
+def _(df):
+    day_first = F.date_format(F.col("order_date_txt").try_cast("date"), "dd/MM/yyyy")
+    texts = df.select(F.coalesce(day_first, F.col("order_date_txt")).alias("day"), "qty")
+    return timeseries.monthly(texts, "day", "qty")
+
+
 @on_sales("monthly_ma3", 2)
 def _(df):
     return timeseries.moving_average(_monthly(df))
@@ -485,7 +532,7 @@ def _(df):
 
 @on_sales("box_overall", 2)
 def _(df):
-    return stats.box_stats(df, "price", "customer")
+    return stats.box_stats(df, "price")
 
 
 @on_sales("normalised_long", 4)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .numbers import quoted
 from .text import strip
 
 DIGITS = "0123456789"
@@ -23,13 +25,19 @@ def _shapes(*parts: str) -> list[str]:
 
 _DAY = ("0000", "-", "d", "-", "d")
 _CLOCK = ("d", ":", "d", ":", "d")
+_SLASHES = ("d", "/", "d", "/", "0000")
+_MONTHS = ["A" + "a" * n for n in range(2, 9)]
+
+
+def _zoned(outlines: list[str]) -> list[str]:
+    return [o + zone for o in outlines for zone in ("A", "+00:00", "-00:00")]
 
 # Accepted text forms of a date, in order of preference, each with the outlines a
 # value must have before it is parsed. All-digit values are numbers, never dates.
 DATE_FORMATS = [
     ("yyyy-M-d", _shapes(*_DAY)),
-    ("yyyy-M-d H:m:s[.SSSSSS]", _shapes(*_DAY, " ", *_CLOCK) + _shapes(*_DAY, " ", *_CLOCK, ".000000")),
-    ("yyyy-M-d'T'H:m:s[.SSSSSS]", _shapes(*_DAY, "A", *_CLOCK) + _shapes(*_DAY, "A", *_CLOCK, ".000000")),
+    ("yyyy-M-d H:m:s[.SSSSSS]", _shapes(*_DAY, " ", *_CLOCK) + _shapes(*_DAY, " ", *_CLOCK, ".000") + _shapes(*_DAY, " ", *_CLOCK, ".000000")),
+    ("yyyy-M-d'T'H:m:s[.SSSSSS]", _shapes(*_DAY, "A", *_CLOCK) + _shapes(*_DAY, "A", *_CLOCK, ".000") + _shapes(*_DAY, "A", *_CLOCK, ".000000")),
     ("yyyy-M-d H:m", _shapes(*_DAY, " ", "d", ":", "d")),
     ("yyyy/M/d", _shapes("0000", "/", "d", "/", "d")),
     ("M/d/yyyy", _shapes("d", "/", "d", "/", "0000")),
@@ -40,6 +48,14 @@ DATE_FORMATS = [
     ("d MMM yyyy", _shapes("d", " Aaa 0000")),
     ("MMM d, yyyy", _shapes("Aaa ", "d", ", 0000")),
     ("MMM yyyy", _shapes("Aaa 0000")),
+    ("yyyy-M-d'T'H:m:s[.SSSSSS]XXX", _zoned([o for end in ((), (".000",), (".000000",)) for o in _shapes(*_DAY, "A", *_CLOCK, *end)])),
+    ("yyyy-M-d H:m:s[.SSSSSS]XXX", _zoned([o for end in ((), (".000",), (".000000",)) for o in _shapes(*_DAY, " ", *_CLOCK, *end)])),
+    ("M/d/yyyy H:m[:s]", _shapes(*_SLASHES, " ", "d", ":", "d") + _shapes(*_SLASHES, " ", *_CLOCK)),
+    ("d/M/yyyy H:m[:s]", _shapes(*_SLASHES, " ", "d", ":", "d") + _shapes(*_SLASHES, " ", *_CLOCK)),
+    ("M/d/yyyy h:m[:s] a", _shapes(*_SLASHES, " ", "d", ":", "d", " AA") + _shapes(*_SLASHES, " ", *_CLOCK, " AA")),
+    ("d-MMM-yyyy", _shapes("d", "-Aaa-0000")),
+    ("MMMM d, yyyy", [o for m in _MONTHS for o in _shapes(m + " ", "d", ", 0000")]),
+    ("d MMMM yyyy", [o for m in _MONTHS for o in _shapes("d", f" {m} 0000")]),
 ]
 
 
@@ -52,7 +68,7 @@ def parse_date(c: Column, fmt: str) -> Column:
 def date_shape(text: Column) -> Column:
     """The outline of a text: digits as 0, Latin letters as A and a. NULL unless some format has it."""
     # Numbers and prose are refused by their first characters, before the dearer outline is made.
-    likely = F.length(text).between(8, 26) & text.rlike("^[0-9A-Z][0-9a-z]{0,3}[-/ ]|^[0-9]{1,2}[.][0-9]{1,2}[.]")
+    likely = F.length(text).between(8, 35) & text.rlike("^[0-9A-Z][0-9a-z]{0,8}[-/ ]|^[0-9]{1,2}[.][0-9]{1,2}[.]")
     outline = F.when(likely, F.translate(text, DIGITS + CAPITALS + SMALL, "0" * 10 + "A" * 26 + "a" * 26))
     return F.when(_one_of(outline, sorted({s for _, shapes in DATE_FORMATS for s in shapes})), outline)
 
@@ -68,6 +84,20 @@ def parse_shaped_date(text: Column, shape: Column, fmt: str) -> Column:
     return F.try_to_timestamp(F.when(_one_of(shape, shapes), text), F.lit(fmt)).cast("timestamp_ntz")
 
 
+def with_dates(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a text column parsed by the form that fits most of its values; other types stay.
+
+    One pass counts the forms. Text that the form does not fit becomes NULL.
+    """
+    if not isinstance(df.schema[name].dataType, T.StringType):
+        return df
+    c = quoted(name)
+    text = strip(c)
+    shaped = df.select(text.alias("text"), date_shape(text).alias("shape"))
+    counts = shaped.agg(*[F.count(parse_shaped_date(F.col("text"), F.col("shape"), fmt)).alias(f"n{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]).first()
+    return df.withColumn(name, parse_date(c, DATE_FORMATS[counts.index(max(counts))][0]))
+
+
 def month_end(c: Column) -> Column:
     return F.last_day(c.cast("date"))
 

@@ -7,7 +7,9 @@ the few rows inside it. Brackets are narrowed, one pass each, until they hold at
 Every rank is checked against the counts before it is used.
 
 Sketches are merged per share of the input partitions, so no single task merges those of the whole
-table; the driver joins the few grids of quantiles that come back.
+table; the driver joins the few grids of quantiles that come back. Gathered rows meet in one task
+for each column and probability. Quantiles per group rank all rows by range partitions instead, so
+there may be any number of groups of any size.
 """
 
 from __future__ import annotations
@@ -18,21 +20,19 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .numbers import quoted
+from .order import dealt, prefix_sums
 
 GATHER_LIMIT = 50_000
 SKETCH_ACCURACY = 10_000
 GRID_STEPS = 1_000
-MAX_GROUPS = 200
 SHARES = 64
-SHARES_PER_GROUP = 4
+MOST_ROUNDS = 40
 
 
 @dataclass
 class _Target:
-    """One group and column, and the ranks wanted there (0-based, by ascending value)."""
+    """One column and the ranks wanted there (0-based, by ascending value)."""
 
     low: float
     high: float
@@ -44,7 +44,7 @@ class _Target:
 
 @dataclass
 class ColumnSummary:
-    """Count, extremes and order statistics of one column (in one group)."""
+    """Count, extremes and order statistics of one column."""
 
     count: int = 0
     low: float | None = None
@@ -52,20 +52,15 @@ class ColumnSummary:
     quantiles: dict[float, float | None] = field(default_factory=dict)
 
 
-def quantiles(
-    df: DataFrame, columns: dict[str, Column], probs: list[float], by: str | None = None
-) -> dict[tuple, ColumnSummary]:
-    """Linear-interpolation quantiles of ``columns``: ``{(group, name): ColumnSummary}``.
-
-    Without ``by`` the group is None. ``by`` is for a column already known to hold few values.
-    """
+def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, ColumnSummary]:
+    """Linear-interpolation quantiles of ``columns``, by name."""
 
     def wanted(count):
         for p in probs:
             at = p * (count - 1)
             yield p, math.floor(at), math.ceil(at)
 
-    summaries, ranks = _order_statistics(df, columns, wanted, by)
+    summaries, ranks = _order_statistics(df, columns, wanted)
     for key, summary in summaries.items():
         for p in probs:
             pair = ranks.get((key, p))
@@ -77,6 +72,35 @@ def quantiles(
     return summaries
 
 
+def grouped_quantiles(df: DataFrame, group: Column, value: Column, probs: list[float]) -> DataFrame:
+    """``g, count, p0, p1, ...``: linear-interpolation quantiles for every non-NULL group.
+
+    All rows are ranked once by (group, value) over range partitions; a group's own ranks follow
+    from its first one. Only the wanted ranks are kept, two rows a group and probability.
+    """
+    slim = df.select(group.alias("g"), value.cast("double").alias("x")).where("g IS NOT NULL AND x IS NOT NULL")
+    slim = slim.withColumn("tie", F.monotonically_increasing_id())
+    order = [F.col("g"), F.col("x"), F.col("tie")]
+    ranked = prefix_sums(dealt(slim, order, "ranks"), order, {"at": F.lit(1).cast("long")}).select("g", "x", "at")
+    groups = ranked.groupBy("g").agg(F.count(F.lit(1)).alias("count"), F.min("at").alias("first"))
+    places = ranked.join(groups, "g").withColumn("at", F.col("at") - F.col("first"))
+    picks = []
+    for i, p in enumerate(probs):
+        spot = F.lit(p) * (F.col("count") - 1)
+        picks += [F.max(F.when(F.col("at") == F.floor(spot), F.col("x"))).alias(f"a{i}"), F.max(F.when(F.col("at") == F.ceil(spot), F.col("x"))).alias(f"b{i}")]
+    near = F.lit(False)
+    for p in probs:
+        spot = F.lit(p) * (F.col("count") - 1)
+        near = near | (F.col("at") == F.floor(spot)) | (F.col("at") == F.ceil(spot))
+    found = places.where(near).groupBy("g", "count").agg(*picks)
+    out = []
+    for i, p in enumerate(probs):
+        a, b = F.col(f"a{i}"), F.col(f"b{i}")
+        t = F.lit(p) * (F.col("count") - 1) - F.floor(F.lit(p) * (F.col("count") - 1))
+        out.append(F.when(t >= 0.5, b - (b - a) * (1 - t)).otherwise(a + (b - a) * t).alias(f"p{i}"))
+    return found.select("g", "count", *out)
+
+
 def kth_largest(df: DataFrame, value: Column, k: int) -> float | None:
     """The k-th largest value (1-based) of one column; NULLs do not count."""
     count = df.agg(F.count(value)).first()[0]
@@ -84,52 +108,44 @@ def kth_largest(df: DataFrame, value: Column, k: int) -> float | None:
         return None
     rank = count - k
     share = rank / max(count - 1, 1)
-    _, ranks = _order_statistics(df, {"value": value}, lambda _: [(share, rank, rank)], None)
-    return ranks[((None, "value"), share)][0]
+    _, ranks = _order_statistics(df, {"value": value}, lambda _: [(share, rank, rank)])
+    return ranks[("value", share)][0]
 
 
 def _interpolate(a: float, b: float, t: float) -> float:
     return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
 
 
-def _order_statistics(df, columns, wanted, by):
+def _order_statistics(df, columns, wanted):
     names = list(columns)
-    slim = df.select(
-        *([quoted(by).alias("g")] if by else []),
-        *[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)],
-    )
-    if by:
-        slim = slim.where(F.col("g").isNotNull())
-    summaries, targets, grids = {}, {}, {}
-    for row in _shares(slim, by).agg(*_sketch_columns(len(names))).collect():
-        group = row["g"] if by else None
-        if len(summaries) > MAX_GROUPS * len(names):
-            raise ValueError(f"more than {MAX_GROUPS} groups in {by!r}")
+    slim = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
+    summaries = {name: ColumnSummary() for name in names}
+    targets, grids = {}, {name: _Grid() for name in names}
+    for row in _shares(slim).agg(*_sketch_columns(len(names))).collect():
         for i, name in enumerate(names):
-            summary = summaries.setdefault((group, name), ColumnSummary())
-            grid = grids.setdefault((group, name), _Grid())
+            summary = summaries[name]
             if row[f"n{i}"]:
                 summary.count += row[f"n{i}"]
                 summary.low = row[f"lo{i}"] if summary.low is None else min(summary.low, row[f"lo{i}"])
                 summary.high = row[f"hi{i}"] if summary.high is None else max(summary.high, row[f"hi{i}"])
-                grid.add(row[f"q{i}"], row[f"n{i}"])
-    if not by:
-        for name in names:
-            summaries.setdefault((None, name), ColumnSummary())
-    for key, summary in summaries.items():
+                grids[name].add(row[f"q{i}"], row[f"n{i}"])
+    for name, summary in summaries.items():
         if summary.count:
             for p, first, last in wanted(summary.count):
                 target = _Target(summary.low, summary.high, summary.count, first, last)
                 if summary.count > GATHER_LIMIT:
-                    grids[key].tighten(target, 0)
-                targets[(key, p)] = target
-    while open_targets := {k: t for k, t in targets.items() if t.found is None}:
+                    grids[name].tighten(target, 0)
+                targets[(name, p)] = target
+    for _ in range(MOST_ROUNDS):
+        open_targets = {k: t for k, t in targets.items() if t.found is None}
+        if not open_targets:
+            return summaries, {k: t.found for k, t in targets.items()}
         large = {k: t for k, t in open_targets.items() if t.interior > GATHER_LIMIT}
         if large:
-            _refine(slim, by, names, summaries, large)
+            _refine(slim, names, summaries, large)
         else:
-            _gather(slim, by, names, summaries, open_targets)
-    return summaries, {k: t.found for k, t in targets.items()}
+            _gather(slim, names, summaries, open_targets)
+    raise RuntimeError(f"ranks still open after {MOST_ROUNDS} passes: {sorted(open_targets)}")
 
 
 class _Grid:
@@ -157,14 +173,9 @@ class _Grid:
         target.interior = min(self.rows, 4 * slack + target.last - target.first)
 
 
-def _group(slim: DataFrame, by):
-    return slim.groupBy("g") if by else slim.groupBy()
-
-
-def _shares(slim: DataFrame, by):
-    """Group by share of the input partitions (and group): what a share holds does not matter."""
-    share = F.pmod(F.spark_partition_id(), F.lit(SHARES_PER_GROUP if by else SHARES)).alias("share")
-    return slim.groupBy("g", share) if by else slim.groupBy(share)
+def _shares(slim: DataFrame):
+    """Group by share of the input partitions: what a share holds does not matter."""
+    return slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share"))
 
 
 def _fractions() -> list[float]:
@@ -195,25 +206,20 @@ def _holds(target: _Target, below, at_low, inside, at_high) -> bool:
     return below <= target.first and target.last < below + at_low + inside + at_high
 
 
-def _refine(slim, by, names, summaries, open_targets) -> None:
+def _refine(slim, names, summaries, open_targets) -> None:
     """One pass that narrows large brackets."""
-    slots = sorted({(key[1], p) for key, p in open_targets})
-    frame = slim.join(F.broadcast(_brackets(slim, by, open_targets, slots)), "g") if by else slim
     plan = []
-    for s, slot in enumerate(slots):
-        low, high = (_bound(what, s, by, open_targets, slot) for what in ("low", "high"))
-        inside, counts = _counts(F.col(f"x{names.index(slot[0])}"), low, high, s)
+    for s, ((name, _), target) in enumerate(open_targets.items()):
+        inside, counts = _counts(F.col(f"x{names.index(name)}"), F.lit(target.low), F.lit(target.high), s)
         plan += [*counts, F.percentile_approx(inside, _fractions(), SKETCH_ACCURACY).alias(f"grid{s}")]
-    places, grids = {}, {}
-    for row in _shares(frame, by).agg(*plan).collect():
-        group = row["g"] if by else None
-        for s, (name, p) in enumerate(slots):
-            key = ((group, name), p)
-            place = places.setdefault(key, [0, 0, 0, 0])
+    places = {key: [0, 0, 0, 0] for key in open_targets}
+    grids = {key: _Grid() for key in open_targets}
+    for row in _shares(slim).agg(*plan).collect():
+        for s, key in enumerate(open_targets):
             for i, what in enumerate(("below", "atlow", "in", "athigh")):
-                place[i] += row[f"{what}{s}"]
+                places[key][i] += row[f"{what}{s}"]
             if row[f"in{s}"]:
-                grids.setdefault(key, _Grid()).add(row[f"grid{s}"], row[f"in{s}"])
+                grids[key].add(row[f"grid{s}"], row[f"in{s}"])
     for key, target in open_targets.items():
         below, at_low, inside, at_high = places[key]
         if not _holds(target, below, at_low, inside, at_high):
@@ -230,62 +236,37 @@ def _widen(target: _Target, summary: ColumnSummary) -> None:
     target.low, target.high, target.interior = summary.low, summary.high, summary.count
 
 
-def _gather(slim, by, names, summaries, open_targets) -> None:
-    """One pass that reads the wanted ranks out of small brackets."""
-    slots = sorted({(key[1], p) for key, p in open_targets})
-    brackets = _brackets(slim, by, open_targets, slots)
-    frame = slim.join(F.broadcast(brackets), "g") if by else slim
-    plan, picks, kept = [], [], ["g"] if by else []
-    for s, slot in enumerate(slots):
-        low, high, first, last = (_bound(what, s, by, open_targets, slot) for what in ("low", "high", "first", "last"))
-        inside, counts = _counts(F.col(f"x{names.index(slot[0])}"), low, high, s)
-        plan += [*counts, F.sort_array(F.collect_list(inside)).alias(f"values{s}")]
-        kept += [f"{what}{s}" for what in ("below", "atlow", "in", "athigh")]
-        picks += [_pick(s, first, low, high).alias(f"picked_first{s}"), _pick(s, last, low, high).alias(f"picked_last{s}")]
-    counted = _group(frame, by).agg(*plan)
-    if by:
-        counted = counted.join(F.broadcast(brackets), "g")
-    # Only the wanted values leave the cluster, not the gathered rows.
-    for row in counted.select(*kept, *picks).collect():
-        group = row["g"] if by else None
-        for s, (name, p) in enumerate(slots):
-            target = open_targets.get(((group, name), p))
-            if target is None:
-                continue
-            if _holds(target, *(row[f"{what}{s}"] for what in ("below", "atlow", "in", "athigh"))):
-                target.found = (row[f"picked_first{s}"], row[f"picked_last{s}"])
-            else:
-                _widen(target, summaries[(group, name)])
+def _gather(slim, names, summaries, open_targets) -> None:
+    """One pass that reads the wanted ranks out of small brackets.
+
+    The rows inside are listed per share of the partitions, then per bracket, each in a task of its
+    own; only the two wanted values of each leave the cluster.
+    """
+    plan, cells = [], []
+    for s, ((name, _), target) in enumerate(open_targets.items()):
+        inside, counts = _counts(F.col(f"x{names.index(name)}"), F.lit(target.low), F.lit(target.high), s)
+        plan += [*counts, F.collect_list(inside).alias(f"values{s}")]
+        kept = [F.col(f"{what}{s}").alias(what) for what in ("below", "atlow", "in", "athigh")]
+        cells.append(F.struct(F.lit(s).alias("slot"), *kept, F.col(f"values{s}").alias("values"), F.lit(target.first).cast("long").alias("first"), F.lit(target.last).cast("long").alias("last")))
+    parts = _shares(slim).agg(*plan).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    sums = [F.sum(what).alias(what) for what in ("below", "atlow", "in", "athigh")]
+    met = parts.groupBy("slot", "first", "last").agg(*sums, F.sort_array(F.flatten(F.collect_list("values"))).alias("values"))
+    keys = list(open_targets)
+    for row in met.select("slot", "below", "atlow", "in", "athigh", _pick("first").alias("a"), _pick("last").alias("b")).collect():
+        target = open_targets[keys[row["slot"]]]
+        if not _holds(target, row["below"], row["atlow"], row["in"], row["athigh"]):
+            _widen(target, summaries[keys[row["slot"]][0]])
+        else:
+            ends = {"low": target.low, "high": target.high}
+            target.found = tuple(_value(row[c], rank, row, ends) for c, rank in (("a", target.first), ("b", target.last)))
 
 
-def _brackets(slim, by, open_targets, slots):
-    """The open brackets as a frame of one row per group (at most MAX_GROUPS rows)."""
-    if not by:
-        return None
-    fields = [T.StructField("g", slim.schema["g"].dataType)]
-    for s in range(len(slots)):
-        fields += [T.StructField(f"low{s}", T.DoubleType()), T.StructField(f"high{s}", T.DoubleType())]
-        fields += [T.StructField(f"first{s}", T.LongType()), T.StructField(f"last{s}", T.LongType())]
-    rows = []
-    for group in {key[0] for key, _ in open_targets}:
-        cells = [group]
-        for name, p in slots:
-            t = open_targets.get(((group, name), p))
-            cells += [t.low, t.high, t.first, t.last] if t else [None] * 4
-        rows.append(tuple(cells))
-    return slim.sparkSession.createDataFrame(rows, T.StructType(fields))
-
-
-def _bound(what: str, s: int, by, open_targets, slot) -> Column:
-    if by:
-        return F.col(f"{what}{s}")
-    return F.lit(getattr(open_targets[((None, slot[0]), slot[1])], what))
-
-
-def _pick(s: int, rank: Column, low: Column, high: Column) -> Column:
-    inner = rank - F.col(f"below{s}") - F.col(f"atlow{s}")
-    return (
-        F.when(inner < 0, low)
-        .when(inner < F.col(f"in{s}"), F.try_element_at(F.col(f"values{s}"), (inner + 1).cast("int")))
-        .otherwise(high)
-    )
+def _pick(rank: str) -> Column:
+    """The value of a rank that falls inside the bracket."""
+    inner = F.col(rank) - F.col("below") - F.col("atlow")
+    return F.when((inner >= 0) & (inner < F.col("in")), F.try_element_at("values", (inner + 1).cast("int")))
+
+
+def _value(picked: float | None, rank: int, row, ends: dict) -> float:
+    inner = rank - row["below"] - row["atlow"]
+    return ends["low"] if inner < 0 else picked if inner < row["in"] else ends["high"]

@@ -10,6 +10,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.errors import (
+    AnalysisException,
+    ArithmeticException,
+    ArrayIndexOutOfBoundsException,
+    DateTimeException,
+    IllegalArgumentException,
+    NumberFormatException,
+    ParseException,
+)
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +33,9 @@ from .stats import fences, outside
 
 ROW_DROPPING = ("remove_duplicates", "drop_missing_rows", "remove_outliers")
 # Actions whose new values depend on figures of the whole column.
-NEEDS_FIGURES = ("fill_missing_median", "fill_missing_mean", "fill_missing_mode", "convert_to_datetime", "cap_outliers")
+NEEDS_FIGURES = ("fill_missing_median", "fill_missing_mean", "fill_missing_mode", "convert_to_datetime", "cap_outliers", "standardize_boolean")
 # Actions after which a column may have another type; the next step on it must see that type.
-CHANGES_TYPE = ("fill_missing_zero", "convert_to_numeric", "standardize_boolean")
+CHANGES_TYPE = ("fill_missing_zero", "convert_to_numeric")
 FILL_WORDS = {"fill_missing_unknown": "Unknown", "fill_missing_notprovided": "Not_Provided"}
 NUMERIC_FILLS = ("fill_missing_median", "fill_missing_mean", "fill_missing_zero")
 TITLE_ACTIONS = ("standardize_case", "standardize_categories")
@@ -93,11 +102,15 @@ def _report_frames(df, report):
 
 
 def _guarded(work, frame, steps, report, **more):
-    """Run a group of steps; if it fails, run its steps alone so that only the bad one is skipped."""
+    """Run a group of steps; if it fails, run its steps alone so that only the bad one is skipped.
+
+    A step's own failures are those of its plan and of a cast or sum of its values. Failures of
+    the job, such as a lost executor or a full disk, are not the step's: they go on to the caller.
+    """
     noted, counters = len(report.log), {c: getattr(report, c) for c in COUNTERS}
     try:
         return work(frame, steps, report, **more)
-    except Exception as error:
+    except (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, ParseException) as error:
         del report.log[noted:]
         for name, value in counters.items():
             setattr(report, name, value)
@@ -183,18 +196,15 @@ def _apply_round(frame: DataFrame, steps: list[Step], report: Report) -> DataFra
                 current[name] = text.title_case(c)
             finish.append(lambda row, s=step: _standardised(report, s, "Changed to title case."))
         elif action == "standardize_boolean":
-            parsed = text.parse_boolean(c)
-            figures[tag] = F.count_if(c.isNotNull() & parsed.isNull())
-            current[name] = parsed
-            finish.append(
-                lambda row, s=step: _standardised(report, s, f"Changed to true and false; {row[f's{s.at}']} values fit neither.")
-            )
+            figures[tag] = F.count_if(c.isNotNull() & text.parse_boolean(c).isNull())
+            finish.append(lambda row, s=step, c=c: _truth(report, s, row, current, c))
         elif action == "convert_to_numeric":
             if not _is(frame, name, *NUMERIC_TYPES):
                 current[name] = text.parse_number(c)
             finish.append(lambda row, s=step: _converted(report, s, "Changed to numbers."))
         elif action == "convert_to_datetime":
             if not _is(frame, name, *DATE_TYPES):
+                figures[tag] = F.count(c)
                 for i, (fmt, _) in enumerate(DATE_FORMATS):
                     figures[f"{tag}_{i}"] = F.count(parse_date(c, fmt))
             finish.append(lambda row, s=step, c=c: _dated(report, s, row, current, c, frame))
@@ -202,7 +212,7 @@ def _apply_round(frame: DataFrame, steps: list[Step], report: Report) -> DataFra
             ranks[tag] = _number(frame, name, c)
             finish.append(lambda row, s=step: _capped(report, s, row, current, ranks, quartiles))
     found = quantiles(frame, ranks, [0.25, 0.5, 0.75]) if ranks else {}
-    quartiles = {tag: found[(None, tag)].quantiles for tag in ranks}
+    quartiles = {tag: found[tag].quantiles for tag in ranks}
     for step in steps:
         if step.action == "cap_outliers" and f"s{step.at}" in ranks:
             tag = f"s{step.at}"
@@ -216,9 +226,13 @@ def _apply_round(frame: DataFrame, steps: list[Step], report: Report) -> DataFra
 
 
 def _modes(frame: DataFrame, columns: dict[str, Column]) -> dict[str, str]:
-    """Most frequent value per column as text, the smallest among equals; one pass for all columns."""
-    pairs = value_pairs(frame.select(*[c.alias(tag) for tag, c in columns.items()])).where("value is not null")
-    first = Window.partitionBy("column").orderBy(F.desc("n"), F.asc("value"))
+    """Most frequent value per column as text, the smallest among equals by the column's own order; one pass for all columns."""
+    typed = frame.select(*[c.alias(tag) for tag, c in columns.items()])
+    numeric = [f.name for f in typed.schema.fields if isinstance(f.dataType, NUMERIC_TYPES)]
+    pairs = value_pairs(typed).where("value is not null")
+    size = F.when(F.col("column").isin(numeric), F.col("value").try_cast("double"))
+    exact = F.when(F.col("column").isin(numeric), F.col("value").try_cast("decimal(38,6)"))
+    first = Window.partitionBy("column").orderBy(F.desc("n"), size.asc(), exact.asc(), F.asc("value"))
     best = pairs.withColumn("at", F.row_number().over(first)).where("at = 1")
     return {r["column"]: r["value"] for r in best.collect()}
 
@@ -266,12 +280,29 @@ def _converted(report, step, detail):
     report.note(step, detail)
 
 
+def _truth(report, step, row, current, c):
+    """A boolean column if every value is a truth word; else text with the words unified and the rest kept."""
+    parsed, others = text.parse_boolean(c), row[f"s{step.at}"]
+    if others:
+        words = F.when(parsed, "True").when(~parsed, "False")
+        current[step.column] = F.coalesce(words, c.cast("string"))
+        _standardised(report, step, f"Truth words became True and False; {others} other values stay.")
+    else:
+        current[step.column] = parsed
+        _standardised(report, step, "Changed to true and false.")
+
+
 def _dated(report, step, row, current, c, frame):
-    if not _is(frame, step.column, *DATE_TYPES):
-        parsed = [row[f"s{step.at}_{i}"] for i in range(len(DATE_FORMATS))]
-        fmt = DATE_FORMATS[parsed.index(max(parsed))][0]
-        current[step.column] = parse_date(c, fmt)
-    _converted(report, step, "Changed to dates.")
+    if _is(frame, step.column, *DATE_TYPES):
+        _converted(report, step, "Changed to dates.")
+        return
+    parsed = [row[f"s{step.at}_{i}"] for i in range(len(DATE_FORMATS))]
+    best, present = max(parsed), row[f"s{step.at}"]
+    if not best:
+        report.note(step, "no value is a date", "Skipped")
+        return
+    current[step.column] = parse_date(c, DATE_FORMATS[parsed.index(best)][0])
+    _converted(report, step, f"Changed to dates; {present - best} values became NULL." if present > best else "Changed to dates.")
 
 
 def _capped(report, step, row, current, ranks, quartiles):
@@ -307,7 +338,7 @@ def _drop_rows(frame: DataFrame, steps: list[Step], report: Report, last: bool)
         report.note(step, f"Dropped {removed} rows without a value.")
     else:
         x = _number(frame, step.column, quoted(step.column))
-        found = quantiles(frame, {"x": x}, [0.25, 0.75])[(None, "x")].quantiles
+        found = quantiles(frame, {"x": x}, [0.25, 0.75])["x"].quantiles
         bounds = fences(found[0.25], found[0.75], guard=True)
         if bounds is None:
             report.note(step, "the middle half of the values is equal", "Skipped")

@@ -7,7 +7,9 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.dates import with_dates
 from ..functions.numbers import numeric_columns, percent, quoted, text_columns
 
 
@@ -59,11 +61,18 @@ def predicate(
 
 
 def apply_filter(df: DataFrame, wanted: Filter, **columns) -> DataFrame:
-    return df.where(predicate(wanted, **columns))
+    """The rows wanted. A date column of text is compared by its dates and stays text."""
+    day = columns.get("day")
+    if not wanted.dates or day is None or not isinstance(df.schema[day].dataType, T.StringType):
+        return df.where(predicate(wanted, **columns))
+    dated = with_dates(df.withColumn("__day", quoted(day)), "__day")
+    return dated.where(predicate(wanted, **{**columns, "day": "__day"})).drop("__day")
 
 
 def retention(df: DataFrame, wanted: Filter, **columns) -> DataFrame:
     """One row: rows kept, rows in all, percentage kept."""
+    if wanted.dates and columns.get("day"):
+        df = with_dates(df, columns["day"])
     kept = F.count_if(F.coalesce(predicate(wanted, **columns), F.lit(False)))
     return df.agg(
         kept.alias("rows_kept"),
@@ -84,6 +93,7 @@ def distinct_options(df: DataFrame, column: str) -> DataFrame:
 
 def range_options(df: DataFrame, day: str, amount: str) -> DataFrame:
     """First and last calendar day, lowest and highest amount."""
+    df = with_dates(df, day)
     c, x = quoted(day), quoted(amount).cast("double")
     return df.agg(
         F.min(c).cast("date").alias("first_day"),

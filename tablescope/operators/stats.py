@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import adjusted_skew, blank_nan, correlation, numeric_columns, quoted, text_columns
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import grouped_quantiles, quantiles
 from .aggs import by_group, require
 from .filters import hash_sample
 
@@ -38,7 +38,7 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column]) -> list[dict]:
     found = quantiles(df, columns, BOX_PROBS)
     made, present = [], []
     for i, (name, c) in enumerate(columns.items()):
-        summary = found[(None, name)]
+        summary = found[name]
         if summary.count == 0:
             continue
         present.append((i, name, summary))
@@ -123,7 +123,7 @@ def deciles(df: DataFrame, column: str) -> DataFrame:
     require(df, column)
     clean = blank_nan(df)
     probs = [0.1, 0.25, 0.5, 0.75, 0.9]
-    found = quantiles(clean, {column: quoted(column)}, probs)[(None, column)].quantiles
+    found = quantiles(clean, {column: quoted(column)}, probs)[column].quantiles
     skew = F.col("skew")
     label = F.when(skew > 0.5, "right-skewed").when(skew < -0.5, "left-skewed").when(skew.isNotNull(), "approximately symmetric")
     names = ["p10", "p25", "median", "p75", "p90"]
@@ -245,30 +245,26 @@ def histogram_by_category(df: DataFrame, column: str, bins: int = 25, category:
     return histogram(df, column, bins, category or small_category(df))
 
 
-def box_stats(df: DataFrame, column: str, by: str | None = None, most_groups: int = 20) -> DataFrame:
-    """Quartiles, whisker ends and outlier count, overall or per category.
-
-    A category with more than ``most_groups`` values is not split, as in a box plot nobody could read.
-    """
+def box_stats(df: DataFrame, column: str, by: str | None = None) -> DataFrame:
+    """Quartiles, whisker ends and outlier count, overall or for every value of ``by``."""
     require(df, column, *([by] if by else []))
     clean = blank_nan(df)
-    if by and clean.where(quoted(by).isNotNull()).select(quoted(by)).distinct().limit(most_groups + 1).count() > most_groups:
-        by = None
     x = quoted(column).cast("double")
-    found = quantiles(clean, {"x": x}, BOX_PROBS, by)
-    rows = []
-    for (group, _), s in found.items():
-        if s.count:
-            q1, q2, q3 = (s.quantiles[p] for p in BOX_PROBS)
-            rows.append((None if group is None else str(group), q1, q2, q3, *fences(q1, q3, guard=False)))
-    boxes = df.sparkSession.createDataFrame(
-        rows, "category string, q1 double, median double, q3 double, low_fence double, high_fence double"
-    )
+    if by:
+        # One row per value of ``by``; Spark broadcasts it only while it is small.
+        found = grouped_quantiles(clean, quoted(by).cast("string"), x, BOX_PROBS)
+        edges = found.select(F.col("g").alias("category"), F.col("p0").alias("q1"), F.col("p1").alias("median"), F.col("p2").alias("q3"))
+        width = F.col("q3") - F.col("q1")
+        boxes = edges.select("*", (F.col("q1") - width * 1.5).alias("low_fence"), (F.col("q3") + width * 1.5).alias("high_fence"))
+    else:
+        s = quantiles(clean, {"x": x}, BOX_PROBS)["x"]
+        q1, q2, q3 = (s.quantiles[p] for p in BOX_PROBS)
+        rows = [(None, q1, q2, q3, *fences(q1, q3, guard=False))] if s.count else []
+        boxes = F.broadcast(df.sparkSession.createDataFrame(rows, "category string, q1 double, median double, q3 double, low_fence double, high_fence double"))
     slim = clean.where(x.isNotNull()).select((quoted(by).cast("string") if by else F.lit("")).alias("k"), x.alias("x"))
     inside = F.when(F.col("x").between(F.col("low_fence"), F.col("high_fence")), F.col("x"))
-    # One row per category, at most MAX_GROUPS of them.
     return (
-        slim.join(F.broadcast(boxes), F.col("k") == F.coalesce("category", F.lit("")))
+        slim.join(boxes, F.col("k") == F.coalesce("category", F.lit("")))
         .groupBy("category", "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),

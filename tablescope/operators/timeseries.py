@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from ..functions.dates import month_end, month_label
+from ..functions.dates import month_end, month_label, with_dates
 from ..functions.numbers import quoted, total
 from ..functions.quantiles import quantiles
 from .aggs import extreme_group, require
@@ -17,10 +17,10 @@ def by_month() -> WindowSpec:
 
 
 def monthly(df: DataFrame, day: str, value: str) -> DataFrame:
-    """``month, revenue``: sum per calendar month, months without rows filled with 0."""
+    """``month, revenue``: sum per calendar month, months without rows filled with 0. Dates may be text."""
     require(df, day, value)
     sums = (
-        df.where(quoted(day).isNotNull())
+        with_dates(df, day).where(quoted(day).isNotNull())
         .groupBy(month_end(quoted(day)).alias("month"))
         .agg(total(quoted(value)).alias("made"))
     )
@@ -101,12 +101,13 @@ def forecast(series: DataFrame) -> DataFrame:
 def median_instant(df: DataFrame, day: str):
     """Exact median of a date column in microseconds since 1970 (UTC)."""
     micros = F.unix_micros(quoted(day).cast("timestamp"))
-    return quantiles(df, {"at": micros}, [0.5])[(None, "at")].quantiles[0.5]
+    return quantiles(df, {"at": micros}, [0.5])["at"].quantiles[0.5]
 
 
 def half_changes(df: DataFrame, group: str, day: str, value: str) -> DataFrame:
     """Per group: revenue up to and after the median date and the change. One pass after the median."""
     require(df, group, day, value)
+    df = with_dates(df, day)
     middle = median_instant(df, day)
     early = F.unix_micros(quoted(day).cast("timestamp")) <= F.lit(middle)
     x = quoted(value)

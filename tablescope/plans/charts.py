@@ -12,6 +12,10 @@ from .answers import _shape
 from .tagging import tag_charts
 
 
+# Fixed value: the most boxes that a chart shows side by side.
+MOST_BOXES = 20
+
+
 def trend(df: DataFrame, r: Roles) -> DataFrame:
     """``month, revenue, ma3``."""
     return timeseries.moving_average(timeseries.monthly(df, r.date, r.sales))
@@ -62,6 +66,14 @@ def _split(r: Roles) -> str | None:
     return r.region or r.product or r.customer
 
 
+def _box_split(df: DataFrame, r: Roles) -> str | None:
+    """The category of a box chart; none, so one box for all rows, if it has more values than a chart can show."""
+    by = _split(r)
+    if by and df.where(quoted(by).isNotNull()).select(quoted(by)).distinct().limit(MOST_BOXES + 1).count() > MOST_BOXES:
+        return None
+    return by
+
+
 def _chart_rows(df: DataFrame, r: Roles, intent: str, n: int, ascending: bool, key: str | None) -> DataFrame | None:
     """One chart as ``rank, label, value, extra``; None when the table lacks a needed column."""
     if intent == "trend" and r.date and r.sales:
@@ -83,7 +95,7 @@ def _chart_rows(df: DataFrame, r: Roles, intent: str, n: int, ascending: bool, k
         points = stats.scatter_points(df, key, x, y, _split(r))
         return _shape(points, F.lit(None), quoted(_split(r)) if _split(r) else F.lit(None), quoted(x), quoted(y))
     if intent == "box" and r.sales:
-        boxes = stats.box_stats(df, r.sales, _split(r))
+        boxes = stats.box_stats(df, r.sales, _box_split(df, r))
         parts = ["whisker_low", "q1", "median", "q3", "whisker_high"]
         cells = boxes.select("category", F.posexplode(F.array(*[F.col(p).cast("double") for p in parts])).alias("at", "value"), "outliers")
         return _shape(cells, F.col("at") + 1, F.col("category"), F.col("value"), F.col("outliers"))

@@ -38,7 +38,7 @@ def summary(df: DataFrame, r: Roles) -> DataFrame:
 def revenue(df: DataFrame, r: Roles) -> DataFrame:
     """Totals; the top region with its share; five regions and five products."""
     x = quoted(r.sales)
-    median = quantiles(df, {"x": x}, [0.5])[(None, "x")].quantiles[0.5]
+    median = quantiles(df, {"x": x}, [0.5])["x"].quantiles[0.5]
     facts = df.agg(total(x).alias("total"), numbers.mean(x).alias("mean")).withColumn("median", F.lit(median).cast("double"))
     figures = facts.unpivot([], ["total", "mean", "median"], "label", "value")
     out = _part("figures", _shape(figures, F.lit(None), F.col("label"), F.col("value")))

@@ -6,15 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Share out a table that comes in fewer splits than there are cores, such as one small file.
-
-    A large table has splits enough and stays as it is, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
-
-
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
@@ -30,7 +21,6 @@ def sales(spark: SparkSession, folder: str, money: bool = True) -> DataFrame:
     price = F.col("l_extendedprice")
     place = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     buyer = customer.join(place, F.col("c_nationkey") == F.col("n_nationkey"))
-    line = spread(line, "l_orderkey")
     return (
         line.join(part, F.col("l_partkey") == F.col("p_partkey"))
         .join(orders.join(buyer, F.col("o_custkey") == F.col("c_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))

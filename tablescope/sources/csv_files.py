@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+from dataclasses import dataclass
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,64 +19,138 @@ MISSING_TEXTS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA",
     "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-WHOLE_NUMBER = r"^[+-]?[0-9]{1,18}$"
-OVERFLOW = "__overflow"
+WHOLE_NUMBER = r"^[+-]?[0-9]+$"
+# Byte-order marks of UTF-16, and of UTF-8, at the start of a file.
+WIDE_MARKS, PLAIN_MARK = (b"\xff\xfe", b"\xfe\xff"), b"\xef\xbb\xbf"
+# Files whose headers are broadcast at most.
+BROADCAST_FILES = 100_000
+
+
+@dataclass(frozen=True)
+class _Kind:
+    """Files with one header line and one encoding."""
+
+    names: tuple[str, ...]
+    encoding: str
+    header: bytes
+    valid: bool
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = False) -> DataFrame:
     """Every CSV file below ``path`` as one typed table.
 
-    Rows with too few fields are kept and filled with NULL, rows with too many are left out. Without
-    ``encoding`` each file is checked: files that are not valid UTF-8 are read as ISO-8859-1. Files
-    stay splittable unless ``multiline`` allows line breaks inside quotes.
+    Each file is read by its own header, so files may hold columns in another order; a column that
+    a file lacks is NULL there. Rows with too few fields are kept and filled with NULL, rows with
+    too many are left out. Without ``encoding`` each file is checked: UTF-16 by its mark, else
+    UTF-8 if valid, else ISO-8859-1. Files stay splittable unless ``multiline`` allows line breaks
+    inside quotes (or they are UTF-16). Only the distinct headers come to the driver, and the
+    names of UTF-16 files.
     """
-    if encoding:
-        table = _read_text_table(spark, [path], encoding, multiline)
-    else:
-        table = _read_mixed(spark, path, multiline)
-    return infer_column_types(clean_names(table))
-
-
-def _read_mixed(spark, path, multiline):
-    lines = spark.read.text(path)
-    verdicts = lines.groupBy(F.input_file_name().alias("file")).agg(F.every(F.is_valid_utf8("value")).alias("valid")).cache()
-    # File names only, and only when some file needs the other encoding.
-    foreign = [r["file"] for r in verdicts.where("not valid").collect()]
-    if not foreign:
-        verdicts.unpersist()
-        return _read_text_table(spark, [path], "UTF-8", multiline)
-    plain = [r["file"] for r in verdicts.where("valid").collect()]
-    verdicts.unpersist()
-    table = _read_text_table(spark, foreign, "ISO-8859-1", multiline)
+    files = _file_kinds(spark, path)
+    kinds = [_kind(bytes(r["header"]), r["valid"], encoding) for r in files.groupBy("header", "valid").agg(F.min("file").alias("f")).orderBy("f").collect()]
+    if not kinds:
+        raise ValueError(f"no data in {path}")
+    tables = []
+    plain = [k for k in kinds if k.encoding != "UTF-16"]
     if plain:
-        table = _read_text_table(spark, plain, "UTF-8", multiline).unionByName(table)
-    return table
+        tables.append(_read_plain(spark, path, files, plain, len(plain) < len(kinds), multiline))
+    for kind in kinds:
+        if kind.encoding == "UTF-16":
+            names = files.where(F.col("header") == F.lit(kind.header)).select("file").collect()
+            tables.append(_read_positions(spark, [unquote(r["file"]) for r in names], kind.names, "UTF-16", True))
+    table = tables[0]
+    for other in tables[1:]:
+        table = table.unionByName(other, allowMissingColumns=True)
+    return infer_column_types(clean_names(table))
 
 
-def _read_text_table(spark, paths, encoding, multiline):
-    reader = spark.read.options(
-        header=True, encoding=encoding, multiLine=multiline, quote='"', escape='"', mode="PERMISSIVE", inferSchema=False
-    )
-    names = reader.csv(paths).columns
-    if not names:
-        raise ValueError(f"no data in {paths}")
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, OVERFLOW]])
-    table = reader.schema(schema).csv(paths)
-    return table.where(F.col(OVERFLOW).isNull()).drop(OVERFLOW)
+def _file_kinds(spark, path) -> DataFrame:
+    """A row per file: ``file``, ``header`` (bytes of the first line) and whether all lines are valid UTF-8."""
+    first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"), F.is_valid_utf8("value").alias("ok"), first.alias("at"))
+    return lines.groupBy("file").agg(F.min_by("line", "at").alias("header"), F.every("ok").alias("valid")).where("header IS NOT NULL")
+
+
+def _kind(header: bytes, valid: bool, encoding: str | None) -> _Kind:
+    if (encoding or "").upper().startswith("UTF-16") or encoding is None and header.startswith(WIDE_MARKS):
+        kept = header.removesuffix(b"\r") if len(header) % 2 else header
+        return _Kind(_fields(kept.decode("utf-16", "ignore")), "UTF-16", header, valid)
+    used = encoding or ("UTF-8" if valid else "ISO-8859-1")
+    return _Kind(_fields(header.removeprefix(PLAIN_MARK).decode(used, "replace")), used, header, valid)
+
+
+def _fields(line: str) -> tuple[str, ...]:
+    """Header names; repeated ones are numbered ``name.1``, ``name.2``."""
+    out: list[str] = []
+    for i, name in enumerate(next(csv.reader([line.strip("\r\n")]), [])):
+        name, base, n = name or f"_c{i}", name or f"_c{i}", 0
+        while name in out:
+            n += 1
+            name = f"{base}.{n}"
+        out.append(name)
+    return tuple(out)
+
+
+def _raw(spark, paths, width: int, encoding: str, multiline: bool) -> DataFrame:
+    """Fields by position, one more than any header has; the reader leaves out the first line of each file."""
+    schema = T.StructType([T.StructField(f"f{i}", T.StringType()) for i in range(width + 1)])
+    options = {"header": True, "enforceSchema": True, "encoding": encoding, "multiLine": multiline, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+    return spark.read.schema(schema).options(**options).csv(paths)
+
+
+def _read_positions(spark, paths, names, encoding, multiline) -> DataFrame:
+    raw = _raw(spark, paths, len(names), encoding, multiline)
+    return raw.where(F.col(f"f{len(names)}").isNull()).select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)])
+
+
+def _read_plain(spark, path, files, kinds: list[_Kind], others: bool, multiline: bool) -> DataFrame:
+    """All files of single-byte separators in one scan; with several kinds each row learns its file's."""
+    if len(kinds) == 1 and not others:
+        return _read_positions(spark, path, kinds[0].names, kinds[0].encoding, multiline)
+    # Read as ISO-8859-1, bytes stay what they are, and each field is decoded by its file's encoding.
+    width = max(len(k.names) for k in kinds)
+    raw = _raw(spark, path, width, "ISO-8859-1", multiline).withColumn("file", F.col("_metadata.file_path"))
+    number = F.coalesce(*[F.when((F.col("header") == F.lit(k.header)) & (F.col("valid") == k.valid), i) for i, k in enumerate(kinds)])
+    known = files.select("file", number.alias("kind")).where("kind IS NOT NULL")
+    if known.count() <= BROADCAST_FILES:
+        known = F.broadcast(known)
+    raw = raw.join(known, "file")
+    names = list(dict.fromkeys(n for k in kinds for n in k.names))
+
+    def field(k: _Kind, i: int) -> Column:
+        c = F.col(f"f{i}")
+        return c if k.encoding == "ISO-8859-1" else F.decode(F.encode(c, "ISO-8859-1"), k.encoding)
+
+    columns = []
+    for name in names:
+        value = F.lit(None).cast("string")
+        for number_, k in enumerate(kinds):
+            if name in k.names:
+                value = F.when(F.col("kind") == number_, field(k, k.names.index(name))).otherwise(value)
+        columns.append(value.alias(name))
+    fits = F.lit(False)
+    for number_, k in enumerate(kinds):
+        fits = fits | ((F.col("kind") == number_) & F.col(f"f{len(k.names)}").isNull())
+    return raw.where(fits).select(*columns)
 
 
 def infer_column_types(df: DataFrame) -> DataFrame:
     """Text table to a typed one: whole numbers, numbers and truth values where every value fits.
 
-    One pass looks at all columns. Dates stay text, as their format is for the cleaning steps to find.
+    One pass looks at all columns. Whole numbers beyond 64 bits become DECIMAL(38,0), still wider
+    ones stay text, so no two ids ever become one. Dates stay text, as their format is for the
+    cleaning steps to find.
     """
     texts = {c: F.when(~quoted(c).isin(MISSING_TEXTS), quoted(c)) for c in df.columns}
     checks = []
     for i, value in enumerate(texts.values()):
         plain = F.trim(value)
+        whole = F.when(plain.rlike(WHOLE_NUMBER), plain)
         checks += [
             F.count(value).alias(f"n{i}"),
-            F.count_if(plain.rlike(WHOLE_NUMBER)).alias(f"whole{i}"),
+            F.count(whole).alias(f"whole{i}"),
+            F.count(whole.try_cast("bigint")).alias(f"long{i}"),
+            F.count(whole.try_cast("decimal(38,0)")).alias(f"wide{i}"),
             F.count(parse_number(value)).alias(f"number{i}"),
             F.count_if(plain.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"truth{i}"),
         ]
@@ -81,7 +159,8 @@ def infer_column_types(df: DataFrame) -> DataFrame:
     for i, (name, value) in enumerate(texts.items()):
         n = seen[f"n{i}"]
         if n and seen[f"whole{i}"] == n:
-            value = F.trim(value).try_cast("bigint")
+            if seen[f"wide{i}"] == n:
+                value = F.trim(value).try_cast("bigint" if seen[f"long{i}"] == n else "decimal(38,0)")
         elif n and seen[f"number{i}"] == n:
             value = parse_number(value)
         elif n and seen[f"truth{i}"] == n:

@@ -81,13 +81,13 @@ def test_quantiles_are_exact(spark, monkeypatch, limit, shape):
     rows = [(v, "a" if i % 3 else "b") for i, v in enumerate(values)] + [(None, "a"), (1.0, None)][:1]
     df = spark.createDataFrame(rows, "x double, k string").repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = quantiles.quantiles(df, {"x": F.col("x")}, probs)[(None, "x")]
+    got = quantiles.quantiles(df, {"x": F.col("x")}, probs)["x"]
     assert got.count == len(values)
     assert [got.quantiles[p] for p in probs] == pytest.approx(list(np.quantile(values, probs)), rel=1e-12)
-    grouped = quantiles.quantiles(df, {"x": F.col("x")}, probs, by="k")
+    grouped = {r["g"]: r for r in quantiles.grouped_quantiles(df, F.col("k"), F.col("x"), probs).collect()}
     for key, part in pd.DataFrame(rows, columns=["x", "k"]).dropna().groupby("k")["x"]:
-        mine = grouped[(key, "x")].quantiles
-        assert [mine[p] for p in probs] == pytest.approx(list(np.quantile(part, probs)), rel=1e-12)
+        assert grouped[key]["count"] == len(part)
+        assert [grouped[key][f"p{i}"] for i in range(len(probs))] == pytest.approx(list(np.quantile(part, probs)), rel=1e-12)
     for k in (1, 3):
         assert quantiles.kth_largest(df, F.col("x"), k) == sorted(values)[-k]
     assert quantiles.kth_largest(df, F.col("x"), len(values) + 1) is None

@@ -2,6 +2,9 @@ import datetime as dt
 
 import pytest
 
+from pyspark.sql import functions as F
+
+from tablescope.functions.quantiles import quantiles
 from tablescope.operators import aggs, clean, evidence, filters, issues, kpi, profile, repair, roles, stats, timeseries
 from tablescope.plans import findings
 
@@ -79,8 +82,9 @@ def test_histogram_keeps_every_row_and_empty_bins(spark):
     assert split.count() == 10 and split.agg({"n": "sum"}).first()[0] == 5
     same = stats.histogram(df.where("x = 0"), "x", 4)
     assert [r["n"] for r in same.orderBy("bin").collect()] == [2, 0, 0, 0]
-    many = spark.range(30).selectExpr("cast(id as string) k", "cast(id as double) x")
-    assert [r["category"] for r in stats.box_stats(many, "x", "k").collect()] == [None]
+    many = spark.range(1500).selectExpr("cast(id % 500 as string) k", "cast(id as double) x")
+    boxes = {r["category"]: r for r in stats.box_stats(many, "x", "k").collect()}
+    assert len(boxes) == 500 and (boxes["7"]["q1"], boxes["7"]["median"], boxes["7"]["q3"], boxes["7"]["n"]) == (257.0, 507.0, 757.0, 3)
     assert len(stats.box_stats(df, "x", "k").collect()) == 2
 
 
@@ -123,7 +127,7 @@ def test_cleaning_follows_the_given_order(spark):
         ("flag", "standardize_boolean"), ("nope", "trim_whitespace"), ("flag", "bogus"),
     ]
     cleaned, counters, log = clean.apply_cleaning(df, steps)
-    assert rows(cleaned, "name", "amount") == [("", 5.0, None), ("A", 1.0, True), ("B", 5.0, False), ("Unknown", 9.0, None)]
+    assert rows(cleaned, "name", "amount") == [("", 5.0, "maybe"), ("A", 1.0, "True"), ("B", 5.0, "False"), ("Unknown", 9.0, "maybe")]
     assert counters.first().asDict() == {
         "rows_before": 5, "rows_after": 4, "duplicates_removed": 1, "missing_fixed": 4, "columns_standardized": 4,
         "outliers_handled": 0, "columns_dropped": 0, "type_conversions": 1,
@@ -140,12 +144,37 @@ def test_cleaning_follows_the_given_order(spark):
 
 def test_a_failing_step_is_logged_and_skipped(spark, monkeypatch):
     df = spark.createDataFrame([(" a",), (None,)], "k string")
-    monkeypatch.setattr(clean.text, "title_case", lambda c: 1 / 0)
+    monkeypatch.setattr(clean.text, "title_case", lambda c: F.col("not there"))
     cleaned, _, log = clean.apply_cleaning(df, [("k", "trim_whitespace"), ("k", "standardize_case"), ("k", "fill_missing_unknown")])
     assert [r["status"] for r in log.orderBy("step").collect()] == ["Applied", "Failed", "Applied"]
     assert rows(cleaned, "k") == [("Unknown",), ("a",)]
 
 
+def test_failures_of_the_job_are_not_hidden(spark):
+    @F.udf("string")
+    def dies(value):
+        raise OSError("disk full")
+
+    df = spark.createDataFrame([("1",), ("2",)], "k string").withColumn("k", dies("k"))
+    with pytest.raises(Exception, match="disk full"):
+        clean.apply_cleaning(df, [("k", "fill_missing_mode")])[0].count()
+
+
+def test_numeric_ties_words_and_dates_that_do_not_fit(spark):
+    df = spark.createDataFrame([(9.0, "yes", "soon"), (10.0, "maybe", "later"), (9.0, "NO", None), (10.0, None, "x"), (None, "y", "z")], "x double, f string, d string")
+    cleaned, _, log = clean.apply_cleaning(df, [("x", "fill_missing_mode"), ("f", "standardize_boolean"), ("d", "convert_to_datetime")])
+    assert sorted(r["x"] for r in cleaned.collect()) == [9.0, 9.0, 9.0, 10.0, 10.0]
+    assert sorted(str(r["f"]) for r in cleaned.collect()) == ["False", "None", "True", "True", "maybe"]
+    assert sorted(str(r["d"]) for r in cleaned.collect()) == ["None", "later", "soon", "x", "z"]
+    assert [r["status"] for r in log.orderBy("step").collect()] == ["Applied", "Applied", "Skipped"]
+
+
+def test_many_columns_and_probabilities(spark):
+    df = spark.range(101).select(*[(F.col("id") * (i + 1)).cast("double").alias(f"c{i}") for i in range(300)])
+    found = quantiles(df, {c: F.col(c) for c in df.columns}, [0.25, 0.5, 0.75])
+    assert [found[f"c{i}"].quantiles[0.5] for i in (0, 1, 299)] == [50.0, 100.0, 15000.0] and found["c3"].quantiles[0.25] == 100.0
+
+
 def test_issues_disappear_after_their_action(spark):
     data = [(" a", "1", i) for i in range(30)] + [("A", "2", None), ("b", "x", 1000)]
     df = spark.createDataFrame(data, "k string, n string, x int")

@@ -18,6 +18,35 @@ def test_mixed_encodings(spark, tmp_path):
     assert sorted(tuple(r) for r in table.collect()) == [("é", 1), ("é", 2)]
 
 
+def test_each_file_is_read_by_its_own_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("city,price\nRome,1\nParis,2\n")
+    (tmp_path / "b.csv").write_text("price,city,more\n3,Bonn,x\n4,Ulm,y,long\n5\n")
+    (tmp_path / "c.csv").write_bytes("city,price\nNîmes,6\n".encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes("\ufeffcity,price\nTromsø,7\n".encode())
+    (tmp_path / "e.csv").write_bytes("city,price\nŁódź,8\n".encode("utf-16"))
+    table = csv_files.read_csv(spark, str(tmp_path))
+    assert dict(table.dtypes) == {"city": "string", "price": "bigint", "more": "string"}
+    assert sorted(map(tuple, table.select("price", "city", "more").collect())) == [
+        (1, "Rome", None), (2, "Paris", None), (3, "Bonn", "x"), (5, None, None), (6, "Nîmes", None), (7, "Tromsø", None), (8, "Łódź", None),
+    ]
+
+
+def test_blank_in_a_path(spark, tmp_path):
+    folder = tmp_path / "my files"
+    folder.mkdir()
+    (folder / "a b.csv").write_bytes("k,k\né,1\n".encode("latin-1"))
+    (folder / "c%20d.csv").write_bytes("k,k\né,2\n".encode())
+    table = csv_files.read_csv(spark, str(folder))
+    assert sorted(map(tuple, table.collect())) == [("é", 1), ("é", 2)] and table.columns == ["k", "k.1"]
+
+
+def test_wide_whole_numbers_stay_apart(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("a,b,c,d\n1234567890123456789,12345678901234567890,1" + "0" * 40 + ",1.5\n1234567890123456788,12345678901234567891,2,7\n")
+    table = csv_files.read_csv(spark, str(tmp_path))
+    assert table.dtypes == [("a", "bigint"), ("b", "decimal(38,0)"), ("c", "string"), ("d", "double")]
+    assert table.select("a").distinct().count() == table.select("b").distinct().count() == 2
+
+
 def test_names_and_types(spark, tmp_path):
     (tmp_path / "n.csv").write_text(" a ,Unnamed: 1,b,c\n1,9,True,NA\n,8,False,1.5\n")
     table = csv_files.read_csv(spark, str(tmp_path))
