@@ -17,7 +17,7 @@ from tablescope.session import local_session  # noqa: E402
 
 HEADLINE = [
     "kpis", "profile_columns", "issues_all", "clean_full", "correlation_matrix", "monthly_ma3", "distribution_metrics", "box_by_category",
-    "treemap_rollup", "pivot_heatmap", "declining_region", "q_top_percentile", "insight_cards", "categorical_insight",
+    "treemap_rollup", "pivot_heatmap", "declining_region", "q_top_percentile", "insight_cards", "categorical_insight", "quality_score_issues", "answer_questions",
 ]
 
 

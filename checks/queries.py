@@ -266,7 +266,7 @@ def _(df):
 
 
 def _suggested(df):
-    columns = profile.profile_columns(df)
+    columns = profile.profile_columns(df, stored=True)
     return clean.enabled_steps(issues.suggest(columns, issues.detect_issues(df, columns)))
 
 
@@ -351,7 +351,7 @@ for _how in ("sum", "mean", "count", "max", "min"):
 
 @on_sales("global_totals", 4)
 def _(df):
-    middle = aggs.totals(df, "price").withColumn("median", F.lit(stats.quantiles(df, {"x": F.col("price")}, [0.5])[(None, "x")].quantiles[0.5]))
+    middle = aggs.totals(df, "price").withColumn("median", F.lit(stats.quantiles(df, {"x": F.col("price")}, [0.5])["x"].quantiles[0.5]))
     return middle
 
 

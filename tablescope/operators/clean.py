@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from ..functions import text
 from ..functions.dates import DATE_FORMATS, parse_date
 from ..functions.numbers import DATE_TYPES, NUMERIC_TYPES, blank_nan, quoted
+from ..functions.order import written
 from ..functions.quantiles import quantiles
 from ..session import cut_lineage
 from .evidence import value_pairs
@@ -74,13 +75,14 @@ COUNTERS = [
 ]
 
 
-def apply_cleaning(df: DataFrame, steps) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_cleaning(df: DataFrame, steps, stored: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Apply ``(column, action)`` steps: cleaned frame, one-row counters, log.
 
+    Unless the table is ``stored`` as files already, it is written once and the passes read that.
     A step that fails, names no column of the table or no known action is logged and skipped.
     """
     queue = [Step(i, column, action) for i, (column, action) in enumerate(steps, 1)]
-    frame, report = blank_nan(df), Report()
+    frame, report = blank_nan(df if stored else written(df, "cleaning")), Report()
     report.rows_before = report.rows_after = frame.count()
     block: list[Step] = []
     for step in queue:

@@ -1,13 +1,13 @@
-"""Per-column evidence from one scan: what the values of every column look like.
+"""Per-column evidence: what the values of every column look like.
 
-The table is turned into ``column, value`` pairs and counted once. Regular expressions and date
-parsing then run on distinct values only, and the same counts give distinct numbers, constancy,
-label variants and most frequent values. The evidence is one row per column.
+Cells are seen as ``column, value`` rows, which are summed up by column where they lie, so no
+cell is shuffled for patterns, types and dates. Numbers of distinct values come from a second pass
+over 96-bit hashes. Only columns found to be categories have their values counted as text.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,36 +43,39 @@ def value_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def column_evidence(df: DataFrame) -> DataFrame:
-    """One row per column, in table order; see the module text.
+def _cells(df: DataFrame) -> DataFrame:
+    """``column, value`` of every cell as text, NULL included."""
+    frame = blank_nan(df)
+    texts = frame.select(*[quoted(c).cast("string").alias(c) for c in frame.columns])
+    return texts.unpivot([], [quoted(c) for c in frame.columns], "column", "value")
 
-    An empty table gives zero counts for every column.
-    """
+
+def distinct_counts(df: DataFrame) -> DataFrame:
+    """``column, unique_count``: distinct values per column, NULL left out, told apart by two hashes (96 bits)."""
+    hashed = _cells(df).where("value IS NOT NULL").select("column", F.xxhash64("value").alias("a"), F.hash("value").alias("b"))
+    return hashed.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+
+
+def column_patterns(df: DataFrame) -> DataFrame:
+    """One row per column, in table order: counts of what its values look like, from one scan that shuffles one row per column and task."""
     fields = df.schema.fields
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
-    n, value = F.col("n"), F.col("value")
+    value, plain = F.col("value"), F.col("plain")
     is_text = F.col("column").isin(texts) if texts else F.lit(False)
-    plain = F.col("plain")
-    pairs = value_pairs(df).select("column", "value", "n", F.when(is_text, text.strip(value)).alias("plain")).select(
-        "*", F.when(is_text, text.parse_number(value)).alias("number"), date_shape(plain).alias("shape")
-    )
-    dates = [
-        F.coalesce(F.sum(F.when(parse_shaped_date(plain, F.col("shape"), fmt).isNotNull(), n)), F.lit(0)).alias(f"date{i}")
-        for i, (fmt, _) in enumerate(DATE_FORMATS)
-    ]
-
-    def rows_where(condition):
-        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
-
-    seen = pairs.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        rows_where(value.isNull()).alias("missing_count"),
-        F.count("value").alias("unique_count"),
-        F.coalesce(F.every(text.is_boolean_word(value)), F.lit(False)).alias("boolean_words"),
-        rows_where(F.col("number").isNotNull()).alias("number_count"),
+    # The generator keeps the derived values from being made again for every count below.
+    derived = F.struct(F.when(is_text, text.strip(value)).alias("plain"), text.has_non_printable(value).alias("special"), text.is_boolean_word(value).alias("truth"))
+    cells = _cells(df).select("column", "value", F.explode(F.array(derived)).alias("d")).select("column", "value", "d.*")
+    shaped = F.struct(F.when(is_text, text.parse_number(plain)).alias("number"), date_shape(plain).alias("shape"))
+    cells = cells.select("*", F.explode(F.array(shaped)).alias("s")).select("column", "value", "plain", "special", "truth", "s.*")
+    dates = [F.count(parse_shaped_date(plain, F.col("shape"), fmt)).alias(f"date{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]
+    seen = cells.groupBy("column").agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(value.isNull()).alias("missing_count"),
+        F.coalesce(F.every("truth"), F.lit(False)).alias("boolean_words"),
+        F.count("number").alias("number_count"),
         F.coalesce(F.every(F.col("number") == F.floor("number")), F.lit(False)).alias("whole_numbers"),
-        rows_where(is_text & (value != plain)).alias("padded_count"),
-        rows_where(is_text & text.has_non_printable(value)).alias("special_count"),
+        F.count_if(is_text & (value != plain)).alias("padded_count"),
+        F.count_if(is_text & F.col("special")).alias("special_count"),
         *dates,
     )
     columns = df.sparkSession.createDataFrame(
@@ -81,21 +84,32 @@ def column_evidence(df: DataFrame) -> DataFrame:
     )
     counts = [c for c in seen.columns if c not in ("column", "boolean_words", "whole_numbers")]
     joined = columns.join(seen, "column", "left").fillna(0, counts).fillna(False, ["boolean_words", "whole_numbers"])
-    return joined.withColumns(_decide()).drop(*[f"date{i}" for i in range(len(DATE_FORMATS))])
+    best, fmt = _best_date()
+    return joined.withColumns({"date_count": best, "date_format": fmt}).drop(*[f"date{i}" for i in range(len(DATE_FORMATS))])
 
 
-def _decide() -> dict:
-    """Expressions for the best date format and the inferred type."""
-    present = F.col("rows") - F.col("missing_count")
+def column_evidence(df: DataFrame) -> DataFrame:
+    """The patterns of every column, its number of distinct values and its inferred type; zero counts for an empty table."""
+    joined = column_patterns(df).join(distinct_counts(df), "column", "left").fillna(0, ["unique_count"])
+    return joined.withColumn("inferred_type", _inferred())
+
+
+def _best_date() -> tuple[Column, Column]:
+    """How many values the best date format fits, and which it is."""
     parsed = [F.col(f"date{i}") for i in range(len(DATE_FORMATS))]
     best = F.greatest(*parsed)
     chosen = F.when(F.lit(False), "")
     for (fmt, _), count in zip(DATE_FORMATS, parsed):
         chosen = chosen.when((best > 0) & (count == best), fmt)
-    share = F.try_divide(best.cast("double"), present.cast("double"))
+    return best, chosen
+
+
+def _inferred() -> Column:
+    present = F.col("rows") - F.col("missing_count")
+    share = F.try_divide(F.col("date_count").cast("double"), present.cast("double"))
     numeric = F.try_divide(F.col("number_count").cast("double"), present.cast("double"))
     variety = F.try_divide(F.col("unique_count").cast("double"), present.cast("double"))
-    kind = (
+    return (
         F.when(present == 0, "string")
         .when(F.col("boolean_words"), "boolean")
         .when(F.col("label").isin("datetime", "integer", "float"), F.col("label"))
@@ -105,7 +119,6 @@ def _decide() -> dict:
         .when((variety < CATEGORY_RATIO) | (F.col("unique_count") <= CATEGORY_VALUES), "categorical")
         .otherwise("string")
     )
-    return {"date_count": best, "date_format": chosen, "inferred_type": kind}
 
 
 def label_variants(df: DataFrame, columns: list[str]) -> DataFrame:

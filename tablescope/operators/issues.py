@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import written
 from .profile import duplicate_rows, profile_columns
 
 DATASET = "(dataset)"
@@ -84,9 +85,11 @@ def _rules() -> list[Column]:
     ]
 
 
-def detect_issues(df: DataFrame, profile: DataFrame | None = None) -> DataFrame:
+def detect_issues(df: DataFrame, profile: DataFrame | None = None, stored: bool = False) -> DataFrame:
     """``column, issue_type, severity, description, affected_count`` plus ``position, issue_at`` for order."""
-    profile = profile if profile is not None else profile_columns(df)
+    if profile is None:
+        df = df if stored else written(df, "issues")
+        profile = profile_columns(df, stored=True)
     per_column = profile.select(
         "column", "position", F.explode(F.array_compact(F.array(*_rules()))).alias("issue")
     ).select("column", "position", "issue.*")

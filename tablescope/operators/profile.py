@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import blank_nan, percent, quoted
 from ..functions.text import parse_number
+from ..functions.order import written
 from .evidence import column_evidence, label_variants, value_pairs
 from .stats import SUMMARY_SCHEMA, numeric_summary
 
@@ -19,16 +20,19 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 def _row_facts(df: DataFrame) -> DataFrame:
     """One row: rows, duplicate rows, missing cells, from one scan.
 
-    Equal rows meet through one partially aggregated shuffle, so a row copied very often is
-    counted where it lies and does not fill one task.
+    Rows meet as two 64-bit hashes through one partially aggregated shuffle, so cells are not
+    shuffled and a row copied very often does not fill one task.
     """
     frame = blank_nan(df)
-    copies = frame.groupBy(*[quoted(c) for c in frame.columns]).agg(F.count(F.lit(1)).alias("__copies"))
+    # Hashes pass over NULL, so each column is joined by whether it is one.
+    parts = [x for c in frame.columns for x in (quoted(c), quoted(c).isNull())]
     gaps = sum((quoted(c).isNull().cast("long") for c in frame.columns), F.lit(0).cast("long"))
+    hashed = frame.select(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"), gaps.alias("gaps"))
+    copies = hashed.groupBy("a", "b", "gaps").agg(F.count(F.lit(1)).alias("copies"))
     return copies.agg(
-        F.coalesce(F.sum("__copies"), F.lit(0)).alias("rows"),
-        F.coalesce(F.sum("__copies") - F.count(F.lit(1)), F.lit(0)).alias("duplicate_rows"),
-        F.coalesce(F.sum(gaps * F.col("__copies")), F.lit(0)).alias("total_missing"),
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("copies") - F.count(F.lit(1)), F.lit(0)).alias("duplicate_rows"),
+        F.coalesce(F.sum(F.col("gaps") * F.col("copies")), F.lit(0)).alias("total_missing"),
     )
 
 
@@ -47,14 +51,17 @@ def completeness(df: DataFrame) -> DataFrame:
     )
 
 
-def profile_columns(df: DataFrame) -> DataFrame:
+def profile_columns(df: DataFrame, stored: bool = False) -> DataFrame:
     """One row per column: evidence, inferred type and, for numeric columns, statistics.
 
-    The passes do not depend on the number of columns: evidence, spellings of the category
-    columns, and for the numeric ones a rank sketch, the ranks and the moments. Only these per-column records come to the driver, where the inferred types choose
-    which columns get statistics; the returned frame is built from them and costs nothing to reuse.
+    The passes do not depend on the number of columns: patterns, distinct counts, spellings of the
+    category columns, and for the numeric ones a rank sketch, the ranks and the moments. Unless
+    the table is ``stored`` as files already, it is written once, and the passes read that. Only
+    per-column records come to the driver, where the inferred types choose which columns get
+    statistics; the returned frame is built from them and costs nothing to reuse.
     """
     spark = df.sparkSession
+    df = df if stored else written(df, "profile")
     evidence = column_evidence(df)
     rows = evidence.collect()
     numeric = {}
@@ -142,10 +149,9 @@ def _penalised(table: DataFrame) -> DataFrame:
 
 def quality_score(df: DataFrame) -> DataFrame:
     """0-100 from missing cells, duplicate rows and constant columns, with a label."""
-    constant = (
-        value_pairs(df).where("value is not null").groupBy("column").agg(F.count("value").alias("values"))
-        .agg(F.lit(len(df.columns)) - F.count_if(F.col("values") > 1)).scalar()
-    )
+    frame = blank_nan(df)
+    constants = [F.coalesce(F.min(quoted(c)) == F.max(quoted(c)), F.lit(True)).cast("int") for c in frame.columns]
+    constant = frame.agg(sum(constants, F.lit(0)).alias("constant")).scalar()
     table = _penalised(profile_dataset(df)).withColumn("constant", constant)
     return _score(table, F.col("base") - F.col("constant") * 5)
 

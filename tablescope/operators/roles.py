@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evidence import DATE_SHARE, column_evidence
+from .evidence import DATE_SHARE, column_patterns
 
 # Role, accepted kind of column, whether the first column of that kind stands in
 # when no name matches, and the name parts in order of preference.
@@ -52,7 +52,7 @@ def column_roles(df: DataFrame, style: str = "contains") -> DataFrame:
     present = F.col("rows") - F.col("missing_count")
     parses = F.coalesce(F.try_divide(F.col("date_count").cast("double"), present.cast("double")) >= DATE_SHARE, F.lit(False))
     # Column names only: as many rows as the table has columns.
-    names = column_evidence(df).select(
+    names = column_patterns(df).select(
         "position", "column", F.lower("column").alias("name"), "label", parses.alias("parses")
     )
     kinds = names.select(
