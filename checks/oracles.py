@@ -160,6 +160,11 @@ ORACLES["csv_wide_ids"] = sales(
     "concat(CAST(max(rid) + 9122456789012345678 AS VARCHAR), '00') AS widest FROM sales"
 )
 ORACLES["xlsx_folder"] = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLES["xlsx_dates"] = (
+    "WITH m AS (SELECT last_day(CAST(o_orderdate AS DATE)) AS month, sum(o_totalprice) AS made FROM orders GROUP BY 1), "
+    "s AS (SELECT last_day(CAST(unnest(generate_series(date_trunc('month', min(month)), date_trunc('month', max(month)), INTERVAL 1 MONTH)) AS DATE)) AS month FROM m) "
+    "SELECT month, round(coalesce(made, 0), 2) AS revenue FROM s LEFT JOIN m USING (month)"
+)
 ORACLES["clean_names"] = "SELECT c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer"
 
 # ---- typing ------------------------------------------------------------------------------------

@@ -98,12 +98,24 @@ def _(df):
     )
 
 
+def _workbooks(spark, table):
+    """``table`` as a folder of workbooks and back; the text writer passes bytes through, one file a record."""
+    path = session.scratch_path(spark, "workbooks")
+    files = table.mapInPandas(pack, "path string, content binary")
+    files.select(F.col("content").cast("string")).write.option("maxRecordsPerFile", 1).text(path)
+    return workbooks.read_workbooks(spark, path, "part-*")
+
+
 def _xlsx(spark, folder):
-    buyers = spark.read.parquet(f"{folder}/customer.parquet")
-    files = buyers.mapInPandas(pack, "path string, content binary")
-    return workbooks.parse_workbooks(files)
+    return _workbooks(spark, spark.read.parquet(f"{folder}/customer.parquet"))
+
+
+def _xlsx_dates(spark, folder):
+    orders = spark.read.parquet(f"{folder}/orders.parquet").select("o_orderkey", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"), "o_totalprice")
+    return timeseries.monthly(_workbooks(spark, orders), "o_orderdate", "o_totalprice")
 
 
+QUERIES["xlsx_dates"] = lambda spark, folder: rounded(_xlsx_dates(spark, folder), 2)
 QUERIES["xlsx_folder"] = _xlsx
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import datetime
 from xml.sax.saxutils import escape
 
 import pandas as pd
@@ -20,10 +21,18 @@ LINKS = (
 )
 
 
+STYLES = (
+    '<styleSheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><numFmts count="1"><numFmt numFmtId="164" formatCode="dd/mm/yyyy"/></numFmts>'
+    '<cellXfs count="2"><xf numFmtId="0"/><xf numFmtId="164"/></cellXfs></styleSheet>'
+)
+
+
 def workbook_bytes(names, rows) -> bytes:
     def cell(value):
         if value is None:
             return "<c/>"
+        if isinstance(value, datetime):
+            return f'<c s="1"><v>{(value - datetime(1899, 12, 30)).total_seconds() / 86400!r}</v></c>'
         if isinstance(value, str):
             return f'<c t="inlineStr"><is><t>{escape(value)}</t></is></c>'
         return f"<c><v>{value!r}</v></c>"
@@ -34,6 +43,7 @@ def workbook_bytes(names, rows) -> bytes:
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
         book.writestr("xl/workbook.xml", BOOK)
         book.writestr("xl/_rels/workbook.xml.rels", LINKS)
+        book.writestr("xl/styles.xml", STYLES)
         book.writestr("xl/worksheets/sheet1.xml", sheet)
     return out.getvalue()
 
@@ -41,5 +51,5 @@ def workbook_bytes(names, rows) -> bytes:
 def pack(batches):
     """mapInPandas helper: each batch of rows becomes one workbook."""
     for at, batch in enumerate(batches):
-        rows = [[v.item() if hasattr(v, "item") else v for v in r] for r in batch.itertuples(index=False)]
+        rows = [[v.item() if hasattr(v, "item") else v.to_pydatetime() if hasattr(v, "to_pydatetime") else v for v in r] for r in batch.itertuples(index=False)]
         yield pd.DataFrame({"path": [f"part-{at}.xlsx"], "content": [workbook_bytes(list(batch.columns), rows)]})

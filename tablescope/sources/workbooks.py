@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,9 +21,18 @@ OFFICE = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
-    """All workbooks of a folder as one typed table; sheets may name their columns in any order."""
-    return parse_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(folder))
+# Built-in number formats that show dates or times, and the first days of the two calendars.
+DATE_STYLES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+DAY_ZERO = {False: datetime(1899, 12, 30), True: datetime(1904, 1, 1)}
+
+
+def read_workbooks(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> DataFrame:
+    """All workbooks of a folder as one typed table; sheets may name their columns in any order.
+
+    Cells shown as dates become ISO text, which the date steps read; repeated names of a sheet are
+    numbered ``name.1``, ``name.2``.
+    """
+    return parse_workbooks(spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder))
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
@@ -44,7 +54,7 @@ def _parse_files(batches):
             header, out = None, []
             for number, cells in _sheet_rows(content):
                 if header is None:
-                    header = {i: v for i, v in cells.items() if v}
+                    header = _numbered({i: v for i, v in cells.items() if v})
                     continue
                 out.append((path, number, list(header.values()), [cells.get(i) for i in header]))
                 if len(out) == ROWS_PER_BATCH:
@@ -54,6 +64,37 @@ def _parse_files(batches):
                 yield pd.DataFrame(out, columns=["file", "row", "names", "cells"])
 
 
+def _numbered(header: dict[int, str]) -> dict[int, str]:
+    out: dict[int, str] = {}
+    for i, name in header.items():
+        new, n = name, 0
+        while new in out.values():
+            n += 1
+            new = f"{name}.{n}"
+        out[i] = new
+    return out
+
+
+def _date_styles(book: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show dates."""
+    if "xl/styles.xml" not in book.namelist():
+        return set()
+    root = ElementTree.parse(book.open("xl/styles.xml")).getroot()
+    dated = set(DATE_STYLES)
+    for form in root.iter(OFFICE + "numFmt"):
+        # Quoted text, escaped characters and colours or conditions in brackets show no date.
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", form.get("formatCode", ""))
+        if re.search("[ymdhs]", code, re.IGNORECASE):
+            dated.add(int(form.get("numFmtId")))
+    styles = root.find(OFFICE + "cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else []) if int(x.get("numFmtId", 0)) in dated}
+
+
+def _day_zero(book: zipfile.ZipFile) -> datetime:
+    facts = ElementTree.parse(book.open("xl/workbook.xml")).getroot().find(OFFICE + "workbookPr")
+    return DAY_ZERO[facts is not None and facts.get("date1904") in ("1", "true")]
+
+
 def _sheet_rows(content: bytes):
     """Row number and ``{column index: text}`` of each row of the first sheet."""
     with zipfile.ZipFile(io.BytesIO(content)) as book:
@@ -61,9 +102,10 @@ def _sheet_rows(content: bytes):
         if "xl/sharedStrings.xml" in book.namelist():
             for item in ElementTree.parse(book.open("xl/sharedStrings.xml")).getroot():
                 shared.append("".join(t.text or "" for t in item.iter(OFFICE + "t")))
+        dated, zero = _date_styles(book), _day_zero(book)
         for _, element in ElementTree.iterparse(book.open(_first_sheet(book))):
             if element.tag == OFFICE + "row":
-                yield int(element.get("r", 0)), {_column(c, i): _cell(c, shared) for i, c in enumerate(element)}
+                yield int(element.get("r", 0)), {_column(c, i): _cell(c, shared, dated, zero) for i, c in enumerate(element)}
                 element.clear()
 
 
@@ -84,7 +126,7 @@ def _column(cell, fallback: int) -> int:
     return index - 1
 
 
-def _cell(cell, shared: list[str]) -> str | None:
+def _cell(cell, shared: list[str], dated: set[int], zero: datetime) -> str | None:
     kind = cell.get("t")
     if kind == "inlineStr":
         return "".join(t.text or "" for t in cell.iter(OFFICE + "t"))
@@ -93,4 +135,8 @@ def _cell(cell, shared: list[str]) -> str | None:
         return None
     if kind == "s":
         return shared[int(value)]
+    if kind in (None, "n") and int(cell.get("s", 0)) in dated:
+        # To the second: a day's fraction is stored as binary floating point.
+        at = zero + timedelta(seconds=round(float(value) * 86400))
+        return at.isoformat(" ") if at.time() != time.min else at.date().isoformat()
     return {"1": "True", "0": "False"}.get(value, value) if kind == "b" else value

@@ -1,4 +1,7 @@
+import datetime as dt
+
 import pytest
+from pyspark.sql import functions as F
 
 from checks.workbook_maker import workbook_bytes
 from tablescope.sources import csv_files, names, workbooks
@@ -72,6 +75,13 @@ def test_workbook_folder(spark, tmp_path):
     assert got == [(1, "x & y", None), (2, None, None), (3, "z", 1.5)]
 
 
+def test_workbook_dates_and_repeated_names(spark, tmp_path):
+    day, noon = dt.datetime(2024, 2, 29), dt.datetime(2024, 2, 29, 12, 30, 15)
+    (tmp_path / "a.xlsx").write_bytes(workbook_bytes(["k", "k", "d"], [[1, 2, day], [3, 4, noon], [5, None, None]]) + b"\n")
+    table = workbooks.read_workbooks(spark, str(tmp_path))
+    assert sorted(map(tuple, table.select("k", F.col("`k.1`"), "d").collect())) == [(1, 2, "2024-02-29"), (3, 4, "2024-02-29 12:30:15"), (5, None, None)]
+
+
 def test_empty_folder(spark, tmp_path):
     (tmp_path / "e.csv").write_text("")
     with pytest.raises(ValueError, match="no data"):
