@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .common import SPACE, written
 
-#: A token with an ASCII digit; possessive, so that long tokens cost linear time.
-VARIABLE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: A character of a token; a token with an ASCII digit among tokens with one space between; and what stands for it.
+TOKEN = r"[^\x20\x09-\x0D]"
+VARIABLE = r"(^| )[^ 0-9]*+[0-9][^ ]*+"
 FIELD = "<*>"
 #: Leaves that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -31,15 +32,26 @@ class Tree:
     percent: int = 75
 
 
-def _occurrences(docs: DataFrame, tree: Tree, key: str, text: str) -> DataFrame:
-    """A row per line with a token: key, content, line number, leaf, line hash and the line with variable tokens masked."""
-    lines = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("content"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "_raw"))
-    shape = F.regexp_replace(F.btrim("_raw", F.lit(" \t\r\x0b\x0c")), VARIABLE, FIELD)
-    lines = lines.select("key", "content", "line", shape.alias("_shape")).where("_shape <> ''")
-    tokens = lines.withColumn("_tokens", F.split("_shape", f"{SPACE}+"))
-    return tokens.select(
-        "key", "content", "line", F.xxhash64(F.size("_tokens"), F.slice("_tokens", 1, tree.depth)).alias("leaf"), F.xxhash64("_tokens").alias("shape"), F.array_join("_tokens", " ").alias("tokens")
-    )
+def _plain(line: Column) -> Column:
+    """The tokens of a line with one space between."""
+    return F.regexp_replace(F.btrim(line, F.lit(" \t\r\x0b\x0c")), f"{SPACE}+", " ")
+
+
+def _masked(plain: Column) -> Column:
+    """Tokens with an ASCII digit become field marks."""
+    return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, VARIABLE, f"$1{FIELD}")).otherwise(plain)
+
+
+def _leaf(line: Column, tree: Tree) -> Column:
+    """Hash of the number of tokens and the leading ones; the rest of the line is only counted."""
+    leading = F.regexp_extract(line, f"^{SPACE}*+((?:{TOKEN}++{SPACE}*+){{0,{tree.depth}}})", 1)
+    return F.xxhash64(F.regexp_count(line, F.lit(f"{TOKEN}++")), _masked(_plain(leading)))
+
+
+def _lines(docs: DataFrame, tree: Tree, key: str, text: str) -> DataFrame:
+    """A row per line: key, content, line number, the line and its leaf."""
+    lines = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("content"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "raw"))
+    return lines.select("key", "content", "line", "raw", _leaf(F.col("raw"), tree).alias("leaf"))
 
 
 def _documents_per(rows: DataFrame, by: list[str]) -> DataFrame:
@@ -54,10 +66,13 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", t
     with their tokens. The first document of a template has the smallest key (null first), then
     the smallest text hash.
     """
-    every = _occurrences(docs, tree, key, text)
+    every = _lines(docs, tree, key, text)
     leaves = written(_documents_per(every, ["leaf"]).where(F.col("documents") >= tree.documents).select("leaf"), "leaves")
+    leaves = leaves.where(F.col("leaf") != _leaf(F.lit(""), tree))
     known = F.broadcast(leaves) if leaves.count() <= BROADCAST_KEYS else leaves
-    lines = written(every.join(known, "leaf"), "lines")
+    # Whole lines are masked in those leaves alone.
+    lines = every.join(known, "leaf").select("key", "content", "line", "leaf", _masked(_plain(F.col("raw"))).alias("tokens"))
+    lines = written(lines, "lines").withColumn("shape", F.xxhash64("tokens"))
 
     shapes = lines.groupBy("leaf", "shape").agg(F.max("tokens").alias("tokens"))
     shapes = written(shapes.join(_documents_per(lines, ["leaf", "shape"]), ["leaf", "shape"]), "shapes")
