@@ -28,6 +28,8 @@ M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.
 BITMAP = 128
 #: Sets in a block; a tile with more of them is settled block against block.
 BLOCK = 512
+#: Documents whose signatures are handed on together.
+SIGNED_AT_ONCE = 500
 #: Keys that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -45,7 +47,7 @@ class Join:
 
     words: int = 5
     percent: int = 80
-    band: float = 1.2
+    band: float = 1.5
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Sorted distinct 64-bit hashes of the shingles; the whole sequence is one if it is shorter; none without words."""
@@ -117,32 +119,64 @@ def bitmap(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount(places, minlength=8 * BITMAP) & 1).astype(np.uint8)).tobytes()
 
 
+def set_id(found: np.ndarray) -> bytes:
+    """128 bits that stand for a set."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
+
+
+def first_word(sid: bytes) -> int:
+    return int.from_bytes(sid[:8], "little", signed=True)
+
+
 def _bit_rows(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP // 8)
 
 
 def _sets(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
-    """A row per document: row number, key, text hash, size, set id, its first word, bitmap and signatures."""
+    """A row per document: row number, key, text hash, size, set id, its first word and bitmap."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("content"), F.col(text).alias("text"))
     key_type = docs.schema[key].dataType.simpleString()
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
+        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary()]
         for batch in batches:
             out = []
             for value in batch.column(3).to_pylist():
                 found = join.shingles(value)
                 if len(found):
-                    sid = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                    out.append((len(found), sid, int.from_bytes(sid[:8], "little", signed=True), bitmap(found), join.signatures(found)))
+                    sid = set_id(found)
+                    out.append((len(found), sid, first_word(sid), bitmap(found)))
                 else:
-                    out.append((0, None, None, None, None))
+                    out.append((0, None, None, None))
             columns = [pa.array(c, t) for c, t in zip(zip(*out), kinds)] if out else [pa.array([], t) for t in kinds]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["row", "key", "content", "n", "sid", "head", "bits", "words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=["row", "key", "content", "n", "sid", "head", "bits"])
+
+    return rows.mapInArrow(work, f"row bigint, key {key_type}, content bigint, n bigint, sid binary, head bigint, bits binary")
+
+
+def _signed(docs: DataFrame, join: Join, text: str) -> DataFrame:
+    """``word``, ``head``: every signature of every document, with the first word of its set's id.
+
+    They are made anew for each use: that costs less than keeping them, as they outweigh the texts.
+    """
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for start in range(0, len(texts), SIGNED_AT_ONCE):
+                words, heads = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+                for value in texts[start : start + SIGNED_AT_ONCE]:
+                    found = join.shingles(value)
+                    if len(found):
+                        words.append(join.signatures(found))
+                        heads.append(np.full(len(words[-1]), first_word(set_id(found))))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(words)), pa.array(np.concatenate(heads))], names=["word", "head"])
 
-    return rows.mapInArrow(work, f"row bigint, key {key_type}, content bigint, n bigint, sid binary, head bigint, bits binary, words array<bigint>")
+    return docs.select(F.col(text).alias("text")).mapInArrow(work, "word bigint, head bigint")
 
 
 def _semi(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
@@ -179,9 +213,8 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
         import pyarrow as pa
 
         for batch in batches:
-            found = [join.shingles(t).tobytes() for t in batch.column(0).to_pylist()]
-            sids = [hashlib.blake2b(f, digest_size=16).digest() for f in found]
-            yield pa.RecordBatch.from_arrays([pa.array(sids, pa.binary()), pa.array(found, pa.binary())], names=["sid", "found"])
+            found = [join.shingles(t) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["sid", "found"])
 
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     arrays = _semi(texts, wanted.select("key"), ["key"]).select("text").mapInArrow(sort, "sid binary, found binary")
@@ -273,12 +306,14 @@ def groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str
     nodes = written(
         some.groupBy("sid", "head", "n", "bits").agg(F.min("row").alias("node"), F.min("key").alias("key")), "nodes"
     )
-    words = some.select(F.explode("words").alias("word"), "head")
-    shared = words.groupBy("word").agg(F.count("*").alias("size"), F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word", "size")
-    members = words.join(shared, "word").distinct().join(nodes.select("head", "node"), "head").select("word", "size", "node")
+    words = _signed(docs, join, text)
+    shared = words.groupBy("word").agg(F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word")
+    # Sets that agree in the first word of their ids alone both come along; they are told apart when pairs are settled.
+    members = words.join(written(shared, "shared"), "word").distinct().join(nodes.select("head", "node"), "head").select("word", "node")
     members = written(members, "members")
 
-    weight = members.groupBy("node").agg(F.sum("size").alias("_weight"))
+    sizes = members.groupBy("word").agg(F.count("*").alias("size"))
+    weight = members.join(sizes, "word").groupBy("node").agg(F.sum("size").alias("_weight"))
     lead = members.join(weight, "node").groupBy("word").agg(F.max(F.struct(F.col("_weight"), (-F.col("node")).alias("_n"))).alias("_best"))
     lead = lead.select("word", (-F.col("_best._n")).alias("_lead"))
     star = members.join(lead, "word").where("node <> _lead").select(F.least("node", "_lead").alias("a"), F.greatest("node", "_lead").alias("b")).distinct()
