@@ -31,6 +31,17 @@ def test_round_trip(spark):
         assert run(spark, rows, least) == brute(rows, least)
 
 
+def test_nulls_and_repeated_rows(spark):
+    pages = spark.createDataFrame([(None, None, "a"), (None, "u", "b"), (3, "u", "a"), (3, "u", "a"), (5, "u", "a"), (3, "u", "c")], "page_id bigint, url string, html string")
+    path = warc.fresh_folder(spark)
+    warc.write_archives(pages, path)
+    got = warc.resolve_revisits(warc.read_archives(spark, path)).collect()
+    assert sorted((str(r.source_key), r.record_type, str(r.refers_to_key), r.payload_bytes) for r in got) == [
+        ("3", "response", "None", 1), ("3", "response", "None", 1), ("3", "response", "None", 1), ("5", "revisit", "3", 1),
+        ("None", "response", "None", 1), ("None", "revisit", "3", 1),
+    ]
+
+
 def test_no_pages(spark):
     assert run(spark, [(1, "a")], 0) == brute([(1, "a")], 0)
     empty = spark.createDataFrame([], "page_id bigint, url string, html string")
