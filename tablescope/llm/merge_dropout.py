@@ -12,6 +12,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -23,6 +24,7 @@ META = "▁"
 CHUNK = re.compile(r"\n|[ ]*[^ \n]+|[ ]+")
 #: Chunks up to this length go through the agenda side by side in arrays; longer ones use a heap. Both give the same ids.
 SIDE_BY_SIDE = 64
+SLOT_BITS = 20
 A1, A2, A3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 WORD = (1 << 64) - 1
 
@@ -61,32 +63,48 @@ class Model:
         if len(self.byte_id) != 256 or any(re.search(f"[^{META}]{META}|.\n|\n.", p, re.S) for p in pieces):
             raise ValueError("a merge-type model with byte fallback and pieces within words is needed")
         # A character that is no piece is its code point beyond the pieces; META in a text is no space.
-        self.char = np.arange(0x110000, dtype=np.int64) + self.size
+        self.char = np.arange(0x110000, dtype=np.int32) + self.size
         for piece, i in pieces.items():
             if len(piece) == 1:
                 self.char[ord(piece)] = i
         self.char[ord(" ")] = self.char[ord(META)]
         self.char[ord(META)] = ord(META) + self.size
-        order = {i: r for r, i in enumerate(sorted(pieces.values(), key=lambda i: (-processor.get_score(i), i)))}
-        self.rank = np.full(self.size + 1, len(order), np.int64)
-        for i, r in order.items():
-            self.rank[i] = r
+        # Ranks are by score, the best first; ``none`` is the rank of no piece.
+        self.by_rank = np.array(sorted(pieces.values(), key=lambda i: (-processor.get_score(i), i)), np.int32)
+        self.none = len(self.by_rank)
+        rank = {i: r for r, i in enumerate(self.by_rank.tolist())}
         symbol = lambda s: pieces.get(s, ord(s) + self.size if len(s) == 1 else None)
         pairs = {}
         for piece, i in pieces.items():
             for cut in range(1, len(piece)):
                 left, right = symbol(piece[:cut]), symbol(piece[cut:])
                 if left is not None and right is not None:
-                    pairs[left << 32 | right] = i
+                    pairs[left << 32 | right] = rank[i]
         self.pairs = pairs
-        self.pair_keys = np.array(sorted(pairs), np.int64)
-        self.pair_ids = np.array([pairs[k] for k in self.pair_keys.tolist()], np.int64)
+        # The same as a table with linear probing, for look-ups of whole arrays.
+        self.slots = np.full(1 << SLOT_BITS, -1, np.int64)
+        self.slot_ranks = np.full(1 << SLOT_BITS, self.none, np.int32)
+        for key, value in pairs.items():
+            at = (key * int(A1) & WORD) >> (64 - SLOT_BITS)
+            while self.slots[at] != -1:
+                at = (at + 1) % (1 << SLOT_BITS)
+            self.slots[at], self.slot_ranks[at] = key, value
 
     def union(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        """The piece that two symbols make, or ``size`` for none."""
-        keys = left << 32 | right
-        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == keys, self.pair_ids[at], self.size)
+        """The rank of the piece that two symbols make, or ``none``."""
+        keys = left.astype(np.int64) << 32 | right
+        at = (keys.view(np.uint64) * A1 >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        held = self.slots[at]
+        out = self.slot_ranks[at]
+        out[held != keys] = self.none
+        open_ = np.nonzero((held != keys) & (held != -1))
+        while len(open_[0]):
+            at[open_] = (at[open_] + 1) % (1 << SLOT_BITS)
+            held, wanted = self.slots[at[open_]], keys[open_]
+            hit = tuple(axis[held == wanted] for axis in open_)
+            out[hit] = self.slot_ranks[at[hit]]
+            open_ = tuple(axis[(held != wanted) & (held != -1)] for axis in open_)
+        return out
 
     def spelled(self, symbols: np.ndarray) -> np.ndarray:
         """Characters that are no piece become the pieces of their bytes."""
@@ -105,10 +123,10 @@ class Dropout:
         self.always = rate >= 1
         self.seed = np.uint64(seed & WORD)
 
-    def skips(self, key, start, middle, end, piece) -> np.ndarray:
-        """Whether candidates are skipped: by the text's key, the three borders in the chunk and the piece."""
+    def skips(self, key, start, middle, end, rank) -> np.ndarray:
+        """Whether candidates are skipped: by the text's key, the three borders in the chunk and the piece's rank."""
         spot = (start.astype(np.uint64) * A1 + middle.astype(np.uint64)) * A2 + end.astype(np.uint64) * A3
-        return (_mixed(_mixed(spot ^ self.seed) + key + piece.astype(np.uint64) * A1) < self.limit) | self.always
+        return (_mixed(_mixed(spot ^ self.seed) + key + rank.astype(np.uint64) * A1) < self.limit) | self.always
 
     def agenda(self, chunk: str, key: int) -> np.ndarray:
         """Symbols of one chunk by a heap of candidates, in n log n steps."""
@@ -121,17 +139,17 @@ class Dropout:
         def offer(i: int) -> None:
             j = after[i]
             if i >= 0 and j < n:
-                piece = model.pairs.get(symbols[i] << 32 | symbols[j])
-                if piece is not None and not self.skips(key_word, *(np.array([x], np.int64) for x in (starts[i], starts[j], starts[after[j]], piece)))[0]:
-                    heapq.heappush(heap, (int(model.rank[piece]), i, j, after[j], piece))
+                rank = model.pairs.get(symbols[i] << 32 | symbols[j])
+                if rank is not None and not self.skips(key_word, *(np.array([x], np.int64) for x in (starts[i], starts[j], starts[after[j]], rank)))[0]:
+                    heapq.heappush(heap, (rank, i, j, after[j]))
 
         for i in range(n - 1):
             offer(i)
         while heap:
-            _, i, j, end, piece = heapq.heappop(heap)
+            rank, i, j, end = heapq.heappop(heap)
             if not alive[i] or after[i] != j or not alive[j] or after[j] != end:
                 continue
-            symbols[i], alive[j], after[i] = piece, False, end
+            symbols[i], alive[j], after[i] = int(model.by_rank[rank]), False, end
             if end < n:
                 before[end] = i
             if before[i] >= 0:
@@ -146,57 +164,63 @@ class Dropout:
         if n == 1:
             return [(np.arange(len(chunks)), symbols)]
         rows, done = np.arange(len(chunks)), []
-        edges = np.broadcast_to(np.arange(n + 1), (len(chunks), n + 1))
+        edges = np.broadcast_to(np.arange(n + 1, dtype=np.uint8), (len(chunks), n + 1))
 
         def candidates(left, right, start, middle, end, key):
-            piece = model.union(left, right)
-            return np.where((piece < model.size) & self.skips(key, start, middle, end, piece), model.size, piece)
+            rank = model.union(left, right)
+            rank[self.skips(key, start, middle, end, rank)] = model.none
+            return rank
 
-        pieces = candidates(symbols[:, :-1], symbols[:, 1:], edges[:, :-2], edges[:, 1:-1], edges[:, 2:], keys[:, None])
+        ranks = candidates(symbols[:, :-1], symbols[:, 1:], edges[:, :-2], edges[:, 1:-1], edges[:, 2:], keys[:, None])
         while True:
-            best = model.rank[pieces].argmin(1)
-            live = pieces[np.arange(len(rows)), best] < model.size
+            best = ranks.argmin(1)
+            least = ranks[np.arange(len(rows)), best]
+            live = least < model.none
             if not live.all():
                 done.append((rows[~live], symbols[~live]))
-                rows, symbols, edges, pieces, best, keys = rows[live], symbols[live], edges[live], pieces[live], best[live], keys[live]
+                rows, symbols, edges, ranks, best, least, keys = (x[live] for x in (rows, symbols, edges, ranks, best, least, keys))
             if not len(rows):
                 return done
             all_rows, width = np.arange(len(rows)), symbols.shape[1]
-            stay = np.arange(width) != best[:, None] + 1
-            symbols = symbols.copy()
-            symbols[all_rows, best] = pieces[all_rows, best]
-            symbols = symbols[stay].reshape(len(rows), width - 1)
-            edges = edges[np.concatenate([stay, np.ones((len(rows), 1), bool)], 1)].reshape(len(rows), width)
+            # The right one of the two symbols, its left border and the candidate between them go.
+            stay = np.ones((len(rows), width + 1), bool)
+            stay[all_rows, best + 1] = False
+            symbols = symbols[stay[:, :width]].reshape(len(rows), width - 1)
+            symbols[all_rows, best] = model.by_rank[least]
+            edges = edges[stay].reshape(len(rows), width)
             if width == 2:
                 return [*done, (rows, symbols)]
-            pieces = pieces[np.arange(width - 1) != best[:, None]].reshape(len(rows), width - 2)
+            ranks = ranks[stay[:, 1:width]].reshape(len(rows), width - 2)
             for shift in (-1, 0):
                 at = best + shift
                 ok = (at >= 0) & (at < width - 2)
                 r, c = all_rows[ok], at[ok]
-                pieces[r, c] = candidates(symbols[r, c], symbols[r, c + 1], edges[r, c], edges[r, c + 1], edges[r, c + 2], keys[ok])
+                ranks[r, c] = candidates(symbols[r, c], symbols[r, c + 1], edges[r, c], edges[r, c + 1], edges[r, c + 2], keys[ok])
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
         """Unsigned 32-bit ids of each text under its key; none for null or empty."""
         split = [CHUNK.findall(" " + t) if t else [] for t in texts]
-        known: list[dict[str, bytes]] = [dict.fromkeys(chunks) for chunks in split]
-        by_length: dict[int, tuple[list, list]] = {}
-        for number, chunks in enumerate(known):
-            for chunk in chunks:
-                if len(chunk) > SIDE_BY_SIDE:
-                    chunks[chunk] = self.model.spelled(self.agenda(chunk, keys[number])).astype("<u4").tobytes()
-                else:
-                    owners, members = by_length.setdefault(len(chunk), ([], []))
-                    owners.append(number)
-                    members.append(chunk)
-        words = np.array([k & WORD for k in keys], np.uint64)
-        for owners, members in by_length.values():
-            for rows, symbols in self.side_by_side(members, words[owners]):
-                odd = (symbols >= self.model.size).any(1).tolist()
+        known = [dict.fromkeys(chunks) for chunks in split]
+        members = list(chain.from_iterable(known))
+        owners = np.repeat(np.arange(len(known)), [len(k) for k in known])
+        lengths = np.fromiter(map(len, members), np.int64, len(members))
+        words = np.array([k & WORD for k in keys], np.uint64)[owners]
+        made: list[bytes] = [b""] * len(members)
+        for i in np.nonzero(lengths > SIDE_BY_SIDE)[0].tolist():
+            made[i] = self.model.spelled(self.agenda(members[i], int(words[i]))).astype("<u4").tobytes()
+        for length in range(1, min(SIDE_BY_SIDE, int(lengths.max(initial=0))) + 1):
+            at = np.nonzero(lengths == length)[0]
+            for rows, symbols in self.side_by_side([members[i] for i in at.tolist()], words[at]) if len(at) else []:
+                odd = (symbols >= self.model.size).any(1)
                 data, width = symbols.astype("<u4").tobytes(), 4 * symbols.shape[1]
-                for i, row in enumerate(rows.tolist()):
-                    ids = self.model.spelled(symbols[i]).astype("<u4").tobytes() if odd[i] else data[i * width : (i + 1) * width]
-                    known[owners[row]][members[row]] = ids
+                for i, start in zip(at[rows].tolist(), range(0, len(data), width)):
+                    made[i] = data[start : start + width]
+                for row in np.nonzero(odd)[0].tolist():
+                    made[at[rows[row]]] = self.model.spelled(symbols[row]).astype("<u4").tobytes()
+        start = 0
+        for k in known:
+            k.update(zip(k, made[start : start + len(k)]))
+            start += len(k)
         return [np.frombuffer(b"".join(map(k.__getitem__, c)), "<u4") for k, c in zip(known, split)]
 
     def decode(self, ids: np.ndarray) -> str:

@@ -64,9 +64,9 @@ def brute(text, key, rate, seed):
         while True:
             found = []
             for i, (x, y) in enumerate(zip(symbols, symbols[1:])):
-                piece = coder.model.pairs.get(x[0] << 32 | y[0])
-                if piece is not None and not coder.skips(np.uint64(key & md.WORD), *(np.array([v]) for v in (x[1], y[1], y[2], piece)))[0]:
-                    found.append((coder.model.rank[piece], i, piece))
+                rank = coder.model.pairs.get(x[0] << 32 | y[0])
+                if rank is not None and not coder.skips(np.uint64(key & md.WORD), *(np.array([v]) for v in (x[1], y[1], y[2], rank)))[0]:
+                    found.append((rank, i, int(coder.model.by_rank[rank])))
             if not found:
                 break
             _, i, piece = min(found)
