@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates go from all documents but the first; every document stays."""
-    return line_templates.drop_recurring_lines(docs)
+    """Lines of recurring templates go from all documents but the first, lines of fields alone only where they are equal; every document stays."""
+    return line_templates.drop_recurring_lines(docs, line_templates.Tree(bare=False))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,11 +25,15 @@ BROADCAST_KEYS = 1_000_000
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth`` leading tokens; a template is one that ``documents`` documents have and that holds ``percent`` of its tokens constant."""
+    """``depth`` leading tokens; a template is one that ``documents`` documents have and that holds ``percent`` of its tokens constant.
+
+    With ``bare``, lines of fields alone share a template, as the SQL of ``op1`` has it; without, they recur only where they are equal.
+    """
 
     depth: int = 3
     documents: int = 3
     percent: int = 75
+    bare: bool = True
 
 
 def _plain(line: Column) -> Column:
@@ -42,6 +46,11 @@ def _masked(plain: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, VARIABLE, f"$1{FIELD}")).otherwise(plain)
 
 
+def _fields_alone(tokens: Column) -> Column:
+    """Whether masked tokens are field marks, every one."""
+    return tokens.rlike(r"^<\*>( <\*>)*$")
+
+
 def _leaf(line: Column, tree: Tree) -> Column:
     """Hash of the number of tokens and the leading ones; the rest of the line is only counted."""
     leading = F.regexp_extract(line, f"^{SPACE}*+((?:{TOKEN}++{SPACE}*+){{0,{tree.depth}}})", 1)
@@ -71,20 +80,28 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", t
     leaves = leaves.where(F.col("leaf") != _leaf(F.lit(""), tree))
     known = F.broadcast(leaves) if leaves.count() <= BROADCAST_KEYS else leaves
     # Whole lines are masked in those leaves alone.
-    lines = every.join(known, "leaf").select("key", "content", "line", "leaf", _masked(_plain(F.col("raw"))).alias("tokens"))
-    lines = written(lines, "lines").withColumn("shape", F.xxhash64("tokens"))
+    plain = _plain(F.col("raw"))
+    lines = every.join(known, "leaf").select("key", "content", "line", "leaf", _masked(plain).alias("tokens"), *[plain.alias("_plain")] * (not tree.bare))
+    if tree.bare:
+        lines = written(lines, "lines").withColumn("shape", F.xxhash64("tokens"))
+    else:
+        shape = F.when(_fields_alone(F.col("tokens")), F.xxhash64(F.lit(FIELD), "_plain")).otherwise(F.xxhash64("tokens"))
+        lines = written(lines.withColumn("shape", shape).drop("_plain"), "lines")
 
     shapes = lines.groupBy("leaf", "shape").agg(F.max("tokens").alias("tokens"))
     shapes = written(shapes.join(_documents_per(lines, ["leaf", "shape"]), ["leaf", "shape"]), "shapes")
-    places = shapes.select("leaf", "shape", "documents", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
+    worded = shapes if tree.bare else shapes.where(~_fields_alone(F.col("tokens")))
+    places = worded.select("leaf", "shape", "documents", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
     deep = places.where(F.col("at") >= tree.depth)
     constant = deep.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("_n")).where(F.col("_n") >= tree.documents).select("leaf", "at", "token", F.lit(True).alias("_constant"))
     # Order-free hash of the constant tokens and their places.
     word = F.when(F.col("_constant"), F.xxhash64("at", "token"))
     kept = deep.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "shape").agg(F.coalesce(F.bit_xor(word), F.lit(0)).alias("template"), F.count("_constant").alias("_constants"))
     size = F.size(F.split("tokens", " "))
-    templates = shapes.select("leaf", "shape", size.alias("_size")).join(kept, ["leaf", "shape"], "left").select(
-        "leaf", "shape", F.coalesce("template", F.lit(0)).alias("template"), "_size", (F.least("_size", F.lit(tree.depth)) + F.coalesce("_constants", F.lit(0))).alias("_held")
+    equal = F.lit(False) if tree.bare else _fields_alone(F.col("tokens"))
+    template, held = F.coalesce("template", F.lit(0)), F.least("_size", F.lit(tree.depth)) + F.coalesce("_constants", F.lit(0))
+    templates = shapes.select("leaf", "shape", size.alias("_size"), equal.alias("_equal")).join(kept, ["leaf", "shape"], "left").select(
+        "leaf", "shape", F.when(F.col("_equal"), F.col("shape")).otherwise(template).alias("template"), "_size", F.when(F.col("_equal"), F.col("_size")).otherwise(held).alias("_held")
     ).where(F.col("_held") * 100 >= F.col("_size") * tree.percent)
     found = lines.select("key", "content", "line", "leaf", "shape").join(templates.select("leaf", "shape", "template"), ["leaf", "shape"])
     found = written(found.select("key", "content", "line", "leaf", "template"), "template-lines")

@@ -69,3 +69,12 @@ def test_small(spark, tree):
 def test_plan_is_native(spark):
     plan = queries.QUERIES["op1_line_templates"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_lines_of_fields_alone_go_only_where_equal(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"{i} {i}.5 9{i} 20{i:02d}\n7 8 9 10\n{i}%\nPosted on day{i} by us") for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = {i: t if i == 0 else "\n".join(t.split("\n")[:3:2]) for i, t in rows}
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "nowhere").collect()} == want
