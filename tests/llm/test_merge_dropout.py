@@ -100,3 +100,19 @@ def test_whole_table(spark):
     for r in rows[:40]:
         ids = coder.encode([r.text], [keys[r.doc_id]])[0]
         assert (got[r.doc_id].n_ids, got[r.doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+
+
+@pytest.mark.parametrize("word", ["international", "x" * 30 + "communication" * 4])
+def test_repeats_of_a_word_are_drawn_anew(word):
+    coder = md.Dropout(0.3, 4)
+    ids = coder.encode([f"{word} " * 200], [7])[0]
+    words, at = set(), 0
+    text = coder.decode(ids)
+    assert text == f"{word} " * 200
+    pieces = [coder.model.bytes_of[i] for i in ids.tolist()]
+    for i, piece in enumerate(pieces):
+        if i and piece.startswith(b" "):
+            words.add(tuple(pieces[at:i]))
+            at = i
+    assert len(words) > 20
+    assert ids.tolist() == coder.encode(["other words", f"{word} " * 200], [1, 7])[1].tolist()
