@@ -20,6 +20,7 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 #: Words without which ASSIGN cannot match, in lower case.
 HINTS = ("passw", "secret", "token", "api")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+PART = re.compile(r"[^/=]+")
 KINDS = ("assign", "access", "hex", "entropy")
 
 
@@ -28,7 +29,7 @@ class Scan:
     """``classes``: pattern of a whole candidate, and the bits a character that a window of it must reach.
 
     A candidate belongs to the first class that it matches. ``allowed``: candidates that match one
-    of these are left alone: letters only or without a digit, dates and versions, universally
+    of these, or their parts between ``/`` and ``=`` that do, are left alone: letters only or without a digit, dates and versions, universally
     unique ids, runs of one character, and placeholder words.
     """
 
@@ -67,6 +68,22 @@ def windows_of_entropy(run: str, width: int, least: float) -> list[tuple[int, in
     return out
 
 
+def beyond(stretches: list, base: list) -> Iterator[tuple[int, int, int]]:
+    """What base spans leave of stretches; both are sorted by start, and stretches do not overlap."""
+    first = 0
+    for start, kind, end in stretches:
+        while first < len(base) and base[first][2] <= start:
+            first += 1
+        for b in range(first, len(base)):
+            if base[b][0] >= end or start >= end:
+                break
+            if base[b][0] > start:
+                yield start, kind, base[b][0]
+            start = max(start, base[b][2])
+        if start < end:
+            yield start, kind, end
+
+
 class Scanner:
     """Finds the spans (start, end, kind) of one text, in code points."""
 
@@ -84,21 +101,38 @@ class Scanner:
             found += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
         return found + [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
 
+    def scanned(self, run: str, at: int = 0) -> Iterator[tuple[int, str]]:
+        """Places and strings of what the allow-list leaves of a run.
+
+        Where a pattern that matches the run also matches some of its parts between ``/`` and ``=``, those parts alone go.
+        """
+        pattern = next((p for p in self.allowed if p.fullmatch(run)), None)
+        if pattern is None:
+            yield at, run
+            return
+        parts = list(PART.finditer(run))
+        plain = [m.span() for m in parts if pattern.fullmatch(m[0])]
+        if not plain:
+            return
+        for start, end in zip([0, *(e for _, e in plain)], [*(s for s, _ in plain), len(run)]):
+            piece = run[start:end].rstrip("/=")
+            left = piece.lstrip("/=")
+            if len(left) >= self.scan.window:
+                yield from self.scanned(left, at + start + len(piece) - len(left))
+
     def entropic(self, text: str) -> Iterator[tuple[int, int, int]]:
         for m in CANDIDATE.finditer(text):
-            run = m[0]
-            if any(p.fullmatch(run) for p in self.allowed):
-                continue
-            bits = next((b for p, b in self.classes if p.fullmatch(run)), None)
-            if bits is not None:
-                yield from ((m.start() + a, 3, m.start() + b) for a, b in windows_of_entropy(run, self.scan.window, bits))
+            for at, run in self.scanned(m[0], m.start()):
+                bits = next((b for p, b in self.classes if p.fullmatch(run)), None)
+                if bits is not None:
+                    yield from ((at + a, 3, at + b) for a, b in windows_of_entropy(run, self.scan.window, bits))
 
     def spans(self, text: str | None) -> tuple[list, list]:
-        """The base spans and all spans, by start, then kind; a window that touches a base span adds nothing."""
+        """The base spans and all spans, by start, then kind; of windows, what lies beyond the base spans is left."""
         if not text:
             return [], []
         base = sorted(self.base(text))
-        more = [s for s in self.entropic(text) if not any(s[0] < b[2] and b[0] < s[2] for b in base)]
+        more = list(beyond(sorted(self.entropic(text)), base))
         return base, sorted(base + more)
 
     def redacted(self, text: str | None, mark: str = "<secret>") -> str | None:
