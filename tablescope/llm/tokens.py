@@ -20,7 +20,7 @@ def _byte_letters() -> dict[str, int]:
 
 
 class Encoder:
-    """Ids of texts in the vocabulary and merge order of the tokenizer file at ``path``; special strings are ordinary text."""
+    """Ids of texts in the vocabulary and merge order of the tokenizer file at ``path``; its added tokens in a text are one id, as `tokenizers` gives them by default."""
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -29,10 +29,10 @@ class Encoder:
         with open(path or default_path(), encoding="utf-8") as file:
             stored = json.load(file)
         letters = _byte_letters()
-        special = {added["content"] for added in stored.get("added_tokens", [])}
+        special = {added["content"]: added["id"] for added in stored.get("added_tokens", [])}
         ranks = {bytes(map(letters.__getitem__, token)): rank for token, rank in stored["model"]["vocab"].items() if token not in special}
-        self.inner = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.inner = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def encode(self, text: str | None) -> np.ndarray:
         """Unsigned 32-bit ids; none for null."""
-        return self.inner.encode_to_numpy(text, disallowed_special=()) if text else np.empty(0, np.uint32)
+        return self.inner.encode_to_numpy(text, allowed_special="all") if text else np.empty(0, np.uint32)

@@ -91,3 +91,12 @@ def test_hard_rows(spark):
         want = [*encoder.encode(text).tolist(), 0]
         assert ids == want * (2 if key == 3 else 1)
     assert packing.pack_documents(docs.where(F.lit(False))).collect() == []
+
+
+def test_ids_of_added_tokens_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tokenizer, encoder = Tokenizer.from_file(tokens.default_path()), tokens.Encoder()
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|> é\n", "x<|endoftext|", " <|endoftext|>  y <|ENDOFTEXT|>", "plain"):
+        assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert encoder.encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
