@@ -8,6 +8,7 @@ common extensions cost a few look-ups. Two primes near 2**31 together make 62 bi
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,9 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 747796405)
 #: Prefix and suffix lengths that a fingerprint keeps grow by this factor.
 STEP = 2 ** 0.25
+#: Spans of this length whose hash is a multiple of ``EVERY`` begin a piece, if the one before is as far away at least.
+GRAM = 16
+EVERY = 32
 
 
 class Powers:
@@ -105,25 +109,41 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
+def pieces(text: Prefixes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the pieces between places that the content alone defines, from the prefix hashes; they cover the text."""
+    found = np.empty(0, np.int64)
+    if text.n > GRAM:
+        p = np.uint64(PRIMES[1])
+        sums = text.prefix(np.arange(text.n + 1), 1)
+        grams = (sums[GRAM:] + p - sums[:-GRAM]) % p * POWERS.down[1][: text.n - GRAM + 1] % p
+        found = np.nonzero(grams % np.uint64(EVERY) == 0)[0]
+        # Also where a short pattern repeats, the places are apart; which ones stay depends on the content before them alone.
+        found = found[np.diff(found, prepend=-GRAM) >= GRAM]
+    borders = np.unique(np.concatenate([[0], found, [text.n]]))
+    return borders[:-1], borders[1:]
+
+
 def fingerprint(text: Prefixes) -> str:
-    """Length, hash of the whole, then 32 bits for each prefix and each suffix whose length is on the grid."""
+    """Length, hash of the whole, 32 bits for each prefix and each suffix whose length is on the grid, then hash and length of each piece, 32 bits each."""
     n = text.n
     grid = POWERS.grid[: np.searchsorted(POWERS.grid, n, "right")]
     zero = np.zeros(len(grid), np.int64)
     both = [text.span(zero, grid), text.span(n - grid, np.full(len(grid), n))]
     whole = int(text.span(np.array(0), np.array(n)))
     # The low 31 bits are the second hash; the lowest bit of the first one fills the word.
-    return f"{n:x}.{whole:016x}." + ".".join((v & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex() for v in both)
+    start, end = pieces(text)
+    inner = np.stack([text.span(start, end) & np.uint64(0xFFFFFFFF), (end - start).astype(np.uint64)], 1)
+    return f"{n:x}.{whole:016x}." + ".".join([*((v & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex() for v in both), inner.astype(">u4").tobytes().hex()])
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text, from 0 to 1, that is surely a common beginning or a common end, by the grid."""
-    n_a, whole_a, *parts_a = a.split(".")
-    n_b, whole_b, *parts_b = b.split(".")
+    """Share of the longer text, from 0 to 1, that is surely common: pieces wherever they stand, or, if that is more, beginning and end by the grid."""
+    n_a, whole_a, *parts_a, inner_a = a.split(".")
+    n_b, whole_b, *parts_b, inner_b = b.split(".")
     if n_a == n_b and whole_a == whole_b:
         return 1.0
-    longest = max(int(n_a, 16), int(n_b, 16))
-    common = 0
+    shortest, longest = sorted((int(n_a, 16), int(n_b, 16)))
+    edges = 0
     for x, y in zip(parts_a, parts_b):
         # Equality of prefixes is monotone, so the last equal entry is found by halving.
         low, high = 0, min(len(x), len(y)) // 8
@@ -134,8 +154,11 @@ def likeness(a: str, b: str) -> float:
             else:
                 high = middle - 1
         if low:
-            common += int(POWERS.grid[low - 1])
-    return min(1.0, common / longest)
+            edges += int(POWERS.grid[low - 1])
+    left, right = (Counter(x[i : i + 16] for i in range(0, len(x), 16)) for x in (inner_a, inner_b))
+    inside = sum(int(piece[8:], 16) * min(count, right[piece]) for piece, count in left.items() if piece in right)
+    # Different texts are never wholly alike.
+    return min(max(edges, inside), shortest, longest - 1) / longest
 
 
 def _neighbours(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:

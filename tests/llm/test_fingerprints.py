@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -70,3 +71,18 @@ def test_spans_and_extensions(x, y, i, j):
     head, tail = i, j
     assert fp.fingerprint(fp.Joined(a, head, b, tail)) == fp.fingerprint(fp.Prefixes(x[:head] + y[:tail]))
     assert (fp.likeness(fp.fingerprint(a), fp.fingerprint(b)) == 1.0) == (x == y)
+
+
+def test_edits_inside_and_at_both_ends_leave_a_copy_alike():
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(2, 10)))
+    words = [word() for _ in range(1200)]
+    like = lambda x, y: fp.likeness(*(fp.fingerprint(fp.Prefixes(" ".join(t))) for t in (x, y)))
+    assert like(words, ["Other", *words[1:-1], "end"]) > 0.9
+    changed = list(words)
+    for i in rng.sample(range(len(words)), 15):
+        changed[i] = word()
+    assert like(words, changed) > 0.6
+    assert like(words, words[600:] + words[:600]) > 0.9
+    assert like(words, [word() for _ in range(1200)]) < 0.1
+    assert like(["aaaa"], ["aaaaa"]) < 1.0 and len(fp.fingerprint(fp.Prefixes("ab" * 5000))) < 5000
