@@ -287,6 +287,21 @@ def _tile_pairs(members: DataFrame, join: Join) -> DataFrame:
     return units.select("word", "i", "j", "own", "node", "root", "n", "bits").mapInArrow(work, "a bigint, b bigint").distinct()
 
 
+def _members(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sets of the documents, a node for each different set, and the nodes of every signature that different sets share."""
+    sets = written(_sets(docs, join, key, text), "sets")
+    some = sets.where("n > 0")
+    nodes = written(
+        some.groupBy("sid", "head", "n", "bits").agg(F.min("row").alias("node"), F.min("key").alias("key")), "nodes"
+    )
+    words = _signed(docs, join, text)
+    shared = words.groupBy("word").agg(F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word")
+    # Sets that agree in the first word of their ids alone both come along; they are told apart when pairs are settled.
+    members = words.join(written(shared, "shared"), "word").distinct().join(nodes.select("head", "node"), "head").select("word", "node")
+    members = written(members, "members")
+    return sets, nodes, members
+
+
 def groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, links): rows ``key``, ``content``, ``row``, ``n``, ``component``; and linked pairs between different sets.
 
@@ -295,23 +310,13 @@ def groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str
     with it first: a large group of near copies falls together after as many comparisons as it has
     members. Only tiles that then still hold different components are compared pair by pair, in
     blocks, by bitmaps; nothing is dropped, so components are exact. ``links`` are those found,
-    enough to connect every component, not all pairs within it.
+    enough to connect every component, not all pairs within it; :func:`link_counts` finds all.
 
     ``component`` is the smallest key reachable by links. A document without words (null, empty
     or blank text) has size 0 and is its own component. Equal keys may stand in several rows; a
     null key is never the smallest unless all are null. Shingles are told apart by 64-bit hashes.
     """
-    sets = written(_sets(docs, join, key, text), "sets")
-    some = sets.where("n > 0")
-    nodes = written(
-        some.groupBy("sid", "head", "n", "bits").agg(F.min("row").alias("node"), F.min("key").alias("key")), "nodes"
-    )
-    words = _signed(docs, join, text)
-    shared = words.groupBy("word").agg(F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word")
-    # Sets that agree in the first word of their ids alone both come along; they are told apart when pairs are settled.
-    members = words.join(written(shared, "shared"), "word").distinct().join(nodes.select("head", "node"), "head").select("word", "node")
-    members = written(members, "members")
-
+    sets, nodes, members = _members(docs, join, key, text)
     sizes = members.groupBy("word").agg(F.count("*").alias("size"))
     weight = members.join(sizes, "word").groupBy("node").agg(F.sum("size").alias("_weight"))
     lead = members.join(weight, "node").groupBy("word").agg(F.max(F.struct(F.col("_weight"), (-F.col("node")).alias("_n"))).alias("_best"))
@@ -339,6 +344,24 @@ def groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str
     return out, links
 
 
+def link_counts(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(documents, links): rows ``key``, ``content``, ``row``, ``n``, ``n_links``; and every linked pair of different sets.
+
+    All members of every tile are compared, whatever their components, so no link is lost; the
+    pairs grow with the square of a group of different near copies. ``n_links`` counts the other
+    rows whose set is linked or equal; a document without words has none.
+    """
+    sets, nodes, members = _members(docs, join, key, text)
+    sizes = members.groupBy("word").agg(F.count("*").alias("size")).where("size > 1")
+    every = members.join(sizes, "word").join(nodes.select("node", "n", "bits"), "node").withColumn("root", F.col("node"))
+    links = _settle(written(_tile_pairs(every, join), "pairs"), nodes, docs, join, key, text)
+    copies = sets.where("n > 0").groupBy("sid").agg(F.count("*").alias("_copies")).join(nodes.select("sid", "node"), "sid")
+    ends = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = ends.join(copies.select(F.col("node").alias("b"), "_copies"), "b").groupBy("a").agg(F.sum("_copies").alias("_others"))
+    counts = copies.join(others.withColumnRenamed("a", "node"), "node", "left").select("sid", (F.col("_copies") - 1 + F.coalesce("_others", F.lit(0))).alias("_links"))
+    return sets.join(counts, "sid", "left").select("key", "content", "row", "n", F.coalesce("_links", F.lit(0)).alias("n_links")), links
+
+
 def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with all columns, one row of each group: the one with the smallest key.
 

@@ -95,3 +95,17 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 160)] + [(160, 159), (7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, **{i: 100 for i in range(101, 161)}}
+
+
+def test_every_link_is_counted(spark):
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(120)]
+    near = [" ".join(base[:i] + ["new", *base[i + 1 :]]) for i in rng.sample(range(120), 12)]
+    rows = list(enumerate([*near, near[0], near[0], *(" ".join(rng.choices(base, k=90)) for _ in range(20)), "", None, "one"]))
+    join = jaccard.Join(3, 90)
+    sets = [shingle_set(t, 3) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and 100 * len(a & b) >= 90 * len(a | b)
+    want = [(k, sum(linked(a, b) for j, b in enumerate(sets) if j != k)) for (k, _), a in zip(rows, sets)]
+    found, links = jaccard.link_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), join)
+    assert sorted((r.key, r.n_links) for r in found.collect()) == want and max(n for _, n in want) == 13
+    assert links.distinct().count() == links.count() == 66
