@@ -85,3 +85,69 @@ SELECT d.doc_id, coalesce(string_agg(l.raw, chr(10) ORDER BY l.line) FILTER (WHE
   count(l.line)::BIGINT AS n_lines, count(g.line)::BIGINT AS n_dropped
 FROM documents d JOIN l ON l.doc_id = d.doc_id LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.line = l.line GROUP BY d.doc_id
 """
+
+ORACLES["op11_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), o AS (
+  SELECT id, lang, source, unnest(terms) AS term FROM d
+), k AS (
+  SELECT lang, term, count(*)::HUGEINT AS total FROM o GROUP BY 1, 2 HAVING count(DISTINCT id) >= 3
+), v AS (
+  SELECT lang, count(*)::HUGEINT AS v, sum(total)::HUGEINT AS words FROM k GROUP BY 1
+), c AS (
+  SELECT o.lang, o.source, o.term, count(*)::HUGEINT AS n FROM o JOIN k USING (lang, term) GROUP BY 1, 2, 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), s AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0)::HUGEINT AS words FROM g LEFT JOIN c USING (lang, source) GROUP BY 1, 2
+), p AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (s.words + v.v) AS p, 1 + (1000000000::HUGEINT * (k.total + 1)) // (v.words + v.v) AS whole
+  FROM s JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum(((x.p - y.p) * (x.p - y.p)) // y.p), 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN p x ON x.lang = a.lang AND x.source = a.source LEFT JOIN p y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+  GROUP BY 1, 2, 4
+), word AS (
+  SELECT lang, source, 'term' AS part, term AS item, (((p - whole) * (p - whole)) // whole)::BIGINT AS value FROM p WHERE n > 0 AND p > whole
+), every AS (
+  SELECT * FROM pair UNION ALL SELECT * FROM word
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INT AS rank FROM every
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLES["op12_phrase_collocations"] = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p
+), total AS (
+  SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY 1
+), spot AS (
+  SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w WHERE len(words) > 0
+), gram AS (
+  SELECT lang, len, array_to_string(words[i : i + len - 1], ' ') AS phrase FROM spot CROSS JOIN (VALUES (1), (2), (3), (4)) sizes(len) WHERE i + len - 1 <= len(words)
+), f AS (
+  SELECT lang, len, phrase, count(*)::HUGEINT AS f FROM gram GROUP BY 1, 2, 3 HAVING count(*) >= 30
+), cut AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS words, len, unnest(range(1, len)) AS k FROM f WHERE len > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, l.f AS l, r.f AS r, (2000000 * c.a) // (l.f + r.f) AS score
+  FROM cut c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(c.words[1 : c.k], ' ') JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(c.words[c.k + 1 : c.len], ' ')
+), weakest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), kept AS (
+  SELECT * FROM weakest s WHERE NOT EXISTS (
+    SELECT 1 FROM f g WHERE g.lang = s.lang AND g.len > len(string_split(s.phrase, ' ')) AND contains(' ' || g.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * g.f >= 80 * s.a)
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import entropy, fingerprints, jaccard, language, line_templates, merge_dropout, packing, quality, shards, warc
+from . import collocations, divergence, entropy, fingerprints, jaccard, language, line_templates, merge_dropout, mixing, packing, quality, shards, warc
 from .common import table
 
 QUERIES = {}
@@ -76,3 +76,19 @@ def op1_line_templates(spark, folder):
 @register
 def op6_merge_dropout(spark, folder):
     return merge_dropout.encode_documents(table(spark, folder, "documents"), rate=0.1, seed=20240101, keep_ids=False)
+
+
+@register
+def op11_source_divergence(spark, folder):
+    return divergence.divergences(table(spark, folder, "documents"))
+
+
+@register
+def op12_phrase_collocations(spark, folder):
+    return collocations.phrases(table(spark, folder, "documents"))
+
+
+@register
+def op13_source_mix(spark, folder):
+    mixed = mixing.mix_blocks(table(spark, folder, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", mixing.taken(mixed).alias("taken"))
