@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here, columns can be read singly."""
-    path = scratch_path(df.sparkSession, name)
+def written(df: DataFrame, name: str, outside: bool = False) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends here, columns can be read singly. ``outside``: not in the run folder that is open."""
+    path = scratch_path(df.sparkSession, name, outside)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

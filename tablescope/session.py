@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,6 +43,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the checkpoint folder, which all executors can reach."""
-    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
+#: Run folders that are open, innermost last.
+_OPEN: ContextVar[tuple[str, ...]] = ContextVar("open run folders", default=())
+
+
+def scratch_path(spark: SparkSession, name: str, outside: bool = False) -> str:
+    """A fresh path below the checkpoint folder, which all executors can reach: in the run folder that is open, or ``outside`` of it."""
+    folders = (checkpoint_folder(spark), *_OPEN.get())
+    return f"{folders[-2] if outside and len(folders) > 1 else folders[-1]}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def intermediate(spark: SparkSession) -> Iterator[None]:
+    """A run folder for what is written meanwhile; it is deleted at the end, with all that was not written ``outside`` of it.
+
+    Results must be written or collected before the end. A caller of several operators may open one around them all.
+    """
+    folder = scratch_path(spark, "run")
+    token = _OPEN.set((*_OPEN.get(), folder))
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import blank_nan, quoted
+from ..functions.order import written
 from ..functions.text import parse_number
+from .csv_records import split_states, whole_records
 from .names import clean_names
 
 # Texts that mean "missing" in a data file.
@@ -36,28 +38,40 @@ class _Kind:
     valid: bool
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multiline: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
     """Every CSV file below ``path`` as one typed table.
 
     Each file is read by its own header, so files may hold columns in another order; a column that
     a file lacks is NULL there. Rows with too few fields are kept and filled with NULL, rows with
-    too many are left out. Without ``encoding`` each file is checked: UTF-16 by its mark, else
-    UTF-8 if valid, else ISO-8859-1. Files stay splittable unless ``multiline`` allows line breaks
-    inside quotes (or they are UTF-16). Only the distinct headers come to the driver, and the
-    names of UTF-16 files.
+    too many are left out, but for one empty field at their end. Without ``encoding`` each file is checked: UTF-16 by its mark, else
+    UTF-8 if valid, else ISO-8859-1. Quoted fields may hold line breaks, commas and doubled quotes;
+    files stay splittable all the same (but UTF-16 ones). Only the distinct headers come to the
+    driver, and the names of UTF-16 files.
     """
-    files = _file_kinds(spark, path)
-    kinds = [_kind(bytes(r["header"]), r["valid"], encoding) for r in files.groupBy("header", "valid").agg(F.min("file").alias("f")).orderBy("f").collect()]
-    if not kinds:
-        raise ValueError(f"no data in {path}")
+    files = written(_file_kinds(spark, path), "csv-files")
+    states = None
+    if not (encoding or "").upper().startswith("UTF-16") and files.where("quotes").limit(1).count():
+        states = written(split_states(spark, path, files.where("quotes")).where("broken"), "csv-broken")
+        states = states if states.limit(1).count() else None
+    if states is not None:
+        broken = states.select("file").distinct()
+        records = whole_records(spark, path, states)
+        records = written(records.join(files.select("file", "valid"), "file"), "csv-whole")
+        files = files.join(broken, "file", "left_anti")
     tables = []
+    kinds = _kinds(files, encoding)
     plain = [k for k in kinds if k.encoding != "UTF-16"]
     if plain:
-        tables.append(_read_plain(spark, path, files, plain, len(plain) < len(kinds), multiline))
+        tables.append(_read_plain(spark, path, files, plain, len(plain) < len(kinds) or states is not None))
     for kind in kinds:
         if kind.encoding == "UTF-16":
             names = files.where(F.col("header") == F.lit(kind.header)).select("file").collect()
             tables.append(_read_positions(spark, [unquote(r["file"]) for r in names], kind.names, "UTF-16", True))
+    if states is not None:
+        headers = records.where("first").select("file", F.col("record").alias("header"), "valid")
+        tables += [_read_records(records, headers, k) for k in _kinds(headers, encoding)]
+    if not tables:
+        raise ValueError(f"no data in {path}")
     table = tables[0]
     for other in tables[1:]:
         table = table.unionByName(other, allowMissingColumns=True)
@@ -65,10 +79,33 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, multil
 
 
 def _file_kinds(spark, path) -> DataFrame:
-    """A row per file: ``file``, ``header`` (bytes of the first line) and whether all lines are valid UTF-8."""
+    """A row per file: ``file``, ``header`` (bytes of the first line), whether all lines are valid UTF-8, and whether any has quotes."""
     first = F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id())
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"), F.is_valid_utf8("value").alias("ok"), first.alias("at"))
-    return lines.groupBy("file").agg(F.min_by("line", "at").alias("header"), F.every("ok").alias("valid")).where("header IS NOT NULL")
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line"), F.is_valid_utf8("value").alias("ok"), F.col("value").contains('"').alias("quoted"), first.alias("at")
+    )
+    found = lines.groupBy("file").agg(F.min_by("line", "at").alias("header"), F.every("ok").alias("valid"), F.some("quoted").alias("quotes")).where("header IS NOT NULL")
+    wide = F.lit(False)
+    for mark in WIDE_MARKS:
+        wide = wide | F.startswith("header", F.lit(mark))
+    return found.withColumn("quotes", F.col("quotes") & ~wide)
+
+
+def _kinds(files: DataFrame, encoding: str | None) -> list[_Kind]:
+    """Different headers and encodings, in the order of the first file of each."""
+    return [_kind(bytes(r["header"]), r["valid"], encoding) for r in files.groupBy("header", "valid").agg(F.min("file").alias("f")).orderBy("f").collect()]
+
+
+def _read_records(records: DataFrame, headers: DataFrame, kind: _Kind) -> DataFrame:
+    """The records of all files of one kind, parsed by position."""
+    mine = headers.where((F.col("header") == F.lit(kind.header)) & (F.col("valid") == kind.valid)).select("file")
+    width = len(kind.names)
+    schema = ", ".join(f"f{i} string" for i in range(width + 1))
+    # A cast does not fail on bytes of other kinds, which a filter may meet before the files are told apart.
+    text = F.col("record").cast("string") if kind.encoding.upper() == "UTF-8" else F.decode("record", kind.encoding)
+    fields = F.from_csv(text, schema, {"quote": '"', "escape": '"', "mode": "PERMISSIVE"}).alias("f")
+    rows = records.where("NOT first").join(mine, "file", "left_semi").select(fields)
+    return rows.where(f"f.f{width} IS NULL").select(*[F.col(f"f.f{i}").alias(n) for i, n in enumerate(kind.names)])
 
 
 def _kind(header: bytes, valid: bool, encoding: str | None) -> _Kind:
@@ -103,13 +140,13 @@ def _read_positions(spark, paths, names, encoding, multiline) -> DataFrame:
     return raw.where(F.col(f"f{len(names)}").isNull()).select(*[F.col(f"f{i}").alias(n) for i, n in enumerate(names)])
 
 
-def _read_plain(spark, path, files, kinds: list[_Kind], others: bool, multiline: bool) -> DataFrame:
+def _read_plain(spark, path, files, kinds: list[_Kind], others: bool) -> DataFrame:
     """All files of single-byte separators in one scan; with several kinds each row learns its file's."""
     if len(kinds) == 1 and not others:
-        return _read_positions(spark, path, kinds[0].names, kinds[0].encoding, multiline)
+        return _read_positions(spark, path, kinds[0].names, kinds[0].encoding, False)
     # Read as ISO-8859-1, bytes stay what they are, and each field is decoded by its file's encoding.
     width = max(len(k.names) for k in kinds)
-    raw = _raw(spark, path, width, "ISO-8859-1", multiline).withColumn("file", F.col("_metadata.file_path"))
+    raw = _raw(spark, path, width, "ISO-8859-1", False).withColumn("file", F.col("_metadata.file_path"))
     number = F.coalesce(*[F.when((F.col("header") == F.lit(k.header)) & (F.col("valid") == k.valid), i) for i, k in enumerate(kinds)])
     known = files.select("file", number.alias("kind")).where("kind IS NOT NULL")
     if known.count() <= BROADCAST_FILES:

@@ -1,10 +1,13 @@
+import csv
 import datetime as dt
+import io
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from checks.workbook_maker import workbook_bytes
-from tablescope.sources import csv_files, names, workbooks
+from tablescope.sources import csv_files, csv_records, names, workbooks
 
 
 def test_short_rows_stay_and_long_rows_go(spark, tmp_path):
@@ -86,3 +89,44 @@ def test_empty_folder(spark, tmp_path):
     (tmp_path / "e.csv").write_text("")
     with pytest.raises(ValueError, match="no data"):
         csv_files.read_csv(spark, str(tmp_path))
+
+
+def _as_csv(rows, end="\n"):
+    out = io.StringIO()
+    csv.writer(out, lineterminator=end).writerows(rows)
+    return out.getvalue()
+
+
+def test_line_breaks_in_quotes_over_many_splits(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["plain", 'say "x"', "a,b", "two\nlines", "\n\n", 'q\n"\n,', "win\r\ndows", "old\rmac", "long " * 300 + "\n" + "x" * 2000, ""]
+    rows = [(i, rng.choice(texts), rng.choice(texts), "end") for i in range(240)]
+    (tmp_path / "a.csv").write_bytes(_as_csv([("id", "one", "two\nnames", "z"), *rows[:140]]).encode())
+    (tmp_path / "b.csv").write_bytes(_as_csv([("two\nnames", "id"), *[(t, i) for i, _, t, _ in rows[140:200]]], "\r\n").encode())
+    (tmp_path / "c.csv").write_bytes(_as_csv([("id", "one"), *[(i, "caf\xe9\n" + t) for i, t, _, _ in rows[200:240]]]).encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes(b'id,one\n750,"no break"\n751,5" disk\n')
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        table = csv_files.read_csv(spark, str(tmp_path))
+        got = {r["id"]: (r["one"], r["two\nnames"], r["z"]) for r in table.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    want = {i: (a or None, b or None, z) for i, a, b, z in rows[:140]}
+    want |= {i: (None, b or None, None) for i, _, b, _ in rows[140:200]} | {i: ("caf\xe9\n" + a, None, None) for i, a, _, _ in rows[200:240]}
+    want |= {750: ("no break", None, None), 751: ('5" disk', None, None)}
+    missing = ("", None)
+    show = lambda d: {k: tuple(None if x in missing else x for x in v) for k, v in d.items()}
+    assert show(got) == show(want)
+
+
+def test_state_of_a_line():
+    inside = csv_records.ends_inside
+    assert inside(b'a,"b', False) and not inside(b'a,"b"', False) and not inside(b'5" disk', False) and inside(b'x,"a ""b', False)
+    assert not inside(b'b",c', True) and inside(b'b",c,"d', True) and inside(b'b"",c', True) and inside(b"", True) and not inside(b"", False)
+
+
+def test_quotes_left_open(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v\n1,x\n2,"never\nclosed\n')
+    table = csv_files.read_csv(spark, str(tmp_path))
+    assert sorted(map(tuple, table.collect())) == [(1, "x"), (2, "never\nclosed")]
