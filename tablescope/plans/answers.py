@@ -5,22 +5,21 @@ Every answer is a frame ``rank, label, value, extra``; each function says what `
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.dates import month_label
 from ..functions.numbers import quoted, total
-from ..functions.quantiles import kth_largest
+from ..functions.order import dealt, prefix_sums, written
 from ..operators import aggs, stats, timeseries
 from ..operators.roles import Roles
+from .lookup import ANSWER, expanded
 from .tagging import tag_answers
 
-def _shape(df: DataFrame, rank: Column, label: Column, value: Column, extra: Column | None = None) -> DataFrame:
+def _shape(df: DataFrame, rank: Column, label: Column, value: Column, extra: Column | None = None, *keys: str) -> DataFrame:
     return df.select(
-        rank.cast("long").alias("rank"), label.cast("string").alias("label"), value.cast("double").alias("value"),
+        *keys, rank.cast("long").alias("rank"), label.cast("string").alias("label"), value.cast("double").alias("value"),
         (F.lit(None) if extra is None else extra).cast("double").alias("extra"),
     )
 
@@ -29,6 +28,10 @@ def _listed(top: DataFrame, descending: bool = True) -> DataFrame:
     return _shape(aggs.ranked(top, descending), F.col("rank"), F.col("key"), F.col("value"))
 
 
+def _ranked(top: DataFrame) -> DataFrame:
+    return _shape(top, F.col("rank"), F.col("key"), F.col("value"))
+
+
 def _single(df: DataFrame, label: str, made: Column, extra: Column | None = None) -> DataFrame:
     columns = [made.alias("value")] + ([extra.alias("extra")] if extra is not None else [])
     row = df.agg(*columns)
@@ -76,7 +79,7 @@ def average_order_value(df, r: Roles):
 
 def top_n_customers(df, r: Roles, n: int = 5):
     """By revenue; by number of rows when there is no measure."""
-    return _listed(aggs.top_groups(df, r.customer, r.sales, n=n))
+    return _ranked(aggs.ranked_groups(df, r.customer, r.sales, n))
 
 
 def correlation(df, r: Roles, columns: list[str] | None = None):
@@ -109,27 +112,34 @@ def unique_customers(df, r: Roles):
     return _single(df, "distinct", F.count_distinct(quoted(r.customer)), F.count(F.lit(1)))
 
 
-def top_percentile_customers(df, r: Roles, pct: float = 5.0):
-    """Rank 0: the share of revenue held by the top ``pct`` percent (``extra``: how many); then the top five.
+def spend_curve(df, r: Roles) -> DataFrame:
+    """``key, value, rank, upto``: customers by falling revenue, with the revenue of all up to each.
 
-    The sum of the top n needs only the n-th largest total: totals above it count whole, and equal
-    totals fill the remaining places. No global sort takes place.
+    Ranks and sums are prefix sums over ranges of the totals, so no task sees all customers.
     """
     spend = aggs.by_group(df, r.customer, r.sales)
-    count = spend.count()
-    if count == 0:
-        return _shape(spend, F.lit(0), F.col("key"), F.col("value"))
-    n = max(1, math.floor(count * pct / 100))
-    value = F.col("value")
-    if n >= count:
-        top_sum = total(value)
-    else:
-        limit = F.lit(kth_largest(spend, value, n))
-        above = F.count_if(value > limit)
-        top_sum = total(F.when(value > limit, value)) + (F.lit(n) - above) * limit
-    head = spend.agg(F.when(F.sum(value) > 0, F.try_divide(top_sum, F.sum(value)) * 100).otherwise(0.0).alias("share"))
-    share = _shape(head, F.lit(0), F.lit("share"), F.col("share"), F.lit(n))
-    return share.unionByName(_listed(aggs.ordered(spend).limit(min(n, 5))))
+    order = [F.desc_nulls_last("value"), F.asc("key")]
+    sums = {"rank": F.lit(1).cast("bigint"), "upto": F.coalesce(F.col("value"), F.lit(0))}
+    return written(prefix_sums(dealt(spend, order, "spend"), order, sums).select("key", "value", "rank", "upto"), "spend-curve")
+
+
+def percentile_shares(curve: DataFrame, percents: DataFrame) -> DataFrame:
+    """``pct, rank, label, value, extra`` for every ``pct``, however many there are, by looking its rank up in the curve."""
+    whole = curve.agg(F.count("*").alias("n"), total(F.col("value")).cast("double").alias("sum"))
+    count, all_spend = whole.select("n").scalar(), whole.select("sum").scalar()
+    cuts = percents.select("pct", count.alias("_count"), all_spend.alias("_all")).withColumn("_n", F.greatest(F.lit(1), F.floor(F.col("_count") * F.col("pct") / 100)))
+    held = cuts.withColumn("rank", F.least("_n", "_count")).join(curve.select("rank", F.col("upto").cast("double").alias("upto")), "rank")
+    share = F.when(F.col("_all") > 0, F.try_divide("upto", "_all") * 100).otherwise(0.0)
+    heads = _shape(held, F.lit(0), F.lit("share"), share, F.col("_n"), "pct")
+    first = cuts.select("pct", F.explode(F.sequence(F.lit(1).cast("bigint"), F.least("_n", F.lit(5)))).alias("rank"))
+    listed = first.join(curve.where("rank <= 5").select("rank", "key", "value"), "rank")
+    return heads.unionByName(_shape(listed, F.col("rank"), F.col("key"), F.col("value"), None, "pct"))
+
+
+def top_percentile_customers(df, r: Roles, pct: float = 5.0):
+    """Rank 0: the share of revenue held by the top ``pct`` percent (``extra``: how many); then the top five."""
+    asked = df.sparkSession.createDataFrame([(float(pct),)], "pct double")
+    return percentile_shares(spend_curve(df, r), asked).drop("pct")
 
 
 def revenue_share(df, r: Roles):
@@ -150,7 +160,7 @@ def sales_distribution(df, r: Roles):
 
 
 def top_categories(df, r: Roles, n: int = 5):
-    return _listed(aggs.top_groups(df, r.product or r.region, r.sales, n=n))
+    return _ranked(aggs.ranked_groups(df, r.product or r.region, r.sales, n))
 
 
 def forecast_next_month(df, r: Roles):
@@ -187,53 +197,58 @@ ANSWERS = {
 }
 
 
+#: The parameter of questions without one.
+NO_PARAM = -1.0
+
+
 def _missing(roles: Roles, needs: list[str]) -> list[str]:
     return [n for n in needs if getattr(roles, n) is None]
 
 
-def answer_questions(
+def answer_tables(
     questions: DataFrame, facts: DataFrame, roles: Roles, *, id_column: str = "question_id", text_column: str = "question",
     columns: list[str] | None = None, whole_words: bool = False,
-) -> DataFrame:
-    """``id, intent, status, rank, label, value, extra`` for every question.
+) -> tuple[DataFrame, DataFrame]:
+    """(tags, answers): what each question asks for, and every answer once.
 
-    Each intent is computed once: rankings up to the largest N asked for, shares once per distinct
-    percentage, and joined back to the questions. The driver sees only those few parameters.
-    Empty and unknown questions get one row with a status and no answer.
+    ``tags``: ``id, intent, param, most, status``; its answer is the rows of ``answers`` (``intent, param, rank, label,
+    value, extra``) with the same intent and parameter, up to rank ``most``. Rankings go up to the largest N asked for;
+    the shares of all percentages come from one curve. The driver sees one row per intent.
     """
     tagged = tag_answers(questions, text_column, whole_words).select(quoted(id_column).alias("id"), "intent", "n", "pct")
-    return _answered(tagged, facts, roles, columns)
-
-
-def _answered(tagged: DataFrame, facts: DataFrame, roles: Roles, columns) -> DataFrame:
-    spark = facts.sparkSession
-    asked = tagged.groupBy("intent").agg(F.max("n").alias("n"), F.collect_set(F.when(F.col("intent") == "top_percentile_customers", F.col("pct"))).alias("pcts")).collect()
-    tables = spark.createDataFrame([], "intent string, pct double, status string, rank long, label string, value double, extra double")
-    for row in asked:
-        intent = row["intent"]
+    asked = {row["intent"]: row["n"] for row in tagged.groupBy("intent").agg(F.max("n").alias("n")).collect()}
+    answers = facts.sparkSession.createDataFrame([], ANSWER)
+    status, param, most = F.lit("answered"), F.lit(NO_PARAM), F.lit(None).cast("bigint")
+    for intent, n in sorted(asked.items()):
+        is_it = F.col("intent") == intent
         if intent not in ANSWERS:
-            status = "no question" if intent == "empty" else "not understood"
-            tables = tables.unionByName(spark.createDataFrame([(intent, status)], "intent string, status string"), allowMissingColumns=True)
+            status = F.when(is_it, "no question" if intent == "empty" else "not understood").otherwise(status)
             continue
         work, needs, takes = ANSWERS[intent]
         lacking = _missing(roles, needs)
         if lacking:
-            status = f"no column for: {', '.join(lacking)}"
-            tables = tables.unionByName(spark.createDataFrame([(intent, status)], "intent string, status string"), allowMissingColumns=True)
+            status = F.when(is_it, f"no column for: {', '.join(lacking)}").otherwise(status)
             continue
-        for pct in row["pcts"] if takes == "pct" else [None]:
-            if takes == "pct":
-                made = work(facts, roles, pct)
-            elif takes == "n":
-                made = work(facts, roles, row["n"])
-            elif intent == "correlation":
-                made = work(facts, roles, columns)
-            else:
-                made = work(facts, roles)
-            made = made.select(F.lit(intent).alias("intent"), F.lit(pct).cast("double").alias("pct"), F.lit("answered").alias("status"), "*")
-            tables = tables.unionByName(made)
-    limited = [i for i, (_, _, takes) in ANSWERS.items() if takes == "n"]
-    tables = tables.withColumnsRenamed({"intent": "made_for", "pct": "made_pct"})
-    same = (F.col("intent") == F.col("made_for")) & (F.col("made_pct").isNull() | (F.col("made_pct") == F.col("pct")))
-    wanted = ~F.col("intent").isin(limited) | F.col("rank").isNull() | (F.col("rank") <= F.col("n"))
-    return tagged.join(tables, same & wanted, "left").select("id", "intent", "status", "rank", "label", "value", "extra")
+        made = None
+        if takes == "pct":
+            percents = tagged.where(is_it).select("pct").distinct()
+            made = percentile_shares(spend_curve(facts, roles), percents).withColumnRenamed("pct", "param")
+            param = F.when(is_it, F.col("pct")).otherwise(param)
+        elif takes == "n":
+            made = work(facts, roles, n)
+            most = F.when(is_it, F.col("n")).otherwise(most)
+        else:
+            made = work(facts, roles, columns) if intent == "correlation" else work(facts, roles)
+        if "param" not in made.columns:
+            made = made.withColumn("param", F.lit(NO_PARAM))
+        answers = answers.unionByName(made.withColumn("intent", F.lit(intent)))
+    return tagged.select("id", "intent", param.alias("param"), most.alias("most"), status.alias("status")), answers
+
+
+def answer_questions(questions: DataFrame, facts: DataFrame, roles: Roles, **options) -> DataFrame:
+    """``id, intent, status, rank, label, value, extra`` for every question; options as for :func:`answer_tables`.
+
+    Empty and unknown questions get one row with a status and no answer. The result repeats an answer for each
+    question that asks for it; :func:`answer_tables` gives both sides without that product.
+    """
+    return expanded(*answer_tables(questions, facts, roles, **options))

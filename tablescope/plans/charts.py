@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.numbers import numeric_columns, percent, quoted
 from ..operators import aggs, stats, timeseries
 from ..operators.roles import Roles
-from .answers import _shape
+from .answers import NO_PARAM, _shape
+from .lookup import ANSWER, expanded
 from .tagging import tag_charts
 
 
@@ -31,7 +32,7 @@ def top_bars(df: DataFrame, group: str, value: str | None, n: int = 10, ascendin
     """``rank, key, value``: top or bottom groups by sum, by frequency without a measure."""
     if value is None:
         ascending = False
-    return aggs.ranked(aggs.top_groups(df, group, value, n=n, descending=not ascending), descending=not ascending)
+    return aggs.ranked_groups(df, group, value, n, not ascending)
 
 
 def pie(df: DataFrame, group: str, value: str, n: int = 8) -> DataFrame:
@@ -90,7 +91,11 @@ def _chart_rows(df: DataFrame, r: Roles, intent: str, n: int, ascending: bool, k
     if intent == "correlation" and len(numeric_columns(df)) > 1:
         cells = stats.correlation_matrix(df)
         return _shape(cells, F.lit(None), F.concat_ws(" ~ ", "col_a", "col_b"), F.col("r"))
-    if intent == "scatter" and len(numeric_columns(df)) > 1 and key:
+    if intent == "scatter" and len([c for c in numeric_columns(df) if c != key]) > 1:
+        if key is None:
+            # Equal rows have equal keys, so it does not matter which of them are drawn.
+            key, texts = "_row", [F.coalesce(quoted(c).cast("string"), F.lit("")) for c in df.columns]
+            df = df.withColumn(key, F.md5(F.concat_ws("\x1f", *texts)))
         x, y = [c for c in numeric_columns(df) if c != key][:2]
         points = stats.scatter_points(df, key, x, y, _split(r))
         return _shape(points, F.lit(None), quoted(_split(r)) if _split(r) else F.lit(None), quoted(x), quoted(y))
@@ -106,29 +111,32 @@ def _chart_rows(df: DataFrame, r: Roles, intent: str, n: int, ascending: bool, k
     return None
 
 
-def chart_questions(
+def chart_tables(
     questions: DataFrame, facts: DataFrame, roles: Roles, *, id_column: str = "question_id", text_column: str = "question",
     sample_key: str | None = None, whole_words: bool = False,
-) -> DataFrame:
-    """``id, intent, status, rank, label, value, extra``: the chart data of every question.
+) -> tuple[DataFrame, DataFrame]:
+    """(tags, charts) as in :func:`tablescope.plans.answers.answer_tables`; ``param`` of a ranking is 1 from the bottom, 0 from the top.
 
-    Each kind and direction of chart is computed once, up to the largest N asked for.
+    Each kind and direction of chart is computed once, rankings up to the largest N asked for. Without ``sample_key``
+    the points of a scatter chart are drawn by a hash of the whole row.
     """
-    spark = facts.sparkSession
     tagged = tag_charts(questions, text_column, whole_words).select(quoted(id_column).alias("id"), "intent", "n", "ascending")
-    tables = spark.createDataFrame(
-        [], "made_for string, made_up boolean, status string, rank long, label string, value double, extra double"
-    )
-    for row in tagged.groupBy("intent", "ascending").agg(F.max("n").alias("n")).collect():
-        intent, up = row["intent"], row["ascending"]
-        made = _chart_rows(facts, roles, intent, row["n"], up, sample_key)
+    ranking = F.col("intent").startswith("top_")
+    tagged = tagged.withColumn("param", F.when(ranking, F.col("ascending").cast("double")).otherwise(NO_PARAM))
+    charts = facts.sparkSession.createDataFrame([], ANSWER)
+    status = F.lit("charted")
+    for row in tagged.groupBy("intent", "param").agg(F.max("n").alias("n")).collect():
+        intent, param = row["intent"], row["param"]
+        made = _chart_rows(facts, roles, intent, row["n"], param == 1, sample_key)
         if made is None:
-            status = {"empty": "no question", "unknown": "not understood"}.get(intent, "no fitting column")
-            made = spark.createDataFrame([(status,)], "status string")
-        else:
-            made = made.withColumn("status", F.lit("charted"))
-        tagged_rows = made.withColumns({"made_for": F.lit(intent), "made_up": F.lit(up)})
-        tables = tables.unionByName(tagged_rows, allowMissingColumns=True)
-    same = (F.col("intent") == F.col("made_for")) & (F.col("ascending") == F.col("made_up"))
-    wanted = ~F.col("intent").startswith("top_") | F.col("rank").isNull() | (F.col("rank") <= F.col("n"))
-    return tagged.join(tables, same & wanted, "left").select("id", "intent", "status", "rank", "label", "value", "extra")
+            status = F.when(F.col("intent") == intent, {"empty": "no question", "unknown": "not understood"}.get(intent, "no fitting column")).otherwise(status)
+            continue
+        if intent == "box" and _split(roles) and not _box_split(facts, roles):
+            status = F.when(F.col("intent") == intent, f"charted, one box for more than {MOST_BOXES} values").otherwise(status)
+        charts = charts.unionByName(made.withColumns({"intent": F.lit(intent), "param": F.lit(param)}))
+    return tagged.select("id", "intent", "param", F.when(ranking, F.col("n")).alias("most"), status.alias("status")), charts
+
+
+def chart_questions(questions: DataFrame, facts: DataFrame, roles: Roles, **options) -> DataFrame:
+    """``id, intent, status, rank, label, value, extra``: the chart data of every question; options as for :func:`chart_tables`."""
+    return expanded(*chart_tables(questions, facts, roles, **options))

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from tablescope.operators.roles import Roles
-from tablescope.plans import answers, charts, tagging
+from tablescope.plans import answers, charts, lookup, tagging
 
 ANSWERED = [
     ("What is the total revenue?", "total_revenue", 5), ("What is the average price?", "average_price", 5),
@@ -84,3 +84,54 @@ def test_bulk_charts(spark, facts):
     assert [len(per[i]) for i in range(14)] == [4, 3, 6, 30, 3, 4, 30, 5, 4, 4, 20, 3, 1, 1]
     assert [r["label"] for r in sorted(per[8], key=lambda r: r["rank"])][0] == "t0"
     assert sum(r["value"] for r in per[3]) == 59
+
+
+def test_jobs_do_not_follow_the_parameters(spark, facts):
+    def jobs(texts, name):
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            answers.answer_questions(asked(spark, texts), facts, ROLES).collect()
+            return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    assert jobs([f"top {p}% vip" for p in range(1, 41)], "many") <= jobs(["top 5% vip"], "one") + 2
+
+
+def test_shares_of_every_percentage(spark, facts):
+    got = answers.answer_questions(asked(spark, [f"top {p}% vip" for p in range(0, 130, 7)]), facts, ROLES).collect()
+    for i, p in enumerate(range(0, 130, 7)):
+        mine = sorted((r for r in got if r["id"] == i), key=lambda r: r["rank"])
+        alone = answers.top_percentile_customers(facts, ROLES, float(p)).orderBy("rank").collect()
+        assert [(r["rank"], r["label"], r["value"], r["extra"]) for r in mine] == [(r["rank"], r["label"], r["value"], r["extra"]) for r in alone]
+        assert mine[0]["extra"] == max(1, 7 * p // 100) and len(mine) == 1 + min(5, 7, mine[0]["extra"])
+
+
+def test_large_answers_are_joined_in_salted_parts(spark, facts, monkeypatch):
+    texts = ["sales by city", "top 4 customers", "hello", "total revenue"] * 30
+    plain = answers.answer_questions(asked(spark, texts), facts, ROLES)
+    monkeypatch.setattr(lookup, "BROADCAST_BYTES", -1)
+    # Without a broadcast of Spark's own choice.
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        salted = answers.answer_questions(asked(spark, texts), facts, ROLES)
+        plan = salted._jdf.queryExecution().executedPlan().toString()
+        assert "_salt" in plan and "SortMergeJoin" in plan and "NestedLoop" not in plan
+        assert sorted(map(str, salted.collect())) == sorted(map(str, plain.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_keyed_answers_without_the_product(spark, facts):
+    tags, made = answers.answer_tables(asked(spark, ["total revenue"] * 50 + ["top 3 customers", "top 2 customers", ""]), facts, ROLES)
+    assert tags.count() == 53 and made.count() == 1 + 3
+    assert {(r["intent"], r["status"], r["most"]) for r in tags.collect()} == {("total_revenue", "answered", None), ("top_n_customers", "answered", 3), ("top_n_customers", "answered", 2), ("empty", "no question", None)}
+
+
+def test_scatter_without_a_key_and_box_of_many_values(spark, facts):
+    got = charts.chart_questions(asked(spark, ["Scatter plot of price and quantity"]), facts, ROLES).collect()
+    assert len(got) == 59 and {(r["value"], r["extra"]) for r in got} == {(float(i), float(i * i)) for i in range(1, 60)}
+    many = spark.createDataFrame([(f"t{i}", float(i)) for i in range(30)], "city string, price double")
+    boxes = charts.chart_questions(asked(spark, ["box plot"]), many, Roles(sales="price", region="city")).collect()
+    assert len(boxes) == 5 and {r["status"] for r in boxes} == {"charted, one box for more than 20 values"}
