@@ -1,15 +1,15 @@
 """Exact quantiles that never gather a whole column in one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one reducer. Here bounded sketches
-first bracket the wanted ranks; a later pass counts the rows below the bracket and gathers only
-the few rows inside it. Brackets are narrowed, one pass each, until they hold at most
-``GATHER_LIMIT`` rows, so memory stays bounded whatever the table size and the result stays exact.
-Every rank is checked against the counts before it is used.
-
-Sketches are merged per share of the input partitions, so no single task merges those of the whole
-table; the driver joins the few grids of quantiles that come back. Gathered rows meet in one task
-for each column and probability. Quantiles per group rank all rows by range partitions instead, so
-there may be any number of groups of any size.
+Spark's ``percentile`` keeps every distinct value of a group in one reducer. Here mergeable KLL
+sketches of bounded size first bracket the wanted ranks; a later pass counts the rows below the
+bracket and sketches the few inside it with so large a sketch that it holds them all, unless there
+are more, and then the bracket gets narrower. So memory is bounded whatever the table size, and the
+result is exact: every rank is checked against the counts before it is used.
+
+Sketches are merged per share of the input partitions and then once more, so no task merges those
+of the whole table, and only two bounds for each column and probability come to the driver.
+Quantiles per group rank all rows by range partitions instead, so there may be any number of groups
+of any size.
 """
 
 from __future__ import annotations
@@ -17,29 +17,31 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .order import dealt, prefix_sums
+from .order import dealt, prefix_sums, written
 
-GATHER_LIMIT = 50_000
-SKETCH_ACCURACY = 10_000
-GRID_STEPS = 1_000
+#: Values that a first sketch holds, and one of the values inside a bracket; up to so many values a sketch is exact.
+FIRST_HELD = 4096
+HELD = 60_000
 SHARES = 64
 MOST_ROUNDS = 40
+#: Columns or brackets that one pass sketches.
+AT_ONCE = 200
 
 
 @dataclass
 class _Target:
-    """One column and the ranks wanted there (0-based, by ascending value)."""
+    """One column and the ranks wanted there (0-based, by ascending value); without bounds, all values are inside."""
 
-    low: float
-    high: float
-    interior: float  # upper bound on the rows strictly between low and high
     first: int
     last: int
-    found: tuple[float, float] | None = None
+    low: float
+    high: float
+
+    def tighten(self, bounds: tuple[float | None, float | None]) -> None:
+        self.low, self.high = (old if new is None else new for old, new in zip((self.low, self.high), bounds))
 
 
 @dataclass
@@ -55,12 +57,10 @@ class ColumnSummary:
 def quantiles(df: DataFrame, columns: dict[str, Column], probs: list[float]) -> dict[str, ColumnSummary]:
     """Linear-interpolation quantiles of ``columns``, by name."""
 
-    def wanted(count):
-        for p in probs:
-            at = p * (count - 1)
-            yield p, math.floor(at), math.ceil(at)
+    def between(p):
+        return lambda n, floor, ceil: (floor(p * (n - 1)), ceil(p * (n - 1)))
 
-    summaries, ranks = _order_statistics(df, columns, wanted)
+    summaries, ranks = _order_statistics(df, columns, {p: between(p) for p in probs})
     for key, summary in summaries.items():
         for p in probs:
             pair = ranks.get((key, p))
@@ -107,166 +107,108 @@ def kth_largest(df: DataFrame, value: Column, k: int) -> float | None:
     if not 1 <= k <= count:
         return None
     rank = count - k
-    share = rank / max(count - 1, 1)
-    _, ranks = _order_statistics(df, {"value": value}, lambda _: [(share, rank, rank)])
-    return ranks[("value", share)][0]
+    _, ranks = _order_statistics(df, {"value": value}, {k: lambda n, floor, ceil: (rank, rank)})
+    return ranks[("value", k)][0]
 
 
 def _interpolate(a: float, b: float, t: float) -> float:
     return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
 
 
-def _order_statistics(df, columns, wanted):
+def _order_statistics(df: DataFrame, columns: dict[str, Column], wanted: dict) -> tuple[dict, dict]:
+    """Summaries by column, and by (column, key of ``wanted``) the values at the two ranks that it makes of a count."""
     names = list(columns)
     slim = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
-    summaries = {name: ColumnSummary() for name in names}
-    targets, grids = {}, {name: _Grid() for name in names}
-    for row in _shares(slim).agg(*_sketch_columns(len(names))).collect():
-        for i, name in enumerate(names):
-            summary = summaries[name]
-            if row[f"n{i}"]:
-                summary.count += row[f"n{i}"]
-                summary.low = row[f"lo{i}"] if summary.low is None else min(summary.low, row[f"lo{i}"])
-                summary.high = row[f"hi{i}"] if summary.high is None else max(summary.high, row[f"hi{i}"])
-                grids[name].add(row[f"q{i}"], row[f"n{i}"])
-    for name, summary in summaries.items():
-        if summary.count:
-            for p, first, last in wanted(summary.count):
-                target = _Target(summary.low, summary.high, summary.count, first, last)
-                if summary.count > GATHER_LIMIT:
-                    grids[name].tighten(target, 0)
-                targets[(name, p)] = target
+    summaries, targets, found = {name: ColumnSummary() for name in names}, {}, {}
+    for part in _portions(names):
+        sums = {}
+        for s, name in enumerate(part):
+            x = F.col(f"x{names.index(name)}")
+            sums |= {f"in{s}": (F.count(x), F.sum), f"lo{s}": (F.min(x), F.min), f"hi{s}": (F.max(x), F.max), f"q{s}": _sketch(x, FIRST_HELD)}
+        whole, row = _summed(slim, sums)
+        reads = _Reads(whole)
+        for s, name in enumerate(part):
+            n = row[f"in{s}"] or 0
+            if not n:
+                continue
+            summaries[name].count, summaries[name].low, summaries[name].high = n, row[f"lo{s}"], row[f"hi{s}"]
+            for key, ranks in wanted.items():
+                target = targets[(name, key)] = _Target(*ranks(n, math.floor, math.ceil), row[f"lo{s}"], row[f"hi{s}"])
+                reads.ask((name, key), s, n, target.first, target.last, FIRST_HELD)
+        for key, exact, values in reads.answers():
+            if exact:
+                found[key] = values
+            else:
+                targets[key].tighten(values)
     for _ in range(MOST_ROUNDS):
-        open_targets = {k: t for k, t in targets.items() if t.found is None}
-        if not open_targets:
-            return summaries, {k: t.found for k, t in targets.items()}
-        large = {k: t for k, t in open_targets.items() if t.interior > GATHER_LIMIT}
-        if large:
-            _refine(slim, names, summaries, large)
-        else:
-            _gather(slim, names, summaries, open_targets)
-    raise RuntimeError(f"ranks still open after {MOST_ROUNDS} passes: {sorted(open_targets)}")
-
-
-class _Grid:
-    """Quantile grids of several shares of the rows, seen as one weighted list of values."""
-
-    def __init__(self):
-        self.values, self.weights, self.rows = [], [], 0
-
-    def add(self, grid, rows: int) -> None:
-        self.values.append(np.asarray(grid[1:], dtype=float))
-        self.weights.append(np.full(GRID_STEPS, rows / GRID_STEPS))
-        self.rows += rows
-
-    def tighten(self, target: _Target, before: int) -> None:
-        """Move a bracket around the wanted ranks; ``before`` rows lie ahead of the rows of this grid."""
-        values, weights = np.concatenate(self.values), np.concatenate(self.weights)
-        order = np.argsort(values, kind="stable")
-        values, reached = values[order], np.cumsum(weights[order])
-        slack = self.rows * (1 / GRID_STEPS + 2 / SKETCH_ACCURACY) + 2
-        left, right = target.first - before - slack, target.last + 1 - before + slack
-        if left > 0:
-            target.low = float(values[min(np.searchsorted(reached, left), len(values) - 1)])
-        if right < self.rows:
-            target.high = float(values[min(np.searchsorted(reached, right), len(values) - 1)])
-        target.interior = min(self.rows, 4 * slack + target.last - target.first)
-
-
-def _shares(slim: DataFrame):
-    """Group by share of the input partitions: what a share holds does not matter."""
-    return slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share"))
-
-
-def _fractions() -> list[float]:
-    return [s / GRID_STEPS for s in range(GRID_STEPS + 1)]
-
-
-def _sketch_columns(width: int) -> list[Column]:
-    out = []
-    for i in range(width):
-        x = F.col(f"x{i}")
-        out += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        out.append(F.percentile_approx(x, _fractions(), SKETCH_ACCURACY).alias(f"q{i}"))
-    return out
-
-
-def _counts(x: Column, low: Column, high: Column, s: int) -> tuple[Column, list[Column]]:
-    """The values strictly inside a bracket, and the four counts that place them."""
-    inside = F.when((x > low) & (x < high), x)
-    return inside, [
-        F.count_if(x < low).alias(f"below{s}"),
-        F.count_if(x == low).alias(f"atlow{s}"),
-        F.count(inside).alias(f"in{s}"),
-        F.count_if((x == high) & (high > low)).alias(f"athigh{s}"),
-    ]
-
-
-def _holds(target: _Target, below, at_low, inside, at_high) -> bool:
-    return below <= target.first and target.last < below + at_low + inside + at_high
-
-
-def _refine(slim, names, summaries, open_targets) -> None:
-    """One pass that narrows large brackets."""
-    plan = []
-    for s, ((name, _), target) in enumerate(open_targets.items()):
-        inside, counts = _counts(F.col(f"x{names.index(name)}"), F.lit(target.low), F.lit(target.high), s)
-        plan += [*counts, F.percentile_approx(inside, _fractions(), SKETCH_ACCURACY).alias(f"grid{s}")]
-    places = {key: [0, 0, 0, 0] for key in open_targets}
-    grids = {key: _Grid() for key in open_targets}
-    for row in _shares(slim).agg(*plan).collect():
-        for s, key in enumerate(open_targets):
-            for i, what in enumerate(("below", "atlow", "in", "athigh")):
-                places[key][i] += row[f"{what}{s}"]
-            if row[f"in{s}"]:
-                grids[key].add(row[f"grid{s}"], row[f"in{s}"])
-    for key, target in open_targets.items():
-        below, at_low, inside, at_high = places[key]
-        if not _holds(target, below, at_low, inside, at_high):
-            _widen(target, summaries[key[0]])
-        elif target.last < below + at_low:
-            target.high, target.interior = target.low, 0
-        elif target.first >= below + at_low + inside:
-            target.low, target.interior = target.high, 0
+        open_ = [k for k in targets if k not in found]
+        if not open_:
+            return summaries, found
+        for part in _portions(open_):
+            found |= _narrowed(slim, names, summaries, {k: targets[k] for k in part})
+    raise RuntimeError(f"ranks still open after {MOST_ROUNDS} passes: {sorted(k for k in targets if k not in found)}")
+
+
+def _portions(keys: list) -> list[list]:
+    return [keys[at : at + AT_ONCE] for at in range(0, len(keys), AT_ONCE)]
+
+
+def _sketch(x: Column, held: int) -> tuple[Column, object]:
+    """A sketch of a column, and how sketches are put together."""
+    return F.call_function("kll_sketch_agg_double", x, F.lit(held)), lambda c: F.call_function("kll_merge_agg_double", c, F.lit(held))
+
+
+def _summed(slim: DataFrame, sums: dict):
+    """Aggregates, made per share of the input partitions and then put together, as one stored row; and that row without the sketches."""
+    shares = slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share")).agg(*[made.alias(name) for name, (made, _) in sums.items()])
+    whole = written(shares.agg(*[join(F.col(name)).alias(name) for name, (_, join) in sums.items()]), "sketches")
+    return whole, whole.select(*[name for name in sums if not name.startswith("q")]).first()
+
+
+class _Reads:
+    """Values at ranks of stored sketches, read together."""
+
+    def __init__(self, whole: DataFrame):
+        self.whole, self.asked, self.columns = whole, [], []
+
+    def ask(self, key, s: int, n: int, first: int, last: int, held: int) -> None:
+        """The values at two ranks among the ``n`` of sketch ``s`` if it holds them all; else bounds that surely lie around them."""
+        exact = n <= held
+        slack = 0 if exact else math.ceil(n * 7 / held**0.97) + 2
+        ranks = (first + 0.5, last + 0.5) if exact else (first - slack, last + 1 + slack)
+        self.asked.append((key, exact))
+        self.columns += [
+            (F.call_function("kll_sketch_get_quantile_double", F.col(f"q{s}"), F.lit(r / n)) if 0 < r < n else F.lit(None).cast("double")).alias(f"v{len(self.columns) + i}") for i, r in enumerate(ranks)
+        ]
+
+    def answers(self):
+        """(key, whether exact, the two values; None beyond either end)."""
+        row = self.whole.select(*self.columns).first() if self.columns else ()
+        return [(key, exact, (row[2 * i], row[2 * i + 1])) for i, (key, exact) in enumerate(self.asked)]
+
+
+def _narrowed(slim: DataFrame, names: list[str], summaries: dict, targets: dict) -> dict:
+    """One pass over brackets: the values of those that a sketch holds whole; others become narrower."""
+    sums, done = {}, {}
+    for s, ((name, _), target) in enumerate(targets.items()):
+        x, low, high = F.col(f"x{names.index(name)}"), F.lit(target.low), F.lit(target.high)
+        inside = F.when((x > low) & (x < high), x)
+        counts = {"below": x < low, "atlow": x == low, "in": inside.isNotNull(), "athigh": (x == high) & (high > low)}
+        sums |= {f"{what}{s}": (F.count_if(c), F.sum) for what, c in counts.items()} | {f"q{s}": _sketch(inside, HELD)}
+    whole, row = _summed(slim, sums)
+    reads = _Reads(whole)
+    for s, (key, target) in enumerate(targets.items()):
+        below, at_low, inside, at_high = (row[f"{what}{s}"] for what in ("below", "atlow", "in", "athigh"))
+        first, last = (r - below - at_low for r in (target.first, target.last))
+        if first < -at_low or last >= inside + at_high:
+            target.low, target.high = summaries[key[0]].low, summaries[key[0]].high
+        elif all(r < 0 or r >= inside for r in (first, last)):
+            done[key] = tuple(target.low if r < 0 else target.high for r in (first, last))
         else:
-            grids[key].tighten(target, below + at_low)
-
-
-def _widen(target: _Target, summary: ColumnSummary) -> None:
-    target.low, target.high, target.interior = summary.low, summary.high, summary.count
-
-
-def _gather(slim, names, summaries, open_targets) -> None:
-    """One pass that reads the wanted ranks out of small brackets.
-
-    The rows inside are listed per share of the partitions, then per bracket, each in a task of its
-    own; only the two wanted values of each leave the cluster.
-    """
-    plan, cells = [], []
-    for s, ((name, _), target) in enumerate(open_targets.items()):
-        inside, counts = _counts(F.col(f"x{names.index(name)}"), F.lit(target.low), F.lit(target.high), s)
-        plan += [*counts, F.collect_list(inside).alias(f"values{s}")]
-        kept = [F.col(f"{what}{s}").alias(what) for what in ("below", "atlow", "in", "athigh")]
-        cells.append(F.struct(F.lit(s).alias("slot"), *kept, F.col(f"values{s}").alias("values"), F.lit(target.first).cast("long").alias("first"), F.lit(target.last).cast("long").alias("last")))
-    parts = _shares(slim).agg(*plan).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    sums = [F.sum(what).alias(what) for what in ("below", "atlow", "in", "athigh")]
-    met = parts.groupBy("slot", "first", "last").agg(*sums, F.sort_array(F.flatten(F.collect_list("values"))).alias("values"))
-    keys = list(open_targets)
-    for row in met.select("slot", "below", "atlow", "in", "athigh", _pick("first").alias("a"), _pick("last").alias("b")).collect():
-        target = open_targets[keys[row["slot"]]]
-        if not _holds(target, row["below"], row["atlow"], row["in"], row["athigh"]):
-            _widen(target, summaries[keys[row["slot"]][0]])
+            reads.ask(key, s, inside, first, last, HELD)
+    for key, exact, (a, b) in reads.answers():
+        if exact:
+            done[key] = (targets[key].low if a is None else a, targets[key].high if b is None else b)
         else:
-            ends = {"low": target.low, "high": target.high}
-            target.found = tuple(_value(row[c], rank, row, ends) for c, rank in (("a", target.first), ("b", target.last)))
-
-
-def _pick(rank: str) -> Column:
-    """The value of a rank that falls inside the bracket."""
-    inner = F.col(rank) - F.col("below") - F.col("atlow")
-    return F.when((inner >= 0) & (inner < F.col("in")), F.try_element_at("values", (inner + 1).cast("int")))
-
-
-def _value(picked: float | None, rank: int, row, ends: dict) -> float:
-    inner = rank - row["below"] - row["atlow"]
-    return ends["low"] if inner < 0 else picked if inner < row["in"] else ends["high"]
+            targets[key].tighten((a, b))
+    return done

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import adjusted_skew, blank_nan, correlation, numeric_columns, quoted, text_columns
+from ..functions.products import correlations
 from ..functions.quantiles import grouped_quantiles, quantiles
 from .aggs import by_group, require
 from .filters import hash_sample
 
-PAIRS_PER_PASS = 400
+# Pairs that are aggregates of one row at most.
+MOST_PAIRS = 400
 BOX_PROBS = [0.25, 0.5, 0.75]
 
 
@@ -135,16 +137,18 @@ def deciles(df: DataFrame, column: str) -> DataFrame:
 def correlation_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """``col_a, col_b, r`` for every pair of numeric columns, ``col_a`` before ``col_b`` in the table.
 
-    Pairs are computed as aggregates of one pass; very wide tables take one pass per block of pairs.
+    One scan. The pairs of a few columns are aggregates of one row; those of wide tables are products of column
+    blocks, merged by block, and never come to the driver.
     """
     clean = blank_nan(df)
     names = columns or numeric_columns(clean)
     pairs = list(combinations(names, 2))
-    rows = []
-    for at in range(0, len(pairs), PAIRS_PER_PASS):
-        block = pairs[at : at + PAIRS_PER_PASS]
-        made = [correlation(quoted(a), quoted(b)).alias(f"r{i}") for i, (a, b) in enumerate(block)]
-        rows += [(a, b, r) for (a, b), r in zip(block, clean.agg(*made).first())]
+    if len(pairs) > MOST_PAIRS:
+        return correlations(clean, names)
+    if not pairs:
+        return df.sparkSession.createDataFrame([], "col_a string, col_b string, r double")
+    made = [correlation(quoted(a), quoted(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]
+    rows = [(a, b, r) for (a, b), r in zip(pairs, clean.agg(*made).first())]
     return df.sparkSession.createDataFrame(rows, "col_a string, col_b string, r double")
 
 

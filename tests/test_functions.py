@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tablescope.operators import stats
 from tablescope.functions import dates, numbers, quantiles, text
 
 
@@ -63,12 +64,11 @@ def test_missing_values(spark):
     assert blank.where("false").agg(numbers.total(F.col("x"))).first()[0] == 0.0
 
 
-@pytest.mark.parametrize("limit", [40, 50_000])
+@pytest.mark.parametrize("held", [(8, 40), (100, 500), (4096, 60_000)])
 @pytest.mark.parametrize("shape", ["ties", "hot", "long tail"])
-def test_quantiles_are_exact(spark, monkeypatch, limit, shape):
-    monkeypatch.setattr(quantiles, "GATHER_LIMIT", limit)
-    monkeypatch.setattr(quantiles, "SKETCH_ACCURACY", 200)
-    monkeypatch.setattr(quantiles, "GRID_STEPS", 20)
+def test_quantiles_are_exact(spark, monkeypatch, held, shape):
+    monkeypatch.setattr(quantiles, "FIRST_HELD", held[0])
+    monkeypatch.setattr(quantiles, "HELD", held[1])
     rng = random.Random(7)
     draw = {
         "even": lambda: rng.random(),
@@ -91,3 +91,33 @@ def test_quantiles_are_exact(spark, monkeypatch, limit, shape):
     for k in (1, 3):
         assert quantiles.kth_largest(df, F.col("x"), k) == sorted(values)[-k]
     assert quantiles.kth_largest(df, F.col("x"), len(values) + 1) is None
+
+
+def test_quantiles_of_many_columns(spark):
+    """Three ranks of 300 columns; the driver gets four numbers for each, and the passes do not follow the columns."""
+    rng = np.random.default_rng(3)
+    frame = pd.DataFrame(rng.normal(size=(40, 300)), columns=[f"c{i}" for i in range(300)])
+    df = spark.createDataFrame(frame)
+    got = quantiles.quantiles(df, {c: F.col(c) for c in frame.columns}, [0.25, 0.5, 0.75])
+    for c in frame.columns:
+        assert [got[c].quantiles[p] for p in (0.25, 0.5, 0.75)] == pytest.approx(list(np.quantile(frame[c], [0.25, 0.5, 0.75])), rel=1e-12)
+
+
+def test_correlations_of_wide_tables(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 200)) + rng.normal(size=(300, 1)) + 1e6
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7], x[:, 8], x[1:, 9] = 5.1, np.nan, np.nan
+    frame = pd.DataFrame(x, columns=[f"c {i}" for i in range(200)])
+    df = spark.createDataFrame(frame).repartition(5)
+    got = {(r["col_a"], r["col_b"]): r["r"] for r in stats.correlation_pairs(df).collect()}
+    want = frame.corr().to_numpy()
+    assert len(got) == 200 * 199 // 2
+    for i in range(200):
+        for j in range(i + 1, 200):
+            r, w = got[(f"c {i}", f"c {j}")], want[i, j]
+            assert (r is None and (np.isnan(w) or {i, j} & {7, 8, 9})) or abs(r - w) < 1e-9, (i, j, r, w)
+    assert {r["r"] for r in stats.correlation_pairs(df.where("false")).collect()} == {None}
+    few = [f"c {i}" for i in range(20)]
+    native = {(r["col_a"], r["col_b"]): r["r"] for r in stats.correlation_pairs(df, few).collect()}
+    assert all(native[k] is None and got[k] is None or abs(native[k] - got[k]) < 1e-9 for k in native)
