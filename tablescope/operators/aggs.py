@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import numbers
 from ..functions.numbers import percent, quoted, total
+from ..functions.order import dealt, prefix_sums, written
+
+#: Groups that are sorted in one task at most.
+MOST_LISTED = 10_000
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -55,6 +59,15 @@ def ranked(top: DataFrame, descending: bool = True) -> DataFrame:
     return top.select(F.row_number().over(Window.orderBy(*order)).cast("long").alias("rank"), "key", "value")
 
 
+def ranked_groups(df: DataFrame, group: str, value: str | None, n: int, descending: bool = True) -> DataFrame:
+    """``rank, key, value`` of the first ``n`` groups. Long lists are ranked by prefix sums over ranges, so no task holds them whole."""
+    if n <= MOST_LISTED:
+        return ranked(top_groups(df, group, value, n=n, descending=descending), descending)
+    order = [F.desc_nulls_last("value") if descending else F.asc_nulls_last("value"), F.asc("key")]
+    places = prefix_sums(dealt(by_group(df, group, value), order, "groups"), order, {"rank": F.lit(1).cast("bigint")})
+    return places.where(F.col("rank") <= n).select("rank", "key", "value")
+
+
 def extreme_group(df: DataFrame, group: str, value: str, highest: bool = True) -> DataFrame:
     """Key and sum of the highest or lowest group; ties go to the smallest key."""
     return top_groups(df, group, value, n=1, descending=highest)
@@ -166,7 +179,15 @@ def heatmap(df: DataFrame, rows: str, columns: str, value: str, top_rows: int =
 
 
 def heatmap_cells(df: DataFrame, rows: str, columns: str, value: str, top_rows: int = 8, top_columns: int = 6) -> DataFrame:
-    """The heat-map as ``row_key, column_key, value``; empty cells hold 0."""
-    wide = heatmap(df, rows, columns, value, top_rows, top_columns)
-    names = [c for c in wide.columns if c != "outer"]
-    return wide.withColumnRenamed("outer", "row_key").unpivot(["row_key"], [quoted(c) for c in names], "column_key", "value")
+    """The heat-map as ``row_key, column_key, value``; empty cells hold 0. The table is read once, and nothing comes to the driver."""
+    pairs = written(pair_sums(df, rows, columns, value), "pairs")
+    best = lambda frame, key, n: frame.groupBy(key).agg(total(F.col("part")).alias("value")).orderBy(F.desc("value"), F.asc(key)).limit(n)
+    best_rows = best(pairs, "outer", top_rows).select("outer")
+    kept = pairs.join(best_rows, "outer", "left_semi")
+    # A handful of names, repeated in every row.
+    names = best(kept, "inner", top_columns).agg(F.collect_list("inner").alias("names")).scalar()
+    grid = kept.select("outer").distinct().select("outer", F.explode(names).alias("inner"))
+    return grid.join(kept, ["outer", "inner"], "left").select(
+        F.col("outer").alias("row_key"), F.col("inner").alias("column_key"), F.coalesce(F.col("part").cast("double"), F.lit(0.0)).alias("value")
+    )
+

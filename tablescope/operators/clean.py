@@ -37,6 +37,8 @@ ROW_DROPPING = ("remove_duplicates", "drop_missing_rows", "remove_outliers")
 NEEDS_FIGURES = ("fill_missing_median", "fill_missing_mean", "fill_missing_mode", "convert_to_datetime", "cap_outliers", "standardize_boolean")
 # Actions after which a column may have another type; the next step on it must see that type.
 CHANGES_TYPE = ("fill_missing_zero", "convert_to_numeric")
+# Hashes of repeated rows that are broadcast at most.
+REPEATED_KEYS = 1_000_000
 FILL_WORDS = {"fill_missing_unknown": "Unknown", "fill_missing_notprovided": "Not_Provided"}
 NUMERIC_FILLS = ("fill_missing_median", "fill_missing_mean", "fill_missing_zero")
 TITLE_ACTIONS = ("standardize_case", "standardize_categories")
@@ -89,7 +91,7 @@ def apply_cleaning(df: DataFrame, steps, stored: bool = False) -> tuple[DataFram
         if step.action in ROW_DROPPING:
             frame = _apply_block(frame, block, report)
             block = []
-            frame = _guarded(_drop_rows, frame, [step], report, last=step is queue[-1])
+            frame = _guarded(_drop_rows, frame, [step], report)
         else:
             block.append(step)
     frame = _apply_block(frame, block, report)
@@ -103,7 +105,7 @@ def _report_frames(df, report):
     return counters, log
 
 
-def _guarded(work, frame, steps, report, **more):
+def _guarded(work, frame, steps, report):
     """Run a group of steps; if it fails, run its steps alone so that only the bad one is skipped.
 
     A step's own failures are those of its plan and of a cast or sum of its values. Failures of
@@ -111,7 +113,7 @@ def _guarded(work, frame, steps, report, **more):
     """
     noted, counters = len(report.log), {c: getattr(report, c) for c in COUNTERS}
     try:
-        return work(frame, steps, report, **more)
+        return work(frame, steps, report)
     except (AnalysisException, ArithmeticException, ArrayIndexOutOfBoundsException, DateTimeException, IllegalArgumentException, NumberFormatException, ParseException) as error:
         del report.log[noted:]
         for name, value in counters.items():
@@ -120,7 +122,7 @@ def _guarded(work, frame, steps, report, **more):
             report.note(steps[0], str(error).splitlines()[0], "Failed")
             return frame
         for step in steps:
-            frame = _guarded(work, frame, [step], report, **more)
+            frame = _guarded(work, frame, [step], report)
         return frame
 
 
@@ -319,14 +321,32 @@ def _capped(report, step, row, current, ranks, quartiles):
     report.note(step, f"Capped {row[tag]} values to {low:.2f} .. {high:.2f}.")
 
 
-def _drop_rows(frame: DataFrame, steps: list[Step], report: Report, last: bool) -> DataFrame:
+def without_repeats(frame: DataFrame) -> tuple[DataFrame, int]:
+    """The frame with one of each group of equal rows (missing values are equal), and how many rows went.
+
+    Rows meet as two 64-bit hashes. Only rows whose hashes occur again are compared as a whole, and the one that stays
+    of each is written; the others are read on from where they are, past a broadcast list of those hashes. A table
+    with more than ``REPEATED_KEYS`` repeated rows is shuffled and written as a whole.
+    """
+    parts = [x for c in frame.columns for x in (quoted(c), quoted(c).isNull())]
+    marked = frame.withColumns({"_a": F.xxhash64(*parts), "_b": F.xxhash64(F.lit(1), *parts)})
+    twice = written(marked.groupBy("_a", "_b").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1"), "repeated")
+    keys, copies = twice.agg(F.count(F.lit(1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    if not keys:
+        return frame, 0
+    if keys > REPEATED_KEYS:
+        once = cut_lineage(frame.dropDuplicates())
+        return once, frame.count() - once.count()
+    known = F.broadcast(twice.select("_a", "_b"))
+    once = written(marked.join(known, ["_a", "_b"], "left_semi").drop("_a", "_b").dropDuplicates(), "once")
+    rest = marked.join(known, ["_a", "_b"], "left_anti").drop("_a", "_b")
+    return rest.unionByName(once), copies - once.count()
+
+
+def _drop_rows(frame: DataFrame, steps: list[Step], report: Report) -> DataFrame:
     step = steps[0]
     if step.action == "remove_duplicates":
-        frame = frame.dropDuplicates()
-        if not last:
-            # The shuffle of whole rows is the dearest step; later passes read its written result.
-            frame = cut_lineage(frame)
-        removed = report.rows_after - frame.count()
+        frame, removed = without_repeats(frame)
         report.duplicates_removed += removed
         report.note(step, f"Removed {removed} repeated rows.")
     elif step.column not in frame.columns:

@@ -43,41 +43,67 @@ def value_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def _cells(df: DataFrame) -> DataFrame:
-    """``column, value`` of every cell as text, NULL included."""
-    frame = blank_nan(df)
-    texts = frame.select(*[quoted(c).cast("string").alias(c) for c in frame.columns])
-    return texts.unpivot([], [quoted(c) for c in frame.columns], "column", "value")
-
-
 def distinct_counts(df: DataFrame) -> DataFrame:
-    """``column, unique_count``: distinct values per column, NULL left out, told apart by two hashes (96 bits)."""
-    hashed = _cells(df).where("value IS NOT NULL").select("column", F.xxhash64("value").alias("a"), F.hash("value").alias("b"))
-    return hashed.distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique_count"))
+    """``column, unique_count``: distinct values per column, NULL left out, told apart by two hashes (96 bits).
 
-
-def column_patterns(df: DataFrame) -> DataFrame:
-    """One row per column, in table order: counts of what its values look like, from one scan that shuffles one row per column and task."""
-    fields = df.schema.fields
-    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    A row is shuffled for each value that is distinct in its task: the column's number and the two hashes.
+    """
+    frame = blank_nan(df)
+    texts = [quoted(c).cast("string") for c in frame.columns]
+    hashed = F.array(*[F.when(t.isNotNull(), F.struct(F.lit(i).alias("at"), F.xxhash64(t).alias("a"), F.hash(t).alias("b"))) for i, t in enumerate(texts)])
+    counted = frame.select(F.inline(F.array_compact(hashed))).distinct().groupBy("at").agg(F.count(F.lit(1)).alias("unique_count"))
+    return counted.select(F.element_at(F.array(*[F.lit(c) for c in frame.columns]), F.col("at") + 1).alias("column"), "unique_count")
+
+
+def _plain_patterns(frame: DataFrame, names: list[str]) -> DataFrame:
+    """Patterns of columns that are no text, by aggregates on the columns themselves: none of them is ever made text."""
+    seen, rows = [F.count(F.lit(1)).alias("rows")], []
+    zero, no = F.lit(0).cast("bigint"), F.lit(False)
+    for i, name in enumerate(names):
+        kind = frame.schema[name].dataType
+        seen.append(F.count(quoted(name)).alias(f"n{i}"))
+        whole = isinstance(kind, INTEGER_TYPES) or isinstance(kind, T.DecimalType) and kind.scale == 0
+        truth = F.col(f"n{i}") > 0 if isinstance(kind, T.BooleanType) else no
+        if whole:
+            seen.append(F.coalesce(F.every(quoted(name).isin(0, 1)), no).alias(f"t{i}"))
+            truth = F.col(f"t{i}")
+        fields = [
+            F.lit(name).alias("column"), F.col("rows").alias("rows"), (F.col("rows") - F.col(f"n{i}")).alias("missing_count"), truth.alias("boolean_words"),
+            zero.alias("number_count"), no.alias("whole_numbers"), zero.alias("padded_count"), zero.alias("special_count"),
+        ]
+        rows.append(F.struct(*fields, *[zero.alias(f"date{j}") for j in range(len(DATE_FORMATS))]))
+    return frame.agg(*seen).select(F.inline(F.array(*rows)))
+
+
+def _text_patterns(frame: DataFrame, names: list[str]) -> DataFrame:
+    """Patterns of text columns: cells as ``column, value`` rows, summed up where they lie."""
     value, plain = F.col("value"), F.col("plain")
-    is_text = F.col("column").isin(texts) if texts else F.lit(False)
+    cells = frame.select(*[quoted(c) for c in names]).unpivot([], [quoted(c) for c in names], "column", "value")
     # The generator keeps the derived values from being made again for every count below.
-    derived = F.struct(F.when(is_text, text.strip(value)).alias("plain"), text.has_non_printable(value).alias("special"), text.is_boolean_word(value).alias("truth"))
-    cells = _cells(df).select("column", "value", F.explode(F.array(derived)).alias("d")).select("column", "value", "d.*")
-    shaped = F.struct(F.when(is_text, text.parse_number(plain)).alias("number"), date_shape(plain).alias("shape"))
+    derived = F.struct(text.strip(value).alias("plain"), text.has_non_printable(value).alias("special"), text.is_boolean_word(value).alias("truth"))
+    cells = cells.select("column", "value", F.explode(F.array(derived)).alias("d")).select("column", "value", "d.*")
+    shaped = F.struct(text.parse_number(plain).alias("number"), date_shape(plain).alias("shape"))
     cells = cells.select("*", F.explode(F.array(shaped)).alias("s")).select("column", "value", "plain", "special", "truth", "s.*")
     dates = [F.count(parse_shaped_date(plain, F.col("shape"), fmt)).alias(f"date{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]
-    seen = cells.groupBy("column").agg(
+    return cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"),
         F.count_if(value.isNull()).alias("missing_count"),
         F.coalesce(F.every("truth"), F.lit(False)).alias("boolean_words"),
         F.count("number").alias("number_count"),
         F.coalesce(F.every(F.col("number") == F.floor("number")), F.lit(False)).alias("whole_numbers"),
-        F.count_if(is_text & (value != plain)).alias("padded_count"),
-        F.count_if(is_text & F.col("special")).alias("special_count"),
+        F.count_if(value != plain).alias("padded_count"),
+        F.count_if(F.col("special")).alias("special_count"),
         *dates,
     )
+
+
+def column_patterns(df: DataFrame) -> DataFrame:
+    """One row per column, in table order: counts of what its values look like. Only one row per column and task is shuffled."""
+    frame, fields = blank_nan(df), df.schema.fields
+    texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
+    others = [f.name for f in fields if not isinstance(f.dataType, T.StringType)]
+    parts = [work(frame, names) for work, names in ((_text_patterns, texts), (_plain_patterns, others)) if names]
+    seen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     columns = df.sparkSession.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), type_label(f.dataType)) for i, f in enumerate(fields)],
         "position int, column string, raw_type string, label string",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import written
-from .profile import duplicate_rows, profile_columns
+from ..session import intermediate
+from .profile import duplicate_rows, profile_columns, profile_dataset, score_of_issues
 
 DATASET = "(dataset)"
 ISSUE_FIELDS = "issue_at int, issue_type string, severity string, description string, affected_count bigint"
@@ -85,16 +88,46 @@ def _rules() -> list[Column]:
     ]
 
 
-def detect_issues(df: DataFrame, profile: DataFrame | None = None, stored: bool = False) -> DataFrame:
-    """``column, issue_type, severity, description, affected_count`` plus ``position, issue_at`` for order."""
+@dataclass(frozen=True)
+class Examined:
+    """What is known of a table: the stored copy that all passes read, its columns, its size and gaps (one row), and its issues."""
+
+    table: DataFrame
+    columns: DataFrame
+    facts: DataFrame
+    issues: DataFrame
+
+    def score(self) -> DataFrame:
+        return score_of_issues(self.facts, self.issues)
+
+    def steps(self) -> DataFrame:
+        return suggest(self.columns, self.issues)
+
+
+def examine(df: DataFrame, stored: bool = False) -> Examined:
+    """Profile, issues and what follows from them, from one copy of the table (none, if it is ``stored`` as files already).
+
+    Only per-column records come to the driver, so columns, facts and issues cost nothing to reuse; they outlive the copy.
+    """
+    table = df if stored else written(df, "examined")
+    columns = profile_columns(table, stored=True)
+    row = profile_dataset(table)
+    facts = df.sparkSession.createDataFrame(row.collect(), row.schema)
+    return Examined(table, columns, facts, detect_issues(table, columns, facts=facts))
+
+
+def detect_issues(df: DataFrame, profile: DataFrame | None = None, stored: bool = False, facts: DataFrame | None = None) -> DataFrame:
+    """``column, issue_type, severity, description, affected_count`` plus ``position, issue_at`` for order; ``facts`` as :func:`profile_dataset` gives them."""
     if profile is None:
-        df = df if stored else written(df, "issues")
+        if not stored:
+            with intermediate(df.sparkSession):
+                return examine(df).issues
         profile = profile_columns(df, stored=True)
     per_column = profile.select(
         "column", "position", F.explode(F.array_compact(F.array(*_rules()))).alias("issue")
     ).select("column", "position", "issue.*")
     dup = F.col("duplicate_rows")
-    whole = duplicate_rows(df).where(dup > 0).select(
+    whole = (duplicate_rows(df) if facts is None else facts).where(dup > 0).select(
         F.lit(DATASET).alias("column"),
         F.lit(-1).alias("position"),
         F.lit(0).alias("issue_at"),

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import blank_nan, percent, quoted
 from ..functions.text import parse_number
 from ..functions.order import written
-from .evidence import column_evidence, label_variants, value_pairs
+from ..session import intermediate
+from .evidence import column_evidence, distinct_counts, label_variants
 from .stats import SUMMARY_SCHEMA, numeric_summary
 
 
@@ -56,12 +59,14 @@ def profile_columns(df: DataFrame, stored: bool = False) -> DataFrame:
 
     The passes do not depend on the number of columns: patterns, distinct counts, spellings of the
     category columns, and for the numeric ones a rank sketch, the ranks and the moments. Unless
-    the table is ``stored`` as files already, it is written once, and the passes read that. Only
+    the table is ``stored`` as files already, it is written once, and the passes read that copy, which is deleted at the end. Only
     per-column records come to the driver, where the inferred types choose which columns get
     statistics; the returned frame is built from them and costs nothing to reuse.
     """
+    if not stored:
+        with intermediate(df.sparkSession):
+            return profile_columns(written(df, "profile"), stored=True)
     spark = df.sparkSession
-    df = df if stored else written(df, "profile")
     evidence = column_evidence(df)
     rows = evidence.collect()
     numeric = {}
@@ -105,26 +110,48 @@ def profile_dataset(df: DataFrame) -> DataFrame:
     return _row_facts(df).select("rows", width.alias("columns"), "duplicate_rows", "total_missing")
 
 
+def smallest_values(df: DataFrame, most: int = 3) -> DataFrame:
+    """``column, values``: the ``most`` smallest values of each column as text, in byte order.
+
+    Each task keeps that many of every column while its batches pass, so a row per column, task and place is shuffled.
+    """
+    frame = blank_nan(df)
+    names = frame.columns
+
+    def keep(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        least = [pa.array([], pa.string()) for _ in names]
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                if len(least[i]) == most:
+                    column = column.filter(pc.less(column, least[i][-1]))
+                found = pc.unique(pa.concat_arrays([least[i], column.cast(pa.string())])).drop_null()
+                least[i] = found.take(pc.array_sort_indices(found))[:most]
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array([x.to_pylist() for x in least], pa.list_(pa.string()))], names=["column", "values"])
+
+    texts = frame.select(*[quoted(c).cast("string").alias(f"x{i}") for i, c in enumerate(names)])
+    kept = texts.mapInArrow(keep, "column string, values array<string>").select("column", F.explode("values").alias("value")).distinct()
+    first = Window.partitionBy("column").orderBy("value")
+    ranked = kept.withColumn("at", F.row_number().over(first)).where(F.col("at") <= most)
+    return ranked.groupBy("column").agg(F.sort_array(F.collect_list("value")).alias("values"))
+
+
 def column_summary(df: DataFrame) -> DataFrame:
-    """Missing, distinct and complete figures per column and its three smallest values as text."""
-    pairs = value_pairs(df)
-    # Per column only the three smallest values are kept; the window prunes before it shuffles. Both
-    # branches read the same counted pairs, whose shuffle Spark then makes once.
-    smallest = (
-        pairs.withColumn("at", F.row_number().over(Window.partitionBy("column").orderBy(F.asc_nulls_last("value"))))
-        .where("at <= 3 and n > 0")
-        .groupBy("column").agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("sample"))
-    )
-    counted = pairs.groupBy("column").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
-        F.count("value").alias("unique_count"),
-    )
-    return counted.join(smallest, "column", "left").select(
+    """Missing, distinct and complete figures per column and its three smallest values as text; nothing for a table without rows."""
+    frame = blank_nan(df)
+    rows, names = F.count(F.lit(1)), frame.columns
+    counts = frame.agg(rows.alias("rows"), *[F.count(quoted(c)).alias(f"n{i}") for i, c in enumerate(names)]).where("rows > 0")
+    counted = counts.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col("rows").alias("rows"), (F.col("rows") - F.col(f"n{i}")).alias("missing_count")) for i, c in enumerate(names)
+    ])))
+    smallest = smallest_values(df).select("column", F.array_join("values", ", ").alias("sample"))
+    return counted.join(distinct_counts(df), "column", "left").join(smallest, "column", "left").select(
         "column",
         "missing_count",
         percent(F.col("missing_count"), F.col("rows")).alias("missing_pct"),
-        "unique_count",
+        F.coalesce("unique_count", F.lit(0)).cast("bigint").alias("unique_count"),
         percent(F.col("rows") - F.col("missing_count"), F.col("rows")).alias("completeness_pct"),
         F.substring(F.coalesce("sample", F.lit("")), 1, 60).alias("sample_values"),
     )
@@ -158,6 +185,11 @@ def quality_score(df: DataFrame) -> DataFrame:
 
 def quality_score_from_issues(df: DataFrame, issues: DataFrame) -> DataFrame:
     """0-100 from missing cells, duplicate rows and the number of High and Medium issues."""
+    return score_of_issues(profile_dataset(df), issues)
+
+
+def score_of_issues(facts: DataFrame, issues: DataFrame) -> DataFrame:
+    """:func:`quality_score_from_issues` of a table whose one row of facts is known."""
     high, medium = (issues.agg(F.count_if(F.col("severity") == s)).scalar() for s in ("High", "Medium"))
-    table = _penalised(profile_dataset(df)).withColumn("high", high).withColumn("medium", medium)
+    table = _penalised(facts).withColumn("high", high).withColumn("medium", medium)
     return _score(table, F.col("base") - F.col("high") * 5 - F.col("medium") * 2)

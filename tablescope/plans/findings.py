@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numbers import numeric_columns, percent, quoted, text_columns
+from ..functions.order import written
 from ..functions.text import strip
 from ..operators.evidence import value_pairs
 from ..operators.profile import completeness
 from ..operators.stats import notable_pairs, numeric_insight
+from ..session import intermediate
 
 
 def _label_counts(df: DataFrame) -> DataFrame:
@@ -100,8 +102,11 @@ def _finding(frame: DataFrame, when: Column, kind: str, subject: Column, value:
     return frame.where(when).select(F.lit(kind).alias("finding"), subject.cast("string").alias("subject"), value.cast("double").alias("value"))
 
 
-def findings_anomalies(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``finding, subject, value``; a single "none" row when nothing stands out."""
+def findings_anomalies(df: DataFrame, columns: list[str] | None = None, stored: bool = False) -> DataFrame:
+    """``finding, subject, value``; a single "none" row when nothing stands out. Unless ``stored`` as files, the table is read once and written for the passes."""
+    if not stored:
+        with intermediate(df.sparkSession):
+            return findings_anomalies(written(df, "findings"), columns, stored=True)
     numeric, texts, whole = numeric_insight(df, columns), categorical_insight(df), completeness(df)
     c = F.col
     share = F.round(c("outliers") / c("count") * 100, 1)
@@ -115,8 +120,11 @@ def findings_anomalies(df: DataFrame, columns: list[str] | None = None) -> DataF
     return _or_none(found)
 
 
-def findings_recommendations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """``finding, subject, value``: what to look at next; a single "none" row when the table is ready."""
+def findings_recommendations(df: DataFrame, columns: list[str] | None = None, stored: bool = False) -> DataFrame:
+    """``finding, subject, value``: what to look at next; a single "none" row when the table is ready. Reads the table as :func:`findings_anomalies` does."""
+    if not stored:
+        with intermediate(df.sparkSession):
+            return findings_recommendations(written(df, "findings"), columns, stored=True)
     numeric, texts, whole = numeric_insight(df, columns), categorical_insight(df), completeness(df)
     strong = findings_correlation(df, columns).where("redundant")
     c = F.col
@@ -133,8 +141,7 @@ def findings_recommendations(df: DataFrame, columns: list[str] | None = None) ->
 
 
 def _or_none(found: DataFrame) -> DataFrame:
-    """The findings, or one "none" row; decided from their number, which is a few per column."""
-    spark = found.sparkSession
-    nothing = spark.createDataFrame([("none", None, None)], "finding string, subject string, value double")
-    number = found.agg(F.count(F.lit(1)).alias("n"))
-    return found.unionByName(nothing.where(number.scalar() == 0))
+    """The findings, made once, or one "none" row; decided from their number, which is a few per column."""
+    found = written(found, "found", outside=True)
+    nothing = found.sparkSession.createDataFrame([("none", None, None)], "finding string, subject string, value double")
+    return nothing if found.limit(1).count() == 0 else found

@@ -225,3 +225,41 @@ def test_profile_jobs_do_not_grow_with_columns(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"width {width}"))
 
     assert jobs(12) <= jobs(3) + 1
+
+
+def test_repeated_rows_go_without_a_shuffle_of_rows(spark, tmp_path):
+    data = [(i, f"name {i % 900}", float(i) if i % 7 else None) for i in range(2000)]
+    data += data[:50] + [(None, None, None)] * 3 + data[:10]
+    spark.createDataFrame(data, "id int, name string, x double").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    once, gone = clean.without_repeats(table)
+    assert gone == 62 and sorted(rows(once), key=str) == sorted(set(data), key=str)
+    plan = once._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "SinglePartition" not in plan
+    same, none = clean.without_repeats(once)
+    assert none == 0 and same is once
+
+
+def test_smallest_values_and_summary(spark):
+    data = [(i % 5, f"v{i % 300:03d}", None) for i in range(1000)]
+    df = spark.createDataFrame(data, "a int, b string, c string").repartition(4)
+    assert {r["column"]: r["values"] for r in profile.smallest_values(df).collect()} == {"a": ["0", "1", "2"], "b": ["v000", "v001", "v002"]}
+    got = {r["column"]: (r["missing_count"], r["unique_count"], r["sample_values"]) for r in profile.column_summary(df).collect()}
+    assert got == {"a": (0, 5, "0, 1, 2"), "b": (0, 300, "v000, v001, v002"), "c": (1000, 0, "")}
+    assert profile.column_summary(df.where("false")).collect() == []
+
+
+def test_long_rankings_are_ranked_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(f"k{i:03d}", float(i // 3)) for i in range(200)], "k string, v double").repartition(5)
+    short = rows(aggs.ranked_groups(df, "k", "v", 150), "rank")
+    monkeypatch.setattr(aggs, "MOST_LISTED", 10)
+    assert rows(aggs.ranked_groups(df, "k", "v", 150), "rank") == short and len(short) == 150
+    assert rows(aggs.ranked_groups(df, "k", "v", 20, descending=False), "rank")[0] == (1, "k000", 0.0)
+
+
+def test_patterns_of_typed_columns(spark):
+    df = spark.createDataFrame([(0, True, 1.0, dt.date(2024, 1, 1), "1"), (1, None, None, None, "x"), (None, False, 0.0, None, None)], "i int, b boolean, d double, t date, s string")
+    got = {r["column"]: (r["rows"], r["missing_count"], r["boolean_words"], r["inferred_type"], r["unique_count"]) for r in evidence.column_evidence(df).collect()}
+    assert got == {
+        "i": (3, 1, True, "boolean", 2), "b": (3, 1, True, "boolean", 2), "d": (3, 1, False, "float", 2), "t": (3, 2, False, "datetime", 1), "s": (3, 1, False, "categorical", 2),
+    }
