@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tablescope.plans.tagging import ANSWER_LADDER, ANSWER_WORDS, CHART_LADDER, CHART_WORDS, NUMBER_WORDS
+from .labels import answer_label, chart_label, from_the_bottom
 
 NUM = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 DAY = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"
@@ -155,6 +155,11 @@ ORACLES["csv_encoding_mix"] = dirty(
 ORACLES["csv_header_orders"] = dirty(
     "SELECT region_txt, CASE WHEN rid % 2 <> 0 THEN note_txt END AS note_txt, count(*) AS n, CAST(sum(rid) AS BIGINT) AS rid_sum, sum(qty) AS qty_sum FROM dirty GROUP BY 1, 2"
 )
+ORACLES["csv_quoted_breaks"] = dirty(
+    "SELECT CASE rid % 5 WHEN 0 THEN concat_ws(chr(10), region_txt, customer) WHEN 1 THEN concat('\"', customer, '\",', chr(10), chr(10), '\"x\"') "
+    "WHEN 2 THEN region_txt || ', plain' WHEN 3 THEN 'a' || chr(13) || chr(10) || 'b ' || flag_txt END AS note, "
+    "count(*) AS n, CAST(sum(rid) AS BIGINT) AS rid_sum, sum(qty) AS qty_sum FROM dirty GROUP BY 1"
+)
 ORACLES["csv_wide_ids"] = sales(
     "SELECT count(DISTINCT rid) AS ids, max(rid) + 9122456789012345678 AS \"last\", count(DISTINCT rid) AS wider_ids, "
     "concat(CAST(max(rid) + 9122456789012345678 AS VARCHAR), '00') AS widest FROM sales"
@@ -231,14 +236,20 @@ def _mode(column: str, table: str) -> str:
 
 
 ORACLES["clean_dedup"] = dirty("SELECT DISTINCT rid, customer, amount_txt, order_date_txt, region_txt, flag_txt, note_txt, qty FROM dirty")
-for _how, _agg in {"median": "quantile_cont({}, 0.5)", "mean": "avg({})", "zero": "0.0"}.items():
-    _places = {"median": 4, "mean": 2, "zero": 9}[_how]
+for _how, _agg in {"median": "quantile_cont({}, 0.5)", "zero": "0.0"}.items():
+    _places = {"median": 4, "zero": 9}[_how]
     # The figures of both columns are made once, as one row.
     ORACLES[f"clean_fill_{_how}"] = (
         f"WITH {DIRTY}, typed AS MATERIALIZED (SELECT rid, qty, {_AMT} AS amount FROM dirty), "
         f"figures AS MATERIALIZED (SELECT max(n) AS n, {_agg.format('qty')} AS q, {_agg.format('amount')} AS a FROM (SELECT *, 1 AS n FROM typed)) "
         f"SELECT rid, round(coalesce(qty, q), {_places}) AS qty, round(coalesce(amount, a), {_places}) AS amount_txt FROM typed, figures"
     )
+# Sums of decimals over counts, with the two means as one row beside the rows.
+_MEANS = f"SELECT {{}} FROM (SELECT CAST(sum(CAST(qty AS DECIMAL(18,2))) AS DOUBLE) / count(qty) AS q, CAST(sum(CAST({_AMT} AS DECIMAL(18,2))) AS DOUBLE) / count({_AMT}) AS a FROM dirty) m"
+ORACLES["clean_fill_mean"] = dirty(
+    _MEANS.format(f"rid, round(coalesce(qty, q), 2) AS qty, round(coalesce({_AMT}, a), 2) AS amount_txt") + " CROSS JOIN dirty"
+)
+ORACLES["clean_mean_values"] = dirty(_MEANS.format("round(q, 2) AS qty, round(a, 2) AS amount_txt"))
 ORACLES["clean_mode_tie"] = dirty("SELECT x, count(*) AS n FROM (SELECT unnest([9.0::DOUBLE, 10.0::DOUBLE, 9.0::DOUBLE]) AS x FROM dirty) GROUP BY x")
 ORACLES["clean_unmapped_words"] = dirty(
     "SELECT rid, CASE WHEN rid % 5 = 0 THEN 'maybe' WHEN flag_txt IN ('Yes', 'TRUE', 'Y') THEN 'True' WHEN flag_txt IN ('no', 'false') THEN 'False' END AS flag_txt FROM dirty"
@@ -760,16 +771,7 @@ def norm(x: str) -> str:
     return f"regexp_replace(regexp_replace({stripped}, '[^\\p{{L}}\\p{{N}}_\\s%]', ' ', 'g'), '\\s+', ' ', 'g')"
 
 
-def mentions(words: list[str], q: str = "q") -> str:
-    return "(" + " OR ".join(f"contains({q}, '{w}')" for w in words) + ")"
-
-
-def ladder(words: dict, steps: list) -> str:
-    lines = ["WHEN trim(q) = '' THEN 'empty'"]
-    for intent, notions in steps:
-        conditions = ["(" + " OR ".join(mentions(words[n]) for n in choice.split("|")) + ")" for choice in notions]
-        lines.append(f"WHEN {' AND '.join(conditions)} THEN '{intent}'")
-    return "CASE " + " ".join(lines) + " ELSE 'unknown' END"
+NUMBER_WORDS = "one two three four five six seven eight nine ten".split()
 
 
 def top_number(default: int) -> str:
@@ -780,16 +782,16 @@ def top_number(default: int) -> str:
 TOP_PCT = "coalesce(TRY_CAST(nullif(regexp_extract(q, 'top\\s+([0-9]+)\\s*%', 1), '') AS DOUBLE), 5.0::DOUBLE)"
 _LEAD = "CASE conv_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'Top 3 customers? ' WHEN 2 THEN 'total revenue: ' WHEN 3 THEN 'Top 10% elite. ' WHEN 4 THEN 'How many units sold? ' ELSE 'Lowest city! ' END"
 ORACLES["question_normalise"] = f"SELECT conv_id, turn, {norm('text')} AS q FROM conversations"
-ORACLES["question_intent"] = f"SELECT conv_id, turn, {ladder(ANSWER_WORDS, ANSWER_LADDER)} AS intent FROM (SELECT *, {norm('text')} AS q FROM conversations)"
+ORACLES["question_intent"] = f"SELECT conv_id, turn, {answer_label()} AS intent FROM (SELECT *, {norm('text')} AS q FROM conversations)"
 ORACLES["question_chart_intent"] = (
-    f"SELECT conv_id, turn, {ladder(CHART_WORDS, CHART_LADDER)} AS intent, {mentions(CHART_WORDS['low'])} AS ascending FROM (SELECT *, {norm('text')} AS q FROM conversations)"
+    f"SELECT conv_id, turn, {chart_label()} AS intent, {from_the_bottom()} AS ascending FROM (SELECT *, {norm('text')} AS q FROM conversations)"
 )
 _TOPQ = norm("concat('Top ', turn, '% of: ', text)")
 ORACLES["question_params"] = f"SELECT conv_id, turn, {top_number(5)} AS n, {TOP_PCT} AS pct FROM (SELECT *, {_TOPQ} AS q FROM conversations)"
 
 _TAGGED = (
     f"asked AS (SELECT conv_id * 1000 + turn AS id, {norm(f'concat({_LEAD}, text)')} AS q FROM conversations), "
-    f"tags AS (SELECT id, {ladder(ANSWER_WORDS, ANSWER_LADDER)} AS intent, {top_number(5)} AS n, {TOP_PCT} AS pct FROM asked)"
+    f"tags AS (SELECT id, {answer_label()} AS intent, {top_number(5)} AS n, {TOP_PCT} AS pct FROM asked)"
 )
 _parts = []
 for _intent, _sql in ANSWERS.items():
@@ -811,6 +813,52 @@ ORACLES["answer_questions"] = months(
     1,
 )
 
+
+
+def _every(key: str, value: str, order: str) -> str:
+    """All groups with their rank, as label and value."""
+    return f"SELECT row_number() OVER (ORDER BY value {order}, key) AS rank, key AS label, round(CAST(value AS DOUBLE), 2) AS value FROM ({grouped(key, value)})"
+
+
+def _chart(intent: str, body: str, param: int = -1) -> str:
+    return f"SELECT '{intent}' AS intent, {param} AS param, CAST(rank AS BIGINT) AS rank, label, CAST(value AS DOUBLE) AS value, CAST(extra AS DOUBLE) AS extra FROM ({body})"
+
+
+_EDGES = f"SELECT min({dbl('price')}) AS lo, max({dbl('price')}) AS hi FROM sales"
+_CHARTS = [
+    _chart("trend", "SELECT pos AS rank, CAST(month AS VARCHAR) AS label, round(revenue, 2) AS value, round(ma3, 2) AS extra FROM flow"),
+    _chart("pie", f"SELECT rank, key AS label, round(value, 2) AS value, round(value / sum(value) OVER () * 100, 1) AS extra FROM ({top('product', money(), 8)})"),
+    _chart(
+        "histogram",
+        f"SELECT bin + 1 AS rank, format('{{:,.2f}}', lo + (hi - lo) / 30 * bin) AS label, coalesce(n, 0) AS value, round(lo + (hi - lo) / 30 * (bin + 1), 2) AS extra "
+        f"FROM (SELECT unnest(range(30)) AS bin) CROSS JOIN ({_EDGES}) LEFT JOIN (SELECT CAST(least(floor((CAST(price AS DOUBLE) - lo) * 30 / (hi - lo)), 29) AS BIGINT) AS bin, count(*) AS n FROM sales CROSS JOIN ({_EDGES}) GROUP BY 1) USING (bin)",
+    ),
+    _chart("correlation", f"SELECT NULL AS rank, concat(col_a, ' ~ ', col_b) AS label, round(r, 2) AS value, NULL AS extra FROM (SELECT * FROM ({_PAIRS3}) UNION ALL SELECT col_b, col_a, r FROM ({_PAIRS3}) " + " ".join(f"UNION ALL SELECT '{c}', '{c}', 1.0" for c in MEASURES) + ")"),
+    _chart("avg_bar", f"SELECT rank, key AS label, round(value, 2) AS value, NULL AS extra FROM ({top('city', mean(), 15)})"),
+    _chart("customer_freq", f"SELECT rank, key AS label, value, NULL AS extra FROM ({top('customer', 'count(*)', 15)})"),
+]
+_SPENDS = f"SELECT CAST(price AS DOUBLE) AS x FROM sales"
+_CHARTS += [
+    _chart("box", f"SELECT {i} AS rank, CAST(NULL AS VARCHAR) AS label, {name} AS value, outliers AS extra FROM ({box(_SPENDS, None)})")
+    for i, name in enumerate(["whisker_low", "q1", "median", "q3", "whisker_high"], 1)
+]
+for _intent, _key in {"top_customers": "customer", "top_products": "product", "top_regions": "city"}.items():
+    for _param, _order in enumerate(["DESC", "ASC"]):
+        _CHARTS.append(_chart(_intent, f"SELECT rank, label, value, NULL AS extra FROM ({_every(_key, money(), _order)})", _param))
+# Questions for scatter charts do not occur in the conversations; the unit tests have them.
+ORACLES["chart_questions"] = months(
+    "SELECT t.id, t.intent, CASE t.intent WHEN 'empty' THEN 'no question' WHEN 'unknown' THEN 'not understood' WHEN 'box' THEN "
+    "CASE WHEN (SELECT count(DISTINCT city) FROM sales) > 20 THEN 'charted, one box for more than 20 values' ELSE 'charted' END ELSE 'charted' END AS status, "
+    "c.rank, c.label, c.value, c.extra FROM chart_tags t LEFT JOIN chart_rows c ON t.intent = c.intent AND t.param = c.param AND (NOT starts_with(t.intent, 'top_') OR c.rank <= t.n)"
+).replace(
+    "\nSELECT t.id",
+    f", asked AS (SELECT conv_id * 1000 + turn AS id, {norm(f'concat({_LEAD}, text)')} AS q FROM conversations), "
+    f"labels AS (SELECT id, {chart_label()} AS intent, {from_the_bottom()} AS low, {top_number(10)} AS n FROM asked), "
+    f"chart_tags AS (SELECT id, intent, n, CASE WHEN NOT starts_with(intent, 'top_') THEN -1 WHEN low THEN 1 ELSE 0 END AS param FROM labels), "
+    f"chart_rows AS ({' UNION ALL '.join(_CHARTS)})\nSELECT t.id",
+    1,
+)
+
 _SCALED = "c_acctbal * pow(10.0, c_custkey % 5)"
 ORACLES["human_number"] = (
     f"SELECT c_custkey, CASE WHEN abs(x) >= 1000000 THEN concat(CAST(CAST(round(x / 1000000, 2) AS DECIMAL(30,2)) AS VARCHAR), 'M') "

@@ -87,6 +87,19 @@ def _(df):
     return back.groupBy("region_txt", "note_txt").agg(F.count(F.lit(1)).alias("n"), F.sum("rid").alias("rid_sum"), F.sum("qty").alias("qty_sum"))
 
 
+@on_dirty("csv_quoted_breaks")
+def _(df):
+    """Notes with line breaks, commas and quotes, written in several files and read back in splits of any size."""
+    spark, path = df.sparkSession, session.scratch_path(df.sparkSession, "quoted-csv")
+    kind = F.pmod("rid", F.lit(5))
+    note = F.when(kind == 0, F.concat_ws("\n", "region_txt", "customer")).when(kind == 1, F.concat(F.lit('"'), "customer", F.lit('",\n\n"x"'))).when(kind == 2, F.concat("region_txt", F.lit(", plain"))).when(
+        kind == 3, F.concat(F.lit("a\r\nb "), "flag_txt")
+    )
+    csv_files.write_csv(df.select("rid", note.alias("note"), "qty"), path)
+    back = csv_files.read_csv(spark, path)
+    return back.groupBy("note").agg(F.count(F.lit(1)).alias("n"), F.sum("rid").alias("rid_sum"), F.sum("qty").alias("qty_sum"))
+
+
 @on_sales("csv_wide_ids")
 def _(df):
     path = session.scratch_path(df.sparkSession, "wide-csv")
@@ -229,6 +242,17 @@ def on_clean(name, columns, steps, places=None):
 on_clean("clean_dedup", ["rid", "customer", "amount_txt", "order_date_txt", "region_txt", "flag_txt", "note_txt", "qty"], [("(dataset)", "remove_duplicates")])
 on_clean("clean_fill_median", ["rid", "qty", "amount_txt"], [("qty", "fill_missing_median"), ("amount_txt", "fill_missing_median")], 4)
 on_clean("clean_fill_mean", ["rid", "qty", "amount_txt"], [("qty", "fill_missing_mean"), ("amount_txt", "fill_missing_mean")], 2)
+
+
+@on_dirty("clean_mean_values")
+def _(df):
+    """What the gaps of two columns were filled with."""
+    tidy, _, _ = clean.apply_cleaning(df.select("rid", "qty", "amount_txt"), [("qty", "fill_missing_mean"), ("amount_txt", "fill_missing_mean")])
+    return tidy.agg(
+        F.max(F.when(F.expr("rid % 43 = 0 AND rid % 997 <> 0"), F.round("qty", 2))).alias("qty"), F.max(F.when(F.expr("rid % 50 = 0"), F.round("amount_txt", 2))).alias("amount_txt")
+    )
+
+
 on_clean("clean_fill_zero", ["rid", "qty", "amount_txt"], [("qty", "fill_missing_zero"), ("amount_txt", "fill_missing_zero")])
 on_clean("clean_fill_unknown", ["rid", "note_txt"], [("note_txt", "fill_missing_unknown")])
 on_clean("clean_fill_notprovided", ["rid", "note_txt"], [("note_txt", "fill_missing_notprovided")])
@@ -278,19 +302,22 @@ def _(df):
 
 
 def _suggested(df):
-    columns = profile.profile_columns(df, stored=True)
-    return clean.enabled_steps(issues.suggest(columns, issues.detect_issues(df, columns)))
+    """A stored copy of the table and the steps that its issues call for."""
+    known = issues.examine(df)
+    return known.table, clean.enabled_steps(known.steps())
 
 
 @on_dirty("clean_full", 4)
 def _(df):
-    cleaned = clean.apply_cleaning(df, _suggested(df))[0]
+    table, steps = _suggested(df)
+    cleaned = clean.apply_cleaning(table, steps, stored=True)[0]
     return cleaned.withColumn("order_date_txt", F.col("order_date_txt").cast("date"))
 
 
 @on_dirty("clean_report")
 def _(df):
-    return clean.apply_cleaning(df, [*_suggested(df), ("order_date_txt", "drop_missing_rows"), ("qty", "remove_outliers")])[1]
+    table, steps = _suggested(df)
+    return clean.apply_cleaning(table, [*steps, ("order_date_txt", "drop_missing_rows"), ("qty", "remove_outliers")], stored=True)[1]
 
 
 # ---- profile and issues ------------------------------------------------------------------------
@@ -336,8 +363,7 @@ def _(df):
 
 @on_dirty("suggestions")
 def _(df):
-    columns = profile.profile_columns(df)
-    return issues.suggest(columns, issues.detect_issues(df, columns)).drop("description")
+    return issues.examine(df).steps().drop("description")
 
 
 @on_dirty("outlier_counts")
@@ -352,7 +378,7 @@ def _(df):
 
 @on_dirty("quality_score_issues")
 def _(df):
-    return profile.quality_score_from_issues(df, issues.detect_issues(df))
+    return issues.examine(df).score()
 
 
 # ---- aggregation -------------------------------------------------------------------------------
