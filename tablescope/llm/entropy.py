@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ KINDS = ("assign", "access", "hex", "entropy")
 
 @dataclass(frozen=True)
 class Scan:
-    """``classes``: pattern of a whole candidate, and the bits a character that a window of it must reach.
+    """``classes``: pattern of a whole candidate, and the bits a character that a window of it must reach; of digits alone none can be told from a number.
 
     A candidate belongs to the first class that it matches. ``allowed``: candidates that match one
     of these, or their parts between ``/`` and ``=`` that do, are left alone: letters only or without a digit, dates and versions, universally
@@ -34,7 +35,7 @@ class Scan:
     """
 
     window: int = 20
-    classes: tuple[tuple[str, float], ...] = ((r"[0-9]+", 9.0), (r"[0-9a-fA-F]+", 3.0), (r"[A-Za-z0-9]+", 3.5), (r"[A-Za-z0-9+/_=-]+", 3.6))
+    classes: tuple[tuple[str, float], ...] = ((r"[0-9a-fA-F]+", 3.0), (r"[A-Za-z0-9]+", 3.5), (r"[A-Za-z0-9+/_=-]+", 3.6))
     allowed: tuple[str, ...] = (
         r"[^0-9]+", r"[0-9_/=+-]+", r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", r"(.)\1+", r"(?i).*(example|sample|placeholder|changeme|xxxx).*",
         r"[a-z]+([-_/][a-z]+)*[-_/]?[0-9]{1,4}", r"[/_=+-]*([a-zA-Z]+[/_=+-]+)+[a-zA-Z0-9]{0,12}",
@@ -68,20 +69,41 @@ def windows_of_entropy(run: str, width: int, least: float) -> list[tuple[int, in
     return out
 
 
-def beyond(stretches: list, base: list) -> Iterator[tuple[int, int, int]]:
-    """What base spans leave of stretches; both are sorted by start, and stretches do not overlap."""
-    first = 0
-    for start, kind, end in stretches:
-        while first < len(base) and base[first][2] <= start:
-            first += 1
-        for b in range(first, len(base)):
-            if base[b][0] >= end or start >= end:
-                break
-            if base[b][0] > start:
-                yield start, kind, base[b][0]
-            start = max(start, base[b][2])
+def without(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """What spans leave of ``start`` to ``end``; spans are sorted and do not overlap."""
+    for low, high in taken[max(0, bisect_left(taken, (start,)) - 1) :]:
+        if low >= end:
+            break
+        if low > start:
+            yield start, low
+        start = max(start, high)
+    if start < end:
+        yield start, end
+
+
+def united(spans: list) -> list[tuple[int, int]]:
+    """Spans (start, kind, end), sorted by start, as stretches that do not overlap."""
+    out: list[tuple[int, int]] = []
+    for start, _, end in spans:
+        if out and start < out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], end))
+        else:
+            out.append((start, end))
+    return out
+
+
+def grown(run: str, stretches: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Stretches up to the ``/`` or ``=`` around them, so that no end of a key is left; closing ``=`` belong to it."""
+    last = 0
+    for start, end in stretches:
+        start += len(run[start:end]) - len(run[start:end].lstrip("/="))
+        start = max(last, run.rfind("/", 0, start) + 1, run.rfind("=", 0, start) + 1)
+        end = start + len(run[start:end].rstrip("/="))
+        end = min((p for p in (run.find("/", end), run.find("=", end)) if p >= 0), default=len(run))
+        end = len(run) if not run[end:].strip("=") else end
         if start < end:
-            yield start, kind, end
+            yield start, end
+            last = end
 
 
 class Scanner:
@@ -120,20 +142,23 @@ class Scanner:
             if len(left) >= self.scan.window:
                 yield from self.scanned(left, at + start + len(piece) - len(left))
 
-    def entropic(self, text: str) -> Iterator[tuple[int, int, int]]:
+    def entropic(self, text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, int]]:
+        """Keys in what known formats leave of the candidate strings; only that is looked at, so their own entropy marks nothing beside them."""
         for m in CANDIDATE.finditer(text):
-            for at, run in self.scanned(m[0], m.start()):
-                bits = next((b for p, b in self.classes if p.fullmatch(run)), None)
-                if bits is not None:
-                    yield from ((at + a, 3, at + b) for a, b in windows_of_entropy(run, self.scan.window, bits))
+            for start, end in without(*m.span(), taken):
+                if end - start < self.scan.window:
+                    continue
+                for at, run in self.scanned(text[start:end], start):
+                    bits = next((b for p, b in self.classes if p.fullmatch(run)), None)
+                    if bits is not None:
+                        yield from ((at + a, 3, at + b) for a, b in grown(run, windows_of_entropy(run, self.scan.window, bits)))
 
     def spans(self, text: str | None) -> tuple[list, list]:
-        """The base spans and all spans, by start, then kind; of windows, what lies beyond the base spans is left."""
+        """The base spans and all spans, by start, then kind; entropic ones overlap nothing."""
         if not text:
             return [], []
         base = sorted(self.base(text))
-        more = list(beyond(sorted(self.entropic(text)), base))
-        return base, sorted(base + more)
+        return base, sorted([*base, *self.entropic(text, united(base))])
 
     def redacted(self, text: str | None, mark: str = "<secret>") -> str | None:
         """``text`` with every union of overlapping spans replaced by ``mark``."""
@@ -141,13 +166,7 @@ class Scanner:
         if not spans:
             return text
         out, at = [], 0
-        merged: list[list[int]] = []
-        for start, _, end in spans:
-            if merged and start < merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], end)
-            else:
-                merged.append([start, end])
-        for start, end in merged:
+        for start, end in united(spans):
             out += [text[at:start], mark]
             at = end
         return "".join(out) + text[at:]
@@ -180,7 +199,10 @@ def scan_documents(docs: DataFrame, scan: Scan = Scan(), key: str = "doc_id", te
 
 
 def redact_documents(docs: DataFrame, scan: Scan = Scan(), text: str = "text", length: str = "n_chars", mark: str = "<secret>") -> DataFrame:
-    """All rows and columns, secrets in ``text`` replaced by ``mark`` and ``length``, where it exists, counted anew for changed texts."""
+    """All rows and columns, secrets in ``text`` replaced by ``mark`` and ``length``, where it exists, counted anew for changed texts.
+
+    Null and empty texts stay as they are; whole texts are scanned, however long; repeated rows change alike; an empty table stays empty.
+    """
     columns = docs.columns
     at, count_at = columns.index(text), columns.index(length) if length in columns else -1
 

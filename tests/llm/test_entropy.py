@@ -85,3 +85,45 @@ def test_tokens_beside_known_formats_and_placeholder_words():
         assert text[span[0] : span[2]] == token
     for plain in ("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", f"example-{token}", f"docs/example-{token}/page/12", "docs/some_words/and/more/a1b2c3d4"):
         assert scanner.spans(plain)[1] == [], plain
+
+
+def test_known_formats_mark_nothing_beside_them():
+    scanner = entropy.Scanner()
+    digest = "0123456789abcdef0123456789abcdef01234567"
+    for text in ("csrf_token=Qz8vKp3LmT5xWn2RcY7dHb4F", f"/commit/{digest}/readme2", f"see {digest[:24]}-{digest[:24]}/x1 end"):
+        base, every = scanner.spans(text)
+        assert base == every == brute_base(text)
+    assert scanner.redacted(f"/commit/{digest}/readme2") == "/commit/<secret>/readme2"
+
+
+def test_keys_are_covered_whole():
+    rng, scanner = random.Random(8), entropy.Scanner()
+    for letters in ("abcdefghijklmnopqrstuvwxyz0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"):
+        partly = 0
+        for _ in range(300):
+            key = "".join(rng.choices(letters, k=rng.randint(32, 64)))
+            base, spans = scanner.spans(f"key {key}, end")
+            # 24 digits in a row are a known format of their own, and what is beyond them is looked at by itself.
+            partly += bool(spans) and not base and [(s, e) for s, _, e in spans] != [(4, 4 + len(key))]
+        assert partly == 0
+    key = "Qz8vKp3LmT5xWn2RcY7dHb4F/Ab9+Xy7Zk1Wq=="
+    assert scanner.redacted(f"a {key} b") == "a <secret> b"
+
+
+def test_planted_keys_in_a_whole_table(spark):
+    """Every text of a table with a key of random letters and digits set between two words, against a plain search for windows."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    rng, planted = random.Random(9), []
+    for key, text in docs:
+        secret = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=18)) + str(rng.randint(10**5, 10**6)) + "".join(rng.choices("abcdefXYZ789", k=10))
+        words = text.split(" ")
+        at = rng.randint(0, len(words))
+        place = len(" ".join(words[:at])) + (1 if at else 0)
+        planted.append((key, " ".join([*words[:at], secret, *words[at:]]), place, secret))
+    found = entropy.scan_documents(spark.createDataFrame([p[:2] for p in planted], "doc_id bigint, text string")).collect()
+    spans = {r.doc_id: set(r.spans.split(",")) for r in found}
+    for key, text, place, secret in planted:
+        reached = any(shannon(secret[i : i + 20]) >= 3.5 - 1e-9 for i in range(len(secret) - 19))
+        assert (f"entropy:{place}:{place + len(secret)}" in spans[key]) == reached, (key, secret)
+        clean = entropy.Scanner().spans(dict(docs)[key])[1]
+        assert len(spans[key] - {""}) == len(clean) + reached
