@@ -7,8 +7,8 @@ common extensions cost a few look-ups. Two primes near 2**31 together make 62 bi
 
 from __future__ import annotations
 
+import base64
 import hashlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,9 @@ from .common import partitions
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 747796405)
 #: Prefix and suffix lengths that a fingerprint keeps grow by this factor.
-STEP = 2 ** 0.25
+STEP = 2 ** 0.5
+#: Different pieces that a fingerprint keeps, those of the smallest hashes.
+KEPT = 48
 #: Spans of this length whose hash is a multiple of ``EVERY`` begin a piece, if the one before is as far away at least.
 GRAM = 16
 EVERY = 32
@@ -99,7 +101,11 @@ def equal_spans(a: Prefixes, i: int, b: Prefixes, j: int, length: int) -> bool:
 
 def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     """Length of the longest common piece that starts at ``i`` in one text and at ``j`` in the other, by binary search."""
-    low, high = 0, min(a.n - i, b.n - j)
+    most = min(a.n - i, b.n - j)
+    low, high = 0, min(1, most)
+    # Doubling first: most extensions are short.
+    while high < most and equal_spans(a, i, b, j, high):
+        low, high = high, min(2 * high, most)
     while low < high:
         middle = (low + high + 1) // 2
         if equal_spans(a, i, b, j, middle):
@@ -109,6 +115,22 @@ def common_extension(a: Prefixes, i: int, b: Prefixes, j: int) -> int:
     return low
 
 
+def common_ends(a: Prefixes, b: Prefixes) -> tuple[int, int]:
+    """Lengths of the longest common beginning and, beyond it, the longest common end."""
+    head = common_extension(a, 0, b, 0)
+    most = min(a.n, b.n) - head
+    low, high = 0, min(1, most)
+    while high < most and equal_spans(a, a.n - high, b, b.n - high, high):
+        low, high = high, min(2 * high, most)
+    while low < high:
+        middle = (low + high + 1) // 2
+        if equal_spans(a, a.n - middle, b, b.n - middle, middle):
+            low = middle
+        else:
+            high = middle - 1
+    return head, low
+
+
 def pieces(text: Prefixes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the pieces between places that the content alone defines, from the prefix hashes; they cover the text."""
     found = np.empty(0, np.int64)
@@ -123,40 +145,67 @@ def pieces(text: Prefixes) -> tuple[np.ndarray, np.ndarray]:
     return borders[:-1], borders[1:]
 
 
+def _packed(words: np.ndarray) -> str:
+    return base64.b64encode(words.astype("<u4").tobytes()).decode()
+
+
+def _unpacked(text: str) -> np.ndarray:
+    return np.frombuffer(base64.b64decode(text), "<u4")
+
+
 def fingerprint(text: Prefixes) -> str:
-    """Length, hash of the whole, 32 bits for each prefix and each suffix whose length is on the grid, then hash and length of each piece, 32 bits each."""
+    """Length, hash of the whole, 32 bits for each prefix and each suffix whose length is on the grid, then the pieces.
+
+    Of the different pieces those with the ``KEPT`` smallest hashes are kept, each with 32 bits of hash and the code
+    points that all its copies hold together. So a fingerprint has a bounded size, whatever the length of the text.
+    """
     n = text.n
     grid = POWERS.grid[: np.searchsorted(POWERS.grid, n, "right")]
     zero = np.zeros(len(grid), np.int64)
+    # The low 31 bits are the second hash; the lowest bit of the first one fills the word.
     both = [text.span(zero, grid), text.span(n - grid, np.full(len(grid), n))]
     whole = int(text.span(np.array(0), np.array(n)))
-    # The low 31 bits are the second hash; the lowest bit of the first one fills the word.
     start, end = pieces(text)
-    inner = np.stack([text.span(start, end) & np.uint64(0xFFFFFFFF), (end - start).astype(np.uint64)], 1)
-    return f"{n:x}.{whole:016x}." + ".".join([*((v & np.uint64(0xFFFFFFFF)).astype(">u4").tobytes().hex() for v in both), inner.astype(">u4").tobytes().hex()])
+    hashes, copy = np.unique(text.span(start, end) & np.uint64(0xFFFFFFFF), return_inverse=True)
+    held = np.bincount(copy, end - start, len(hashes)).astype(np.uint64)
+    few = np.stack([hashes[:KEPT], np.minimum(held[:KEPT], np.uint64(0xFFFFFFFF))])
+    return f"{n:x}.{whole:016x}.{len(hashes):x}." + ".".join([*(_packed(v & np.uint64(0xFFFFFFFF)) for v in both), _packed(few)])
+
+
+def _common_pieces(a: np.ndarray, b: np.ndarray, whole: bool, n_a: int, n_b: int) -> float:
+    """Code points in common pieces; from all pieces, or estimated by the smallest hashes of both texts together."""
+    every = np.union1d(a[0], b[0])
+    every = every if whole else every[:KEPT]
+    held = []
+    for side in (a, b):
+        at = np.minimum(np.searchsorted(side[0], every), max(0, len(side[0]) - 1))
+        held.append(np.where(side[0][at] == every, side[1][at], 0).astype(float) if len(side[0]) else np.zeros(len(every)))
+    least, most = np.minimum(*held).sum(), np.maximum(*held).sum()
+    # Of code points held by either text, those held by both; together the two texts have n_a + n_b.
+    return float(least / (least + most) * (n_a + n_b)) if most else 0.0
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of the longer text, from 0 to 1, that is surely common: pieces wherever they stand, or, if that is more, beginning and end by the grid."""
-    n_a, whole_a, *parts_a, inner_a = a.split(".")
-    n_b, whole_b, *parts_b, inner_b = b.split(".")
+    """Share of the longer text, from 0 to 1, that is common: pieces wherever they stand, or, if that is more, beginning and end by the grid."""
+    n_a, whole_a, count_a, *parts_a, inner_a = a.split(".")
+    n_b, whole_b, count_b, *parts_b, inner_b = b.split(".")
     if n_a == n_b and whole_a == whole_b:
         return 1.0
     shortest, longest = sorted((int(n_a, 16), int(n_b, 16)))
     edges = 0
-    for x, y in zip(parts_a, parts_b):
+    for x, y in zip(map(_unpacked, parts_a), map(_unpacked, parts_b)):
         # Equality of prefixes is monotone, so the last equal entry is found by halving.
-        low, high = 0, min(len(x), len(y)) // 8
+        low, high = 0, min(len(x), len(y))
         while low < high:
             middle = (low + high + 1) // 2
-            if x[8 * middle - 8 : 8 * middle] == y[8 * middle - 8 : 8 * middle]:
+            if x[middle - 1] == y[middle - 1]:
                 low = middle
             else:
                 high = middle - 1
         if low:
             edges += int(POWERS.grid[low - 1])
-    left, right = (Counter(x[i : i + 16] for i in range(0, len(x), 16)) for x in (inner_a, inner_b))
-    inside = sum(int(piece[8:], 16) * min(count, right[piece]) for piece, count in left.items() if piece in right)
+    whole = max(int(count_a, 16), int(count_b, 16)) <= KEPT
+    inside = _common_pieces(_unpacked(inner_a).reshape(2, -1), _unpacked(inner_b).reshape(2, -1), whole, int(n_a, 16), int(n_b, 16))
     # Different texts are never wholly alike.
     return min(max(edges, inside), shortest, longest - 1) / longest
 
@@ -203,6 +252,9 @@ def _neighbours(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, int]:
 def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: fingerprints of the text and of an edited text, and how like they and the next document are.
 
+    ``next_head`` and ``next_tail`` are the longest common extensions with the next document from the beginning and,
+    beyond that, from the end, found by binary search on span hashes. A fingerprint has some 2,000 characters at most.
+
     The next document has the next smaller integer ``key`` (equal keys by text); nulls come last,
     and after the last comes the first, which may be the document itself. In the edited text the
     last floor(n / 2) code points give way to the first as many of the next document. A null text
@@ -212,7 +264,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     rows, _ = _neighbours(docs, key, text)
     schema = (
         f"`{key}` {docs.schema[key].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string,"
-        " edited_fingerprint string, near_edited double, near_next double"
+        " edited_fingerprint string, near_edited double, near_next double, next_head bigint, next_tail bigint"
     )
 
     def work(batches: Iterator) -> Iterator:
@@ -226,7 +278,7 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
             edited = value[: n - n // 2] + next_value[:tail]
             made = fingerprint(Joined(own, n - n // 2, next_own, tail))
             digest = hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest()
-            return k, n, digest, print_, made, likeness(print_, made), likeness(print_, next_print)
+            return k, n, digest, print_, made, likeness(print_, made), likeness(print_, next_print), *common_ends(own, next_own)
 
         waiting, at = None, None
         for batch in batches:
@@ -242,12 +294,12 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
                 if waiting is not None:
                     out.append(finish(waiting, row))
                 waiting = None if guest else row
-            kinds = [out_key, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+            kinds = [out_key, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
             columns = zip(*out) if out else [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
     from pyspark.sql.pandas.types import to_arrow_type
 
     out_key = to_arrow_type(docs.schema[key].dataType)
-    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = [key, "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "next_head", "next_tail"]
     return rows.mapInArrow(work, schema)

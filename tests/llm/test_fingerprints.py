@@ -17,7 +17,11 @@ def brute(rows):
         text, after = text or "", order[(i + 1) % len(order)][1] or ""
         n = len(text)
         edited = text[: n - n // 2] + after[: n // 2]
-        out.append((key, n, hashlib.sha256(edited.encode()).hexdigest(), fp.fingerprint(fp.Prefixes(text)), fp.fingerprint(fp.Prefixes(edited))))
+        prints = [fp.fingerprint(fp.Prefixes(t)) for t in (text, edited, after)]
+        head = next((i for i, (x, y) in enumerate(zip(text, after)) if x != y), min(n, len(after)))
+        x, y = text[head:][::-1], after[head:][::-1]
+        tail = next((i for i, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
+        out.append((key, n, hashlib.sha256(edited.encode()).hexdigest(), *prints[:2], fp.likeness(prints[0], prints[1]), fp.likeness(prints[0], prints[2]), head, tail))
     return sorted(out, key=str)
 
 
@@ -36,7 +40,7 @@ def test_matches_brute_force(spark, parts):
         got = fp.fingerprint_documents(docs).collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got], key=str) == brute(ROWS)
+    assert sorted([tuple(r) for r in got], key=str) == brute(ROWS)
     by_key = {r.doc_id: r for r in got}
     assert by_key[12].near_next > 0.8 and by_key[5].near_edited >= 0.4
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
@@ -46,7 +50,7 @@ def test_whole_table_matches_brute_force(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = fp.fingerprint_documents(docs).collect()
-    assert sorted([(r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint) for r in got], key=str) == brute(rows)
+    assert sorted([tuple(r) for r in got], key=str) == brute(rows)
     assert np.mean([r.near_edited for r in got]) > 0.4 > np.mean([r.near_next for r in got])
 
 
@@ -86,3 +90,35 @@ def test_edits_inside_and_at_both_ends_leave_a_copy_alike():
     assert like(words, words[600:] + words[:600]) > 0.9
     assert like(words, [word() for _ in range(1200)]) < 0.1
     assert like(["aaaa"], ["aaaaa"]) < 1.0 and len(fp.fingerprint(fp.Prefixes("ab" * 5000))) < 5000
+
+
+def plain_likeness(x, y):
+    """Common code points in pieces by a multiset of the pieces' texts."""
+    from collections import Counter
+
+    if x == y:
+        return 1.0
+    held = []
+    for t in (x, y):
+        count = Counter()
+        for start, end in zip(*fp.pieces(fp.Prefixes(t))):
+            count[t[start:end]] += int(end - start)
+        held.append(count)
+    return sum(min(n, held[1][p]) for p, n in held[0].items()) / max(len(x), len(y))
+
+
+def test_likeness_counts_or_estimates_common_pieces():
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghij", k=rng.randrange(2, 10)))
+    for size, slack in ((100, 1e-9), (4000, 0.2)):
+        for share in (0.1, 0.5, 0.9):
+            words = [word() for _ in range(size)]
+            cut = int(size * share)
+            x, y = " ".join(["start", *words, "stop"]), " ".join([*[word() for _ in range(size - cut)], *words[:cut]])
+            assert abs(fp.likeness(fp.fingerprint(fp.Prefixes(x)), fp.fingerprint(fp.Prefixes(y))) - plain_likeness(x, y)) <= slack
+
+
+def test_fingerprints_are_bounded():
+    rng = random.Random(5)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=1_000_000))
+    assert len(fp.fingerprint(fp.Prefixes(text))) < 2000 and len(fp.fingerprint(fp.Prefixes("ab" * 500_000))) < 2000
