@@ -41,16 +41,6 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def occurrences(chunks: list[str]) -> list[int]:
-    """For each chunk, how many equal ones come before it in the text."""
-    seen: dict[str, int] = {}
-    out = []
-    for chunk in chunks:
-        out.append(n := seen.get(chunk, 0))
-        seen[chunk] = n + 1
-    return out
-
-
 class Model:
     """Pieces of a model file, as tables for merging and for decoding."""
 
@@ -134,7 +124,7 @@ class Dropout:
         self.seed = np.uint64(seed & WORD)
 
     def skips(self, key, start, middle, end, rank) -> np.ndarray:
-        """Whether candidates are skipped: by the text's key and the chunk's occurrence, the three borders in the chunk and the piece's rank."""
+        """Whether candidates are skipped: by the text's key and the chunk's place in it, the three borders in the chunk and the piece's rank."""
         spot = (start.astype(np.uint64) * A1 + middle.astype(np.uint64)) * A2 + end.astype(np.uint64) * A3
         return (_mixed(_mixed(spot ^ self.seed) + key + rank.astype(np.uint64) * A1) < self.limit) | self.always
 
@@ -208,12 +198,12 @@ class Dropout:
                 ranks[r, c] = candidates(symbols[r, c], symbols[r, c + 1], edges[r, c], edges[r, c + 1], edges[r, c + 2], keys[ok])
 
     def encode(self, texts: list[str | None], keys: list[int]) -> list[np.ndarray]:
-        """Unsigned 32-bit ids of each text under its key; none for null or empty. Repeats of a chunk are drawn anew, each by its number."""
+        """Unsigned 32-bit ids of each text under its key; none for null or empty. Every chunk is drawn anew, by its place in the text."""
         split = [CHUNK.findall(" " + t) if t else [] for t in texts]
         members = list(chain.from_iterable(split))
         sizes = [len(chunks) for chunks in split]
         lengths = np.fromiter(map(len, members), np.int64, len(members))
-        words = np.repeat(np.array([k & WORD for k in keys], np.uint64), sizes) + np.fromiter(chain.from_iterable(map(occurrences, split)), np.uint64, len(members)) * A2
+        words = np.repeat(np.array([k & WORD for k in keys], np.uint64), sizes) + np.fromiter(chain.from_iterable(map(range, sizes)), np.uint64, len(members)) * A2
         made: list[bytes] = [b""] * len(members)
         for i in np.nonzero(lengths > SIDE_BY_SIDE)[0].tolist():
             made[i] = self.model.spelled(self.agenda(members[i], int(words[i]))).astype("<u4").tobytes()

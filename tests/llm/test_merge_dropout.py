@@ -59,13 +59,14 @@ def brute(text, key, rate, seed):
     """The agenda by plain search: best piece, then leftmost, skipped candidates never."""
     coder = md.Dropout(rate, seed)
     ids = []
-    for chunk in md.CHUNK.findall(" " + text) if text else []:
+    for place, chunk in enumerate(md.CHUNK.findall(" " + text) if text else []):
+        word = np.uint64((key + place * int(md.A2)) & md.WORD)
         symbols = [(int(coder.model.char[ord(c)]), i, i + 1) for i, c in enumerate(chunk)]
         while True:
             found = []
             for i, (x, y) in enumerate(zip(symbols, symbols[1:])):
                 rank = coder.model.pairs.get(x[0] << 32 | y[0])
-                if rank is not None and not coder.skips(np.uint64(key & md.WORD), *(np.array([v]) for v in (x[1], y[1], y[2], rank)))[0]:
+                if rank is not None and not coder.skips(word, *(np.array([v]) for v in (x[1], y[1], y[2], rank)))[0]:
                     found.append((rank, i, int(coder.model.by_rank[rank])))
             if not found:
                 break
@@ -99,7 +100,19 @@ def test_whole_table(spark):
     assert len(got) == len(rows) and all(r.lossless for r in got.values())
     for r in rows[:40]:
         ids = coder.encode([r.text], [keys[r.doc_id]])[0]
-        assert (got[r.doc_id].n_ids, got[r.doc_id].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+        assert (got[r.doc_id].n_ids, got[r.doc_id].ids_crc32, got[r.doc_id].ids) == (len(ids), zlib.crc32(ids.tobytes()), ids.tolist())
+    frame = queries.QUERIES["op6_merge_dropout"](spark, folder)
+    assert {r.doc_id: r.text for r in md.decode_documents(frame).collect()} == {r.doc_id: r.text for r in rows}
+
+
+def test_words_that_begin_alike_are_drawn_apart():
+    coder, alike = md.Dropout(0.3, 4), 0
+    for key in range(300):
+        pieces = [coder.model.bytes_of[i] for i in coder.encode(["international internationally"], [key])[0].tolist()]
+        at = next(i for i, p in enumerate(pieces) if i and p.startswith(b" "))
+        first, second = b"|".join(pieces[:at]), b"|".join(pieces[at:])
+        alike += second.startswith(first)
+    assert alike < 75
 
 
 @pytest.mark.parametrize("word", ["international", "x" * 30 + "communication" * 4])
