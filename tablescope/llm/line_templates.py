@@ -3,7 +3,8 @@
 The tree has a fixed depth: lines part by the number of their tokens, then by their leading
 tokens, where a token with a digit counts as variable. In a leaf, a token is constant at its place
 if enough documents have it there; any other token is a variable field. A line's template is its
-leaf and its constant tokens. Everything is made of DataFrame operations.
+leaf and its constant tokens. A line of which more than half is fields has no template: it recurs
+only where the whole line is equal. Everything is made of DataFrame operations.
 """
 
 from __future__ import annotations
@@ -25,15 +26,16 @@ BROADCAST_KEYS = 1_000_000
 
 @dataclass(frozen=True)
 class Tree:
-    """``depth`` leading tokens; a template is one that ``documents`` documents have and that holds ``percent`` of its tokens constant.
+    """``depth`` leading tokens; a template is one that ``documents`` documents have and of whose words ``percent`` percent are constant.
 
-    With ``bare``, lines of fields alone share a template, as the SQL of ``op1`` has it; without, they recur only where they are equal.
+    A word is constant at its place if ``share`` percent of the documents of its leaf have it there, and ``documents`` at least;
+    so what is a variable field does not change with the size of the corpus.
     """
 
     depth: int = 3
     documents: int = 3
     percent: int = 75
-    bare: bool = True
+    share: int = 10
 
 
 def _plain(line: Column) -> Column:
@@ -46,9 +48,17 @@ def _masked(plain: Column) -> Column:
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, VARIABLE, f"$1{FIELD}")).otherwise(plain)
 
 
-def _fields_alone(tokens: Column) -> Column:
-    """Whether masked tokens are field marks, every one."""
-    return tokens.rlike(r"^<\*>( <\*>)*$")
+def _size(tokens: Column) -> Column:
+    return F.size(F.split(tokens, " "))
+
+
+def _words(tokens: Column) -> Column:
+    """How many of the masked tokens are no field marks."""
+    return _size(tokens) - F.regexp_count(tokens, F.lit(r"(?<![^ ])<\*>(?![^ ])"))
+
+
+def _mostly_fields(tokens: Column) -> Column:
+    return 2 * _words(tokens) < _size(tokens)
 
 
 def _leaf(line: Column, tree: Tree) -> Column:
@@ -73,36 +83,33 @@ def recurring_lines(docs: DataFrame, tree: Tree = Tree(), key: str = "doc_id", t
 
     First the leaves that enough documents reach are found from hashes; only lines in those go on
     with their tokens. The first document of a template has the smallest key (null first), then
-    the smallest text hash.
+    the smallest text hash. A null text has no lines, an empty table none either; long lines are lines like others.
     """
     every = _lines(docs, tree, key, text)
-    leaves = written(_documents_per(every, ["leaf"]).where(F.col("documents") >= tree.documents).select("leaf"), "leaves")
+    leaves = written(_documents_per(every, ["leaf"]).where(F.col("documents") >= tree.documents).withColumnRenamed("documents", "_in_leaf"), "leaves")
     leaves = leaves.where(F.col("leaf") != _leaf(F.lit(""), tree))
     known = F.broadcast(leaves) if leaves.count() <= BROADCAST_KEYS else leaves
     # Whole lines are masked in those leaves alone.
     plain = _plain(F.col("raw"))
-    lines = every.join(known, "leaf").select("key", "content", "line", "leaf", _masked(plain).alias("tokens"), *[plain.alias("_plain")] * (not tree.bare))
-    if tree.bare:
-        lines = written(lines, "lines").withColumn("shape", F.xxhash64("tokens"))
-    else:
-        shape = F.when(_fields_alone(F.col("tokens")), F.xxhash64(F.lit(FIELD), "_plain")).otherwise(F.xxhash64("tokens"))
-        lines = written(lines.withColumn("shape", shape).drop("_plain"), "lines")
-
-    shapes = lines.groupBy("leaf", "shape").agg(F.max("tokens").alias("tokens"))
+    lines = every.join(known, "leaf").select("key", "content", "line", "leaf", "_in_leaf", _masked(plain).alias("tokens"), plain.alias("_plain"))
+    shape = F.when(_mostly_fields(F.col("tokens")), F.xxhash64(F.lit(FIELD), "_plain")).otherwise(F.xxhash64("tokens"))
+    lines = written(lines.withColumn("shape", shape).drop("_plain"), "lines")
+
+    shapes = lines.groupBy("leaf", "shape").agg(F.max("tokens").alias("tokens"), F.max("_in_leaf").alias("_in_leaf"))
     shapes = written(shapes.join(_documents_per(lines, ["leaf", "shape"]), ["leaf", "shape"]), "shapes")
-    worded = shapes if tree.bare else shapes.where(~_fields_alone(F.col("tokens")))
-    places = worded.select("leaf", "shape", "documents", F.posexplode(F.split("tokens", " ")).alias("at", "token"))
-    deep = places.where(F.col("at") >= tree.depth)
-    constant = deep.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("_n")).where(F.col("_n") >= tree.documents).select("leaf", "at", "token", F.lit(True).alias("_constant"))
-    # Order-free hash of the constant tokens and their places.
+    worded = shapes.where(~_mostly_fields(F.col("tokens")))
+    deep = worded.select("leaf", "shape", "documents", "_in_leaf", F.posexplode(F.split("tokens", " ")).alias("at", "token")).where((F.col("at") >= tree.depth) & (F.col("token") != FIELD))
+    often = (F.col("_n") >= tree.documents) & (100 * F.col("_n") >= tree.share * F.col("_in_leaf"))
+    constant = deep.groupBy("leaf", "at", "token").agg(F.sum("documents").alias("_n"), F.max("_in_leaf").alias("_in_leaf")).where(often)
+    constant = constant.select("leaf", "at", "token", F.lit(True).alias("_constant"))
+    # Order-free hash of the constant words and their places.
     word = F.when(F.col("_constant"), F.xxhash64("at", "token"))
     kept = deep.join(constant, ["leaf", "at", "token"], "left").groupBy("leaf", "shape").agg(F.coalesce(F.bit_xor(word), F.lit(0)).alias("template"), F.count("_constant").alias("_constants"))
-    size = F.size(F.split("tokens", " "))
-    equal = F.lit(False) if tree.bare else _fields_alone(F.col("tokens"))
-    template, held = F.coalesce("template", F.lit(0)), F.least("_size", F.lit(tree.depth)) + F.coalesce("_constants", F.lit(0))
-    templates = shapes.select("leaf", "shape", size.alias("_size"), equal.alias("_equal")).join(kept, ["leaf", "shape"], "left").select(
-        "leaf", "shape", F.when(F.col("_equal"), F.col("shape")).otherwise(template).alias("template"), "_size", F.when(F.col("_equal"), F.col("_size")).otherwise(held).alias("_held")
-    ).where(F.col("_held") * 100 >= F.col("_size") * tree.percent)
+    lead = _words(F.array_join(F.slice(F.split("tokens", " "), 1, tree.depth), " "))
+    held = F.col("_lead") + F.coalesce("_constants", F.lit(0))
+    templates = shapes.select("leaf", "shape", _words(F.col("tokens")).alias("_words"), lead.alias("_lead"), _mostly_fields(F.col("tokens")).alias("_equal")).join(kept, ["leaf", "shape"], "left").where(
+        F.col("_equal") | (held * 100 >= F.col("_words") * tree.percent)
+    ).select("leaf", "shape", F.when(F.col("_equal"), F.col("shape")).otherwise(F.coalesce("template", F.lit(0))).alias("template"))
     found = lines.select("key", "content", "line", "leaf", "shape").join(templates.select("leaf", "shape", "template"), ["leaf", "shape"])
     found = written(found.select("key", "content", "line", "leaf", "template"), "template-lines")
     document = F.struct("key", "content")

@@ -52,30 +52,35 @@ FROM documents d LEFT JOIN c ON c.doc_id = d.doc_id JOIN reach r ON r.b = d.doc_
 ORACLES["op1_line_templates"] = r"""
 WITH l AS (
   SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, unnest(range(len(string_split(text, chr(10))))) AS line FROM documents
+), s AS (
+  SELECT doc_id, line, raw, regexp_extract_all(raw, '[^\x20\x09-\x0D]+') AS plain FROM l
 ), m AS (
-  SELECT doc_id, line, raw, list_transform(regexp_extract_all(raw, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM l
+  SELECT *, list_transform(plain, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM s
 ), t AS (
-  SELECT doc_id, line, tokens, len(tokens) AS size, array_to_string(tokens[1:3], ' ') AS lead FROM m WHERE len(tokens) > 0
+  SELECT doc_id, line, tokens, len(tokens) AS size, array_to_string(tokens[1:3], ' ') AS lead,
+    len(list_filter(tokens, lambda t: t <> '<*>')) AS words, len(list_filter(tokens[1:3], lambda t: t <> '<*>')) AS lead_words, array_to_string(plain, ' ') AS whole
+  FROM m WHERE len(tokens) > 0
 ), leaf AS (
-  SELECT size, lead FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3
+  SELECT size, lead, count(DISTINCT doc_id) AS in_leaf FROM t GROUP BY 1, 2 HAVING count(DISTINCT doc_id) >= 3
 ), c AS (
-  SELECT t.* FROM t JOIN leaf USING (size, lead)
+  SELECT t.*, in_leaf, CASE WHEN 2 * words < size THEN whole ELSE '' END AS equal FROM t JOIN leaf USING (size, lead)
 ), shape AS (
-  SELECT size, lead, tokens, count(DISTINCT doc_id) AS documents FROM c GROUP BY 1, 2, 3
+  SELECT size, lead, tokens, words, lead_words, equal, in_leaf, count(DISTINCT doc_id) AS documents FROM c GROUP BY ALL
 ), place AS (
-  SELECT size, lead, tokens, documents, unnest(range(4, size + 1)) AS spot FROM shape
+  SELECT size, lead, tokens, documents, in_leaf, unnest(range(4, size + 1)) AS spot FROM shape WHERE equal = ''
 ), deep AS (
-  SELECT *, tokens[spot] AS token FROM place
+  SELECT *, tokens[spot] AS token FROM place WHERE tokens[spot] <> '<*>'
 ), constant AS (
-  SELECT size, lead, spot, token FROM deep GROUP BY 1, 2, 3, 4 HAVING sum(documents) >= 3
+  SELECT size, lead, spot, token FROM deep GROUP BY 1, 2, 3, 4 HAVING sum(documents) >= 3 AND 100 * sum(documents) >= 10 * max(in_leaf)
 ), kept AS (
   SELECT d.size, d.lead, d.tokens, string_agg(d.spot || '=' || d.token, ' ' ORDER BY d.spot) AS template, count(*) AS n
   FROM deep d JOIN constant k USING (size, lead, spot, token) GROUP BY 1, 2, 3
 ), template AS (
-  SELECT s.size, s.lead, s.tokens, coalesce(k.template, '') AS template FROM shape s LEFT JOIN kept k USING (size, lead, tokens)
-  WHERE (least(s.size, 3) + coalesce(k.n, 0)) * 100 >= s.size * 75
+  SELECT s.size, s.lead, s.tokens, s.equal, CASE WHEN s.equal = '' THEN coalesce(k.template, '') ELSE '= ' || s.equal END AS template
+  FROM shape s LEFT JOIN kept k ON k.size = s.size AND k.lead = s.lead AND k.tokens = s.tokens AND s.equal = ''
+  WHERE s.equal <> '' OR (s.lead_words + coalesce(k.n, 0)) * 100 >= s.words * 75
 ), found AS (
-  SELECT c.doc_id, c.line, c.size, c.lead, p.template FROM c JOIN template p USING (size, lead, tokens)
+  SELECT c.doc_id, c.line, c.size, c.lead, p.template FROM c JOIN template p USING (size, lead, tokens, equal)
 ), wide AS (
   SELECT size, lead, template, min(doc_id) AS first FROM found GROUP BY 1, 2, 3 HAVING count(DISTINCT doc_id) >= 3
 ), gone AS (
