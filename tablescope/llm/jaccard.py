@@ -20,7 +20,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from tablescope.session import intermediate
+
+from .common import batches_of, partitions, written
 from .components import components
 
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -30,6 +32,10 @@ BITMAP = 128
 BLOCK = 512
 #: Documents whose signatures are handed on together.
 SIGNED_AT_ONCE = 500
+#: Bits of the filter of shared signatures at most, as a power of two: 32 MB; and of a part of it.
+FILTER_BITS, FILTER_CHUNK = 28, 16
+#: Bytes of the batches in which arrays are compared.
+BATCH = 4 << 20
 #: Keys that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_KEYS = 1_000_000
 
@@ -129,7 +135,19 @@ def first_word(sid: bytes) -> int:
 
 
 def _bit_rows(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITMAP // 8)
+    """A column of bitmaps as rows of words, without a copy."""
+    if not len(column):
+        return np.empty((0, BITMAP // 8), np.uint64)
+    first = np.frombuffer(column.buffers()[1], np.int32)[column.offset]
+    return np.frombuffer(column.buffers()[2], np.uint8)[first : first + len(column) * BITMAP].view(np.uint64).reshape(-1, BITMAP // 8)
+
+
+def _arrays(column) -> Iterator[np.ndarray]:
+    """The sorted arrays in a column, without a copy."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        yield data[start:end].view(np.uint64)
 
 
 def _sets(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
@@ -156,29 +174,76 @@ def _sets(docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
     return rows.mapInArrow(work, f"row bigint, key {key_type}, content bigint, n bigint, sid binary, head bigint, bits binary")
 
 
-def _signed(docs: DataFrame, join: Join, text: str) -> DataFrame:
-    """``word``, ``head``: every signature of every document, with the first word of its set's id.
+def _signed(docs: DataFrame, join: Join, text: str, shared: Filter | None = None) -> DataFrame:
+    """``word``, ``head``: every signature of every set, with the first word of the set's id; a set that a task meets again is signed once.
 
     They are made anew for each use: that costs less than keeping them, as they outweigh the texts.
+    With ``shared`` only those that may be in it are handed on.
     """
+    sent = None if shared is None else docs.sparkSession.sparkContext.broadcast(shared)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        seen: set[bytes] = set()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for start in range(0, len(texts), SIGNED_AT_ONCE):
+            for start in range(0, batch.num_rows, SIGNED_AT_ONCE):
                 words, heads = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-                for value in texts[start : start + SIGNED_AT_ONCE]:
-                    found = join.shingles(value)
-                    if len(found):
-                        words.append(join.signatures(found))
-                        heads.append(np.full(len(words[-1]), first_word(set_id(found))))
+                for value in batch.column(0).slice(start, SIGNED_AT_ONCE):
+                    found = join.shingles(value.as_py())
+                    if not len(found):
+                        continue
+                    sid = set_id(found)
+                    if sid in seen:
+                        continue
+                    seen.add(sid)
+                    made = join.signatures(found)
+                    if sent is not None:
+                        made = made[sent.value.may_hold(made)]
+                    words.append(made)
+                    heads.append(np.full(len(made), first_word(sid)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(words)), pa.array(np.concatenate(heads))], names=["word", "head"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(work, "word bigint, head bigint")
 
 
+class Filter:
+    """Bits that tell of a word whether it is surely not in a table of words."""
+
+    def __init__(self, bits: bytes, size: int):
+        self.bits, self.size = bits, size
+
+    def may_hold(self, words: np.ndarray) -> np.ndarray:
+        place = (words.view(np.uint64) >> np.uint64(64 - self.size)).astype(np.int64)
+        return np.frombuffer(self.bits, np.uint8)[place >> 3] >> (place & 7).astype(np.uint8) & 1 > 0
+
+
+def _filter(words: DataFrame) -> Filter:
+    """Some sixteen bits for each word, ``FILTER_BITS`` at most: of a larger table more words pass that are not in it, which are joined away afterwards."""
+    size = int(min(FILTER_BITS, max(FILTER_CHUNK, (16 * words.count()).bit_length())))
+
+    def mark(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            place = (batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - size)).astype(np.int64)
+            order = np.argsort(place)
+            chunks, firsts = np.unique(place[order] >> FILTER_CHUNK, return_index=True)
+            for chunk, mine in zip(chunks.tolist(), np.split(place[order], firsts[1:])):
+                held.setdefault(chunk, np.zeros(1 << FILTER_CHUNK, bool))[mine & ((1 << FILTER_CHUNK) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int64()), pa.array([np.packbits(b, bitorder="little").tobytes() for b in held.values()], pa.binary())], names=["chunk", "bits"])
+
+    # Words of a part of the filter meet in one task; words are hashes, so their first bits say where.
+    part = F.shiftrightunsigned("word", 64 - size + FILTER_CHUNK) if size > FILTER_CHUNK else F.lit(0)
+    parts = words.select("word").repartition(partitions(words.sparkSession), part).mapInArrow(mark, "chunk bigint, bits binary")
+    out = np.zeros(1 << (size - 3), np.uint8)
+    for row in written(parts, "filter").toLocalIterator():
+        at = row["chunk"] << (FILTER_CHUNK - 3)
+        out[at : at + (1 << (FILTER_CHUNK - 3))] = np.frombuffer(row["bits"], np.uint8)
+    return Filter(out.tobytes(), size)
+
+
 def _semi(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi") -> DataFrame:
     """Rows of ``big`` with (or without) a key, nulls equal; the keys are broadcast only after counting them."""
     keys = written(keys.distinct(), "keys")
@@ -213,8 +278,9 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
         import pyarrow as pa
 
         for batch in batches:
-            found = [join.shingles(t) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["sid", "found"])
+            for start in range(0, batch.num_rows, SIGNED_AT_ONCE):
+                found = [join.shingles(t.as_py()) for t in batch.column(0).slice(start, SIGNED_AT_ONCE)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["sid", "found"])
 
     texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     arrays = _semi(texts, wanted.select("key"), ["key"]).select("text").mapInArrow(sort, "sid binary, found binary")
@@ -225,15 +291,15 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
 
         for batch in batches:
             good = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+            for a, b in zip(_arrays(batch.column(2)), _arrays(batch.column(3))):
                 common = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(100 * common >= join.percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     array = lambda c: arrays.select(F.col("node").alias(c), F.col("found").alias(f"found_{c}"))
     both = open_.join(array("a"), "a").join(array("b"), "b").select("a", "b", "found_a", "found_b")
-    return written(both.mapInArrow(intersect, "a bigint, b bigint"), "linked")
+    with batches_of(docs.sparkSession, BATCH):
+        return written(both.mapInArrow(intersect, "a bigint, b bigint"), "linked")
 
 
 def _tile_pairs(members: DataFrame, join: Join) -> DataFrame:
@@ -249,40 +315,42 @@ def _tile_pairs(members: DataFrame, join: Join) -> DataFrame:
     )
     units = units.repartition(partitions(members.sparkSession), "word", "i", "j").sortWithinPartitions("word", "i", "j")
 
-    def compare(rows: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
-        i, j = rows[0][1], rows[0][2]
-        left = [r for r in rows if r[3] == i]
-        right = left if i == j else [r for r in rows if r[3] == j]
-        node, root, n = (np.array([r[c] for r in right], np.int64) for c in (4, 5, 6))
-        bits = np.frombuffer(b"".join(r[7] for r in right), np.uint64).reshape(-1, BITMAP // 8)
-        a, b = [], []
-        for at, r in enumerate(left):
+    def compare(rows: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of one unit; columns of ``rows`` as selected below."""
+        i, j = rows[0, 1:3]
+        left = np.flatnonzero(rows[:, 3] == i)
+        right = left if i == j else np.flatnonzero(rows[:, 3] == j)
+        node, root, n = rows[right, 4], rows[right, 5], rows[right, 6]
+        right_bits = bits[right]
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for at, row in enumerate(left.tolist()):
             start = at + 1 if i == j else 0
-            ok = root[start:] != r[5]
-            ok &= (100 * np.minimum(n[start:], r[6]) >= join.percent * np.maximum(n[start:], r[6]))
-            apart = np.bitwise_count(bits[start:] ^ np.frombuffer(r[7], np.uint64)).sum(1)
-            ok &= apart <= (n[start:] + r[6]) * (100 - join.percent) // (100 + join.percent)
-            hits = node[start:][ok]
-            a.append(np.minimum(hits, r[4]))
-            b.append(np.maximum(hits, r[4]))
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
+            mine, size = rows[row, 4], rows[row, 6]
+            ok = (root[start:] != rows[row, 5]) & (100 * np.minimum(n[start:], size) >= join.percent * np.maximum(n[start:], size))
+            apart = np.bitwise_count(right_bits[start:] ^ bits[row]).sum(1)
+            hits = node[start:][ok & (apart <= (n[start:] + size) * (100 - join.percent) // (100 + join.percent))]
+            a.append(np.minimum(hits, mine))
+            b.append(np.maximum(hits, mine))
+        return np.concatenate(a), np.concatenate(b)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        def give(rows):
-            a, b = compare(rows)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        rows, bits = np.empty((0, 7), np.int64), np.empty((0, BITMAP // 8), np.uint64)
+
+        def give(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found)], names=["a", "b"])
 
-        unit: list[tuple] = []
         for batch in batches:
-            for r in zip(*[c.to_pylist() for c in batch.columns]):
-                if unit and unit[0][:3] != r[:3]:
-                    yield give(unit)
-                    unit = []
-                unit.append(r)
-        if unit:
-            yield give(unit)
+            rows = np.concatenate([rows, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(7)], 1)])
+            bits = np.concatenate([bits, _bit_rows(batch.column(7))])
+            # The last unit may go on in the next batch.
+            borders = [0, *(np.flatnonzero((np.diff(rows[:, :3], axis=0) != 0).any(1)) + 1).tolist()]
+            if len(borders) > 1:
+                yield give([compare(rows[x:y], bits[x:y]) for x, y in zip(borders, borders[1:])])
+                rows, bits = rows[borders[-1] :], bits[borders[-1] :]
+        if len(rows):
+            yield give([compare(rows, bits)])
 
     return units.select("word", "i", "j", "own", "node", "root", "n", "bits").mapInArrow(work, "a bigint, b bigint").distinct()
 
@@ -294,10 +362,11 @@ def _members(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFram
     nodes = written(
         some.groupBy("sid", "head", "n", "bits").agg(F.min("row").alias("node"), F.min("key").alias("key")), "nodes"
     )
-    words = _signed(docs, join, text)
-    shared = words.groupBy("word").agg(F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word")
+    shared = _signed(docs, join, text).groupBy("word").agg(F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word")
+    shared = written(shared, "shared")
+    words = _signed(docs, join, text, _filter(shared))
     # Sets that agree in the first word of their ids alone both come along; they are told apart when pairs are settled.
-    members = words.join(written(shared, "shared"), "word").distinct().join(nodes.select("head", "node"), "head").select("word", "node")
+    members = words.join(shared, "word").distinct().join(nodes.select("head", "node"), "head").select("word", "node")
     members = written(members, "members")
     return sets, nodes, members
 
@@ -315,6 +384,8 @@ def groups(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: str
     ``component`` is the smallest key reachable by links. A document without words (null, empty
     or blank text) has size 0 and is its own component. Equal keys may stand in several rows; a
     null key is never the smallest unless all are null. Shingles are told apart by 64-bit hashes.
+    Texts are read whole, however long; other columns are not read, whatever their names; an empty
+    table gives no rows.
     """
     sets, nodes, members = _members(docs, join, key, text)
     sizes = members.groupBy("word").agg(F.count("*").alias("size"))
@@ -349,7 +420,8 @@ def link_counts(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text:
 
     All members of every tile are compared, whatever their components, so no link is lost; the
     pairs grow with the square of a group of different near copies. ``n_links`` counts the other
-    rows whose set is linked or equal; a document without words has none.
+    rows whose set is linked or equal; a document without words (null, empty or blank) has none. An
+    empty table gives no rows.
     """
     sets, nodes, members = _members(docs, join, key, text)
     sizes = members.groupBy("word").agg(F.count("*").alias("size")).where("size > 1")
@@ -366,17 +438,12 @@ def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
     """``docs`` with all columns, one row of each group: the one with the smallest key.
 
     Only the rows that go are joined with the documents, by key and text hash. Rows equal in key
-    and text are one document; if there are such, one of them stays. Documents without words all stay.
+    and text are one document; if there are such, one of them stays. Documents without words all stay,
+    null texts too; a null key stays only if all of its group are null. Long texts are compared whole;
+    an empty table stays empty.
     """
-    rows, _ = groups(docs, join, key, text)
-    rows = written(rows, "groups")
-    first = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("_null"), "key", "row")).alias("_first"))
-    gone = rows.where("n > 0").join(first, "root").where(F.col("row") != F.col("_first.row"))
-    stay = rows.join(first, "root").where(F.col("row") == F.col("_first.row")).select("key", "content")
-    gone = written(gone.select("key", "content"), "gone")
-    # A row that goes may equal the one that stays in key and text.
-    twice = written(_semi(stay, gone, ["key", "content"]), "twice")
-    gone = _semi(gone, twice, ["key", "content"], "left_anti")
+    with intermediate(docs.sparkSession):
+        gone, twice = _going(docs, join, key, text)
     columns = docs.columns
     marked = docs.select(F.struct(*[docs[c] for c in columns]).alias("_doc"), docs[key].alias("key"), F.xxhash64(docs[text]).alias("content"))
     kept = _semi(marked, gone, ["key", "content"], "left_anti")
@@ -384,3 +451,16 @@ def keep_one(docs: DataFrame, join: Join = Join(), key: str = "doc_id", text: st
         single = _semi(kept, twice, ["key", "content"]).dropDuplicates(["key", "content"])
         kept = _semi(kept, twice, ["key", "content"], "left_anti").unionByName(single)
     return kept.select("_doc.*")
+
+
+def _going(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """``key``, ``content`` of the documents that go, and of those of which one of several equal rows stays; all else that is written on the way is deleted."""
+    rows, _ = groups(docs, join, key, text)
+    rows = written(rows, "groups")
+    first = rows.groupBy("root").agg(F.min(F.struct(F.col("key").isNull().alias("_null"), "key", "row")).alias("_first"))
+    gone = rows.where("n > 0").join(first, "root").where(F.col("row") != F.col("_first.row"))
+    stay = rows.join(first, "root").where(F.col("row") == F.col("_first.row")).select("key", "content")
+    gone = written(gone.select("key", "content"), "gone")
+    # A row that goes may equal the one that stays in key and text.
+    twice = written(_semi(stay, gone, ["key", "content"]), "twice", outside=True)
+    return written(_semi(gone, twice, ["key", "content"], "left_anti"), "gone", outside=True), twice
