@@ -4,7 +4,7 @@ Every word of a piece starts one row: the edge of four words that leads from the
 of the last three, or the shorter end of the piece. Edges meet by their first two words, so the flow through a node of
 three or two words (all rows that begin with it: its edges and the ends there) is summed where they lie. A node that
 one edge alone leaves, with no piece ending there, is compacted with that edge into one path row. No shorter phrase is
-ever counted in the texts.
+ever counted in the texts. Edges travel as columns of word numbers, packed by part of a task and bucket.
 
 A first pass keeps a sketch of word pairs of fixed size. A pair whose cell holds fewer occurrences than a phrase needs
 cannot be in any phrase; pieces are cut there, which leaves the count of every phrase that matters as it is. Pairs in
@@ -18,15 +18,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import batches_of, partitions, written
 
 #: Words of the longest phrase, and so of an edge.
 LONGEST = 4
 #: Bytes of text handled at once; a longer single text is handled by itself.
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
+#: Edges of a bucket, about; a bucket is summed in memory.
+IN_BUCKET = 1 << 20
+#: Bytes of packed edges that reach a task together.
+BATCH = 8 << 20
 #: Cells of the sketch that travel together.
 CHUNK = 1 << 16
 M1, M2, GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -123,8 +127,8 @@ def _pairs(words: Words, lang: np.ndarray, lang_hash: np.ndarray) -> tuple[np.nd
     return _mixed(h[:-1] * GOLD + h[1:] + lang_hash[lang[words.row[:-1]]]), ~words.new[1:]
 
 
-def _sketch(docs: DataFrame, rules: Phrases) -> tuple[bytes, np.ndarray]:
-    """Of all word pairs: a bit for every cell that holds fewer than ``least``, and the hot cells, which hold a good part of a task's rows.
+def _sketch(docs: DataFrame, rules: Phrases) -> tuple[bytes, np.ndarray, int]:
+    """Of all word pairs: a bit for every cell that holds fewer than ``least``, the hot cells, which hold a good part of a task's rows, and their number.
 
     The bits are 2 ** ``sketch_bits`` whatever the corpus, and at most 8 hot cells for each shuffle partition exist, so both may be sent to all tasks.
     """
@@ -173,13 +177,53 @@ def _sketch(docs: DataFrame, rules: Phrases) -> tuple[bytes, np.ndarray]:
     cell_sums = counted.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("n").alias("n"))
     total = cell_sums.where("cell = -1").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = cell_sums.where((F.col("cell") >= 0) & (F.col("n") * 2 * many >= total)).select("cell").toLocalIterator()
-    return rare.tobytes(), np.sort(np.array([r[0] for r in hot], np.int64))
+    return rare.tobytes(), np.sort(np.array([r[0] for r in hot], np.int64)), total
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones and so on: so they pack well."""
+    return x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unplaned(data: bytes, count: int) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, count).T.copy().view("<u4").ravel()
+
+
+def _packed(names, rows: np.ndarray) -> tuple[int, int, int, bytes]:
+    """Rows (language, four word numbers from 1 with 0 for none, count) and the words they use: number of words, of rows and of bytes, and those packed."""
+    import pyarrow as pa
+
+    used = np.zeros(len(names) + 1, bool)
+    used[rows[1:5]] = True
+    used[0] = False
+    number = np.cumsum(used)
+    number[0] = 0
+    words = names.take(pa.array(np.flatnonzero(used) - 1))
+    ends = np.frombuffer(words.buffers()[1], np.int32)[: len(words) + 1]
+    text = words.buffers()[2].to_pybytes()[: ends[-1]]
+    raw = _planes(np.diff(ends)) + b"".join(_planes(c) for c in (rows[0], *number[rows[1:5]], rows[5])) + text
+    return len(words), rows.shape[1], len(raw), pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(words: int, rows: int, size: int, data: bytes):
+    """The words and rows of :func:`_packed`."""
+    import pyarrow as pa
+
+    raw = pa.decompress(data, size, "zstd", asbytes=True)
+    ends = np.append(0, np.cumsum(_unplaned(raw[: 4 * words], words))).astype(np.int32)
+    at = 4 * words
+    columns = [_unplaned(raw[at + 4 * rows * k : at + 4 * rows * (k + 1)], rows) for k in range(6)]
+    return pa.StringArray.from_buffers(words, pa.py_buffer(ends), pa.py_buffer(raw[at + 24 * rows :])), np.stack(columns)
+
+
+EDGES = "bucket bigint, hot boolean, langs array<string>, words int, rows int, size int, packed binary"
 
 
 def _edges(docs: DataFrame, rules: Phrases) -> DataFrame:
-    """``route``, ``hot``, ``lang``, ``w0`` to ``w3`` and ``n``: edges and piece ends, counted within parts of a task; missing words are ''."""
-    spark: SparkSession = docs.sparkSession
-    rare, hot_cells = _sketch(docs, rules)
+    """Edges and piece ends, counted within parts of a task: a row for each part, bucket and whether its pairs are hot."""
+    spark = docs.sparkSession
+    rare, hot_cells, total = _sketch(docs, rules)
+    buckets = max(partitions(spark), total // IN_BUCKET)
     sent = spark.sparkContext.broadcast((rare, hot_cells))
     shift = np.uint64(64 - rules.sketch_bits)
 
@@ -200,86 +244,99 @@ def _edges(docs: DataFrame, rules: Phrases) -> DataFrame:
             heads = np.flatnonzero(new)
             ends = np.repeat(np.append(heads[1:], size), np.diff(np.append(heads, size)))
             most = np.minimum(LONGEST, ends - np.arange(size))
-            code = np.full((LONGEST, size), -1, np.int64)
-            code[0] = words.codes
-            for k in range(1, LONGEST):
-                code[k, : max(0, size - k)] = np.where(most[: max(0, size - k)] > k, words.codes[k:], -1)
-            base = len(words.names) + 1
-            high = (lang[words.row] * base + code[0]) * base + code[1] + 1
-            low = (code[2] + 1) * base + code[3] + 1
+            code = np.zeros((LONGEST, size), np.int32)
+            code[0] = words.codes + 1
+            for k in range(1, min(LONGEST, size)):
+                code[k, : size - k] = np.where(most[: size - k] > k, code[0, k:], 0)
+            of = lang[words.row]
+            base = np.int64(len(words.names) + 1)
+            high, low = (of * base + code[0]) * base + code[1], code[2] * base + code[3]
             order = np.lexsort((low, high))
             same = (np.diff(high[order]) == 0) & (np.diff(low[order]) == 0)
             firsts = np.flatnonzero(np.append(True, ~same))
             n, at = np.diff(np.append(firsts, size)), order[firsts]
-            code, most = code[:, at], most[at]
-            of = lang[words.row[at]]
+            rows = np.concatenate([of[at][None, :], code[:, at], n[None, :]])
             two = np.append(pair, np.uint64(0))[at]
-            route = np.where(most > 1, two, _mixed(words.hashes[code[0]] ^ lang_hash[of]))
-            is_hot = (most > 1) & np.isin((two >> shift).astype(np.int64), hot)
-            h = np.append(words.hashes, np.uint64(0))
-            route = np.where(is_hot, _mixed(route + h[code[2]] * M1 + h[code[3]] * M2), route)
-            columns = [words.names.take(pa.array(c, mask=c < 0)).fill_null("") for c in code]
-            out = pa.table([pa.array(route.view(np.int64)), pa.array(is_hot), pa.array(lang_names, pa.string()).take(pa.array(of)), *columns, pa.array(n)], names=["route", "hot", "lang", "w0", "w1", "w2", "w3", "n"])
-            yield from out.combine_chunks().to_batches(max_chunksize=50_000)
-
-    return docs.mapInArrow(work, "route bigint, hot boolean, lang string, w0 string, w1 string, w2 string, w3 string, n bigint")
+            h = np.append(np.uint64(0), words.hashes)
+            route = np.where(rows[2] > 0, two, _mixed(h[rows[1]] ^ lang_hash[rows[0]]))
+            is_hot = (rows[2] > 0) & np.isin((two >> shift).astype(np.int64), hot)
+            route = np.where(is_hot, _mixed(route + h[rows[3]] * M1 + h[rows[4]] * M2), route)
+            bucket = 2 * (route % np.uint64(buckets)).astype(np.int64) + is_hot
+            order = np.argsort(bucket, kind="stable")
+            borders = np.append(np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)), len(order))
+            made = [(int(bucket[order[x]]), *_packed(words.names, rows[:, order[x:y]])) for x, y in zip(borders[:-1], borders[1:])]
+            columns = list(zip(*made))
+            yield pa.RecordBatch.from_arrays([
+                pa.array([k // 2 for k in columns[0]], pa.int64()), pa.array([k % 2 == 1 for k in columns[0]], pa.bool_()), pa.array([lang_names] * len(made), pa.list_(pa.string())),
+                *[pa.array(c, pa.int32()) for c in columns[1:4]], pa.array(columns[4], pa.binary()),
+            ], names=["bucket", "hot", "langs", "words", "rows", "size", "packed"])
+
+    return docs.mapInArrow(work, EDGES)
 
 
 def _flows(edges: DataFrame, rules: Phrases) -> DataFrame:
-    """``lang``, ``phrase``, ``size``, ``top``, ``n``: what the edges and nodes of each route sum to.
+    """``lang``, ``phrase``, ``size``, ``top``, ``n``: what the edges and nodes of each bucket sum to.
 
     A row stands for its first ``top`` to ``size`` words, which all have ``n`` occurrences: a path without branches.
-    Below ``least`` only single words and the partial sums of hot routes are handed on.
+    Below ``least`` only single words and the partial sums of hot pairs are handed on.
     """
-    spread = edges.repartition(partitions(edges.sparkSession), "route").sortWithinPartitions("route", "lang", "w0", "w1", "w2", "w3")
+    spread = edges.repartition(partitions(edges.sparkSession), "bucket").sortWithinPartitions("bucket", "hot")
 
-    def flow(rows) -> Iterator:
+    def flow(hot: bool, parts: list[tuple]) -> Iterator:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        lang, words = rows["lang"].combine_chunks(), [rows[f"w{k}"].combine_chunks() for k in range(LONGEST)]
-        n, hot = rows["n"].to_numpy(), rows["hot"].to_numpy()
-        differ = lambda c: pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
-        begin = np.append(True, (np.diff(rows["route"].to_numpy()) != 0) | differ(lang))
+        # One numbering of words and languages for all parts.
+        opened = [_unpacked(*p[1:]) for p in parts]
+        names = pa.concat_arrays([w for w, _ in opened]).dictionary_encode()
+        langs = pa.array([l for p in parts for l in p[0]], pa.string()).dictionary_encode()
+        new, new_lang, at, at_lang, rows = names.indices.to_numpy(), langs.indices.to_numpy(), 0, 0, []
+        for (words, found), part in zip(opened, parts):
+            number = np.append(0, new[at : at + len(words)] + 1)
+            rows.append(np.concatenate([new_lang[at_lang + found[0].astype(np.int64)][None, :], number[found[1:5]], found[5:]]).astype(np.int64))
+            at, at_lang = at + len(words), at_lang + len(part[0])
+        rows = np.concatenate(rows, 1)
+        base = np.int64(len(names.dictionary) + 1)
+        high, low = (rows[0] * base + rows[1]) * base + rows[2], rows[3] * base + rows[4]
+        rows = rows[:, np.lexsort((low, high))]
+        n = rows[5]
+        begin = np.append(True, np.diff(rows[0]) != 0)
         starts, ends, there = {}, {}, {}
-        for k, w in enumerate(words, 1):
-            begin = begin | np.append(True, differ(w))
+        for k in range(1, LONGEST + 1):
+            begin = begin | np.append(True, np.diff(rows[k]) != 0)
             starts[k] = np.flatnonzero(begin)
             ends[k] = np.append(starts[k][1:], len(n))
-            there[k] = pc.not_equal(w, "").to_numpy(zero_copy_only=False)[starts[k]]
+            there[k] = rows[k, starts[k]] > 0
         # A node and the one edge (or longer node) that has all its rows are one path.
-        top, covered = {2: np.full(len(starts[2]), 2)}, {k: np.zeros(len(starts[k]), bool) for k in starts}
+        top, covered = {1: np.ones(len(starts[1]), np.int64), 2: np.full(len(starts[2]), 2)}, {k: np.zeros(len(starts[k]), bool) for k in starts}
         for k in range(3, LONGEST + 1):
             up = np.searchsorted(starts[k - 1], starts[k], "right") - 1
-            alone = there[k] & (starts[k - 1][up] == starts[k]) & (ends[k - 1][up] == ends[k]) & ~hot[starts[k]]
+            alone = there[k] & (starts[k - 1][up] == starts[k]) & (ends[k - 1][up] == ends[k]) & (not hot)
             top[k] = np.where(alone, top[k - 1][up], k)
             covered[k - 1][up[alone]] = True
-        top[1] = np.ones(len(starts[1]), np.int64)
         for k in range(1, LONGEST + 1):
             total = np.add.reduceat(n, starts[k])
-            pick = there[k] & ~covered[k] & ((total >= rules.least) | (k == 1) | (hot[starts[k]] & (k < LONGEST)))
-            at = pa.array(starts[k][pick])
+            pick = there[k] & ~covered[k] & ((total >= rules.least) | (k == 1) | (hot and k < LONGEST))
+            at = starts[k][pick]
             if len(at):
-                phrase = words[0].take(at)
-                for w in words[1:k]:
-                    phrase = pc.binary_join_element_wise(phrase, w.take(at), " ")
-                yield pa.RecordBatch.from_arrays([lang.take(at), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(top[k][pick].astype(np.int32)), pa.array(total[pick])], names=["lang", "phrase", "size", "top", "n"])
+                phrase = names.dictionary.take(pa.array(rows[1, at] - 1))
+                for j in range(2, k + 1):
+                    phrase = pc.binary_join_element_wise(phrase, names.dictionary.take(pa.array(rows[j, at] - 1)), " ")
+                yield from pa.table(
+                    [langs.dictionary.take(pa.array(rows[0, at])), phrase, pa.array(np.full(len(at), k, np.int32)), pa.array(top[k][pick].astype(np.int32)), pa.array(total[pick])], names=["lang", "phrase", "size", "top", "n"]
+                ).to_batches(max_chunksize=50_000)
 
     def work(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
-        held: list = []  # rows of whole routes, and of the last one as far as it came
+        key, held = None, []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            route = batch.column(0).to_numpy()
-            cut = int(np.searchsorted(route, route[-1]))
-            if cut or (held and held[-1].column(0)[-1].as_py() != route[-1]):
-                yield from flow(pa.Table.from_batches([*held, *([batch.slice(0, cut)] if cut else [])]))
-                held = []
-            held.append(batch.slice(cut))
+            for bucket, hot, *part in zip(*[c.to_pylist() for c in batch.columns]):
+                if key != (bucket, hot):
+                    if held:
+                        yield from flow(key[1], held)
+                    key, held = (bucket, hot), []
+                held.append(part)
         if held:
-            yield from flow(pa.Table.from_batches(held))
+            yield from flow(key[1], held)
 
     return spread.mapInArrow(work, "lang string, phrase string, size int, top int, n bigint")
 
@@ -306,7 +363,9 @@ def phrases(docs: DataFrame, rules: Phrases = Phrases(), text: str = "text", lan
     columns are not read. The sketch's size changes what is shuffled, never the result.
     """
     slim = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    flows = written(_flows(_edges(slim, rules), rules), "flows")
+    edges = _edges(slim, rules)
+    with batches_of(docs.sparkSession, BATCH):
+        flows = written(_flows(edges, rules), "flows")
     words = flows.where("size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
     spelled = flows.select("lang", "n", "phrase", F.explode(F.sequence("top", "size")).alias("size"))
     counts = spelled.groupBy("lang", F.expr("substring_index(phrase, ' ', size)").alias("phrase"), "size").agg(F.sum("n").alias("a"))
