@@ -17,7 +17,8 @@ def token_pieces(docs: DataFrame, capacity: int = 2048, path: str | None = None,
     """Pieces of at most ``capacity`` ids: key, ``piece``, ``start``, ``length``, ``ids_crc32`` (and ``ids``).
 
     A document is the ids of its whole text, none for a null text, and the id ``end``. Longer ones
-    are cut so that every piece but the first is full.
+    are cut so that every piece but the first is full. Texts of any length are encoded whole; an
+    empty table gives no rows; other columns are not read.
     """
 
     def start():
@@ -54,6 +55,7 @@ def best_fit(items: DataFrame, capacity: int = 2048) -> DataFrame:
     A gap larger than the largest item left is offered as several slots, as many as there may be
     items for. New bins open for what fits no gap, and as many as the sizes need at least. The
     largest item is always placed, so rounds end; only sums, counts and extremes come to the driver.
+    No items give no rows; the pieces of a long text are items like others.
     """
     spark = items.sparkSession
     half = F.col("length") * 2 > capacity

@@ -100,7 +100,11 @@ def measures(docs: DataFrame, limits: Limits = Limits(), key: str = "doc_id", te
 
 
 def keep_good(docs: DataFrame, limits: Limits = Limits(), text: str = "text") -> DataFrame:
-    """The documents that pass, whole rows with all their columns, whatever their names; no shuffle."""
+    """The documents that pass, whole rows with all their columns, whatever their names; no shuffle.
+
+    A null text has no words, so it fails like an empty one; whole texts are measured, however long; repeated rows
+    are judged alike; an empty table stays empty.
+    """
     schema, columns = docs.schema, docs.columns
     at = columns.index(text)
 

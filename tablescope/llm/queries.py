@@ -75,7 +75,7 @@ def op1_line_templates(spark, folder):
 
 @register
 def op6_merge_dropout(spark, folder):
-    return merge_dropout.encode_documents(table(spark, folder, "documents"), rate=0.1, seed=20240101, keep_ids=False)
+    return merge_dropout.encode_documents(table(spark, folder, "documents"), rate=0.1, seed=20240101)
 
 
 @register

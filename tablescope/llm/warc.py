@@ -123,7 +123,8 @@ def _records(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
 def read_archives(spark, path: str) -> DataFrame:
     """One row per record: key (text), id, type, digest, payload length, id referred to, and whether a response's payload fits its digest.
 
-    An archive is read by one task, which holds its packed bytes and one record.
+    An archive is read by one task, which holds its packed bytes and one record. A record written
+    without a key has a null key; archives without records give no rows.
     """
 
     def parse(batches: Iterator) -> Iterator:
