@@ -272,19 +272,26 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
 
     open_ = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     open_ = written(open_.mapInArrow(bound, "a bigint, b bigint"), "bounded")
-    wanted = written(nodes.join(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "key", "sid"), "wanted")
+    wanted = written(nodes.join(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "key", "content", "sid"), "wanted")
 
     def sort(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             for start in range(0, batch.num_rows, SIGNED_AT_ONCE):
-                found = [join.shingles(t.as_py()) for t in batch.column(0).slice(start, SIGNED_AT_ONCE)]
-                yield pa.RecordBatch.from_arrays([pa.array(map(set_id, found), pa.binary()), pa.array([f.tobytes() for f in found], pa.binary())], names=["sid", "found"])
-
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    arrays = _semi(texts, wanted.select("key"), ["key"]).select("text").mapInArrow(sort, "sid binary, found binary")
-    arrays = written(arrays.join(wanted.select("sid", "node"), "sid").dropDuplicates(["node"]).select("node", "found"), "arrays")
+                node, sid, text_ = (batch.column(c).slice(start, SIGNED_AT_ONCE) for c in range(3))
+                found = [join.shingles(t.as_py()) for t in text_]
+                # Another text may have the key and the hash.
+                mine = pa.array([set_id(f) == s.as_py() for f, s in zip(found, sid)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([node, pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "found"]).filter(mine)
+
+    # The texts meet the few nodes in question by key and hash where they are, so their arrays move for the pairs alone.
+    few = wanted.select(F.col("node").alias("_node"), F.col("sid").alias("_sid"), F.col("key").alias("_key"), F.col("content").alias("_content"))
+    if wanted.count() <= BROADCAST_KEYS:
+        few = F.broadcast(few)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("content"))
+    arrays = texts.join(few, texts["key"].eqNullSafe(few["_key"]) & (texts["content"] == few["_content"])).select("_node", "_sid", "text").mapInArrow(sort, "node bigint, found binary")
+    arrays = written(arrays, "arrays")
 
     def intersect(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -299,7 +306,8 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
     array = lambda c: arrays.select(F.col("node").alias(c), F.col("found").alias(f"found_{c}"))
     both = open_.join(array("a"), "a").join(array("b"), "b").select("a", "b", "found_a", "found_b")
     with batches_of(docs.sparkSession, BATCH):
-        return written(both.mapInArrow(intersect, "a bigint, b bigint"), "linked")
+        # Rows equal in key and text give a pair again.
+        return written(both.mapInArrow(intersect, "a bigint, b bigint").distinct(), "linked")
 
 
 def _tile_pairs(members: DataFrame, join: Join) -> DataFrame:
@@ -360,7 +368,9 @@ def _members(docs: DataFrame, join: Join, key: str, text: str) -> tuple[DataFram
     sets = written(_sets(docs, join, key, text), "sets")
     some = sets.where("n > 0")
     nodes = written(
-        some.groupBy("sid", "head", "n", "bits").agg(F.min("row").alias("node"), F.min("key").alias("key")), "nodes"
+        some.groupBy("sid", "head", "n", "bits").agg(
+            F.min("row").alias("node"), F.min("key").alias("key"), F.min_by("content", F.struct(F.col("key").isNull(), "key")).alias("content")
+        ), "nodes"
     )
     shared = _signed(docs, join, text).groupBy("word").agg(F.min("head").alias("_a"), F.max("head").alias("_b")).where("_a < _b").select("word")
     shared = written(shared, "shared")

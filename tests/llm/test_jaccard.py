@@ -109,3 +109,22 @@ def test_every_link_is_counted(spark):
     found, links = jaccard.link_counts(spark.createDataFrame(rows, "doc_id bigint, text string"), join)
     assert sorted((r.key, r.n_links) for r in found.collect()) == want and max(n for _, n in want) == 13
     assert links.distinct().count() == links.count() == 66
+
+
+@pytest.mark.parametrize("bits", [16, 28])
+def test_the_filter_lets_all_its_words_pass(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "FILTER_BITS", bits)
+    rng = np.random.default_rng(7)
+    words = rng.integers(-(2**63), 2**63, 20_000)
+    found = jaccard._filter(spark.createDataFrame([(int(w),) for w in words], "word bigint"))
+    assert found.may_hold(words).all() and found.size <= bits
+    passed = found.may_hold(rng.integers(-(2**63), 2**63, 20_000)).mean()
+    assert passed < 0.1 if bits == 28 else passed < 0.4
+    assert not jaccard._filter(spark.createDataFrame([], "word bigint")).may_hold(words).any()
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id bigint, text string, n int")
+    for work in (jaccard.groups, jaccard.link_counts):
+        rows, links = work(docs)
+        assert rows.collect() == [] and links.collect() == []

@@ -59,3 +59,18 @@ def test_run_is_the_stages_in_order(spark):
     packed = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "line dedup", "n-gram Jaccard join", "secret scans", "best-fit packing"]
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns) and packed.count() > 100
+
+
+def test_empty_tables_null_keys_and_repeated_rows(spark):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, text_crc32 string"
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], schema), "nowhere").collect() == []
+    rng = random.Random(2)
+    good = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(80)) + "."
+    rows = [(None, good, "en", "s", len(good), "x"), (None, None, None, None, None, "y"), (7, good + " end", "en", "s", len(good) + 4, "z"), (7, good + " end", "en", "s", len(good) + 4, "z")]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, "nowhere"), "stage")
+        if name == "n-gram Jaccard join":
+            assert [(r.doc_id, r.text) for r in docs.collect()] == [(7, good + " end")]
+    assert [(r.doc_id, r.piece) for r in docs.collect()] == [(7, 0)]
