@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.order import written
 from .csv_files import infer_column_types
 from .names import clean_names
 
@@ -36,8 +37,8 @@ def read_workbooks(spark: SparkSession, folder: str, pattern: str = "*.xlsx") ->
 
 
 def parse_workbooks(files: DataFrame) -> DataFrame:
-    """The table in ``files`` (columns ``path, content``). Parsing is per file, typing is one Spark pass."""
-    rows = files.select("path", "content").mapInPandas(_parse_files, ROW_SCHEMA)
+    """The table in ``files`` (columns ``path, content``). Each file is parsed once, its rows are written; typing is one pass over those."""
+    rows = written(files.select("path", "content").mapInPandas(_parse_files, ROW_SCHEMA), "workbook-rows")
     cells = rows.select(F.map_from_arrays("names", "cells").alias("cells"))
     # Column names in the order in which sheets list them; a header's worth of text.
     headers = rows.select(F.posexplode("names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
