@@ -22,9 +22,11 @@ from pyspark.sql import functions as F
 
 from .order import dealt, prefix_sums, written
 
-#: Values that a first sketch holds, and one of the values inside a bracket; up to so many values a sketch is exact.
+#: Values that a first sketch of many columns holds, and any other sketch; up to so many values a sketch is exact.
 FIRST_HELD = 4096
 HELD = 60_000
+#: Columns whose first sketches may be large.
+FEW = 8
 SHARES = 64
 MOST_ROUNDS = 40
 #: Columns or brackets that one pass sketches.
@@ -120,11 +122,12 @@ def _order_statistics(df: DataFrame, columns: dict[str, Column], wanted: dict) -
     names = list(columns)
     slim = df.select(*[columns[n].cast("double").alias(f"x{i}") for i, n in enumerate(names)])
     summaries, targets, found = {name: ColumnSummary() for name in names}, {}, {}
+    held = HELD if len(names) <= FEW else FIRST_HELD
     for part in _portions(names):
         sums = {}
         for s, name in enumerate(part):
             x = F.col(f"x{names.index(name)}")
-            sums |= {f"in{s}": (F.count(x), F.sum), f"lo{s}": (F.min(x), F.min), f"hi{s}": (F.max(x), F.max), f"q{s}": _sketch(x, FIRST_HELD)}
+            sums |= {f"in{s}": (F.count(x), F.sum), f"lo{s}": (F.min(x), F.min), f"hi{s}": (F.max(x), F.max), f"q{s}": _sketch(x, held)}
         whole, row = _summed(slim, sums)
         reads = _Reads(whole)
         for s, name in enumerate(part):
@@ -134,7 +137,7 @@ def _order_statistics(df: DataFrame, columns: dict[str, Column], wanted: dict) -
             summaries[name].count, summaries[name].low, summaries[name].high = n, row[f"lo{s}"], row[f"hi{s}"]
             for key, ranks in wanted.items():
                 target = targets[(name, key)] = _Target(*ranks(n, math.floor, math.ceil), row[f"lo{s}"], row[f"hi{s}"])
-                reads.ask((name, key), s, n, target.first, target.last, FIRST_HELD)
+                reads.ask((name, key), s, n, target.first, target.last, held)
         for key, exact, values in reads.answers():
             if exact:
                 found[key] = values

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tablescope.functions.quantiles import quantiles
 from tablescope.operators import aggs, clean, evidence, filters, issues, kpi, profile, repair, roles, stats, timeseries
+from tablescope import session
 from tablescope.plans import findings
 
 
@@ -263,3 +264,20 @@ def test_patterns_of_typed_columns(spark):
     assert got == {
         "i": (3, 1, True, "boolean", 2), "b": (3, 1, True, "boolean", 2), "d": (3, 1, False, "float", 2), "t": (3, 2, False, "datetime", 1), "s": (3, 1, False, "categorical", 2),
     }
+
+
+def test_intermediate_data_go_away(spark):
+    def files():
+        path = spark._jvm.org.apache.hadoop.fs.Path(session.checkpoint_folder(spark))
+        return sorted(f.getPath().getName() for f in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path))
+
+    df = spark.createDataFrame([(i, f"v{i % 9}", float(i % 50)) for i in range(300)], "a int, b string, c double")
+    before = files()
+    columns = profile.profile_columns(df)
+    found = issues.detect_issues(df)
+    assert files() == before and columns.count() == 3 and found.count() >= 0
+    with session.intermediate(spark):
+        known = issues.examine(df)
+        tidy = clean.apply_cleaning(known.table, clean.enabled_steps(known.steps()), stored=True)[0].collect()
+        assert files() != before
+    assert files() == before and len(tidy) == 300
