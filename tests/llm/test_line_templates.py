@@ -88,7 +88,8 @@ def test_lines_mostly_of_fields_go_only_where_equal(spark):
 def test_variable_words_stay_variable_in_large_corpora(spark):
     names = ["Ann", "Bob", "Cid", "Dee", "Eve", "Fay", "Gus", "Hal", "Ida", "Jon", "Kim", "Lou"]
     for size in (12, 600):
-        rows = [(i, f"own {i}\nWritten for you here by the great {names[i % 12]}") for i in range(size)]
+        own = lambda i: "note " + "".join(chr(97 + int(c)) for c in str(i))
+        rows = [(i, f"{own(i)}\nWritten for you here by the great {names[i % 12]}") for i in range(size)]
         docs = spark.createDataFrame(rows, "doc_id bigint, text string")
         kept = {r.doc_id: r.text for r in line_templates.drop_recurring_lines(docs).collect()}
         assert kept == {i: t if i == 0 else t.split("\n")[0] for i, t in rows}
