@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablescope import session
-from tablescope.functions import text
+from tablescope.functions import numbers, text
+from tablescope.functions.order import written
 from tablescope.operators import aggs, clean, evidence, filters, issues, kpi, profile, repair, roles, stats, timeseries
 from tablescope.plans import answers, charts, findings, report, tagging, views
 from tablescope.sources import csv_files, names, workbooks
@@ -30,6 +31,12 @@ def rounded(df: DataFrame, places: int = 4) -> DataFrame:
     )
 
 
+def key_totals(table: DataFrame, groups: list[str], *more) -> DataFrame:
+    """Rows and the exact sum of the keys per group: the sum is BIGINT, or DECIMAL(38,0) where some group's exceeds it."""
+    found = table.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), numbers.whole_total(F.col("rid")).alias("rid_sum"), *more)
+    return numbers.narrowed(written(found, "key-totals"), "rid_sum")
+
+
 def on_sales(name, places=None):
     def register(work):
         def run(spark, folder):
@@ -75,7 +82,7 @@ def _(df):
     csv_files.write_csv(slim.where("rid % 2 = 0"), f"{path}/utf8")
     csv_files.write_csv(slim.where("rid % 2 <> 0"), f"{path}/latin1", "ISO-8859-1")
     back = csv_files.read_csv(spark, f"{path}/*")
-    return back.groupBy("region_txt").agg(F.count(F.lit(1)).alias("n"), F.sum("rid").alias("rid_sum"))
+    return key_totals(back, ["region_txt"])
 
 
 @on_dirty("csv_header_orders")

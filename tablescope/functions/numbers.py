@@ -51,6 +51,17 @@ def total(c: Column) -> Column:
     return F.coalesce(F.sum(c).cast("double"), F.lit(0.0))
 
 
+def whole_total(c: Column) -> Column:
+    """Sum of whole numbers of 64 bits as DECIMAL(38,0), which no number of rows overflows."""
+    return F.sum(c.cast("decimal(20,0)")).cast("decimal(38,0)")
+
+
+def narrowed(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` with these DECIMAL(38,0) columns as BIGINT, each where all its values fit; one pass over ``df``."""
+    unfit = df.agg(*[F.count_if(quoted(n).isNotNull() & quoted(n).try_cast("bigint").isNull()).alias(f"n{i}") for i, n in enumerate(names)]).first()
+    return df.withColumns({n: quoted(n).cast("bigint") for i, n in enumerate(names) if not unfit[f"n{i}"]})
+
+
 def mean(c: Column) -> Column:
     return F.try_divide(F.sum(c).cast("double"), F.count(c))
 

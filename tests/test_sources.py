@@ -6,7 +6,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks.queries import QUERIES
 from checks.workbook_maker import workbook_bytes
+from tablescope.plans import views
 from tablescope.sources import csv_files, csv_records, names, workbooks
 
 
@@ -130,3 +132,35 @@ def test_quotes_left_open(spark, tmp_path):
     (tmp_path / "a.csv").write_text('k,v\n1,x\n2,"never\nclosed\n')
     table = csv_files.read_csv(spark, str(tmp_path))
     assert sorted(map(tuple, table.collect())) == [(1, "x"), (2, "never\nclosed")]
+
+
+@pytest.fixture(scope="module")
+def far_keys(spark, tmp_path_factory):
+    """A tiny star schema whose order keys are so large that sums of row ids pass 64 bits."""
+    folder = tmp_path_factory.mktemp("far")
+    base = 9 * 10**12 // 4
+    tables = {
+        "region": ("r_regionkey int, r_name string", [(0, "EUROPE")]), "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0)]),
+        "customer": ("c_custkey bigint, c_name string, c_nationkey int", [(1, "C", 0)]), "part": ("p_partkey bigint, p_type string, p_brand string", [(1, "T", "B")]),
+        "orders": ("o_orderkey bigint, o_custkey bigint, o_orderdate timestamp", [(base + i, 1, dt.datetime(1996, 1, 2)) for i in range(120)]),
+        "lineitem": (
+            "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double",
+            [(base + i, 1, 1, 1, 2.0, 3.0, 0.0) for i in range(120)],
+        ),
+    }
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def _check_key_sums(spark, folder, name):
+    found = QUERIES[name](spark, folder)
+    rids = [row["rid"] for row in views.dirty(spark, folder).select("rid").collect()]
+    assert dict(found.dtypes)["rid_sum"] == "decimal(38,0)"
+    rows = found.collect()
+    assert sum(int(r["rid_sum"]) for r in rows) == sum(rids) > 2**63 and sum(r["n"] for r in rows) == len(rids)
+    assert max(int(r["rid_sum"]) for r in rows) >= 2**63
+
+
+def test_key_sums_beyond_64_bits_in_mixed_encodings(spark, far_keys):
+    _check_key_sums(spark, far_keys, "csv_encoding_mix")
