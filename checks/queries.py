@@ -91,7 +91,7 @@ def _(df):
     csv_files.write_csv(df.where("rid % 2 = 0").select("rid", "region_txt", "qty"), f"{path}/a b")
     csv_files.write_csv(df.where("rid % 2 <> 0").select("qty", "note_txt", "rid", "region_txt"), f"{path}/c", "ISO-8859-1")
     back = csv_files.read_csv(spark, f"{path}/*")
-    return back.groupBy("region_txt", "note_txt").agg(F.count(F.lit(1)).alias("n"), F.sum("rid").alias("rid_sum"), F.sum("qty").alias("qty_sum"))
+    return key_totals(back, ["region_txt", "note_txt"], F.sum("qty").alias("qty_sum"))
 
 
 @on_dirty("csv_quoted_breaks")

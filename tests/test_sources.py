@@ -164,3 +164,7 @@ def _check_key_sums(spark, folder, name):
 
 def test_key_sums_beyond_64_bits_in_mixed_encodings(spark, far_keys):
     _check_key_sums(spark, far_keys, "csv_encoding_mix")
+
+
+def test_key_sums_beyond_64_bits_with_other_headers(spark, far_keys):
+    _check_key_sums(spark, far_keys, "csv_header_orders")
