@@ -168,3 +168,7 @@ def test_key_sums_beyond_64_bits_in_mixed_encodings(spark, far_keys):
 
 def test_key_sums_beyond_64_bits_with_other_headers(spark, far_keys):
     _check_key_sums(spark, far_keys, "csv_header_orders")
+
+
+def test_key_sums_beyond_64_bits_with_quoted_breaks(spark, far_keys):
+    _check_key_sums(spark, far_keys, "csv_quoted_breaks")
