@@ -202,8 +202,8 @@ def notable_pairs(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     )
 
 
-def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None) -> DataFrame:
-    """Equal-width bins: ``bin, low, high, n`` (and ``category``); empty bins are included.
+def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None, places: int | None = 4) -> DataFrame:
+    """Equal-width bins: ``bin, low, high, n`` (and ``category``); empty bins are included. Without ``places`` the edges are not rounded.
 
     The range is a scalar subquery and the bins partially aggregate, so one row per bin is shuffled.
     """
@@ -228,10 +228,11 @@ def histogram(df: DataFrame, column: str, bins: int = 30, by: str | None = None)
     spine = slots.select(*(["category"] if by else []), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     filled = spine.join(counted, keys, "left").withColumn("lo", lo).withColumn("hi", hi)
     width = (F.col("hi") - F.col("lo")) / bins
+    low, high = F.col("lo") + width * F.col("bin"), F.col("lo") + width * (F.col("bin") + 1)
     return filled.select(
         *keys,
-        F.round(F.col("lo") + width * F.col("bin"), 4).alias("low"),
-        F.round(F.col("lo") + width * (F.col("bin") + 1), 4).alias("high"),
+        (low if places is None else F.round(low, places)).alias("low"),
+        (high if places is None else F.round(high, places)).alias("high"),
         F.coalesce("counted", F.lit(0)).cast("long").alias("n"),
     )
 

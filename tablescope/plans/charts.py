@@ -86,7 +86,8 @@ def _chart_rows(df: DataFrame, r: Roles, intent: str, n: int, ascending: bool, k
     if intent == "pie" and (r.product or _split(r)) and r.sales:
         return _shape(pie(df, r.product or _split(r), r.sales), F.col("rank"), F.col("key"), F.col("value"), F.col("share_pct"))
     if intent == "histogram" and r.sales:
-        bars = stats.histogram(df, r.sales, 30)
+        # Edges are rounded once, for the label: 52950.295000000006 is 52,950.30, but 52,950.29 if rounded to 52950.295 first.
+        bars = stats.histogram(df, r.sales, 30, places=None)
         return _shape(bars, F.col("bin") + 1, F.format_number("low", 2), F.col("n"), F.col("high"))
     if intent == "correlation" and len(numeric_columns(df)) > 1:
         cells = stats.correlation_matrix(df)

@@ -135,3 +135,9 @@ def test_scatter_without_a_key_and_box_of_many_values(spark, facts):
     many = spark.createDataFrame([(f"t{i}", float(i)) for i in range(30)], "city string, price double")
     boxes = charts.chart_questions(asked(spark, ["box plot"]), many, Roles(sales="price", region="city")).collect()
     assert len(boxes) == 5 and {r["status"] for r in boxes} == {"charted, one box for more than 20 values"}
+
+
+def test_histogram_labels_are_rounded_once(spark):
+    prices = spark.createDataFrame([(900.68,), (104999.91,)], "price double")
+    bars = charts.chart_questions(asked(spark, ["distribution of price"]), prices, Roles(sales="price")).collect()
+    assert {r["rank"]: r["label"] for r in bars}[16] == "52,950.30"
