@@ -9,53 +9,59 @@ from pyspark.sql import types as T
 from .numbers import quoted
 from .text import strip
 
-DIGITS = "0123456789"
-CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SMALL = "abcdefghijklmnopqrstuvwxyz"
-
-
-def _shapes(*parts: str) -> list[str]:
-    """All outlines of a format: d stands for one or two digits."""
-    outlines = [""]
-    for part in parts:
-        choices = ["0", "00"] if part == "d" else [part]
-        outlines = [o + c for o in outlines for c in choices]
-    return outlines
-
-
-_DAY = ("0000", "-", "d", "-", "d")
-_CLOCK = ("d", ":", "d", ":", "d")
-_SLASHES = ("d", "/", "d", "/", "0000")
-_MONTHS = ["A" + "a" * n for n in range(2, 9)]
-
-
-def _zoned(outlines: list[str]) -> list[str]:
-    return [o + zone for o in outlines for zone in ("A", "+00:00", "-00:00")]
+_DAY, _SLASHES = "[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}", "[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"
+_CLOCK, _SHORT_CLOCK = "[0-9]{1,2}:[0-9]{1,2}:[0-9]{1,2}(?:[.][0-9]{3}(?:[0-9]{3})?)?", "[0-9]{1,2}:[0-9]{1,2}(?::[0-9]{1,2})?"
+_ZONE = "(?:[A-Z]|[+-][0-9]{2}:[0-9]{2})"
+
+# The outlines of dates; no two fit the same text. All-digit values are numbers, never dates.
+SHAPES = [
+    _DAY,
+    f"{_DAY} {_CLOCK}",
+    f"{_DAY}[A-Z]{_CLOCK}",
+    f"{_DAY} [0-9]{{1,2}}:[0-9]{{1,2}}",
+    "[0-9]{4}/[0-9]{1,2}/[0-9]{1,2}",
+    _SLASHES,
+    "[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}",
+    "[0-9]{1,2}[.][0-9]{1,2}[.][0-9]{4}",
+    "[0-9]{1,2} [A-Z][a-z]{2} [0-9]{4}",
+    "[A-Z][a-z]{2} [0-9]{1,2}, [0-9]{4}",
+    "[A-Z][a-z]{2} [0-9]{4}",
+    f"{_DAY}[A-Z]{_CLOCK}{_ZONE}",
+    f"{_DAY} {_CLOCK}{_ZONE}",
+    f"{_SLASHES} {_SHORT_CLOCK}",
+    f"{_SLASHES} {_SHORT_CLOCK} [A-Z]{{2}}",
+    "[0-9]{1,2}-[A-Z][a-z]{2}-[0-9]{4}",
+    "[A-Z][a-z]{3,8} [0-9]{1,2}, [0-9]{4}",
+    "[0-9]{1,2} [A-Z][a-z]{3,8} [0-9]{4}",
+]
+# What a text must also have to be worth parsing, as refusals of the parser are dear: a month from 1 to 12 in its place, or
+# the one full name of a month that is as short as the others' abbreviations.
+_MONTH_FIRST, _MONTH_SECOND, _ANY = "^(?:0?[1-9]|1[0-2])[-/]", "^[0-9]{1,2}[-/.](?:0?[1-9]|1[0-2])[-/.]", ""
+_FULL_NAME = "May|[a-z]{3}"
 
-# Accepted text forms of a date, in order of preference, each with the outlines a
-# value must have before it is parsed. All-digit values are numbers, never dates.
+# Accepted text forms of a date, in order of preference: the places in SHAPES of the outlines they have, and the guard.
 DATE_FORMATS = [
-    ("yyyy-M-d", _shapes(*_DAY)),
-    ("yyyy-M-d H:m:s[.SSSSSS]", _shapes(*_DAY, " ", *_CLOCK) + _shapes(*_DAY, " ", *_CLOCK, ".000") + _shapes(*_DAY, " ", *_CLOCK, ".000000")),
-    ("yyyy-M-d'T'H:m:s[.SSSSSS]", _shapes(*_DAY, "A", *_CLOCK) + _shapes(*_DAY, "A", *_CLOCK, ".000") + _shapes(*_DAY, "A", *_CLOCK, ".000000")),
-    ("yyyy-M-d H:m", _shapes(*_DAY, " ", "d", ":", "d")),
-    ("yyyy/M/d", _shapes("0000", "/", "d", "/", "d")),
-    ("M/d/yyyy", _shapes("d", "/", "d", "/", "0000")),
-    ("d/M/yyyy", _shapes("d", "/", "d", "/", "0000")),
-    ("M-d-yyyy", _shapes("d", "-", "d", "-", "0000")),
-    ("d-M-yyyy", _shapes("d", "-", "d", "-", "0000")),
-    ("d.M.yyyy", _shapes("d", ".", "d", ".", "0000")),
-    ("d MMM yyyy", _shapes("d", " Aaa 0000")),
-    ("MMM d, yyyy", _shapes("Aaa ", "d", ", 0000")),
-    ("MMM yyyy", _shapes("Aaa 0000")),
-    ("yyyy-M-d'T'H:m:s[.SSSSSS]XXX", _zoned([o for end in ((), (".000",), (".000000",)) for o in _shapes(*_DAY, "A", *_CLOCK, *end)])),
-    ("yyyy-M-d H:m:s[.SSSSSS]XXX", _zoned([o for end in ((), (".000",), (".000000",)) for o in _shapes(*_DAY, " ", *_CLOCK, *end)])),
-    ("M/d/yyyy H:m[:s]", _shapes(*_SLASHES, " ", "d", ":", "d") + _shapes(*_SLASHES, " ", *_CLOCK)),
-    ("d/M/yyyy H:m[:s]", _shapes(*_SLASHES, " ", "d", ":", "d") + _shapes(*_SLASHES, " ", *_CLOCK)),
-    ("M/d/yyyy h:m[:s] a", _shapes(*_SLASHES, " ", "d", ":", "d", " AA") + _shapes(*_SLASHES, " ", *_CLOCK, " AA")),
-    ("d-MMM-yyyy", _shapes("d", "-Aaa-0000")),
-    ("MMMM d, yyyy", [o for m in _MONTHS for o in _shapes(m + " ", "d", ", 0000")]),
-    ("d MMMM yyyy", [o for m in _MONTHS for o in _shapes("d", f" {m} 0000")]),
+    ("yyyy-M-d", ([0], _ANY)),
+    ("yyyy-M-d H:m:s[.SSSSSS]", ([1], _ANY)),
+    ("yyyy-M-d'T'H:m:s[.SSSSSS]", ([2], _ANY)),
+    ("yyyy-M-d H:m", ([3], _ANY)),
+    ("yyyy/M/d", ([4], _ANY)),
+    ("M/d/yyyy", ([5], _MONTH_FIRST)),
+    ("d/M/yyyy", ([5], _MONTH_SECOND)),
+    ("M-d-yyyy", ([6], _MONTH_FIRST)),
+    ("d-M-yyyy", ([6], _MONTH_SECOND)),
+    ("d.M.yyyy", ([7], _MONTH_SECOND)),
+    ("d MMM yyyy", ([8], _ANY)),
+    ("MMM d, yyyy", ([9], _ANY)),
+    ("MMM yyyy", ([10], _ANY)),
+    ("yyyy-M-d'T'H:m:s[.SSSSSS]XXX", ([11], _ANY)),
+    ("yyyy-M-d H:m:s[.SSSSSS]XXX", ([12], _ANY)),
+    ("M/d/yyyy H:m[:s]", ([13], _MONTH_FIRST)),
+    ("d/M/yyyy H:m[:s]", ([13], _MONTH_SECOND)),
+    ("M/d/yyyy h:m[:s] a", ([14], _MONTH_FIRST)),
+    ("d-MMM-yyyy", ([15], _ANY)),
+    ("MMMM d, yyyy", ([9, 16], _FULL_NAME)),
+    ("d MMMM yyyy", ([8, 17], _FULL_NAME)),
 ]
 
 
@@ -66,22 +72,34 @@ def parse_date(c: Column, fmt: str) -> Column:
 
 
 def date_shape(text: Column) -> Column:
-    """The outline of a text: digits as 0, Latin letters as A and a. NULL unless some format has it."""
-    # Numbers and prose are refused by their first characters, before the dearer outline is made.
+    """The place in ``SHAPES`` of the outline that a text has, NULL if none."""
+    # Numbers and prose are refused by their first characters, before the outlines are tried.
     likely = F.length(text).between(8, 35) & text.rlike("^[0-9A-Z][0-9a-z]{0,8}[-/ ]|^[0-9]{1,2}[.][0-9]{1,2}[.]")
-    outline = F.when(likely, F.translate(text, DIGITS + CAPITALS + SMALL, "0" * 10 + "A" * 26 + "a" * 26))
-    return F.when(_one_of(outline, sorted({s for _, shapes in DATE_FORMATS for s in shapes})), outline)
-
-
-def _one_of(c: Column, values: list[str]) -> Column:
-    """Membership in a constant list, which is parsed as one literal instead of many."""
-    return F.array_contains(F.expr("array(" + ", ".join(f"'{v}'" for v in values) + ")"), c)
+    found = F.when(text.rlike(f"^{SHAPES[0]}$"), 0)
+    for i, outline in enumerate(SHAPES[1:], 1):
+        found = found.when(text.rlike(f"^{outline}$"), i)
+    return F.when(likely, found)
 
 
 def parse_shaped_date(text: Column, shape: Column, fmt: str) -> Column:
     """``parse_date`` for stripped text whose shape is known. Text of another shape never meets the parser."""
-    shapes = dict(DATE_FORMATS)[fmt]
-    return F.try_to_timestamp(F.when(_one_of(shape, shapes), text), F.lit(fmt)).cast("timestamp_ntz")
+    shapes, guard = dict(DATE_FORMATS)[fmt]
+    fits = shape.isin(shapes) & text.rlike(guard) if guard else shape.isin(shapes)
+    return F.try_to_timestamp(F.when(fits, text), F.lit(fmt)).cast("timestamp_ntz")
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is made once per row, however often it is used.
+
+    A generator: filters on the column are not pushed below it and projections are not merged with it, either of which
+    would make the value again in each place, in generated methods too long to be compiled.
+    """
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+def with_shape(df: DataFrame, c: Column, text: str, shape: str) -> DataFrame:
+    """``df`` with the stripped text of ``c`` and its date shape as two more columns, each made once."""
+    return once(once(df, text, strip(c.cast("string"))), shape, date_shape(quoted(text)))
 
 
 def with_dates(df: DataFrame, name: str) -> DataFrame:
@@ -91,11 +109,12 @@ def with_dates(df: DataFrame, name: str) -> DataFrame:
     """
     if not isinstance(df.schema[name].dataType, T.StringType):
         return df
-    c = quoted(name)
-    text = strip(c)
-    shaped = df.select(text.alias("text"), date_shape(text).alias("shape"))
-    counts = shaped.agg(*[F.count(parse_shaped_date(F.col("text"), F.col("shape"), fmt)).alias(f"n{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]).first()
-    return df.withColumn(name, parse_date(c, DATE_FORMATS[counts.index(max(counts))][0]))
+    text, shape = F.col("_date_text"), F.col("_date_shape")
+    shaped = with_shape(df.select(quoted(name)), quoted(name), "_date_text", "_date_shape")
+    counts = shaped.agg(*[F.count(parse_shaped_date(text, shape, fmt)).alias(f"n{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]).first()
+    fmt = DATE_FORMATS[counts.index(max(counts))][0]
+    shaped = with_shape(df, quoted(name), "_date_text", "_date_shape")
+    return once(shaped, name, parse_shaped_date(text, shape, fmt)).drop("_date_text", "_date_shape")
 
 
 def month_end(c: Column) -> Column:

@@ -122,3 +122,38 @@ def test_correlations_of_wide_tables(spark):
     few = [f"c {i}" for i in range(20)]
     native = {(r["col_a"], r["col_b"]): r["r"] for r in stats.correlation_pairs(df, few).collect()}
     assert all(native[k] is None and got[k] is None or abs(native[k] - got[k]) < 1e-9 for k in native)
+
+
+def _outlines(*parts):
+    found = [""]
+    for part in parts:
+        found = [o + c for o in found for c in (["1", "12"] if part == "d" else [part])]
+    return found
+
+
+def test_outlines_of_dates(spark):
+    day, clock, slashes = ("2021", "-", "d", "-", "d"), ("d", ":", "d", ":", "d"), ("d", "/", "d", "/", "2021")
+    ends = ((), (".250",), (".250001",))
+    zones = [("Z",), ("+01:00",), ("-01:00",)]
+    names = ["May", "June", "March", "September"]
+    texts = _outlines(*day) + [o for s in (" ", "T") for e in ends for o in _outlines(*day, s, *clock, *e)] + _outlines(*day, " ", "d", ":", "d")
+    texts += [o for s in (" ", "T") for e in ends for z in zones for o in _outlines(*day, s, *clock, *e, *z)]
+    texts += _outlines("2021", "/", "d", "/", "d") + [o for s in "/-." for o in _outlines("d", s, "d", s, "2021")]
+    texts += [o for end in ((), (" AM",)) for c in (clock, clock[:3]) for o in _outlines(*slashes, " ", *c, *end)]
+    texts += ["Mar 2021", "May 2021"] + [o for m in ["Mar", *names] for o in _outlines(m + " ", "d", ", 2021") + _outlines("d", f" {m} 2021")] + _outlines("d", "-Mar-2021")
+    found = one_column(spark, texts).select("x", dates.date_shape(F.col("x")).alias("s"), F.coalesce(*[dates.parse_date(F.col("x"), f) for f, _ in dates.DATE_FORMATS]).alias("d")).collect()
+    assert [r["x"] for r in found if r["s"] is None or r["d"] is None] == []
+    other = ["2021-01-05x", "2021-01-05 1", "2021-1-5 1:2:3.25", "13/13/2021", "0/5/2021", "Mai 5, 2021", "5 Mar 21", "20210105", "12345.67", "a\n2021-01-05"]
+    df = one_column(spark, other)
+    assert [r for r in df.select(F.coalesce(*[dates.parse_date(F.col("x"), f) for f, _ in dates.DATE_FORMATS])).collect() if r[0] is not None] == []
+    both = one_column(spark, ["5/4/2021", "15/4/2021", "4/15/2021", "3 Mar 2021", "3 May 2021", "3 June 2021"])
+    counts = both.agg(*[F.count(dates.parse_date(F.col("x"), f)) for f in ("M/d/yyyy", "d/M/yyyy", "d MMM yyyy", "d MMMM yyyy")]).first()
+    assert tuple(counts) == (2, 2, 2, 2)
+
+
+def test_text_dates_are_made_once(spark):
+    made = spark.createDataFrame([("05/04/2021", 1), ("25/04/2021", 2), ("x", 3)], "day string, v int").withColumn("day", F.concat("day", F.lit(" ")))
+    dated = dates.with_dates(made, "day").where("day IS NOT NULL")
+    plan = dated._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("gettimestamp") == 1 and dated.columns == ["day", "v"]
+    assert sorted((str(r["day"])[:10], r["v"]) for r in dated.collect()) == [("2021-04-05", 1), ("2021-04-25", 2)]
