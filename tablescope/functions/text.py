@@ -25,7 +25,11 @@ def strip(c: Column) -> Column:
 
 def parse_number(c: Column) -> Column:
     """Text to double; anything that is not a plain finite decimal number becomes NULL."""
-    trimmed = strip(c.cast("string"))
+    return parse_stripped_number(strip(c.cast("string")))
+
+
+def parse_stripped_number(trimmed: Column) -> Column:
+    """``parse_number`` for stripped text."""
     value = F.when(trimmed.rlike(NUMBER_PATTERN), trimmed.try_cast("double"))
     return F.when(F.abs(value) < F.lit(float("inf")), value)
 
@@ -49,8 +53,9 @@ def title_case(c: Column) -> Column:
     return F.array_join(F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.expr("''"), w.substr(F.lit(2), F.length(w)))), "")
 
 
-def is_boolean_word(c: Column) -> Column:
-    return F.lower(strip(c.cast("string"))).isin(BOOLEAN_WORDS)
+def is_boolean_word(c: Column, stripped: bool = False) -> Column:
+    word = c if stripped else strip(c.cast("string"))
+    return (F.octet_length(word) <= max(map(len, BOOLEAN_WORDS))) & F.lower(word).isin(BOOLEAN_WORDS)
 
 
 def parse_boolean(c: Column) -> Column:

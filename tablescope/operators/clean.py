@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text
-from ..functions.dates import DATE_FORMATS, parse_date
+from ..functions.dates import DATE_FORMATS, parse_date, parse_shaped_date, with_shape
 from ..functions.numbers import DATE_TYPES, NUMERIC_TYPES, blank_nan, quoted
 from ..functions.order import written
 from ..functions.quantiles import quantiles
@@ -156,6 +156,7 @@ def _apply_round(frame: DataFrame, steps: list[Step], report: Report) -> DataFra
     figures: dict[str, Column] = {}  # aggregates of the shared pass
     ranks: dict[str, Column] = {}  # columns whose quartiles are needed
     modes: dict[str, Column] = {}
+    dated: dict[str, Column] = {}  # columns whose date forms are counted
     finish = []  # run once the figures are known, in step order
     for step in steps:
         name, action, tag = step.column, step.action, f"s{step.at}"
@@ -209,8 +210,9 @@ def _apply_round(frame: DataFrame, steps: list[Step], report: Report) -> DataFra
         elif action == "convert_to_datetime":
             if not _is(frame, name, *DATE_TYPES):
                 figures[tag] = F.count(c)
+                dated[tag] = c
                 for i, (fmt, _) in enumerate(DATE_FORMATS):
-                    figures[f"{tag}_{i}"] = F.count(parse_date(c, fmt))
+                    figures[f"{tag}_{i}"] = F.count(parse_shaped_date(quoted(f"_text_{tag}"), quoted(f"_shape_{tag}"), fmt))
             finish.append(lambda row, s=step, c=c: _dated(report, s, row, current, c, frame))
         elif action == "cap_outliers":
             ranks[tag] = _number(frame, name, c)
@@ -223,7 +225,10 @@ def _apply_round(frame: DataFrame, steps: list[Step], report: Report) -> DataFra
             bounds = fences(quartiles[tag][0.25], quartiles[tag][0.75], guard=True)
             figures[tag] = F.count_if(outside(ranks[tag], bounds))
     found_modes = _modes(frame, modes) if modes else {}
-    row = frame.agg(*[c.alias(tag) for tag, c in figures.items()]).first().asDict() if figures else {}
+    source = frame
+    for tag, c in dated.items():
+        source = with_shape(source, c, f"_text_{tag}", f"_shape_{tag}")
+    row = source.agg(*[c.alias(tag) for tag, c in figures.items()]).first().asDict() if figures else {}
     for act in finish:
         act(row)
     return frame.select(*[current[name].alias(name) for name in frame.columns if name in current])
@@ -324,8 +329,8 @@ def _capped(report, step, row, current, ranks, quartiles):
 def without_repeats(frame: DataFrame) -> tuple[DataFrame, int]:
     """The frame with one of each group of equal rows (missing values are equal), and how many rows went.
 
-    Rows meet as two 64-bit hashes. Only rows whose hashes occur again are compared as a whole, and the one that stays
-    of each is written; the others are read on from where they are, past a broadcast list of those hashes. A table
+    Rows meet as two 64-bit hashes. Only rows whose hashes occur again are compared as a whole; the others pass a
+    broadcast list of those hashes. What stays is written, as the passes that follow would hash every row again. A table
     with more than ``REPEATED_KEYS`` repeated rows is shuffled and written as a whole.
     """
     parts = [x for c in frame.columns for x in (quoted(c), quoted(c).isNull())]
@@ -340,7 +345,7 @@ def without_repeats(frame: DataFrame) -> tuple[DataFrame, int]:
     known = F.broadcast(twice.select("_a", "_b"))
     once = written(marked.join(known, ["_a", "_b"], "left_semi").drop("_a", "_b").dropDuplicates(), "once")
     rest = marked.join(known, ["_a", "_b"], "left_anti").drop("_a", "_b")
-    return rest.unionByName(once), copies - once.count()
+    return written(rest.unionByName(once), "unrepeated"), copies - once.count()
 
 
 def _drop_rows(frame: DataFrame, steps: list[Step], report: Report) -> DataFrame:

@@ -51,7 +51,7 @@ def distinct_counts(df: DataFrame) -> DataFrame:
     frame = blank_nan(df)
     texts = [quoted(c).cast("string") for c in frame.columns]
     hashed = F.array(*[F.when(t.isNotNull(), F.struct(F.lit(i).alias("at"), F.xxhash64(t).alias("a"), F.hash(t).alias("b"))) for i, t in enumerate(texts)])
-    counted = frame.select(F.inline(F.array_compact(hashed))).distinct().groupBy("at").agg(F.count(F.lit(1)).alias("unique_count"))
+    counted = frame.select(F.inline(hashed)).where("at IS NOT NULL").distinct().groupBy("at").agg(F.count(F.lit(1)).alias("unique_count"))
     return counted.select(F.element_at(F.array(*[F.lit(c) for c in frame.columns]), F.col("at") + 1).alias("column"), "unique_count")
 
 
@@ -79,11 +79,11 @@ def _text_patterns(frame: DataFrame, names: list[str]) -> DataFrame:
     """Patterns of text columns: cells as ``column, value`` rows, summed up where they lie."""
     value, plain = F.col("value"), F.col("plain")
     cells = frame.select(*[quoted(c) for c in names]).unpivot([], [quoted(c) for c in names], "column", "value")
-    # The generator keeps the derived values from being made again for every count below.
-    derived = F.struct(text.strip(value).alias("plain"), text.has_non_printable(value).alias("special"), text.is_boolean_word(value).alias("truth"))
-    cells = cells.select("column", "value", F.explode(F.array(derived)).alias("d")).select("column", "value", "d.*")
-    shaped = F.struct(text.parse_number(plain).alias("number"), date_shape(plain).alias("shape"))
-    cells = cells.select("*", F.explode(F.array(shaped)).alias("s")).select("column", "value", "plain", "special", "truth", "s.*")
+    # The generators keep the derived values from being made again for every count below.
+    derived = F.struct(text.strip(value).alias("plain"), text.has_non_printable(value).alias("special"))
+    cells = cells.select("column", "value", F.inline(F.array(derived)))
+    shaped = F.struct(text.is_boolean_word(plain, stripped=True).alias("truth"), text.parse_stripped_number(plain).alias("number"), date_shape(plain).alias("shape"))
+    cells = cells.select("column", "value", "plain", "special", F.inline(F.array(shaped)))
     dates = [F.count(parse_shaped_date(plain, F.col("shape"), fmt)).alias(f"date{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]
     return cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("rows"),
