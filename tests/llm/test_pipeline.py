@@ -74,3 +74,20 @@ def test_empty_tables_null_keys_and_repeated_rows(spark):
         if name == "n-gram Jaccard join":
             assert [(r.doc_id, r.text) for r in docs.collect()] == [(7, good + " end")]
     assert [(r.doc_id, r.piece) for r in docs.collect()] == [(7, 0)]
+
+
+def test_texts_travel_in_small_batches(spark, tmp_path, monkeypatch):
+    texts = [("x" * 100_000,) for _ in range(200)]
+    spark.createDataFrame(texts, "text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [("sizes", lambda spark, docs, folder: docs.mapInArrow(sizes, "size bigint"))])
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    found = [r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sum(found) >= 200 * 100_000 and max(found) < 6 << 20 and spark.conf.get(name) == before
