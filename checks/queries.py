@@ -112,10 +112,9 @@ def _(df):
     path = session.scratch_path(df.sparkSession, "wide-csv")
     wide = F.lit(9123456789012345678 - 10**15) + F.col("rid")
     csv_files.write_csv(df.select(wide.alias("id"), F.concat(wide.cast("string"), F.lit("00")).alias("wider")), path)
-    back = csv_files.read_csv(df.sparkSession, path)
-    return back.agg(
-        F.count_distinct("id").alias("ids"), F.max("id").alias("last"), F.count_distinct("wider").alias("wider_ids"), F.max("wider").cast("string").alias("widest")
-    )
+    back = written(csv_files.read_csv(df.sparkSession, path), "wide-ids")
+    ids, wider = (aggs.distinct_values(back, c).count() for c in ("id", "wider"))
+    return back.agg(F.lit(ids).cast("bigint").alias("ids"), F.max("id").alias("last"), F.lit(wider).cast("bigint").alias("wider_ids"), F.max("wider").cast("string").alias("widest"))
 
 
 def _workbooks(spark, table):

@@ -11,6 +11,8 @@ from ..functions.order import dealt, prefix_sums, written
 
 #: Groups that are sorted in one task at most.
 MOST_LISTED = 10_000
+#: Rows whose values are told apart in one task, on average.
+DISTINCT_AT_ONCE = 1_000_000
 
 
 def require(df: DataFrame, *columns: str) -> None:
@@ -78,6 +80,16 @@ def totals(df: DataFrame, value: str) -> DataFrame:
     return df.agg(total(c).alias("total"), numbers.mean(c).alias("mean"), F.count(c).alias("n"))
 
 
+def distinct_values(df: DataFrame, column: str, at_once: int = DISTINCT_AT_ONCE) -> DataFrame:
+    """``value``: the distinct values of one column, NULL left out, of a table stored as files.
+
+    Values are dealt by hash to as many tasks as the rows need, so what one task holds does not grow with the table.
+    """
+    values = df.select(quoted(column).alias("value")).where("value IS NOT NULL")
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // at_once))
+    return values.repartition(parts, "value").distinct()
+
+
 def distinct_counts(df: DataFrame, columns: list[str], approx: bool = False) -> DataFrame:
     """Distinct non-missing values per column as ``column, distinct_count``."""
     require(df, *columns)

@@ -281,3 +281,10 @@ def test_intermediate_data_go_away(spark):
         tidy = clean.apply_cleaning(known.table, clean.enabled_steps(known.steps()), stored=True)[0].collect()
         assert files() != before
     assert files() == before and len(tidy) == 300
+
+
+def test_distinct_values_in_tasks_of_bounded_rows(spark):
+    df = spark.range(1000).select(F.when(F.col("id") % 10 > 0, F.col("id") % 700).cast("decimal(38,0)").alias("x"))
+    few, many = aggs.distinct_values(df, "x"), aggs.distinct_values(df, "x", at_once=50)
+    assert few.count() == many.count() == len({i % 700 for i in range(1000) if i % 10})
+    assert many.rdd.getNumPartitions() == 20 > few.rdd.getNumPartitions()
