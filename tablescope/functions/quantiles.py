@@ -2,9 +2,9 @@
 
 Spark's ``percentile`` keeps every distinct value of a group in one reducer. Here mergeable KLL
 sketches of bounded size first bracket the wanted ranks; a later pass counts the rows below the
-bracket and sketches the few inside it with so large a sketch that it holds them all, unless there
-are more, and then the bracket gets narrower. So memory is bounded whatever the table size, and the
-result is exact: every rank is checked against the counts before it is used.
+bracket, and where a rank lies inside, the few rows there meet so large a sketch that it holds them
+all, unless there are more, and then the bracket gets narrower. So memory is bounded whatever the
+table size, and the result is exact: every rank is checked against the counts before it is used.
 
 Sketches are merged per share of the input partitions and then once more, so no task merges those
 of the whole table, and only two bounds for each column and probability come to the driver.
@@ -128,7 +128,8 @@ def _order_statistics(df: DataFrame, columns: dict[str, Column], wanted: dict) -
         for s, name in enumerate(part):
             x = F.col(f"x{names.index(name)}")
             sums |= {f"in{s}": (F.count(x), F.sum), f"lo{s}": (F.min(x), F.min), f"hi{s}": (F.max(x), F.max), f"q{s}": _sketch(x, held)}
-        whole, row = _summed(slim, sums)
+        whole = _summed(slim, sums)
+        row = whole.select(*[name for name in sums if not name.startswith("q")]).first()
         reads = _Reads(whole)
         for s, name in enumerate(part):
             n = row[f"in{s}"] or 0
@@ -161,11 +162,10 @@ def _sketch(x: Column, held: int) -> tuple[Column, object]:
     return F.call_function("kll_sketch_agg_double", x, F.lit(held)), lambda c: F.call_function("kll_merge_agg_double", c, F.lit(held))
 
 
-def _summed(slim: DataFrame, sums: dict):
-    """Aggregates, made per share of the input partitions and then put together, as one stored row; and that row without the sketches."""
+def _summed(slim: DataFrame, sums: dict) -> DataFrame:
+    """Aggregates, made per share of the input partitions and then put together, as one stored row."""
     shares = slim.groupBy(F.pmod(F.spark_partition_id(), F.lit(SHARES)).alias("share")).agg(*[made.alias(name) for name, (made, _) in sums.items()])
-    whole = written(shares.agg(*[join(F.col(name)).alias(name) for name, (_, join) in sums.items()]), "sketches")
-    return whole, whole.select(*[name for name in sums if not name.startswith("q")]).first()
+    return written(shares.agg(*[join(F.col(name)).alias(name) for name, (_, join) in sums.items()]), "sketches")
 
 
 class _Reads:
@@ -190,25 +190,44 @@ class _Reads:
         return [(key, exact, (row[2 * i], row[2 * i + 1])) for i, (key, exact) in enumerate(self.asked)]
 
 
+def _zones(slim: DataFrame, names: list[str], edges: dict[str, list[float]]) -> dict[str, list[int]]:
+    """For each column how many values lie below the first edge, on it, between it and the next, and so on."""
+    places = {name: sum((F.col(f"x{names.index(name)}") > e).cast("int") + (F.col(f"x{names.index(name)}") >= e).cast("int") for e in marks) for name, marks in edges.items()}
+    marked = slim.select(*[place.alias(str(names.index(name))) for name, place in places.items()])
+    counted = marked.unpivot([], marked.columns, "s", "zone").where("zone IS NOT NULL").groupBy("s", "zone").agg(F.count(F.lit(1)).alias("n"))
+    found = {(names[int(r["s"])], r["zone"]): r["n"] for r in counted.collect()}
+    return {name: [found.get((name, z), 0) for z in range(2 * len(marks) + 1)] for name, marks in edges.items()}
+
+
 def _narrowed(slim: DataFrame, names: list[str], summaries: dict, targets: dict) -> dict:
-    """One pass over brackets: the values of those that a sketch holds whole; others become narrower."""
-    sums, done = {}, {}
-    for s, ((name, _), target) in enumerate(targets.items()):
-        x, low, high = F.col(f"x{names.index(name)}"), F.lit(target.low), F.lit(target.high)
-        inside = F.when((x > low) & (x < high), x)
-        counts = {"below": x < low, "atlow": x == low, "in": inside.isNotNull(), "athigh": (x == high) & (high > low)}
-        sums |= {f"{what}{s}": (F.count_if(c), F.sum) for what, c in counts.items()} | {f"q{s}": _sketch(inside, HELD)}
-    whole, row = _summed(slim, sums)
-    reads = _Reads(whole)
+    """A pass that counts around brackets, and one over the rows inside those that hold a rank: the values where a sketch holds all of them; other brackets become narrower."""
+    edges: dict[str, list[float]] = {}
+    for (name, _), target in targets.items():
+        edges[name] = sorted({*edges.get(name, []), target.low, target.high})
+    zones = _zones(slim, names, edges)
+    sums, done, open_ = {}, {}, []
     for s, (key, target) in enumerate(targets.items()):
-        below, at_low, inside, at_high = (row[f"{what}{s}"] for what in ("below", "atlow", "in", "athigh"))
+        counts, (low, high) = zones[key[0]], (2 * edges[key[0]].index(e) + 1 for e in (target.low, target.high))
+        below, inside = sum(counts[:low]), sum(counts[low + 1 : high])
+        at_low, at_high = counts[low], counts[high] if high > low else 0
         first, last = (r - below - at_low for r in (target.first, target.last))
         if first < -at_low or last >= inside + at_high:
             target.low, target.high = summaries[key[0]].low, summaries[key[0]].high
         elif all(r < 0 or r >= inside for r in (first, last)):
             done[key] = tuple(target.low if r < 0 else target.high for r in (first, last))
         else:
-            reads.ask(key, s, inside, first, last, HELD)
+            open_.append((key, s, inside, first, last))
+    if not open_:
+        return done
+    # Each update of a sketch is dear, also with NULL, so only rows inside a bracket meet them.
+    near = F.lit(False)
+    for key, s, *_ in open_:
+        x = F.col(f"x{names.index(key[0])}")
+        within = (x > targets[key].low) & (x < targets[key].high)
+        near, sums[f"q{s}"] = near | within, _sketch(F.when(within, x), HELD)
+    reads = _Reads(_summed(slim.where(near), sums))
+    for asked in open_:
+        reads.ask(*asked, HELD)
     for key, exact, (a, b) in reads.answers():
         if exact:
             done[key] = (targets[key].low if a is None else a, targets[key].high if b is None else b)

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import blank_nan, percent, quoted
+from ..functions.numbers import NUMERIC_TYPES, blank_nan, percent, quoted
 from ..functions.text import parse_number
 from ..functions.order import written
 from ..session import intermediate
@@ -73,7 +73,7 @@ def profile_columns(df: DataFrame, stored: bool = False) -> DataFrame:
     for r in rows:
         if r["inferred_type"] in ("integer", "float"):
             numeric[r["column"]] = parse_number(quoted(r["column"])) if r["label"] == "string" else quoted(r["column"])
-    summaries = numeric_summary(blank_nan(df), numeric) if numeric else []
+    summaries = _summaries(df, numeric) if numeric else []
     order = [f.split()[0] for f in SUMMARY_SCHEMA.split(", ")]
     stats = spark.createDataFrame([tuple(s[k] for k in order) for s in summaries], SUMMARY_SCHEMA)
     facts = spark.createDataFrame(rows, evidence.schema)
@@ -97,6 +97,15 @@ def profile_columns(df: DataFrame, stored: bool = False) -> DataFrame:
     )
 
 
+def _summaries(df: DataFrame, numeric: dict[str, Column]) -> list[dict]:
+    """:func:`numeric_summary` of columns; numbers that are held as text are parsed and written once, for all its passes."""
+    if all(isinstance(df.schema[c].dataType, NUMERIC_TYPES) for c in numeric):
+        return numeric_summary(blank_nan(df), numeric, skew=False)
+    with intermediate(df.sparkSession):
+        parsed = written(blank_nan(df).select(*[c.cast("double").alias(f"x{i}") for i, c in enumerate(numeric.values())]), "numbers")
+        return numeric_summary(parsed, {name: F.col(f"x{i}") for i, name in enumerate(numeric)}, skew=False)
+
+
 # The public profile table; the frame above also carries the evidence the issue rules read.
 PROFILE_COLUMNS = [
     "column", "raw_type", "inferred_type", "missing_count", "missing_pct", "unique_count", "completeness_pct",

@@ -32,10 +32,10 @@ def outside(c: Column, bounds: tuple[float, float] | None) -> Column:
     return (c < bounds[0]) | (c > bounds[1])
 
 
-def numeric_summary(df: DataFrame, columns: dict[str, Column]) -> list[dict]:
-    """Moments, quartiles and outlier counts of several columns: two or three passes for all of them.
+def numeric_summary(df: DataFrame, columns: dict[str, Column], skew: bool = True) -> list[dict]:
+    """Moments, quartiles and outlier counts of several columns: three or four passes for all of them.
 
-    The result is one small record per column. Columns without values are left out.
+    The result is one small record per column. Columns without values are left out; so is the skew (NULL) where it is not asked for.
     """
     found = quantiles(df, columns, BOX_PROBS)
     made, present = [], []
@@ -49,7 +49,7 @@ def numeric_summary(df: DataFrame, columns: dict[str, Column]) -> list[dict]:
         made += [
             F.avg(x).alias(f"mean{i}"),
             F.stddev_samp(x).alias(f"std{i}"),
-            adjusted_skew(x).alias(f"skew{i}"),
+            (adjusted_skew(x) if skew else F.lit(None).cast("double")).alias(f"skew{i}"),
             F.count_if(outside(x, loose)).alias(f"out{i}"),
         ]
     # The columns are computed once per row, then shared by their aggregates.

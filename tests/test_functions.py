@@ -94,6 +94,19 @@ def test_quantiles_are_exact(spark, monkeypatch, held, shape):
     assert quantiles.kth_largest(df, F.col("x"), len(values) + 1) is None
 
 
+def test_only_rows_inside_a_bracket_are_sketched_again(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "HELD", 500)
+    sketched = []
+    work = quantiles._summed
+    monkeypatch.setattr(quantiles, "_summed", lambda slim, sums: sketched.append(slim.count()) or work(slim, sums))
+    df = spark.range(20_000).select((F.col("id") * 7919 % 20_011).cast("double").alias("x"), F.when(F.col("id") % 3 > 0, F.col("id") % 4).cast("double").alias("y"))
+    got = quantiles.quantiles(df, {"x": F.col("x"), "y": F.col("y")}, [0.25, 0.5])
+    frame = df.toPandas()
+    for c in ("x", "y"):
+        assert [got[c].quantiles[p] for p in (0.25, 0.5)] == pytest.approx(list(frame[c].quantile([0.25, 0.5])), rel=1e-12)
+    assert sketched[0] == 20_000 and len(sketched) > 1 and max(sketched[1:]) < 6_000
+
+
 def test_quantiles_of_many_columns(spark):
     """Three ranks of 300 columns; the driver gets four numbers for each, and the passes do not follow the columns."""
     rng = np.random.default_rng(3)
