@@ -2,11 +2,14 @@
 
 Cells are seen as ``column, value`` rows, which are summed up by column where they lie, so no
 cell is shuffled for patterns, types and dates. Numbers of distinct values come from a second pass
-over 96-bit hashes. Only columns found to be categories have their values counted as text.
+over 96-bit hashes. Columns of a stored table that have few distinct values, and those found to be
+categories, have their values counted as text; then each value is looked at once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,6 +23,8 @@ DATE_SHARE = 0.7
 NUMBER_SHARE = 0.8
 CATEGORY_RATIO = 0.2
 CATEGORY_VALUES = 20
+# Distinct values of a text column up to which a stored table's values are counted before they are looked at.
+COUNTED_VALUES = 200_000
 
 
 def type_label(kind: T.DataType) -> str:
@@ -75,35 +80,48 @@ def _plain_patterns(frame: DataFrame, names: list[str]) -> DataFrame:
     return frame.agg(*seen).select(F.inline(F.array(*rows)))
 
 
-def _text_patterns(frame: DataFrame, names: list[str]) -> DataFrame:
-    """Patterns of text columns: cells as ``column, value`` rows, summed up where they lie."""
+def _cells(frame: DataFrame, names: list[str]) -> DataFrame:
+    """``column, value, n``: the cells of text columns, each for itself."""
+    return frame.select(*[quoted(c) for c in names]).unpivot([], [quoted(c) for c in names], "column", "value").withColumn("n", F.lit(1).cast("bigint"))
+
+
+def _text_patterns(cells: DataFrame) -> DataFrame:
+    """Patterns of text columns: ``column, value, n`` rows, summed up where they lie."""
     value, plain = F.col("value"), F.col("plain")
-    cells = frame.select(*[quoted(c) for c in names]).unpivot([], [quoted(c) for c in names], "column", "value")
     # The generators keep the derived values from being made again for every count below.
     derived = F.struct(text.strip(value).alias("plain"), text.has_non_printable(value).alias("special"))
-    cells = cells.select("column", "value", F.inline(F.array(derived)))
+    cells = cells.select("column", "value", "n", F.inline(F.array(derived)))
     shaped = F.struct(text.is_boolean_word(plain, stripped=True).alias("truth"), text.parse_stripped_number(plain).alias("number"), date_shape(plain).alias("shape"))
-    cells = cells.select("column", "value", "plain", "special", F.inline(F.array(shaped)))
-    dates = [F.count(parse_shaped_date(plain, F.col("shape"), fmt)).alias(f"date{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]
+    cells = cells.select("column", "value", "n", "plain", "special", F.inline(F.array(shaped)))
+
+    def total(when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0).cast("bigint"))
+
+    dates = [total(parse_shaped_date(plain, F.col("shape"), fmt).isNotNull()).alias(f"date{i}") for i, (fmt, _) in enumerate(DATE_FORMATS)]
     return cells.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(value.isNull()).alias("missing_count"),
+        F.sum("n").alias("rows"),
+        total(value.isNull()).alias("missing_count"),
         F.coalesce(F.every("truth"), F.lit(False)).alias("boolean_words"),
-        F.count("number").alias("number_count"),
+        total(F.col("number").isNotNull()).alias("number_count"),
         F.coalesce(F.every(F.col("number") == F.floor("number")), F.lit(False)).alias("whole_numbers"),
-        F.count_if(value != plain).alias("padded_count"),
-        F.count_if(F.col("special")).alias("special_count"),
+        total(value != plain).alias("padded_count"),
+        total(F.col("special")).alias("special_count"),
         *dates,
     )
 
 
-def column_patterns(df: DataFrame) -> DataFrame:
-    """One row per column, in table order: counts of what its values look like. Only one row per column and task is shuffled."""
+def column_patterns(df: DataFrame, counted: set[str] = frozenset()) -> DataFrame:
+    """One row per column, in table order: counts of what its values look like.
+
+    Only one row per column and task is shuffled, and for the text columns among ``counted`` each value that is distinct in its task.
+    """
     frame, fields = blank_nan(df), df.schema.fields
     texts = [f.name for f in fields if isinstance(f.dataType, T.StringType)]
     others = [f.name for f in fields if not isinstance(f.dataType, T.StringType)]
-    parts = [work(frame, names) for work, names in ((_text_patterns, texts), (_plain_patterns, others)) if names]
-    seen = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    few, many = [c for c in texts if c in counted], [c for c in texts if c not in counted]
+    parts = [_text_patterns(made(frame, names)) for made, names in ((_cells, many), (value_pairs, few)) if names]
+    parts += [_plain_patterns(frame, others)] if others else []
+    seen = reduce(DataFrame.unionByName, parts)
     columns = df.sparkSession.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), type_label(f.dataType)) for i, f in enumerate(fields)],
         "position int, column string, raw_type string, label string",
@@ -114,9 +132,17 @@ def column_patterns(df: DataFrame) -> DataFrame:
     return joined.withColumns({"date_count": best, "date_format": fmt}).drop(*[f"date{i}" for i in range(len(DATE_FORMATS))])
 
 
-def column_evidence(df: DataFrame) -> DataFrame:
-    """The patterns of every column, its number of distinct values and its inferred type; zero counts for an empty table."""
-    joined = column_patterns(df).join(distinct_counts(df), "column", "left").fillna(0, ["unique_count"])
+def column_evidence(df: DataFrame, stored: bool = False) -> DataFrame:
+    """The patterns of every column, its number of distinct values and its inferred type; zero counts for an empty table.
+
+    Of a table that is ``stored`` as files the distinct values are counted at once: columns that have few are then looked at by value.
+    """
+    distinct, few = distinct_counts(df), set()
+    if stored:
+        found = distinct.collect()
+        distinct = df.sparkSession.createDataFrame(found, distinct.schema)
+        few = set(df.columns) - {r["column"] for r in found if r["unique_count"] > COUNTED_VALUES}
+    joined = column_patterns(df, few).join(distinct, "column", "left").fillna(0, ["unique_count"])
     return joined.withColumn("inferred_type", _inferred())
 
 

@@ -67,7 +67,7 @@ def profile_columns(df: DataFrame, stored: bool = False) -> DataFrame:
         with intermediate(df.sparkSession):
             return profile_columns(written(df, "profile"), stored=True)
     spark = df.sparkSession
-    evidence = column_evidence(df)
+    evidence = column_evidence(df, stored=True)
     rows = evidence.collect()
     numeric = {}
     for r in rows:

@@ -266,6 +266,19 @@ def test_patterns_of_typed_columns(spark):
     }
 
 
+def test_few_values_are_counted_before_they_are_looked_at(spark, monkeypatch):
+    data = [(f"{i % 7}", f" v{i}é" if i % 5 else None, f"2024-01-{i % 40 + 1:02d}", None, "Yes" if i % 2 else "no", f"{i}.5") for i in range(400)]
+    df = spark.createDataFrame(data, "a string, b string, c string, d string, e string, f string")
+    looked = []
+    work = evidence._text_patterns
+    monkeypatch.setattr(evidence, "_text_patterns", lambda cells: looked.append(cells.count()) or work(cells))
+    each = rows(evidence.column_evidence(df), "position")
+    assert looked == [2400]
+    monkeypatch.setattr(evidence, "COUNTED_VALUES", 50)
+    assert rows(evidence.column_evidence(df, stored=True), "position") == each
+    assert looked == [2400, 800, 7 + 40 + 1 + 2]
+
+
 def test_intermediate_data_go_away(spark):
     def files():
         path = spark._jvm.org.apache.hadoop.fs.Path(session.checkpoint_folder(spark))
