@@ -12,6 +12,8 @@ WHITE_SPACE = (
     "\u2028\u2029\u202f\u205f\u3000"
 )
 SYMBOL_PATTERN = r"(?U:[$,€£¥%\s])"
+# Text of these characters alone may be a number between symbols; the others need no replacement to be refused.
+NUMBER_AND_SYMBOLS = r"(?U)^[0-9+.eE$,€£¥%\s\x1c-\x1f-]*$"
 NON_PRINTABLE_PATTERN = r"[^\x20-\x7E]"
 BOOLEAN_WORDS = ["yes", "no", "true", "false", "1", "0", "y", "n"]
 TRUE_WORDS = ["yes", "true", "1", "y", "t"]
@@ -39,6 +41,11 @@ def drop_symbols(c: Column) -> Column:
     return F.regexp_replace(c, SYMBOL_PATTERN, "")
 
 
+def parse_number_with_symbols(c: Column) -> Column:
+    """``parse_number`` of text without its symbols."""
+    return F.when(c.rlike(NUMBER_AND_SYMBOLS), parse_number(drop_symbols(c)))
+
+
 def drop_non_printable(c: Column) -> Column:
     return strip(F.regexp_replace(c, NON_PRINTABLE_PATTERN, ""))
 

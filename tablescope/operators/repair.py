@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import quoted
-from ..functions.text import drop_symbols, parse_number
+from ..functions.text import parse_number_with_symbols
 
 
 def numeric_repair(df: DataFrame, threshold: float = 0.70, exclude: tuple[str, ...] = ()) -> DataFrame:
@@ -18,7 +18,7 @@ def numeric_repair(df: DataFrame, threshold: float = 0.70, exclude: tuple[str, .
     names = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType) and f.name not in exclude]
     if not names:
         return df
-    parsed = {c: parse_number(drop_symbols(quoted(c))) for c in names}
+    parsed = {c: parse_number_with_symbols(quoted(c)) for c in names}
     ratios = df.agg(
         *[F.try_divide(F.count(parsed[c]).cast("double"), F.count(quoted(c)).cast("double")).alias(f"r{i}") for i, c in enumerate(names)]
     ).first()

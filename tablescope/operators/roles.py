@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .evidence import DATE_SHARE, column_patterns
+from ..functions.numbers import quoted
+from .evidence import DATE_SHARE, column_patterns, type_label
 
 # Role, accepted kind of column, whether the first column of that kind stands in
 # when no name matches, and the name parts in order of preference.
@@ -49,12 +50,8 @@ def column_roles(df: DataFrame, style: str = "contains") -> DataFrame:
         "role string, kind string, word_at int, word string",
     )
     roles = spark.createDataFrame([(r, kind, fb) for r, kind, fb, _ in ROLE_WORDS], "role string, kind string, falls_back boolean")
-    present = F.col("rows") - F.col("missing_count")
-    parses = F.coalesce(F.try_divide(F.col("date_count").cast("double"), present.cast("double")) >= DATE_SHARE, F.lit(False))
     # Column names only: as many rows as the table has columns.
-    names = column_patterns(df).select(
-        "position", "column", F.lower("column").alias("name"), "label", parses.alias("parses")
-    )
+    names = _named(df)
     kinds = names.select(
         "*",
         F.explode(
@@ -101,6 +98,21 @@ def column_roles(df: DataFrame, style: str = "contains") -> DataFrame:
     )
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """``position, column, name, label, parses``: whether a text column's values are dates is read from the data where its name fits the date role."""
+    fields = df.schema.fields
+    rows = [(i, f.name, f.name.lower(), type_label(f.dataType)) for i, f in enumerate(fields)]
+    names = df.sparkSession.createDataFrame(rows, "position int, column string, name string, label string")
+    hints = [w for _, kind, _, words in ROLE_WORDS if kind == "datetime" for w in words]
+    texts = [name for _, name, low, label in rows if label == "string" and any(w in low for w in hints)]
+    if not texts:
+        return names.withColumn("parses", F.lit(False))
+    present = F.col("rows") - F.col("missing_count")
+    parses = F.try_divide(F.col("date_count").cast("double"), present.cast("double")) >= DATE_SHARE
+    seen = column_patterns(df.select(*[quoted(c) for c in texts])).select("column", parses.alias("parses"))
+    return names.join(seen, "column", "left").withColumn("parses", F.coalesce("parses", F.lit(False)))
+
+
 def resolve_roles(df: DataFrame, style: str = "contains", **given: str) -> Roles:
     """The best column per role; columns given by the caller are kept."""
     picked = {r["role"]: r["column"] for r in column_roles(df, style).where("rank = 1").collect()}

@@ -107,6 +107,13 @@ def test_only_rows_inside_a_bracket_are_sketched_again(spark, monkeypatch):
     assert sketched[0] == 20_000 and len(sketched) > 1 and max(sketched[1:]) < 6_000
 
 
+def test_numbers_with_symbols(spark):
+    texts = ["$1,234.50", " 12 % ", "\u00a07", "\x1c8\x1d", "1e3", "-.5", "+ 3", "EUR 5", "\u00a3\u00a59", "1\n", "\n", "", "Customer#1", "e", "\u0665", None, "1 2", "\u30004\u2028", "\u200b5"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    got = [tuple(r) for r in df.select(text.parse_number_with_symbols(F.col("x")), text.parse_number(text.drop_symbols(F.col("x")))).collect()]
+    assert [a for a, _ in got] == [b for _, b in got] and got[0][0] == 1234.5 and got[2][0] == 7.0 and got[3][0] == 8.0
+
+
 def test_quantiles_of_many_columns(spark):
     """Three ranks of 300 columns; the driver gets four numbers for each, and the passes do not follow the columns."""
     rng = np.random.default_rng(3)

@@ -279,6 +279,15 @@ def test_few_values_are_counted_before_they_are_looked_at(spark, monkeypatch):
     assert looked == [2400, 800, 7 + 40 + 1 + 2]
 
 
+def test_only_texts_named_like_dates_are_parsed_for_roles(spark, monkeypatch):
+    df = spark.createDataFrame([("2024-01-05", "2024-01-05", 1.0)], "ship_Day string, note string, price double")
+    read = []
+    work = roles.column_patterns
+    monkeypatch.setattr(roles, "column_patterns", lambda part: read.append(part.columns) or work(part))
+    assert roles.resolve_roles(df).date == "ship_Day" and roles.resolve_roles(df.drop("ship_Day")).date is None
+    assert read == [["ship_Day"]]
+
+
 def test_intermediate_data_go_away(spark):
     def files():
         path = spark._jvm.org.apache.hadoop.fs.Path(session.checkpoint_folder(spark))
