@@ -179,33 +179,41 @@ def infer_column_types(df: DataFrame) -> DataFrame:
     cleaning steps to find.
     """
     texts = {c: F.when(~quoted(c).isin(MISSING_TEXTS), quoted(c)) for c in df.columns}
-    checks = []
-    for i, value in enumerate(texts.values()):
-        plain = F.trim(value)
-        whole = F.when(plain.rlike(WHOLE_NUMBER), plain)
-        checks += [
-            F.count(value).alias(f"n{i}"),
-            F.count(whole).alias(f"whole{i}"),
-            F.count(whole.try_cast("bigint")).alias(f"long{i}"),
-            F.count(whole.try_cast("decimal(38,0)")).alias(f"wide{i}"),
-            F.count(parse_number(value)).alias(f"number{i}"),
-            F.count_if(plain.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias(f"truth{i}"),
-        ]
-    seen = df.agg(*checks).first()
+    seen = {r["column"]: r for r in _fitting(df).collect()}
     out = []
-    for i, (name, value) in enumerate(texts.items()):
-        n = seen[f"n{i}"]
-        if n and seen[f"whole{i}"] == n:
-            if seen[f"wide{i}"] == n:
-                value = F.trim(value).try_cast("bigint" if seen[f"long{i}"] == n else "decimal(38,0)")
-        elif n and seen[f"number{i}"] == n:
+    for name, value in texts.items():
+        row = seen.get(name)
+        if row and row["whole"] == row["n"]:
+            if row["wide"] == row["n"]:
+                value = F.trim(value).try_cast("bigint" if row["long"] == row["n"] else "decimal(38,0)")
+        elif row and row["number"] == row["n"]:
             value = parse_number(value)
-        elif n and seen[f"truth{i}"] == n:
+        elif row and row["truth"] == row["n"]:
             value = F.lower(F.trim(value)).try_cast("boolean")
         out.append(value.alias(name))
     return df.select(*out)
 
 
+def _fitting(df: DataFrame) -> DataFrame:
+    """``column, n, whole, long, wide, number, truth``: how many texts a column has and how many of them fit each type; one row per column and task is shuffled."""
+    value, plain = F.col("value"), F.col("plain")
+    missing = (F.octet_length(value) <= max(map(len, MISSING_TEXTS))) & value.isin(MISSING_TEXTS)
+    cells = df.select(*[quoted(c) for c in df.columns]).unpivot([], [quoted(c) for c in df.columns], "column", "value").where(value.isNotNull() & ~missing)
+    # The generators keep the derived values from being made again for every count below.
+    cells = cells.select("column", "value", F.explode(F.array(F.trim(value))).alias("plain"))
+    cells = cells.select("column", "value", "plain", F.explode(F.array(plain.rlike(WHOLE_NUMBER))).alias("whole"))
+    # Casts and parsing are dear; every whole number of up to 18 characters fits all three types.
+    short = F.col("whole") & (F.octet_length(plain) <= 18)
+    return cells.groupBy("column").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count_if("whole").alias("whole"),
+        F.count_if(short | (F.col("whole") & plain.try_cast("bigint").isNotNull())).alias("long"),
+        F.count_if(short | (F.col("whole") & plain.try_cast("decimal(38,0)").isNotNull())).alias("wide"),
+        F.count_if(short | parse_number(value).isNotNull()).alias("number"),
+        F.count_if(plain.isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("truth"),
+    )
+
+
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """Header, no index, missing values empty; one file per partition."""
     df.write.mode("errorifexists").options(

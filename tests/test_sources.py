@@ -62,6 +62,17 @@ def test_names_and_types(spark, tmp_path):
     assert names.clean_names(spark.createDataFrame([(1, 2)], "`Unnamed: 0` int, `Unnamed: x` int")).columns == ["Unnamed: x"]
 
 
+def test_texts_that_fit_each_type(spark):
+    whole = ["1", " -2 ", "+3", "9" * 18, "9" * 19, "9" * 38, "9" * 39, "N/A", "", None]
+    mixed = ["1e3", "\t4", ".5", "true", " FALSE", "True ", "t", "\u00a07", "1-2", "-"]
+    df = spark.createDataFrame(list(zip(whole, mixed, [None] * 10)), "`a b` string, `c.d` string, e string")
+    got = {r["column"]: tuple(r)[1:] for r in csv_files._fitting(df).collect()}
+    # n, whole, long, wide, number, truth
+    assert got == {"a b": (7, 7, 4, 6, 7, 0), "c.d": (10, 0, 0, 0, 4, 3)}
+    typed = csv_files.infer_column_types(df)
+    assert dict(typed.dtypes) == {"a b": "string", "c.d": "string", "e": "string"}
+
+
 def test_write_and_read_back(spark, tmp_path):
     df = spark.createDataFrame([(" a", 1.5, None), ('q"u,o', 2.0, "x")], "k string, v double, w string")
     csv_files.write_csv(df, str(tmp_path / "out"))
