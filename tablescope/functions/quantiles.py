@@ -219,13 +219,15 @@ def _narrowed(slim: DataFrame, names: list[str], summaries: dict, targets: dict)
             open_.append((key, s, inside, first, last))
     if not open_:
         return done
-    # Each update of a sketch is dear, also with NULL, so only rows inside a bracket meet them.
+    # Each update of a sketch is dear, also with NULL, so only rows inside a bracket meet them. The generator keeps the
+    # filter from being pushed below the columns, where each comparison would make its column again.
     near = F.lit(False)
     for key, s, *_ in open_:
         x = F.col(f"x{names.index(key[0])}")
         within = (x > targets[key].low) & (x < targets[key].high)
         near, sums[f"q{s}"] = near | within, _sketch(F.when(within, x), HELD)
-    reads = _Reads(_summed(slim.where(near), sums))
+    made = slim.select(F.inline(F.array(F.struct(*slim.columns))))
+    reads = _Reads(_summed(made.where(near), sums))
     for asked in open_:
         reads.ask(*asked, HELD)
     for key, exact, (a, b) in reads.answers():
