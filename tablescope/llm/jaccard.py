@@ -5,13 +5,14 @@ H = floor((a + b)(1 - t) / (1 + t)) elements, so when the space of hashes is cut
 parts, some part holds the same elements of both. A tile is the sets that agree in one part of
 one band. In a tile, bitmaps that hold the parity of hashed elements are compared first: each bit
 that differs is owed to an element in one set alone, so the count of differing bits bounds the
-overlap from above. What passes is settled by the intersection of sorted arrays.
+overlap from above. Bitmaps of one size say nothing of long sets, so what passes is compared by
+bitmaps that grow with the sets, and what is left is settled by the intersection of sorted arrays.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -125,6 +126,22 @@ def bitmap(found: np.ndarray) -> bytes:
     return np.packbits((np.bincount(places, minlength=8 * BITMAP) & 1).astype(np.uint8)).tobytes()
 
 
+def wide_bitmap(found: np.ndarray) -> bytes:
+    """A parity bitmap that grows with the set: four bits or more for each element, a power of two of them, ``BITMAP`` bytes at least."""
+    size = max(8 * BITMAP, 1 << (4 * len(found) - 1).bit_length())
+    places = (found & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+def wide_apart(a: np.ndarray, b: np.ndarray) -> int:
+    """Differing bits of two wide bitmaps, as words; the halves of the longer one are laid upon each other until it is as long as the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def set_id(found: np.ndarray) -> bytes:
     """128 bits that stand for a set."""
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
@@ -143,7 +160,7 @@ def _bit_rows(column) -> np.ndarray:
 
 
 def _arrays(column) -> Iterator[np.ndarray]:
-    """The sorted arrays in a column, without a copy."""
+    """The arrays of 64-bit words in a column, without a copy."""
     ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
     for start, end in zip(ends[:-1].tolist(), ends[1:].tolist()):
@@ -256,8 +273,33 @@ def _semi(big: DataFrame, keys: DataFrame, on: list[str], how: str = "left_semi"
     return big.join(renamed, condition, how)
 
 
+def _made(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key: str, text: str, make: Callable[[np.ndarray], bytes], name: str) -> DataFrame:
+    """``node``, ``n``, ``made``: what ``make`` gives of the sorted array of each node in the pairs, written as ``name``."""
+    wanted = written(nodes.join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "key", "content", "sid"), "wanted")
+
+    def work(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, SIGNED_AT_ONCE):
+                node, sid, text_ = (batch.column(c).slice(start, SIGNED_AT_ONCE) for c in range(3))
+                found = [join.shingles(t.as_py()) for t in text_]
+                # Another text may have the key and the hash.
+                mine = pa.array([set_id(f) == s.as_py() for f, s in zip(found, sid)], pa.bool_())
+                made = [pa.array([len(f) for f in found], pa.int64()), pa.array([make(f) for f in found], pa.binary())]
+                yield pa.RecordBatch.from_arrays([node, *made], names=["node", "n", "made"]).filter(mine)
+
+    # The texts meet the few nodes in question by key and hash where they are, so what is made moves for the pairs alone.
+    few = wanted.select(F.col("node").alias("_node"), F.col("sid").alias("_sid"), F.col("key").alias("_key"), F.col("content").alias("_content"))
+    if wanted.count() <= BROADCAST_KEYS:
+        few = F.broadcast(few)
+    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("content"))
+    met = texts.join(few, texts["key"].eqNullSafe(few["_key"]) & (texts["content"] == few["_content"])).select("_node", "_sid", "text")
+    return written(met.mapInArrow(work, "node bigint, n bigint, made binary"), name)
+
+
 def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key: str, text: str) -> DataFrame:
-    """Those of the pairs (``a``, ``b``) of nodes that are linked: bitmaps first, then sorted arrays of the sets still in question."""
+    """Those of the pairs (``a``, ``b``) of nodes that are linked: bitmaps first, then wide ones, then sorted arrays of the sets still in question."""
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
 
     def bound(batches: Iterator) -> Iterator:
@@ -272,26 +314,23 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
 
     open_ = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
     open_ = written(open_.mapInArrow(bound, "a bigint, b bigint"), "bounded")
-    wanted = written(nodes.join(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi").select("node", "key", "content", "sid"), "wanted")
+    wide = _made(open_, nodes, docs, join, key, text, wide_bitmap, "wide")
 
-    def sort(batches: Iterator) -> Iterator:
+    def bound_wide(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
-            for start in range(0, batch.num_rows, SIGNED_AT_ONCE):
-                node, sid, text_ = (batch.column(c).slice(start, SIGNED_AT_ONCE) for c in range(3))
-                found = [join.shingles(t.as_py()) for t in text_]
-                # Another text may have the key and the hash.
-                mine = pa.array([set_id(f) == s.as_py() for f, s in zip(found, sid)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([node, pa.array([f.tobytes() for f in found], pa.binary())], names=["node", "found"]).filter(mine)
+            a, b, n_a, n_b = (batch.column(i).to_numpy() for i in range(4))
+            apart = np.fromiter(map(wide_apart, _arrays(batch.column(4)), _arrays(batch.column(5))), np.int64, len(a))
+            good = apart <= (n_a + n_b) * (100 - join.percent) // (100 + join.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], names=["a", "b"])
 
-    # The texts meet the few nodes in question by key and hash where they are, so their arrays move for the pairs alone.
-    few = wanted.select(F.col("node").alias("_node"), F.col("sid").alias("_sid"), F.col("key").alias("_key"), F.col("content").alias("_content"))
-    if wanted.count() <= BROADCAST_KEYS:
-        few = F.broadcast(few)
-    texts = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("content"))
-    arrays = texts.join(few, texts["key"].eqNullSafe(few["_key"]) & (texts["content"] == few["_content"])).select("_node", "_sid", "text").mapInArrow(sort, "node bigint, found binary")
-    arrays = written(arrays, "arrays")
+    side = lambda c: wide.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("made").alias(f"wide_{c}"))
+    both = open_.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "wide_a", "wide_b")
+    with batches_of(docs.sparkSession, BATCH):
+        # Rows equal in key and text give a pair again.
+        open_ = written(both.mapInArrow(bound_wide, "a bigint, b bigint").distinct(), "closer")
+    arrays = _made(open_, nodes, docs, join, key, text, np.ndarray.tobytes, "arrays")
 
     def intersect(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -303,10 +342,9 @@ def _settle(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, join: Join, key
                 good.append(100 * common >= join.percent * (len(a) + len(b) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    array = lambda c: arrays.select(F.col("node").alias(c), F.col("found").alias(f"found_{c}"))
+    array = lambda c: arrays.select(F.col("node").alias(c), F.col("made").alias(f"found_{c}"))
     both = open_.join(array("a"), "a").join(array("b"), "b").select("a", "b", "found_a", "found_b")
     with batches_of(docs.sparkSession, BATCH):
-        # Rows equal in key and text give a pair again.
         return written(both.mapInArrow(intersect, "a bigint, b bigint").distinct(), "linked")
 
 

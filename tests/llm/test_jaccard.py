@@ -128,3 +128,36 @@ def test_empty_tables(spark):
     for work in (jaccard.groups, jaccard.link_counts):
         rows, links = work(docs)
         assert rows.collect() == [] and links.collect() == []
+
+
+def test_wide_bitmaps_bound_the_difference_of_long_sets():
+    rng = np.random.default_rng(11)
+    join = jaccard.Join(5, 80)
+    for size in (1, 300, 2047, 2049, 9000):
+        for share in (0.5, 0.7, 0.95):
+            x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+            y = np.unique(np.concatenate([x[: int(len(x) * share)], rng.integers(0, 2**64, int(size * (1.1 - share)), np.uint64)]))
+            common = len(np.intersect1d(x, y))
+            apart = jaccard.wide_apart(*(np.frombuffer(jaccard.wide_bitmap(s), np.uint64) for s in (x, y)))
+            assert apart <= len(x) + len(y) - 2 * common
+            assert (apart <= join.differ(len(x), len(y))) == (100 * common >= 80 * (len(x) + len(y) - common)) or size < 2000
+
+
+def test_long_sets_that_share_a_passage_send_no_arrays(spark, monkeypatch):
+    seen = {}
+    keep = jaccard.written
+
+    def watched(df, name, *rest, **more):
+        out = keep(df, name, *rest, **more)
+        seen[name] = seen.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "written", watched)
+    rng = random.Random(3)
+    passage = [f"p{i}" for i in range(2600)]
+    texts = [passage + [f"w{rng.randrange(10**6)}" for _ in range(2400)] for _ in range(6)]
+    texts.append([*texts[0][:4990], "end"])
+    found, _ = jaccard.groups(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id bigint, text string"), jaccard.Join(5, 80))
+    assert {r.key: r.component for r in found.collect()} == {**{i: i for i in range(6)}, 6: 0}
+    # The one linked pair sends its two arrays; all others end at their bitmaps.
+    assert seen["bounded"] > 1 and seen["arrays"] == 2 and seen["linked"] == 1
