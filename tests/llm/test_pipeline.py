@@ -91,3 +91,29 @@ def test_texts_travel_in_small_batches(spark, tmp_path, monkeypatch):
     before = spark.conf.get(name)
     found = [r["size"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
     assert sum(found) >= 200 * 100_000 and max(found) < 6 << 20 and spark.conf.get(name) == before
+
+
+def test_stages_called_one_by_one_get_small_batches(spark, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(200).selectExpr("id AS doc_id", "repeat('word ', 20000) AS text", "'en' AS lang", "'s' AS source", "100000L AS n_chars").coalesce(1)
+
+    def sizes(docs, *_):
+        def work(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["size"])
+
+        return docs.mapInArrow(work, "size bigint")
+
+    monkeypatch.setattr(corpus_pipeline.quality, "keep_good", sizes)
+    monkeypatch.setattr(corpus_pipeline.entropy, "redact_documents", sizes)
+    monkeypatch.setattr(corpus_pipeline.packing, "pack_documents", sizes)
+    before = spark.conf.get(name)
+    try:
+        for stage in (corpus_pipeline.quality_rules, corpus_pipeline.secret_scans, corpus_pipeline.best_fit_packing):
+            spark.conf.set(name, before)
+            found = [r["size"] for r in stage(spark, docs, "nowhere").collect()]
+            assert sum(found) >= 200 * 100_000 and max(found) < 6 << 20
+    finally:
+        spark.conf.set(name, before)
