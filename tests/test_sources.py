@@ -183,3 +183,19 @@ def test_key_sums_beyond_64_bits_with_other_headers(spark, far_keys):
 
 def test_key_sums_beyond_64_bits_with_quoted_breaks(spark, far_keys):
     _check_key_sums(spark, far_keys, "csv_quoted_breaks")
+
+
+def test_rows_of_a_long_sheet_are_whole_and_dates_are_made_once(monkeypatch):
+    made = []
+
+    class Days(workbooks.timedelta):
+        def __new__(cls, **parts):
+            made.append(parts)
+            return dt.timedelta(**parts)
+
+    monkeypatch.setattr(workbooks, "timedelta", Days)
+    day = dt.datetime(2024, 1, 5)
+    content = workbook_bytes(["k", "d"], [[i, day + dt.timedelta(days=i % 3)] for i in range(9_000)])
+    rows = list(workbooks._sheet_rows(content))
+    assert rows[1:4] == [(2, {0: "0", 1: "2024-01-05"}), (3, {0: "1", 1: "2024-01-06"}), (4, {0: "2", 1: "2024-01-07"})]
+    assert [n for n, _ in rows] == list(range(1, 9_002)) and rows[-1][1] == {0: "8999", 1: "2024-01-07"} and len(made) == 3
